@@ -56,7 +56,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, extra: int = 16, id_col: s
             last_bytes = last_bytes + tail if groups[-1] == last and start == 0 else tail
             last = groups[-1]
         if rows:
-            yield pa.record_batch([[part], [rows], [total], pa.array([first], pa.binary()), [first_bytes], pa.array([last], pa.binary()), [last_bytes]], names=["part", "rows", "total", "first", "first_bytes", "last", "last_bytes"])
+            yield pa.record_batch([pa.array([part], pa.int32()), [rows], [total], pa.array([first], pa.binary()), [first_bytes], pa.array([last], pa.binary()), [last_bytes]], names=["part", "rows", "total", "first", "first_bytes", "last", "last_bytes"])
 
     parts = ordered.mapInArrow(ends, "part int, rows long, total long, first binary, first_bytes long, last binary, last_bytes long").toPandas().sort_values("part").reset_index(drop=True)
     place, everything = _places(parts)
