@@ -24,7 +24,10 @@ EDITS, FUZZY_FROM = 2, 48
 #: Candidate line ids that are broadcast at most (16 MB); beyond it they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Code points hashed at a time in a task.
-_SLICE = 4_000_000
+_SLICE = 2_000_000
+#: A packed key: its low 31 bits and whether it is of the line's own segment; the line; its letter counts. The
+#: bucket tells 2^31 keys apart further, and buckets grow with the corpus.
+_ENTRY = np.dtype([("key", "<u4"), ("h1", "<i8"), ("counts", "<u8")])
 #: Members of a key that are compared where the key is read; larger groups are dealt out by pairs of blocks.
 BLOCK = 1024
 #: Fixed value: what a line is stripped of before it is compared.
@@ -193,10 +196,11 @@ def line_links(lines: DataFrame, edits: int = EDITS, fuzzy_from: int = FUZZY_FRO
                 np.cumsum(letter_counts(points), out=total[1:])
                 ends = np.cumsum(lengths)
                 counts = total[ends] - total[ends - lengths]
-                key = key & ~np.uint64(1) | own.astype(np.uint64)
-                bucket = ((key >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+                bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                packed = np.stack([key[order].view(np.int64), fresh[low:high][row[order]], counts[row[order]].view(np.int64)], axis=1)
+                packed = np.empty(len(order), _ENTRY)
+                packed["key"] = (key[order] << np.uint64(1) | own[order].astype(np.uint64)).astype(np.uint32)
+                packed["h1"], packed["counts"] = fresh[low:high][row[order]], counts[row[order]]
                 found, start = np.unique(bucket[order], return_index=True)
                 stops = np.r_[start[1:], len(order)]
                 blobs = [packed[a:b].tobytes() for a, b in zip(start, stops)]
@@ -204,14 +208,18 @@ def line_links(lines: DataFrame, edits: int = EDITS, fuzzy_from: int = FUZZY_FRO
 
     def shared(batches):
         """(key, id) of the lines that share a key and could be alike."""
-        held = [np.frombuffer(x, np.int64).reshape(-1, 3) for batch in batches for x in batch.column("blob").to_pylist()]
+        held, place = [], []
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
+                held.append(np.frombuffer(blob, _ENTRY))
+                place.append(np.full(len(held[-1]), bucket, np.int64))
         if not held:
             return
         rows = np.concatenate(held)
         held.clear()
-        key, own = rows[:, 0] >> 1, rows[:, 0] & 1
-        order = np.lexsort((rows[:, 1], key))
-        key, own, ids, counts = key[order], own[order], rows[order, 1], rows[order, 2].view(np.uint64)
+        key, own = np.concatenate(place) << 31 | (rows["key"] >> 1).astype(np.int64), (rows["key"] & 1).astype(np.int64)
+        order = np.lexsort((rows["h1"], key))
+        key, own, ids, counts = key[order], own[order], rows["h1"][order], rows["counts"][order]
         del rows
         new = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]
         own = np.maximum.reduceat(own, np.flatnonzero(new))
@@ -327,9 +335,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     lines = lines_of(docs, id_col, text_col)
     here = F.struct("k1", "k2", "pos")
-    firsts = durable(lines.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("n")))
+    firsts = durable(lines.groupBy("h1", "h2").agg(F.min(here).alias("f"), F.count("*").alias("n")).select("h1", "h2", "f.k1", "f.k2", "f.pos", "n"))
     classes = connected_components(line_links(lines, edits, fuzzy_from))
     members = classes.unionByName(classes.select(F.col("component").alias("id"), "component").distinct())
+    firsts = firsts.select("h1", "h2", here.alias("first"), "n")
     near = firsts.join(members, F.col("h1") == F.col("id"))
     heads = near.groupBy("component").agg(F.min("first").alias("head"))
     near = near.join(heads, "component").select("h1", "h2", F.col("head").alias("stays"))
