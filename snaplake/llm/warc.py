@@ -14,11 +14,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snaplake.llm.common import durable
+
 #: Bytes of a block in one record, of a chunk in the framing, and records in one file.
 SEGMENT, CHUNK, PER_FILE = 65_536, 16_384, 1_000
 #: Payloads shorter than this are never revisits.
@@ -129,34 +132,48 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         last = None
         for batch in batches:
             for page, url, text, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to"))):
-                if page == last:
-                    continue
-                last = page
-                out = page_records(page, url, text.encode("utf-8", "surrogatepass"), refers, segment, chunk)
-                yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
+                if page != last:
+                    last = page
+                    for record in page_records(page, url, text.encode("utf-8", "surrogatepass"), refers, segment, chunk):
+                        yield (record,)
 
-    lines = joined.mapInArrow(_gathered(records), "record binary").select(F.col("record").cast("string").alias("value"))
+    lines = joined.mapInArrow(_in_batches(records, pa.schema([("record", pa.binary())])), "record binary").select(F.col("record").cast("string").alias("value"))
     lines.write.mode("errorifexists").option("maxRecordsPerFile", per_file).option("lineSep", "\r\n").option("compression", compression).text(path)
 
 
-def _gathered(records, size: int = 200):
-    """The same rows in batches of about `size` rows or 8 MB."""
+def _in_batches(rows, schema: pa.Schema, size: int = 500, most: int = 8_000_000):
+    """For mapInArrow: the tuples that rows gives, in batches of `size` rows or about `most` bytes of their binary values."""
 
     def run(batches):
         held, n = [], 0
-        for batch in records(batches):
-            held.append(batch)
-            n += batch.nbytes
-            if len(held) >= size or n > 8_000_000:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        for row in rows(batches):
+            held.append(row)
+            n += sum(len(v) for v in row if type(v) is bytes)
+            if len(held) >= size or n >= most:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
                 held, n = [], 0
         if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
     return run
 
 
-_FIELDS = "record_id string, record_type string, page_id long, payload binary, digest string, refers_id string, origin string, number long, total long"
+def _plain(content: bytes) -> bytes:
+    """An archive file's bytes, decompressed member by member if it is gzip."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    parts = []
+    while content:
+        member = zlib.decompressobj(31)
+        parts.append(member.decompress(content) + member.flush())
+        content = member.unused_data
+    return b"".join(parts)
+
+
+_WHOLE = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("digest", pa.string()), ("refers_id", pa.string())])
+_WHOLE_SQL = "page_id long, record_id string, record_type string, payload binary, digest string, refers_id string"
+_SEGMENT = pa.schema([("origin", pa.string()), ("number", pa.int64()), ("block", pa.binary()), ("digest", pa.string()), ("total", pa.int64())])
+_SEGMENT_SQL = "origin string, number long, block binary, digest string, total long"
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -165,37 +182,29 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     payload: decoded; null for a revisit. A response whose segments don't add up to their total length, or
     whose digest isn't that of its payload, raises ValueError. Records of other kinds are passed over.
     """
-    import zlib
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def digest_of(fields):
+        return fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
 
-    def rows(batches):
+    def parsed(batches):
         for batch in batches:
-            for content in batch.column("content").to_pylist():
-                plain = content
-                if content[:2] == b"\x1f\x8b":
-                    parts = []
-                    while content:  # one gzip member after another
-                        member = zlib.decompressobj(31)
-                        parts.append(member.decompress(content) + member.flush())
-                        content = member.unused_data
-                    plain = b"".join(parts)
-                for fields, block in parse(plain):
-                    kind = fields.get("warc-type")
-                    if kind not in ("response", "revisit", "continuation"):
-                        continue
-                    number = int(fields["warc-segment-number"]) if "warc-segment-number" in fields else None
-                    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                    page = payload = None
-                    if number is None:
-                        page, payload = http_parts(block)
-                        if kind == "response" and digest != digest32(payload):
-                            raise ValueError(f"payload digest of {fields['warc-record-id']} differs")
-                    row = [fields["warc-record-id"], kind, page, None if kind == "revisit" else block if number else payload, digest, fields.get("warc-refers-to"), fields.get("warc-segment-origin-id", fields["warc-record-id"]) if number else None, number, int(fields.get("warc-segment-total-length", -1))]
-                    kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-                    yield pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds)], names=[x.split()[0] for x in _FIELDS.split(", ")])
-
-    records = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_gathered(rows), _FIELDS)
-    whole = records.where("number is null")
-    names = ["page_id", "record_id", "record_type", "payload", "digest", "refers_id"]
+            for content in batch.column("content"):
+                yield from parse(_plain(content.as_py()))
+
+    def whole(batches):
+        for fields, block in parsed(batches):
+            kind = fields.get("warc-type")
+            if kind in ("response", "revisit") and "warc-segment-number" not in fields:
+                page, payload = http_parts(block)
+                if kind == "response" and digest_of(fields) != digest32(payload):
+                    raise ValueError(f"payload digest of {fields['warc-record-id']} differs")
+                yield page, fields["warc-record-id"], kind, payload if kind == "response" else None, digest_of(fields), fields.get("warc-refers-to")
+
+    def segments(batches):
+        for fields, block in parsed(batches):
+            if "warc-segment-number" in fields and fields.get("warc-type") in ("response", "continuation"):
+                yield fields.get("warc-segment-origin-id", fields["warc-record-id"]), int(fields["warc-segment-number"]), block, digest_of(fields), int(fields.get("warc-segment-total-length", -1))
 
     def joined(batches):
         """Segments come in order of origin and number; one response is held at a time."""
@@ -208,10 +217,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             page, payload = http_parts(block)
             if digest != digest32(payload):
                 raise ValueError(f"payload digest of {origin} differs")
-            return pa.record_batch([[page], [origin], ["response"], pa.array([payload], pa.binary()), [digest], pa.nulls(1, pa.string())], names=names)
+            return page, origin, "response", payload, digest, None
 
         for batch in batches:
-            for o, number, block, d, t in zip(*(batch.column(c).to_pylist() for c in ("origin", "number", "payload", "digest", "total"))):
+            for o, number, block, d, t in zip(*(batch.column(c).to_pylist() for c in _SEGMENT.names)):
                 if o != origin:
                     if origin is not None:
                         yield closed()
@@ -223,9 +232,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         if origin is not None:
             yield closed()
 
-    segments = records.where("number is not null").select("origin", "number", "payload", "digest", "total")
-    put = segments.repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(joined, "page_id long, record_id string, record_type string, payload binary, digest string, refers_id string")
-    return whole.select(*names).unionByName(put)
+    complete = files.mapInArrow(_in_batches(whole, _WHOLE), _WHOLE_SQL)
+    dealt = files.mapInArrow(_in_batches(segments, _SEGMENT), _SEGMENT_SQL).repartition("origin").sortWithinPartitions("origin", "number")
+    return complete.unionByName(dealt.mapInArrow(_in_batches(joined, _WHOLE), _WHOLE_SQL))
 
 
 def archive_folder(spark: SparkSession) -> str:
@@ -244,6 +253,7 @@ def archived(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
     write_archives(pages, path, **options)
     found = read_archives(spark, path)
     facts = found.select("page_id", "record_id", "record_type", F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "refers_id")
+    facts = durable(facts)  # the archives are parsed once
     known = facts.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
     joined = facts.join(known, "refers_id", "left")
     same = F.col("refers_id").isNull() | F.coalesce(F.col("_digest") == F.col("payload_digest"), F.lit(False))
