@@ -1,0 +1,59 @@
+"""Text columns: comparison, numbers, secrets, addresses of repositories and hosts."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Name, pattern and replacement of what is scrubbed, in this order.
+RULES = [
+    ("aws_access_key_id", r"AKIA[0-9A-Z]{16}", "[REDACTED_AWS_KEY]"),
+    ("aws_secret_access_key", r"(?i)(aws_secret_access_key|aws_secret)\s*[=:]\s*['\"]?[A-Za-z0-9/+=]{40}", "[REDACTED_AWS_SECRET]"),
+    ("openai_api_key", r"sk-[A-Za-z0-9]{20,}", "[REDACTED_OPENAI_KEY]"),
+    ("github_token", r"ghp_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{82}", "[REDACTED_GITHUB_TOKEN]"),
+    ("slack_token", r"xox[bpras]-[A-Za-z0-9\-]{10,}", "[REDACTED_SLACK_TOKEN]"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_\-]{10,}", "[REDACTED_JWT]"),
+    ("private_key_block", r"-----BEGIN [A-Z ]+ PRIVATE KEY-----[\s\S]*?-----END [A-Z ]+ PRIVATE KEY-----", "[REDACTED_PRIVATE_KEY]"),
+    ("connection_string", r"(?i)(postgres|mysql|mongodb(\+srv)?|redis|amqp)://[^\s'\"]+", "[REDACTED_CONNECTION_STRING]"),
+    ("ssh_public_key", r"(?i)(ssh-rsa|ssh-ed25519)\s+[A-Za-z0-9+/=]{40,}", "[REDACTED_SSH_KEY]"),
+    ("bearer_token", r"(?i)bearer\s+[A-Za-z0-9_\-\.]{20,}", "Bearer [REDACTED_TOKEN]"),
+    ("env_assignment_long_value", r"(?m)^([A-Z_]{2,})=(?!.*REDACTED)[^\n]{20,}$", "$1=[REDACTED]"),
+    ("home_path_macos", r"/Users/[a-zA-Z0-9._-]+", "/Users/[user]"),
+    ("home_path_linux", r"/home/[a-zA-Z0-9._-]+", "/home/[user]"),
+]
+
+
+def scrub(text: Column, rules: list[tuple[str, str, str]] | None = None) -> Column:
+    """The text with every rule applied in order."""
+    return reduce(lambda c, r: F.regexp_replace(c, r[1], r[2]), RULES if rules is None else rules, text)
+
+
+def scrub_counts(text: Column, rules: list[tuple[str, str, str]] | None = None) -> Column:
+    """An array of (rule, n) for the rules that occur in the text as it is."""
+    each = [F.struct(F.lit(n).alias("rule"), F.regexp_count(text, F.lit(p)).cast("long").alias("n")) for n, p, _ in (RULES if rules is None else rules)]
+    return F.filter(F.array(*each), lambda x: x["n"] > 0)
+
+
+def normalised(text: Column) -> Column:
+    """Lower case without ASCII punctuation and white space."""
+    return F.regexp_replace(F.lower(text), r"""[!-/:-@\[-`{-~\s]+""", "")
+
+
+def numbers(text: Column) -> Column:
+    """All numbers in the text, commas left out."""
+    return F.transform(F.regexp_extract_all(F.replace(text, F.lit(","), F.lit("")), F.lit(r"-?\d+\.?\d*"), F.lit(0)), lambda x: x.cast("double"))
+
+
+def repository(url: Column) -> Column:
+    """host/path of a repository's address in lower case, whatever scheme, user and ending it has."""
+    plain = F.regexp_replace(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@]*@)?", "")
+    scp = F.regexp_replace(plain, r"^(?:[^/@]*@)?([^/:]+):(?!\d+/)", "$1/")
+    return F.regexp_replace(F.regexp_replace(F.lower(scp), r"/+$", ""), r"\.git$", "")
+
+
+def redacted_headers(headers: Column, sensitive: list[str]) -> Column:
+    """A map with the values of sensitive names cut to eight characters and a mark, if longer than twelve."""
+    hide = lambda k, v: F.when(F.lower(k).isin(sensitive), F.when(F.char_length(v) > 12, F.concat(F.substring(v, 1, 8), F.lit("..."))).otherwise(F.lit("***"))).otherwise(v)
+    return F.transform_values(headers, hide)
