@@ -10,8 +10,9 @@ _ROW = "type string, uuid string, parentUuid string, sessionId string, cwd strin
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line) of the files' lines; a last line without its end is left out. Each file is one row until it is split, so that numbers are its own."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = files.withColumn("value", F.regexp_replace("value", r"[^\n]*\z", ""))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    tail = F.char_length(F.substring_index("value", "\n", -1))  # of a last line without its end
+    lines = files.withColumn("value", F.substring(F.col("value"), F.lit(1), F.char_length("value") - tail))
     split = lines.select("file", F.posexplode(F.split("value", "\n")).alias("n", "line")).where("line <> ''")
     return split.select("file", (F.col("n") + 1).alias("line_no"), "line")
 
