@@ -36,7 +36,7 @@ def block_events(lines: DataFrame) -> DataFrame:
         .when(F.col("r.type").isin("system", "permission-mode", "attachment", "file-history-snapshot"), "lifecycle").otherwise("opaque")
     )
     base = F.coalesce("r.uuid", F.concat(F.lit("L"), F.col("line_no")))
-    text = F.coalesce(get("$.text"), get("$.thinking"), get("$"), get("$.content"))
+    text = F.coalesce(get("$.text"), get("$.thinking"), get("$.content"), get("$"))
     return events.select(
         F.col("r.sessionId").alias("session_id"), "file", "line_no", "block", F.when(F.col("block") == 0, base).otherwise(F.concat(base, F.lit("#"), F.col("block"))).alias("id"), name.alias("type"), role.alias("role"),
         F.when(name != "tool_call", text).alias("text"), F.coalesce(get("$.tool_use_id"), F.when(kind == "tool_use", get("$.id"))).alias("tool_call_id"), F.when(kind == "tool_use", get("$.name")).alias("name"),
