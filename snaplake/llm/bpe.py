@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces kept per task, and the longest of them in characters.
 CACHED, CACHED_CHARS = 400_000, 64
+#: A merge is one number, its rank above the id that it makes; pairs without one, and pairs that no token holds.
+_ID_BITS, _NO_MERGE, _FORCED = 24, 1 << 60, 1 << 61
+#: Fragments of up to so many bytes are merged by scans of a list, longer ones with a heap.
+_SCANNED = 96
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -48,12 +53,13 @@ class Vocabulary:
         self.merges = {}
         for rank, merge in enumerate(spec["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.merges[vocab[left] << 32 | vocab[right]] = (rank, vocab[left + right])
+            self.merges[vocab[left] << 32 | vocab[right]] = rank << _ID_BITS | vocab[left + right]
         joined = np.zeros((256, 256), bool)
         for token in tokens.values():
             codes = np.frombuffer(token, np.uint8)
             joined[codes[:-1], codes[1:]] = True
-        self.forced = ~joined
+        merge_of = lambda a, b: self.merges.get(self.byte_id[a] << 32 | self.byte_id[b], _NO_MERGE)
+        self.first = [[merge_of(a, b) if joined[a, b] else _FORCED for b in range(256)] for a in range(256)]
         self.special = special
         tokens |= {i: t.encode() for t, i in special.items()}
         parts = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
@@ -72,44 +78,39 @@ class Vocabulary:
         self.specials = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
         self._ready = True
 
-    def fragments(self, token: bytes) -> list[bytes]:
-        """The pre-token, cut at its forced boundaries."""
-        if len(token) < 2:
-            return [token]
-        codes = np.frombuffer(token, np.uint8)
-        cuts = np.flatnonzero(self.forced[codes[:-1], codes[1:]]) + 1
-        if not len(cuts):
-            return [token]
-        ends = [0, *cuts.tolist(), len(token)]
-        return [token[a:b] for a, b in zip(ends, ends[1:])]
-
-    def merged(self, fragment: bytes) -> list[int]:
-        """Ids of a fragment: the lowest-ranked pair first, the leftmost of equals, O(n log n)."""
-        ids = [self.byte_id[b] for b in fragment]
-        n, merges = len(ids), self.merges
-        if n < 24:
-            while len(ids) > 1:
-                best = min(((merges[p][0], i) for i in range(len(ids) - 1) if (p := ids[i] << 32 | ids[i + 1]) in merges), default=None)
-                if best is None:
-                    break
-                i = best[1]
-                ids[i : i + 2] = [merges[ids[i] << 32 | ids[i + 1]][1]]
-            return ids
+    def merged(self, ids: list[int], pairs: list[int]) -> list[int]:
+        """Ids of a fragment, from those of its bytes and the merges of its pairs: the lowest-ranked pair first,
+        the leftmost of equals. Scans for short fragments, O(n log n) for long ones."""
+        if len(ids) > _SCANNED:
+            return self._merged_by_heap(ids)
+        merge_of, made = self.merges.get, (1 << _ID_BITS) - 1
+        while pairs and (best := min(pairs)) < _NO_MERGE:
+            i = pairs.index(best)
+            ids[i] = new = best & made
+            del ids[i + 1], pairs[i]
+            if i:
+                pairs[i - 1] = merge_of(ids[i - 1] << 32 | new, _NO_MERGE)
+            if i < len(pairs):
+                pairs[i] = merge_of(new << 32 | ids[i + 1], _NO_MERGE)
+        return ids
+
+    def _merged_by_heap(self, ids: list[int]) -> list[int]:
+        n, merges, made = len(ids), self.merges, (1 << _ID_BITS) - 1
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(merges[p][0], i, p) for i in range(n - 1) if (p := ids[i] << 32 | ids[i + 1]) in merges]
+        heap = [(merges[p], i, p) for i in range(n - 1) if (p := ids[i] << 32 | ids[i + 1]) in merges]
         heapq.heapify(heap)
         while heap:
-            _, i, pair = heapq.heappop(heap)
+            merge, i, pair = heapq.heappop(heap)
             if ids[i] < 0 or (j := after[i]) >= n or ids[i] << 32 | ids[j] != pair:
                 continue
-            ids[i], ids[j] = merges[pair][1], -1
+            ids[i], ids[j] = merge & made, -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
                 if (p := ids[i] << 32 | ids[after[i]]) in merges:
-                    heapq.heappush(heap, (merges[p][0], i, p))
+                    heapq.heappush(heap, (merges[p], i, p))
             if before[i] >= 0 and (p := ids[before[i]] << 32 | ids[i]) in merges:
-                heapq.heappush(heap, (merges[p][0], before[i], p))
+                heapq.heappush(heap, (merges[p], before[i], p))
         return [x for x in ids if x >= 0]
 
     def _piece(self, piece: str) -> bytes:
@@ -119,8 +120,15 @@ class Vocabulary:
         return self._token(piece)
 
     def _token(self, token: str) -> bytes:
-        ids = [i for part in self.fragments(token.encode("utf-8", "replace")) for i in self.merged(part)]
-        return self._keep(token, np.array(ids, "<u4").tobytes())
+        """The pre-token, cut at its forced boundaries; the fragments' ids one after another."""
+        data, first, byte_id = token.encode("utf-8", "replace"), self.first, self.byte_id
+        ids, pairs = [byte_id[b] for b in data], [first[a][b] for a, b in zip(data, data[1:])]
+        if _FORCED in pairs:
+            ends = [0, *(k for k, pair in enumerate(pairs, 1) if pair == _FORCED), len(data)]
+            ids = [i for a, b in zip(ends, ends[1:]) for i in self.merged(ids[a:b], pairs[a : b - 1])]
+        else:
+            ids = self.merged(ids, pairs)
+        return self._keep(token, struct.pack(f"<{len(ids)}I", *ids))
 
     def _keep(self, piece: str, packed: bytes) -> bytes:
         if len(piece) <= CACHED_CHARS:
