@@ -9,7 +9,7 @@ import __spark_entry__
 from snaplake.catalog import Snapshot
 from snaplake.functions import text as T
 from snaplake.operators import diff, filters, invariants, search, sessions, sync
-from snaplake.sources import transcripts
+from snaplake.sources import transcripts, turn_logs
 from snaplake.streaming import tail
 
 USERS = "id int, name string, email string, age int"
@@ -160,3 +160,36 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     names = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_row_style_transcripts(spark):
+    row = lambda kind, **payload: json.dumps({"type": kind, "timestamp": "2026-01-01T00:00:00Z", "payload": payload})
+    lines = [
+        row("session_meta", cwd="/x", model_provider="acme", base_instructions={"text": "be kind"}),
+        row("turn_context", turn_id="t1", model="m1", approval_policy="ask", sandbox_policy={"type": "read-only"}),
+        row("event_msg", type="user_message", message="look", images=["data:image/gif;base64,AA"], local_image_paths=["/tmp/a.JPG"]),
+        row("response_item", type="message", role="assistant", content=[{"type": "output_text", "text": "one"}, {"type": "input_image"}, {"type": "output_text", "text": "two"}]),
+        row("response_item", type="function_call", call_id="c1", name="ls", arguments='{"a": 1}'),
+        row("response_item", type="function_call_output", call_id="c1", output="files"),
+        row("response_item", type="custom_tool_call", id="c2", name="patch", input="not json"),
+        row("event_msg", type="exec_command_end", call_id="c1", output="files", exit_code=2),
+        row("turn_context", turn_id="t2", model="m2", approval_policy="never", sandbox_policy={"type": "full"}),
+        row("event_msg", type="token_count", info={"last_token_usage": {}, "total_token_usage": {"input_tokens": 5, "total_tokens": 9}}),
+        row("event_msg", type="agent_message", message="done"),
+        row("event_msg", type="mcp_tool_call_end", call_id="c3", result={"Err": "no"}),
+        row("response_item", type="strange"),
+        "[1]", "no json",
+        row("compacted", replacement_history=[]),
+        row("response_item", type="reasoning", summary=[{"type": "summary_text", "text": "why"}], encrypted_content="zz"),
+    ]
+    frame = turn_logs.row_events(spark.createDataFrame([("f", i, x) for i, x in enumerate(lines, 1)], "file string, line_no int, line string"))
+    got = {r.id: r for r in frame.collect()}
+    assert {i: r.type for i, r in got.items()} == {
+        "L1": "session_start", "L2": "turn_start", "L3": "user_message", "L3#img0": "attachment", "L3#imgref0": "attachment", "L4": "assistant_message", "L5": "tool_call", "L6": "tool_result", "L7": "tool_call",
+        "L8": "tool_result", "L9": "turn_start", "L9#approval": "operator", "L9#sandbox": "operator", "L10": "token_usage", "L11": "assistant_message", "L12": "tool_result", "L13": "opaque", "L16": "lifecycle", "L17": "assistant_reasoning",
+    }
+    assert [got[i].text for i in ("L1", "L3", "L4", "L6", "L9#approval", "L9#sandbox", "L11", "L17")] == ["be kind", "look", "one\n[image]\ntwo", "files", "never", "full", "done", "why"]
+    assert (got["L4"].model, got["L11"].model, got["L10"].provider, got["L10"].input_tokens, got["L10"].total_tokens) == ("m1", "m2", "acme", 5, 9)
+    assert (got["L5"].input, got["L7"].input, got["L7"].tool_call_id, got["L8"].exit_code, got["L12"].is_error, got["L16"].name) == ('{"a":1}', "{}", "c2", 2, True, "context_compacted")
+    assert (got["L3#img0"].media_type, got["L3#imgref0"].media_type, got["L3#imgref0"].name) == ("image/gif", "image/jpeg", "a.JPG")
+    assert got["L9#approval"].raw is None and got["L9#approval"].synthesized and got["L9"].raw == lines[8]
