@@ -126,3 +126,11 @@ def blocked_path(path: Column, exact: list[str], globs: list[str], ids: list[str
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
     parts = [path.isin(exact) if exact else F.lit(False), *(path.rlike(glob_pattern(g)) for g in globs), *(F.contains(stem, F.lit(i)) for i in ids)]
     return reduce(lambda a, b: a | b, parts)
+
+
+def lacks(fields: list[str]) -> Column:
+    """One of the fields is null or an empty text."""
+    out = F.lit(False)
+    for f in fields:
+        out = out | F.col(f).isNull() | (F.col(f).cast("string") == "")
+    return out

@@ -103,3 +103,59 @@ def carried_forward(events: DataFrame, session_col: str, seq_col: str, value: Co
     out = events.withColumn(name, F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     before = F.lag(name).over(w)
     return out.withColumn(f"{name}_changed", F.coalesce((before != F.col(name)) & before.isNotNull(), F.lit(False)))
+
+
+def changes_of(events: DataFrame, session_col: str, seq_col: str, name: str) -> DataFrame:
+    """The rows at which the value differs from that of the row before, with it as `previous`; the first value is no change."""
+    before = F.lag(name).over(Window.partitionBy(session_col).orderBy(seq_col))
+    return events.withColumn("previous", before).where(F.col("previous") != F.col(name))
+
+
+def by_prefix(sessions: DataFrame, prefix: str, id_col: str = "id") -> DataFrame:
+    """The first two sessions whose id starts so; the second tells that the prefix is ambiguous."""
+    return sessions.where(F.col(id_col).startswith(prefix)).orderBy(id_col).limit(2)
+
+
+#: Kinds of events that compaction leaves out, tokens kept free for the summary or without one, refinement passes.
+NOISE, RESERVES, PASSES = ["attachment", "lifecycle", "assistant_reasoning", "opaque", "token_usage"], (2500, 1000), 4
+
+
+def compacted(events: DataFrame, session_col: str, seq_col: str, cost: Column, budget: int, emitted: Column | None = None, max_output: int | None = None, marker: str = "...", summary: bool = True, type_col: str = "type", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The events of each session that fit a budget, and (session, n_dropped, n_kept, user_messages, tool_calls) of what goes.
+
+    Noise goes, longer outputs of tools are cut to max_output characters and a mark. The session_start rows
+    at the head stay, then the longest run of last events that fits beside a reserve; a session that fits
+    whole is kept whole, one whose head alone doesn't fit keeps the head. With `emitted`, the costs as they
+    are written, up to four passes leave out the first fifth of what is kept (one event at least) while the
+    session is still over the budget. Sessions where nothing goes have no second row. No events: no rows.
+    """
+    kept = events.where(~F.coalesce(F.col(type_col), F.lit("")).isin(NOISE))
+    if max_output is not None:
+        long = (F.col(type_col) == "tool_result") & (F.char_length(text_col) > max_output)
+        kept = kept.withColumn(text_col, F.when(long, F.concat(F.substring(text_col, 1, max_output), F.lit(marker))).otherwise(F.col(text_col)))
+    w = Window.partitionBy(session_col)
+    up_to = w.orderBy(seq_col).rowsBetween(Window.unboundedPreceding, 0)
+    start = F.coalesce(F.col(type_col) == "session_start", F.lit(False))
+    kept = kept.withColumn("_cost", cost).withColumn("_out", F.lit(0) if emitted is None else emitted).withColumn("_head", F.min(start).over(up_to))
+    body = F.when(~F.col("_head"), F.col("_cost")).otherwise(0)
+    totals = kept.groupBy(session_col).agg(F.sum(F.when(F.col("_head"), F.col("_cost")).otherwise(0)).alias("_h"), F.sum(body).alias("_b"))
+    later = w.orderBy(F.desc(seq_col)).rowsBetween(Window.unboundedPreceding, 0)
+    room = budget - F.col("_h")
+    fits = F.when(room <= 0, False).when(F.col("_b") <= room, True).otherwise(F.col("_running") <= room - RESERVES[0 if summary else 1])
+    marked = kept.withColumn("_running", F.sum(body).over(later)).withColumn("_nth", F.sum((~F.col("_head")).cast("long")).over(later)).join(totals, session_col).withColumn("_in", F.col("_head") | fits)
+    n_of = marked.groupBy(session_col).agg(F.count_if(F.col("_in") & ~F.col("_head")).alias("_n0"))
+    for k in range(PASSES if emitted is not None else 0):
+        n_of = n_of.withColumn(f"_n{k + 1}", F.col(f"_n{k}") - F.when(F.col(f"_n{k}") > 0, F.greatest(F.lit(1), F.floor(F.col(f"_n{k}") / 5))).otherwise(0))
+    if emitted is None:
+        n_of = n_of.withColumn("_n", F.col("_n0"))
+    else:
+        at = [F.sum(F.when(F.col("_head") | (F.col("_nth") <= F.col(f"_n{k}")), F.col("_out")).otherwise(0)).alias(f"_t{k}") for k in range(PASSES)]
+        written = marked.join(n_of, session_col).groupBy(session_col).agg(*at)
+        choice = F.coalesce(*(F.when(F.col(f"_t{k}") <= budget, F.col(f"_n{k}")) for k in range(PASSES)), F.col(f"_n{PASSES}"))
+        n_of = n_of.join(written, session_col).withColumn("_n", choice)
+    done = marked.join(n_of.select(session_col, "_n"), session_col).withColumn("_in", F.col("_head") | (F.col("_nth") <= F.col("_n")))
+    gone = ~F.col("_in")
+    dropped = done.groupBy(session_col).agg(
+        F.count_if(gone).alias("n_dropped"), F.count_if(F.col("_in") & ~F.col("_head")).alias("n_kept"), F.count_if(gone & (F.col(type_col) == "user_message")).alias("user_messages"), F.count_if(gone & (F.col(type_col) == "tool_call")).alias("tool_calls")
+    ).where("n_dropped > 0")
+    return done.where("_in").select(*events.columns), dropped

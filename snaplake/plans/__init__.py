@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from snaplake.plans import analytics, builder, changes, logs
+from snaplake.plans import analytics, builder, changes, extras, logs
 
-MODULES = (builder, changes, analytics, logs)
+MODULES = (builder, changes, analytics, logs, extras)
 
 
 def queries() -> dict:

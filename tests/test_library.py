@@ -193,3 +193,49 @@ def test_row_style_transcripts(spark):
     assert (got["L5"].input, got["L7"].input, got["L7"].tool_call_id, got["L8"].exit_code, got["L12"].is_error, got["L16"].name) == ('{"a":1}', "{}", "c2", 2, True, "context_compacted")
     assert (got["L3#img0"].media_type, got["L3#imgref0"].media_type, got["L3#imgref0"].name) == ("image/gif", "image/jpeg", "a.JPG")
     assert got["L9#approval"].raw is None and got["L9#approval"].synthesized and got["L9"].raw == lines[8]
+
+
+def brute_compacted(events, budget, reserve, passes):
+    """events: (seq, type, text, cost, emitted) in order."""
+    events = [e for e in events if e[1] not in sessions.NOISE]
+    n_head = next((i for i, e in enumerate(events) if e[1] != "session_start"), len(events))
+    head, body = events[:n_head], events[n_head:]
+    used = sum(e[3] for e in head)
+    if used >= budget:
+        return [e[0] for e in head]
+    kept = body
+    if used + sum(e[3] for e in body) > budget:
+        kept, used = [], used + reserve
+        for e in reversed(body):
+            if used + e[3] > budget:
+                break
+            kept.insert(0, e)
+            used += e[3]
+    for _ in range(passes):
+        if sum(e[4] for e in head + kept) <= budget or not kept:
+            break
+        kept = kept[max(1, len(kept) // 5) :]
+    return [e[0] for e in head + kept]
+
+
+@pytest.mark.parametrize("emitted", [False, True])
+def test_compaction_equals_brute_force(spark, emitted):
+    import random
+
+    rng, rows, expected = random.Random(6), [], set()
+    for s in range(40):
+        talk = []
+        for i in range(rng.randint(0, 40)):
+            kind = "session_start" if i < s % 3 else rng.choice(["user_message", "assistant_message", "tool_call", "tool_result", "lifecycle", "opaque"])
+            cost = rng.choice([1, 30, 90, 300]) * (1 if i else rng.choice([1, 1, 30]))
+            talk.append((i, kind, "x" * rng.randint(0, 30), cost, cost + rng.choice([0, 20, 200])))
+        rows += [(s, *e) for e in talk]
+        expected |= {(s, i) for i in brute_compacted(talk, 2600, 1000, sessions.PASSES if emitted else 0)}
+    frame = spark.createDataFrame(rows, "session int, seq int, type string, text string, cost long, emitted long")
+    kept, dropped = sessions.compacted(frame, "session", "seq", F.col("cost"), 2600, F.col("emitted") if emitted else None, max_output=10, summary=False)
+    got = kept.collect()
+    assert {(r.session, r.seq) for r in got} == expected and len(got) == len(expected)
+    assert all(len(r.text) <= 13 for r in got if r.type == "tool_result") and kept.columns == frame.columns
+    quiet = [r for r in rows if r[2] not in sessions.NOISE]
+    assert {r.session: r.n_dropped for r in dropped.collect()} == {s: n for s in range(40) if (n := sum(r[0] == s for r in quiet) - sum(x[0] == s for x in expected))}
+    assert sessions.compacted(frame.where("false"), "session", "seq", F.col("cost"), 100)[0].count() == 0
