@@ -103,6 +103,7 @@ def tokenizer():
 def test_bpe_equals_the_library(spark, docs_of):
     rng = random.Random(3)
     texts = ["", " ", "a", "  two  spaces \n\n tabs\t\t", "it's we'll I'M 'tis", "naïve ß 北京 🙂🙂 ́", "<|endoftext|>x<|endoftext|>", "a\xa0b c\x85d", "x" * 5000, "1234567 89,0%%%***", "\u0000\u0001", "the " * 3000]
+    texts += ["".join(rng.choice("etaoin") for _ in range(n)) for n in (*range(bpe._SCANNED - 2, bpe._SCANNED + 3), 700)]  # merged by scans and by the heap
     texts += ["".join(rng.choice("ab é'\n\t .!19<|日🙂") for _ in range(rng.randint(1, 90))) for _ in range(150)]
     docs = docs_of([*enumerate(texts), (900, None), (1, texts[1])], ids="x", decoded="y")
     t = tokenizer()
