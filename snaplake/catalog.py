@@ -14,6 +14,15 @@ from snaplake.operators.query import Query
 KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"], "events": ["event_id"], "documents": ["doc_id"], "embeddings": ["vec_id"], "pages": ["page_id"], "benchmark": ["item_id"], "labels": ["doc_id"], "conversations": ["conv_id", "turn"]}
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """df, computed once into the folder of spark.checkpoint.dir, so that a lost executor costs only its own tasks; where the setting is unset (tests), a local folder."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/snaplake-checkpoints")
+    return df.checkpoint(eager=True)
+
+
 @dataclass(frozen=True)
 class Snapshot:
     """Tables by name, with the key columns of those that have any. Nothing is read before a query asks."""

@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from snaplake.catalog import durable
+
 
 def latest(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key. A max of structs, so that it is merged before the shuffle and a long log of one key is no burden."""
@@ -63,21 +65,26 @@ def ancestors(sessions: DataFrame, id_col: str = "id", parent_col: str = "forked
     """(id, ancestor, depth, cap) for each session and all that it was forked from, itself at depth 0.
 
     Paths double in each round (an ancestor's ancestors are joined at once), so that rounds grow with the
-    logarithm of the longest chain. Parents that don't exist end a chain; a session on a cycle isn't walked twice.
-    cap: the rows of the ancestor that belong to the session, null for all.
+    logarithm of the longest chain; each round is written to the shared folder. Parents that don't exist end
+    a chain; on a cycle no session is walked twice. cap: the rows of the ancestor that belong to the session,
+    null for all. Repeated ids count once, with the smallest parent. No sessions: no rows.
     """
-    spark = sessions.sparkSession
-    base = sessions.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"), F.col(point_col).cast("long").alias("cap"))
-    known = base.select(F.col("id").alias("parent"))
-    base.join(known, "parent", "left_semi").createOrReplaceTempView("_forks")
-    base.createOrReplaceTempView("_sessions")
-    return spark.sql("""
-        WITH RECURSIVE walk AS (
-          SELECT id, id AS ancestor, 0 AS depth, CAST(NULL AS BIGINT) AS cap, array(id) AS seen FROM _sessions
-          UNION ALL
-          SELECT w.id, f.parent, w.depth + 1, f.cap, array_append(w.seen, f.parent)
-          FROM walk w JOIN _forks f ON f.id = w.ancestor WHERE NOT array_contains(w.seen, f.parent)
-        ) SELECT id, ancestor, depth, cap FROM walk""")
+    base = sessions.groupBy(F.col(id_col).alias("id")).agg(F.min(F.struct(F.col(parent_col).alias("parent"), F.col(point_col).cast("long").alias("cap"))).alias("f"))
+    base = durable(base.select("id", "f.parent", "f.cap"))
+    # far: the ancestor exactly `reach` steps away; near: all that are less than that away.
+    far = durable(base.where("parent <> id").join(base.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", F.col("parent").alias("ancestor"), "cap"))
+    near = base.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("cap"))
+    reach = 1
+    while not far.isEmpty():
+        hop = far.select("id", F.col("ancestor").alias("via"), F.col("cap").alias("via_cap"))
+        beyond = near.select(F.col("id").alias("via"), "ancestor", "depth", "cap")
+        more = hop.join(beyond, "via").select("id", "ancestor", (F.col("depth") + reach).alias("depth"), F.when(F.col("depth") == 0, F.col("via_cap")).otherwise(F.col("cap")).alias("cap"))
+        next_far = hop.join(far.select(F.col("id").alias("via"), "ancestor", "cap"), "via").select("id", "ancestor", "cap")
+        first = near.unionByName(more).groupBy("id", "ancestor").agg(F.min(F.struct("depth", "cap")).alias("m"))
+        near = durable(first.select("id", "ancestor", "m.depth", "m.cap"))
+        far = durable(next_far.join(near.select("id", "ancestor"), ["id", "ancestor"], "left_anti"))
+        reach *= 2
+    return near
 
 
 def replay(chains: DataFrame, events: DataFrame, session_col: str, seq_col: str) -> DataFrame:

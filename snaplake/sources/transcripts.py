@@ -18,7 +18,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def block_events(lines: DataFrame) -> DataFrame:
-    """(session_id, file, line_no, block, id, type, role, text, tool_call_id, name, input, is_error, raw) of block-style rows.
+    """(session_id, file, line_no, block, id, type, role, text, tool_call_id, name, input, is_error, raw, timestamp, parent_id) of block-style rows.
 
     A row's content is a text or a list of blocks; each block is one event, called id#block from the second
     on. Rows that are no JSON are left out, those of unknown kinds stay as 'opaque', raw is the line itself.
@@ -40,7 +40,7 @@ def block_events(lines: DataFrame) -> DataFrame:
     return events.select(
         F.col("r.sessionId").alias("session_id"), "file", "line_no", "block", F.when(F.col("block") == 0, base).otherwise(F.concat(base, F.lit("#"), F.col("block"))).alias("id"), name.alias("type"), role.alias("role"),
         F.when(name != "tool_call", text).alias("text"), F.coalesce(get("$.tool_use_id"), F.when(kind == "tool_use", get("$.id"))).alias("tool_call_id"), F.when(kind == "tool_use", get("$.name")).alias("name"),
-        F.when(kind == "tool_use", F.to_json(F.try_variant_get("b", "$.input", "variant"))).alias("input"), get("$.is_error", "boolean").alias("is_error"), "raw",
+        F.when(kind == "tool_use", F.to_json(F.try_variant_get("b", "$.input", "variant"))).alias("input"), get("$.is_error", "boolean").alias("is_error"), "raw", F.col("r.timestamp").alias("timestamp"), F.col("r.parentUuid").alias("parent_id"),
     )
 
 

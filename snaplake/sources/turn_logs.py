@@ -44,9 +44,17 @@ def _looked_up(key: Column, table: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[key]
 
 
+def _milliseconds(p: Column) -> Column:
+    """A duration in milliseconds: duration_ms, or duration as seconds (from a million on already milliseconds) or as {secs, nanos}."""
+    number, secs = _at(p, "$.duration", "double"), _at(p, "$.duration.secs", "long")
+    whole = F.floor(F.when(number < 1e6, number * 1000).otherwise(number))
+    parts = secs * 1000 + F.floor(F.coalesce(_at(p, "$.duration.nanos", "long"), F.lit(0)) / 1_000_000)
+    return F.coalesce(_at(p, "$.duration_ms", "long"), whole, parts)
+
+
 def row_events(lines: DataFrame) -> DataFrame:
     """(file, line_no, id, type, layer, role, text, tool_call_id, name, input, is_error, exit_code, turn_id, model, provider, input_tokens,
-    output_tokens, cache_read_tokens, total_tokens, media_type, synthesized, raw) of lines (file, line_no, line).
+    output_tokens, cache_read_tokens, total_tokens, media_type, synthesized, raw, block, timestamp, aborted, duration_ms, encrypted_content) of lines (file, line_no, line).
 
     Model and provider are those in force at a row. A turn whose approval or sandbox policy differs from the
     last one gives an 'operator' event besides, an image of a message an 'attachment'; these are synthesized
@@ -55,7 +63,7 @@ def row_events(lines: DataFrame) -> DataFrame:
     """
     v = F.try_parse_json("line")
     rows = lines.select("file", "line_no", F.col("line").alias("raw"), v.alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
-    rows = rows.select("file", "line_no", "raw", _at(F.col("v"), "$.type").alias("kind"), F.coalesce(_at(F.col("v"), "$.payload", "variant"), F.parse_json(F.lit("{}"))).alias("p"))
+    rows = rows.select("file", "line_no", "raw", _at(F.col("v"), "$.type").alias("kind"), _at(F.col("v"), "$.timestamp").alias("timestamp"), F.coalesce(_at(F.col("v"), "$.payload", "variant"), F.parse_json(F.lit("{}"))).alias("p"))
     p, kind = F.col("p"), F.col("kind")
     get = lambda path, to="string": _at(p, path, to)
     turn = kind == "turn_context"
@@ -103,11 +111,12 @@ def row_events(lines: DataFrame) -> DataFrame:
         F.when(key == "event_msg.mcp_tool_call_end", _filled(get("$.result.Err"), get("$.result.err")).isNotNull()).alias("is_error"),
         F.when(name == "tool_result", get("$.exit_code", "long")).alias("exit_code"), F.when(name.isin("turn_start", "turn_end"), get("$.turn_id")).alias("turn_id"),
         F.when(turn, get("$.model")).when(name == "assistant_message", F.col("model")).alias("model"), F.when(name == "token_usage", F.col("provider")).alias("provider"),
-        use("input_tokens").alias("input_tokens"), use("output_tokens").alias("output_tokens"), use("cached_input_tokens").alias("cache_read_tokens"), use("total_tokens").alias("total_tokens"), "raw", F.explode(subs).alias("s"),
+        use("input_tokens").alias("input_tokens"), use("output_tokens").alias("output_tokens"), use("cached_input_tokens").alias("cache_read_tokens"), use("total_tokens").alias("total_tokens"), "raw", "timestamp",
+        F.when(name == "turn_end", key == "event_msg.turn_aborted").alias("aborted"), F.when(name == "tool_result", _milliseconds(p)).alias("duration_ms"), F.when(name == "assistant_reasoning", get("$.encrypted_content")).alias("encrypted_content"), F.posexplode(subs).alias("block", "s"),
     )
     own = F.col("s.suffix") == ""
     keep = lambda c: F.when(own, F.col(c)).alias(c)
     return wide.select(
         "file", "line_no", F.concat("row_id", "s.suffix").alias("id"), F.when(own, F.col("row_type")).otherwise(F.col("s.type")).alias("type"), keep("layer"), keep("role"), F.when(own, F.col("row_text")).otherwise(F.col("s.text")).alias("text"), keep("tool_call_id"),
-        F.when(own, F.col("row_name")).otherwise(F.col("s.name")).alias("name"), *map(keep, ("input", "is_error", "exit_code", "turn_id", "model", "provider", "input_tokens", "output_tokens", "cache_read_tokens", "total_tokens")), F.col("s.media_type").alias("media_type"), (~own).alias("synthesized"), keep("raw"),
+        F.when(own, F.col("row_name")).otherwise(F.col("s.name")).alias("name"), *map(keep, ("input", "is_error", "exit_code", "turn_id", "model", "provider", "input_tokens", "output_tokens", "cache_read_tokens", "total_tokens")), F.col("s.media_type").alias("media_type"), (~own).alias("synthesized"), keep("raw"), "block", "timestamp", *map(keep, ("aborted", "duration_ms", "encrypted_content")),
     )
