@@ -57,3 +57,45 @@ def redacted_headers(headers: Column, sensitive: list[str]) -> Column:
     """A map with the values of sensitive names cut to eight characters and a mark, if longer than twelve."""
     hide = lambda k, v: F.when(F.lower(k).isin(sensitive), F.when(F.char_length(v) > 12, F.concat(F.substring(v, 1, 8), F.lit("..."))).otherwise(F.lit("***"))).otherwise(v)
     return F.transform_values(headers, hide)
+
+
+def short_title(title: Column, most: int = 60) -> Column:
+    """The title on one line, cut with a mark; null: empty."""
+    flat = F.trim(F.regexp_replace(F.coalesce(title, F.lit("")), r"\s+", " "))
+    return F.when(F.char_length(flat) > most, F.concat(F.substring(flat, 1, most - 1), F.lit("…"))).otherwise(flat)
+
+
+def short_folder(path: Column, most: int = 30) -> Column:
+    """The last part of a folder's path; ? if there is none."""
+    last = F.regexp_extract(F.coalesce(path, F.lit("")), "([^/]+)/*$", 1)
+    return F.when(last == "", F.lit("?")).otherwise(F.substring(last, 1, most))
+
+
+def age(stamp: Column, now: Column) -> Column:
+    """An ISO 8601 time as its distance from now: 5s ago, 2h ago, future; the date from 30 days on, what is no time as it is (14 characters), null: empty."""
+    at = F.try_to_timestamp(stamp)
+    s = F.unix_timestamp(now) - F.unix_timestamp(at)
+    ago = lambda n, unit: F.concat(F.floor(s / n).cast("string"), F.lit(f"{unit} ago"))
+    told = F.when(at > now, F.lit("future")).when(s < 60, ago(1, "s")).when(s < 3600, ago(60, "m")).when(s < 86400, ago(3600, "h")).when(s < 2592000, ago(86400, "d")).otherwise(F.substring(stamp, 1, 10))
+    return F.when(F.coalesce(stamp, F.lit("")) == "", F.lit("")).when(at.isNull(), F.substring(stamp, 1, 14)).otherwise(told)
+
+
+def levels(points: Column, description: Column, name: Column) -> Column:
+    """A criterion's levels (a map of points to text) from the highest on, one a line, then its description; its name if it has neither."""
+    lines = F.transform(F.sort_array(F.map_entries(points), asc=False), lambda e: F.concat(F.lit("- "), e["key"].cast("string"), F.lit(" points: "), e["value"]))
+    told = F.concat_ws("\n", F.coalesce(lines, F.array().cast("array<string>")), F.nullif(description, F.lit("")))
+    return F.when(told == "", name).otherwise(told)
+
+
+def score_band(score: Column) -> Column:
+    """good from 0.7, fair from 0.4, else poor; null: none."""
+    return F.when(score.isNull(), "none").when(score >= 0.7, "good").when(score >= 0.4, "fair").otherwise("poor")
+
+
+def looks_like_uuid(value: Column) -> Column:
+    return F.rlike(value, F.lit("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"))
+
+
+def contains_number(text: Column, number: Column) -> Column:
+    """The text has this number; false if it is none."""
+    return F.coalesce(F.array_contains(numbers(text), F.replace(number.cast("string"), F.lit(","), F.lit("")).try_cast("double")), F.lit(False))

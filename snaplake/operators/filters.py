@@ -122,9 +122,9 @@ def host_allowed(url: Column, hosts: list[str], strict: bool = True) -> Column:
 
 
 def blocked_path(path: Column, exact: list[str], globs: list[str], ids: list[str]) -> Column:
-    """The path is listed, matches a glob, or has an id in its last part's stem."""
+    """The path is listed, matches a glob, its last part's stem ends in an id, or a part is an id's transcript."""
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
-    parts = [path.isin(exact) if exact else F.lit(False), *(path.rlike(glob_pattern(g)) for g in globs), *(F.contains(stem, F.lit(i)) for i in ids)]
+    parts = [path.isin(exact) if exact else F.lit(False), *(path.rlike(glob_pattern(g)) for g in globs), *(stem.endswith(i) | F.contains(path, F.lit(f"/{i}.jsonl")) | F.contains(path, F.lit(f"/{i}.txt")) for i in ids)]
     return reduce(lambda a, b: a | b, parts)
 
 

@@ -55,3 +55,62 @@ def after_failure(queue: DataFrame, failed: DataFrame, now: Column, most: int =
         "last_error": F.coalesce("error", "last_error"),
         "updated_at": F.when(hit, now).otherwise(F.col("updated_at")),
     }).select(*queue.columns)
+
+
+_KEYS = ["path", "sha256"]
+
+
+def _fresh(items: DataFrame, queue: DataFrame, now: Column) -> DataFrame:
+    values = {"status": F.lit("pending"), "attempts": F.lit(0), "next_attempt_at": now, "enqueued_at": now, "updated_at": now}
+    return items.select(*_KEYS).distinct().select(*(F.col(f.name) if f.name in _KEYS else values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in queue.schema))
+
+
+def enqueued(queue: DataFrame, items: DataFrame, now: Column) -> DataFrame:
+    """The queue with items (path, sha256) that it hasn't yet; those that it has stay as they are."""
+    return queue.unionByName(_fresh(items.join(queue.select(*_KEYS), _KEYS, "left_anti"), queue, now))
+
+
+def requeued(queue: DataFrame, items: DataFrame, now: Column) -> DataFrame:
+    """The queue with all items (path, sha256) pending anew, whatever state they were in; the time of the first entry stays."""
+    hit = F.col("_hit").isNotNull()
+    old = queue.join(items.select(*_KEYS).distinct().withColumn("_hit", F.lit(1)), _KEYS, "left")
+    new = {"status": F.lit("pending"), "attempts": F.lit(0), "last_error": F.lit(None), "next_attempt_at": now, "updated_at": now}
+    reset = old.select(*(F.when(hit, new[f.name].cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) if f.name in new else F.col(f.name) for f in queue.schema))
+    return enqueued(reset, items, now)
+
+
+def after_success(queue: DataFrame, done: DataFrame, now: Column) -> DataFrame:
+    """The queue after the rows of done (path, sha256) were sent: they are done, and waiting or failed rows of
+    their paths that were entered strictly earlier go. Rows entered in the same moment stay."""
+    hit = queue.join(done.select(*_KEYS).distinct(), _KEYS, "left_semi")
+    newest = hit.groupBy("path").agg(F.max("enqueued_at").alias("_newest"))
+    marked = queue.join(done.select(*_KEYS).distinct().withColumn("_hit", F.lit(1)), _KEYS, "left").join(newest, "path", "left")
+    old = F.col("_hit").isNull() & F.col("status").isin("failed", "pending") & (F.col("enqueued_at") < F.col("_newest"))
+    left = marked.where(~F.coalesce(old, F.lit(False)))
+    done_now = F.col("_hit").isNotNull()
+    return left.withColumn("status", F.when(done_now, "done").otherwise(F.col("status"))).withColumn("updated_at", F.when(done_now, now).otherwise(F.col("updated_at"))).select(*queue.columns)
+
+
+def reset_failed(queue: DataFrame, now: Column) -> DataFrame:
+    """The queue with failed rows pending anew."""
+    failed = F.col("status") == "failed"
+    at = lambda name, value: F.when(failed, value).otherwise(F.col(name))
+    return queue.withColumns({"attempts": at("attempts", F.lit(0)), "next_attempt_at": at("next_attempt_at", now), "updated_at": at("updated_at", now), "status": at("status", F.lit("pending"))})
+
+
+def released(queue: DataFrame, now: Column, lease: str = "1 hour") -> DataFrame:
+    """The queue with rows that have been in flight for longer than the lease pending anew, as after a worker was lost."""
+    late = (F.col("status") == "in_flight") & (F.col("updated_at") < now - F.expr(f"interval {lease}"))
+    return queue.withColumns({"updated_at": F.when(late, now).otherwise(F.col("updated_at")), "status": F.when(late, "pending").otherwise(F.col("status"))})
+
+
+def without_old_done(queue: DataFrame, now: Column, keep: str = "24 hours") -> DataFrame:
+    """The queue without rows that were done longer ago than `keep`."""
+    return queue.where(~F.coalesce((F.col("status") == "done") & (F.col("updated_at") < now - F.expr(f"interval {keep}")), F.lit(False)))
+
+
+def hashes(files: DataFrame, known: DataFrame) -> DataFrame:
+    """(path, mtime, size, sha256) of files (path, mtime, size, content): known ones (path, mtime, size, sha256) aren't hashed again."""
+    keys = ["path", "mtime", "size"]
+    new = files.join(known.select(*keys), keys, "left_anti").select(*keys, F.sha2("content", 256).alias("sha256"))
+    return known.join(files.select(*keys), keys, "left_semi").select(*keys, "sha256").unionByName(new)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from snaplake.plans import analytics, builder, changes, extras, logs
+from snaplake.plans import analytics, builder, changes, extras, logs, transfers
 
-MODULES = (builder, changes, analytics, logs, extras)
+MODULES = (builder, changes, analytics, logs, extras, transfers)
 
 
 def queries() -> dict:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from snaplake.operators import sessions as S
 from snaplake.operators import sync
+from snaplake.streaming import tail
 
 QUERIES, SQL = {}, {}
 
@@ -145,15 +148,18 @@ def backoff_table(spark, d):
 @query("SELECT event_type, time_bucket(INTERVAL 6 HOURS, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling_windows(spark, d):
     """As a stream over the table's file, started once over what is there; the counts are read back from the shared folder."""
-    import uuid
+    counted = lambda events: events.groupBy(F.window("ts", "6 hours").start.alias("start"), "event_type").agg(F.count("*").alias("n")).select("event_type", "start", "n")
+    return streamed(spark, d, counted, "complete")
 
-    from snaplake.streaming import tail
 
+def streamed(spark, d, change, mode: str = "append"):
+    """What a stream over the table events gives after `change`, started once over what is there; read back from the shared folder, one file set for each batch (complete: the last one)."""
     base = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/snaplake-checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(_events(spark, d).schema).parquet(f"{d}/events.parquet" if _is_folder(spark, f"{d}/events.parquet") else f"{d}/events.parque[t]")
-    counted = stream.groupBy(F.window("ts", "6 hours").start.alias("start"), "event_type").agg(F.count("*").alias("n")).select("event_type", "start", "n")
-    tail.deliver(counted, lambda rows, n: rows.write.mode("overwrite").parquet(f"{base}/out"), f"{base}/state", mode="complete").awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    out = change(stream)
+    place = (lambda n: f"{base}/out/batch=0") if mode == "complete" else (lambda n: f"{base}/out/batch={n}")
+    tail.deliver(out, lambda rows, n: rows.write.mode("overwrite").parquet(place(n)), f"{base}/state", mode=mode).awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out").select(*out.columns)
 
 
 def _is_folder(spark, path: str) -> bool:
