@@ -1,16 +1,17 @@
-"""Main text of web pages: a suffix array over each host's token streams, and the pages' own markup.
+"""Main text of web pages: suffix arrays over token streams, counted by host, and the pages' own markup.
 
-A page is cut into blocks of text. All blocks of a host's pages are concatenated as token streams, and their
-suffix array finds the runs of at least `run` tokens that occur on `pages` distinct pages or more. A block
-that such runs cover mostly is boilerplate and goes, unless all blocks of the page would. The markup has two
+A page is cut into blocks of text. The blocks of some pages at a time are concatenated as token streams, and
+their suffix array finds the different runs of `run` tokens and the pages of each. Those counts are added up
+over the whole host; a run that occurs on `pages` distinct pages of its host or more is repeated, wherever
+the pages were read. A block that such runs cover mostly is boilerplate and goes, unless all blocks of the page would. The markup has two
 says besides: blocks within navigation, headers, footers, sidebars, forms, notices, adverts and comment
 sections, as elements, roles, class and id names tell, go even where a host shows too few pages to repeat
 them; and what a page marks as its article (article, main, or the same by role or itemprop) stays even where
 a host prints it on several pages, as copies and quoted passages do.
 
-Hosts are dealt out in shards of some pages (by page hash within a host, so a large host makes many
-shards), which bounds a task's suffix array whatever the host's size; boilerplate is what repeats
-throughout a host, so any shard shows it.
+Runs are counted by 64-bit hashes of their host and words, in buckets of the hashes' leading bits, which
+bounds a task whatever a host's size. Pages are read twice and never shuffled, unless more runs are repeated
+than are broadcast: then pages and their repeated runs are joined by shuffle, with the same result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +29,10 @@ from snaplake.llm.common import durable
 
 #: Least tokens of a repeated run, pages that it must occur on, share of a block that must be covered.
 RUN, PAGES, COVERED = 6, 3, 0.6
-#: Bytes of a host's pages that one suffix array takes.
-SHARD_BYTES = 1_000_000
-#: Hosts of more than one shard that are broadcast at most (some 16 MB); beyond it they are joined by shuffle.
-BROADCAST_HOSTS = 200_000
+#: Bytes of pages whose runs are counted in one bucket; tokens that one suffix array takes.
+SHARD_BYTES, CHUNK = 32_000_000, 400_000
+#: Repeated runs, and repeated page ids, that are broadcast at most (32 MB of hashes); beyond it they are joined by shuffle.
+BROADCAST_RUNS = 4_000_000
 #: Elements by what their text is.
 SKIPPED = frozenset("script style noscript template svg math canvas iframe object audio video map title select option button textarea datalist dialog".split())
 FRAME = frozenset("nav header footer aside form menu fieldset".split())
@@ -42,6 +44,7 @@ OPEN, MARKED, OUTSIDE = 0, 1, 2
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>\"']|$)", re.I)
 _CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in SKIPPED}
+_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _WORD = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -166,21 +169,61 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: int =
     return np.cumsum(mark[:-1]) > 0
 
 
-def covered_blocks(texts: list[list[str]], run: int = RUN, pages: int = PAGES, covered: float = COVERED) -> list[list[bool]]:
-    """For each page's blocks, whether runs repeated across pages cover them."""
-    ids: dict[str, int] = {}
-    tokens, page, sizes = [], [], []
-    for k, parts in enumerate(texts):
-        for text in parts:
-            words = text.lower().split()
-            tokens += [ids.setdefault(w, len(ids)) for w in words]
-            page += [k] * len(words)
-            sizes.append(len(words))
-    hit = repeated(np.array(tokens, np.int64), np.array(page, np.int64), run, pages)
-    ends = np.cumsum(np.array(sizes, np.int64))
-    total = np.concatenate([[0], np.cumsum(hit)])
-    gone = iter((total[ends] - total[ends - sizes] >= covered * np.array(sizes)).tolist() if sizes else [])
-    return [[next(gone) for _ in parts] for parts in texts]
+def word_hashes(texts: list[str], cache: dict[str, int]) -> tuple[np.ndarray, list[int]]:
+    """64-bit hashes of a page's lower-cased words in order, and the number of words of each block."""
+    if len(cache) > 500_000:
+        cache.clear()
+    out, sizes = [], []
+    for text in texts:
+        words = text.lower().split()
+        for w in words:
+            h = cache.get(w)
+            if h is None:
+                h = cache[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+            out.append(h)
+        sizes.append(len(words))
+    return np.array(out, np.uint64), sizes
+
+
+def run_hashes(words: np.ndarray, host: np.ndarray, run: int = RUN) -> np.ndarray:
+    """A 64-bit hash of the run that starts at each word and of its host's hash. The last run - 1 words start none."""
+    n = max(0, len(words) - run + 1)
+    out = host[:n] * _MULTIPLIERS[0]
+    for k in range(run):
+        out = (out ^ words[k : k + n]) * _MULTIPLIERS[k % 2]
+        out ^= out >> np.uint64(31)
+    return out
+
+
+def counted_runs(words: np.ndarray, page: np.ndarray, host: np.ndarray, run: int = RUN, pages: int = PAGES) -> np.ndarray:
+    """The hash of every different run of a host, sorted, as often as it has distinct pages, `pages` times at most. Runs don't cross pages."""
+    if len(words) < run:
+        return np.empty(0, np.uint64)
+    order, group = suffix_array(np.unique(words, return_inverse=True)[1], run)
+    whole = order + run <= len(words)
+    whole[whole] = page[order[whole] + run - 1] == page[order[whole]]
+    order, group = order[whole], group[whole]
+    by = np.lexsort((page[order], host[order], group))
+    order, group = order[by], group[by]
+    if not len(order):
+        return np.empty(0, np.uint64)
+    new = np.r_[True, (group[1:] != group[:-1]) | (host[order][1:] != host[order][:-1])]
+    fresh = new | np.r_[True, page[order][1:] != page[order][:-1]]
+    starts = np.flatnonzero(new)
+    distinct = np.minimum(np.add.reduceat(fresh.astype(np.int64), starts), pages)
+    return np.sort(np.repeat(run_hashes(words, host, run)[order[starts]], distinct))
+
+
+def covered_blocks(sizes: list[int], often: np.ndarray, run: int = RUN, covered: float = COVERED) -> list[bool]:
+    """For a page's blocks, whether its repeated runs (often: by the word that each starts at) cover them."""
+    mark = np.zeros(sum(sizes) + 1, np.int64)
+    at = np.flatnonzero(often)
+    np.add.at(mark, at, 1)
+    np.add.at(mark, at + run, -1)
+    total = np.concatenate([[0], np.cumsum(np.cumsum(mark[:-1]) > 0)])
+    size = np.array(sizes, np.int64)
+    ends = np.cumsum(size)
+    return (total[ends] - total[ends - size] >= covered * size).tolist()
 
 
 def chosen_text(texts: list[str], kinds: list[int], gone: list[bool]) -> str:
@@ -191,49 +234,130 @@ def chosen_text(texts: list[str], kinds: list[int], gone: list[bool]) -> str:
     return "\n".join([t for t, g in open_ if not g] or [t for t, _ in open_])
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, least_pages: int = PAGES, covered: float = COVERED, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def _paged(batches, run: int):
+    """(row of the batch, its blocks' texts and kinds, sizes, word hashes, host's hash) of every page."""
+    cache: dict[str, int] = {}
+    for batch in batches:
+        for r, (host, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist())):
+            texts, kinds = blocks(page) if page else ([], [])
+            words, sizes = word_hashes(texts, cache)
+            yield batch, r, texts, kinds, sizes, words, np.full(len(words), xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass")), np.uint64)
+
+
+def repeated_runs(rows: DataFrame, run: int, least_pages: int, shard_bytes: int) -> DataFrame:
+    """(h) of the runs that occur on least_pages distinct pages of a host or more; rows has host, page_id, html."""
+    again = durable(rows.groupBy("host", "page_id").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    again_count = again.count()
+    counted = rows.select("host", "html")
+    if again_count:
+        few = again.select(F.col("host").alias("_host"), F.col("page_id").alias("_id"))
+        few = F.broadcast(few) if again_count <= BROADCAST_RUNS // 16 else few
+        same = (F.col("host") == F.col("_host")) & F.col("page_id").eqNullSafe(F.col("_id"))
+        once = rows.join(few, same, "left_semi").groupBy("host", "page_id").agg(F.min("html").alias("html"))
+        counted = rows.join(few, same, "left_anti").select("host", "html").unionAll(once.select("host", "html"))
+    buckets = max(1, -(-(rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0) // shard_bytes))
+
+    def scan(batches):
+        held, n = [], 0
+
+        def closed():
+            words, hosts = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            page = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
+            found = counted_runs(words, page, hosts, run, least_pages)
+            bucket = ((found >> np.uint64(32)).astype(np.int64) * buckets) >> 32
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(found) else []
+            # bytes of equal rank together: the leading ones of sorted hashes are alike
+            blobs = [found[a:b].view(np.uint8).reshape(-1, 8).T.tobytes() for a, b in zip(cuts, cuts[1:])]
+            return pa.record_batch([pa.array(bucket[cuts[:-1]] if len(found) else [], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "runs"])
+
+        for *_, words, hosts in _paged(batches, run):
+            held.append((words, hosts))
+            n += len(words)
+            if n >= CHUNK:
+                yield closed()
+                held, n = [], 0
+        if held:
+            yield closed()
+
+    def often(batches):
+        now, held, n = None, [], 0
+
+        def counts():
+            hashes, times = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            hashes, inverse = np.unique(hashes, return_inverse=True)
+            return hashes, np.minimum(np.bincount(inverse, times, len(hashes)).astype(np.int64), least_pages)
+
+        def closed():
+            hashes, times = counts()
+            return pa.record_batch([pa.array(hashes[times >= least_pages].view(np.int64))], names=["h"])
+
+        for batch in batches:
+            for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("runs").to_pylist()):
+                if b != now:
+                    if held:
+                        yield closed()
+                    now, held, n = b, [], 0
+                hashes = np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+                held.append((hashes, np.ones(len(hashes), np.int64)))
+                n += len(hashes)
+                if n > 4_000_000:  # copies of one run are folded
+                    held = [counts()]
+                    n = 0
+        if held:
+            yield closed()
+
+    packed = counted.mapInArrow(scan, "bucket long, runs binary").repartition(int(buckets), "bucket").sortWithinPartitions("bucket")
+    return packed.mapInArrow(often, "h long")
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, least_pages: int = PAGES, covered: float = COVERED, shard_bytes: int = SHARD_BYTES, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages.
 
     Blocks are joined by newlines in page order; white space within a block is one space. Null, empty and
     text-free pages have an empty text; null ids and urls are carried (pages with no host in their url are
-    one host); repeated rows each get a row and count as one page of their host; other columns don't matter.
-    No rows: no rows.
+    one host); repeated rows each get a row and count as one page of their host, by their least html; other
+    columns don't matter. shard_bytes and broadcast_runs change what a task holds, never the result. No rows:
+    no rows.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
-    sizes = rows.groupBy(host.alias("host")).agg(F.ceil(F.sum(F.octet_length("html")) / shard_bytes).alias("shards")).where("shards > 1")
-    sizes = durable(sizes)
-    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_HOSTS else sizes
-    sized = rows.withColumn("host", host).join(sizes, "host", "left")
-    shards = F.coalesce("shards", F.lit(1))
-    found = sized.select("page_id", "url", "html", "host", F.pmod(F.xxhash64("page_id"), shards).alias("shard"))
-    found = found.repartition("host", "shard").sortWithinPartitions("host", "shard")
+    rows = rows.withColumn("host", host)
+    repeats = durable(repeated_runs(rows, run, least_pages, shard_bytes))
+    if repeats.count() <= broadcast_runs:
+        all_hits = np.sort(np.array(repeats.toArrow().column("h").to_numpy(), np.int64).view(np.uint64))
+        shared = pages.sparkSession.sparkContext.broadcast(all_hits)
+    else:
+        shared = None
+
+        def runs_of(batches):
+            for batch, r, *_, words, hosts in _paged(batches, run):
+                hashes = np.unique(run_hashes(words, hosts, run)).view(np.int64)
+                yield pa.record_batch([pa.array(np.full(len(hashes), batch.column("row")[r].as_py(), np.int64)), pa.array(hashes)], names=["row", "h"])
+
+        rows = rows.withColumn("row", F.xxhash64("host", "html"))  # equal rows have equal runs
+        hits = rows.select("row", "host", "html").mapInArrow(runs_of, "row long, h long").join(repeats, "h").groupBy("row").agg(F.collect_set("h").alias("hits"))
+        rows = rows.join(hits, "row", "left")
 
     def judged(batches):
-        now, ids, urls, texts, kinds = None, [], [], [], []
+        out, last = [], None
 
         def closed():
-            firsts: dict = {}
-            for i, t in zip(ids, texts):
-                firsts.setdefault(i, t)
-            gone = dict(zip(firsts, covered_blocks(list(firsts.values()), run, least_pages, covered)))
-            out = [chosen_text(t, k, gone[i] if t == firsts[i] else [False] * len(t)) for i, t, k in zip(ids, texts, kinds)]
-            return pa.record_batch([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+            return pa.record_batch([last.column("page_id"), last.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
-        for batch in batches:
-            for h, s, i, u, page in zip(*(batch.column(c).to_pylist() for c in ("host", "shard", "page_id", "url", "html"))):
-                if (h, s) != now:
-                    if ids:
-                        yield closed()
-                    now, ids, urls, texts, kinds = (h, s), [], [], [], []
-                t, k = blocks(page) if page else ([], [])
-                ids.append(i)
-                urls.append(u)
-                texts.append(t)
-                kinds.append(k)
-        if ids:
+        for batch, r, texts, kinds, sizes, words, hosts in _paged(batches, run):
+            if batch is not last:
+                if out:
+                    yield closed()
+                out, last = [], batch
+            known = shared.value if shared else np.sort(np.array(batch.column("hits")[r].as_py() or [], np.int64).view(np.uint64))
+            hashes = run_hashes(words, hosts, run)
+            if len(known):
+                often = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+            else:
+                often = np.zeros(len(hashes), bool)
+            out.append(chosen_text(texts, kinds, covered_blocks(sizes, often, run, covered)))
+        if out:
             yield closed()
 
-    out = found.mapInArrow(judged, "page_id long, url string, text string")
+    out = rows.mapInArrow(judged, "page_id long, url string, text string")
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

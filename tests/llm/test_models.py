@@ -192,6 +192,21 @@ def test_unmarked_boilerplate_goes_by_its_repeats(spark):
             assert [got[i] for i in range(8)] == own
 
 
+def test_repeats_are_counted_over_the_whole_host(spark):
+    rng = random.Random(8)
+    say = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(n))
+    rare, three, two = say(15), say(12), say(12)
+    own = [say(60) for _ in range(60)]
+    extra = {5: rare, 22: rare, 31: rare, 47: rare, 1: three, 28: three, 59: three, 2: two, 50: two}
+    rows = [(i, f"http://big.example/{i}", f"<div>{x}</div><div>{extra.get(i, '')}</div>") for i, x in enumerate(own)]
+    rows += [(50, "http://big.example/again", rows[50][2]), (300, "http://other.example/", rows[50][2])]  # neither is a third page of the host
+    expected = {i: x if i not in (2, 50) else f"{x}\n{two}" for i, x in enumerate(own)} | {300: f"{own[50]}\n{two}"}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for shard_bytes, most in ((4_000_000, 1_000), (4_000, 1_000), (4_000, 0)):
+        got = htmltext.main_text(pages, shard_bytes=shard_bytes, broadcast_runs=most).collect()
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == expected
+
+
 def test_repeated_runs_equal_brute_force():
     rng = np.random.default_rng(7)
     tokens = rng.integers(0, 4, 400)
