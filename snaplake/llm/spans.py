@@ -1,48 +1,69 @@
 """Repeated passages: hashes of every run of several consecutive sentences, joined over the corpus.
 
 A sentence ends at a newline or after . ! or ? before a blank; one of over `longest` words counts as several,
-cut after each `longest` words. From each sentence on, a run takes the fewest sentences, two at least, that
-have `words` words together. So a repeated passage that starts with a sentence and has more than
-words + longest words holds a whole run. Runs are compared by their words, lower-cased, whatever white space
-stands between them, with 128-bit hashes. Every sentence within a run that occurred before (by id, row and
-position) is removed.
+cut by content: of every `window` neighbouring places in it, after the word whose hash with the word before is
+least. So two copies of a passage are cut alike wherever they start, but for `window` words at either end, and
+no piece has more than `window` words. From each sentence on, a run takes the fewest sentences, two at least,
+that have `words` words together. So a repeated passage that starts with a sentence and has more than
+words + longest words holds a whole run, and so does one within long sentences that has words + 4 windows.
+Runs are compared by their words, lower-cased, whatever white space stands between them, with 128-bit hashes.
+Every sentence within a run that occurred before (by id, row and position) is removed.
 """
 
 from __future__ import annotations
 
 import re
+from zlib import crc32
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snaplake.llm.linededup import row_key
 
-#: Least words of a run, words after which a long sentence is cut, least sentences of a run.
-RUN_WORDS, LONGEST, SENTENCES = 25, 20, 2
+#: Least words of a run, words beyond which a sentence is cut, least sentences of a run, neighbouring places of which one is cut.
+RUN_WORDS, LONGEST, SENTENCES, WINDOW = 25, 20, 2, 10
 _TOKEN = re.compile(r"\n|[^\s]+")
 
 
-def sentences(text: str, longest: int = LONGEST) -> list[tuple[int, int, list[str]]]:
+def cuts(words: list[str], window: int = WINDOW) -> list[int]:
+    """Words before each cut of a long sentence: of any `window` neighbouring places the least by hash, the last of equal ones."""
+    lower = [w.lower() for w in words]
+    ranks = [crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in zip(lower, lower[1:])]  # place k is after word k + 1
+    out, best = [], -1
+    for end in range(window - 1, len(ranks)):
+        start = end - window + 1
+        if best < start:
+            best = start
+            for k in range(start + 1, end + 1):
+                if ranks[k] <= ranks[best]:
+                    best = k
+        elif ranks[end] <= ranks[best]:
+            best = end
+        if not out or out[-1] != best + 2:
+            out.append(best + 2)
+    return [k for k in out if k < len(words)]
+
+
+def sentences(text: str, longest: int = LONGEST, window: int = WINDOW) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of the sentences in order; start and end count characters, blanks lie outside."""
-    out, words, start, end = [], [], 0, 0
+    out, held = [], []
+
+    def closed():
+        words = [m.group() for m in held]
+        at = [0, *(cuts(words, window) if len(words) > longest else ()), len(words)]
+        out.extend((held[a].start(), held[b - 1].end(), words[a:b]) for a, b in zip(at, at[1:]))
+        held.clear()
+
     for m in _TOKEN.finditer(text):
         token = m.group()
-        if token == "\n":
-            if words:
-                out.append((start, end, words))
-                words = []
-            continue
-        if not words:
-            start = m.start()
-        words.append(token)
-        end = m.end()
-        if token[-1] in ".!?" or len(words) >= longest:
-            out.append((start, end, words))
-            words = []
-    if words:
-        out.append((start, end, words))
+        if token != "\n":
+            held.append(m)
+        if held and token[-1] in ".!?\n":
+            closed()
+    if held:
+        closed()
     return out
 
 
@@ -61,8 +82,15 @@ def runs(units: list[tuple[int, int, list[str]]], run_words: int = RUN_WORDS, le
     return out
 
 
-def _hashed(docs: DataFrame, id_col: str, text_col: str, run_words: int, longest: int) -> DataFrame:
-    texts = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text")).where("text is not null")
+def _keys(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """Keys as in row_key; where no id repeats, the id alone tells rows apart and k2 is 0, which shuffles less."""
+    again = docs.groupBy(row_key(id_col, text_col)[0].alias("k1")).agg(F.count("*").alias("n")).where("n > 1")
+    k1, k2 = row_key(id_col, text_col)
+    return [k1, F.lit(0).cast("long").alias("k2") if again.isEmpty() else k2]
+
+
+def _hashed(docs: DataFrame, keys: list[Column], text_col: str, run_words: int, longest: int) -> DataFrame:
+    texts = docs.select(*keys, F.col(text_col).alias("text")).where("text is not null")
 
     def scan(batches):
         digest = xxhash.xxh3_128_intdigest
@@ -83,9 +111,9 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str, run_words: int, longest
     return texts.mapInArrow(scan, "h1 long, h2 long, k1 long, k2 long, first int, last int")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, longest: int = LONGEST) -> DataFrame:
-    """(k1, k2, spans): per row, its runs (first, last sentence) that occurred before. Keys as in row_key."""
-    found = _hashed(docs, id_col, text_col, run_words, longest)
+def repeated_spans(docs: DataFrame, keys: list[Column], text_col: str = "text", run_words: int = RUN_WORDS, longest: int = LONGEST) -> DataFrame:
+    """(k1, k2, spans): per row, its runs (first, last sentence) that occurred before. Keys as from _keys."""
+    found = _hashed(docs, keys, text_col, run_words, longest)
     here = F.struct("k1", "k2", "first")
     heads = found.groupBy("h1", "h2").agg(F.min(here).alias("head"), F.max(here).alias("tail")).where("head <> tail").select("h1", "h2", "head")
     later = found.join(heads, ["h1", "h2"]).where(here != F.col("head"))
@@ -101,8 +129,9 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and text are cut alike, as if they were one row. Other columns stay. No rows: no rows.
     """
     names = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    gone = repeated_spans(docs, id_col, text_col, run_words, longest).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans"))
-    k1, k2 = row_key(id_col, text_col)
+    keys = _keys(docs, id_col, text_col)
+    gone = repeated_spans(docs, keys, text_col, run_words, longest).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans"))
+    k1, k2 = keys
     joined = docs.select(*(F.col(f"`{c}`") for c in names), k1.alias("_k1"), k2.alias("_k2")).join(gone, ["_k1", "_k2"], "left").drop("_k1", "_k2")
 
     def cut(batches):

@@ -150,6 +150,39 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashed) > len(hashed))
 
 
+def test_passages_are_found_wherever_they_start(spark, docs_of):
+    rng = random.Random(31)
+    rows, missed = [], []
+    for k in range(40):
+        passage = words(rng, 70)
+        for copy in range(2):
+            before, after = words(rng, rng.randint(1, 60)), words(rng, rng.randint(1, 60))
+            rows.append((2 * k + copy, f"{before} {passage} {after}" if k % 2 else f"Start. {before} {passage} {after}. End."))
+        missed.append(passage.split())
+    out = {r.doc_id: r.text.split() for r in sp.span_dedup(docs_of(rows)).collect()}
+    texts = dict(rows)
+    for k, passage in enumerate(missed):
+        assert out[2 * k] == texts[2 * k].split()
+        left = out[2 * k + 1]
+        assert len(texts[2 * k + 1].split()) - len(left) >= 30 and len(set(passage) - set(left)) > 0
+
+
+def test_long_sentences_are_cut_alike():
+    rng = random.Random(32)
+    passage = words(rng, 120).split()
+    ends = []
+    for n in (0, 7, 33):
+        head = words(rng, n + 1).split()[:n]
+        units = sp.sentences(" ".join(head + passage))
+        assert max(len(u[2]) for u in units) <= sp.WINDOW + 1 and [w for u in units for w in u[2]] == head + passage
+        at, here = -n, set()
+        for u in units:
+            at += len(u[2])
+            here.add(at)
+        ends.append({e for e in here if sp.WINDOW < e < 120})
+    assert ends[0] == ends[1] == ends[2] and len(ends[0]) >= 10
+
+
 def test_golay_keys_lose_no_pair():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 3000, dtype=np.uint64)
