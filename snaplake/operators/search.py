@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from snaplake.catalog import durable
 from snaplake.operators.filters import _words, tokens
 
 #: Ours: weights of term frequency and document length, and the constant of reciprocal ranks.
@@ -46,8 +47,29 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return scores.orderBy(F.desc("score"), "id").limit(k)
 
 
-def hybrid(left: DataFrame, right: DataFrame, k: int, pool: int = 200) -> DataFrame:
-    """(id, score): sums of 1/(60 + rank) over the `pool` best of either."""
-    ranked = lambda s: top(s, pool).withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).select("id", (1 / (RRF + F.col("r"))).alias("part"))  # noqa: E731  one task ranks `pool` rows
+def ranked(scores: DataFrame) -> DataFrame:
+    """(id, r) with r = 1, 2, ... by descending score, ties by id, for all rows.
+
+    Rows are range-partitioned in that order and numbered within their partition; partitions before it are
+    counted, so that no task gets all rows. The sorted rows are written once: both steps see the same partitions.
+    """
+    order = (F.desc("score"), F.asc("id"))
+    rows = scores.select("id", "score")
+    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = durable(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    counts = sorted((r.part, r.n) for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row a partition
+    if not counts:
+        return rows.select("id", F.lit(0).cast("long").alias("r"))
+    starts, total = [], 0
+    for part, n in counts:
+        starts.append((part, total))
+        total += n
+    before = F.broadcast(scores.sparkSession.createDataFrame(starts, "part int, before long"))
+    numbered = dealt.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    return numbered.join(before, "part").select("id", (F.col("before") + F.col("at")).alias("r"))
+
+
+def hybrid(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """(id, score): the k best sums of 1/(60 + rank) over all rows of either."""
     both = ranked(left).unionAll(ranked(right))
-    return top(both.groupBy("id").agg(F.sum("part").alias("score")), k)
+    return top(both.groupBy("id").agg(F.sum(1 / (RRF + F.col("r"))).alias("score")), k)

@@ -156,6 +156,19 @@ def test_search_prefix_and_hybrid(spark):
     assert [r.id for r in search.hybrid(left, left.where("id = 2"), 5).collect()] == [2, 1]
 
 
+def test_hybrid_ranks_all_rows(spark):
+    words = spark.createDataFrame([(i, float(-(i // 2))) for i in range(1000)], "id int, score double")
+    vectors = spark.createDataFrame([(i, float(i * 7919 % 1000)) for i in range(1000)], "id int, score double")
+    rank = lambda rows: {i: r for r, (_, i) in enumerate(sorted((-s, i) for i, s in rows), 1)}
+    a, b = rank([tuple(r) for r in words.collect()]), rank([tuple(r) for r in vectors.collect()])
+    assert {r.id: r.r for r in search.ranked(words.repartition(7)).collect()} == a
+    expected = sorted(((1 / (60 + a[i]) + 1 / (60 + b[i]), i) for i in range(1000)), key=lambda x: (-x[0], x[1]))[:50]
+    got = [(r.score, r.id) for r in search.hybrid(words, vectors, 50).collect()]
+    assert [i for _, i in got] == [i for _, i in expected] and all(abs(x - y) < 1e-12 for (x, _), (y, _) in zip(got, expected))
+    assert max(max(a[i], b[i]) for _, i in expected) > 200
+    assert search.hybrid(words.limit(0), vectors.limit(0), 5).count() == 0
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     names = __spark_entry__.queries()
