@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snaplake.catalog import durable
+
 #: Links that one task may finish by itself in connected_components; beyond it the distributed rounds go on.
 FINISH_LINKS = 1_000_000
 
@@ -15,16 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared checkpoint folder, so that a lost executor costs only its own tasks.
+def slices(batch: pa.RecordBatch, column: str, rows: int = 500, size: int = 8_000_000):
+    """The batch in parts of at most `rows` rows and, but for single rows, `size` bytes in the column."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)).astype(np.int64)
+    at = 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right"))
+        stop = min(batch.num_rows, at + rows, max(at + 1, upto))
+        yield batch.slice(at, stop - at)
+        at = stop
 
-    The folder is spark.checkpoint.dir of the session; where that is unset (tests) a local one is set.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/snaplake-checkpoints")
-    return df.checkpoint(eager=True)
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as make it no column of df (cases count as equal)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,13 +111,64 @@ def connected_components(links: DataFrame, finish: int = FINISH_LINKS) -> DataFr
     return durable(done.select(F.col("a").alias("id"), F.col("b").alias("component")))
 
 
+def block_links(large: DataFrame, compare, block: int, reach: int | None = None) -> DataFrame:
+    """(a, b) that compare finds among the rows of each large group, a pair of blocks at a time.
+
+    large: key, nth (long: number of the row in its group, from 0), by (long) and whatever compare reads. `block`
+    numbers in a row are one block; every pair of blocks whose ranges of `by` are at most `reach` apart (None:
+    every pair) goes to a task of its own, so that no task holds more than two blocks of a group however large
+    it is. compare(left, right, same) takes two record batches and gives arrays a, b.
+    """
+    large = large.withColumn("own", F.floor(F.col("nth") / block).cast("int"))
+    ranges = large.groupBy("key", "own").agg(F.min("by").alias("low"), F.max("by").alias("high"))
+    left, right = ranges.select("key", F.col("own").alias("lo"), F.col("high").alias("upto")), ranges.select("key", F.col("own").alias("hi"), F.col("low").alias("since"))
+    near = F.lit(True) if reach is None else F.col("since") - F.col("upto") <= reach
+    couples = left.join(right, "key").where(F.col("lo") <= F.col("hi")).where(near).select("key", "lo", "hi")
+    sides = couples.select("key", "lo", "hi", F.col("lo").alias("own")).unionByName(couples.where("lo < hi").select("key", "lo", "hi", F.col("hi").alias("own")))
+    names = [c for c in large.columns if c not in ("nth", "by", "own")]
+    dealt = large.join(sides, ["key", "own"]).select(*names, "lo", "hi", "own")
+    order = ["key", "lo", "hi"]
+
+    def run(batches):
+        now, held = None, []
+
+        def closed():
+            rows = pa.Table.from_batches(held).combine_chunks()
+            own, lo, hi = (rows.column(c).to_numpy() for c in ("own", "lo", "hi"))
+            first = rows.filter(pa.array(own == lo)).combine_chunks().to_batches()[0]
+            same = bool(lo[0] == hi[0])
+            second = first if same else rows.filter(pa.array(own == hi)).combine_chunks().to_batches()[0]
+            a, b = compare(first, second, same)
+            for i in range(0, len(a), 50_000):
+                yield pa.record_batch([pa.array(a[i : i + 50_000]), pa.array(b[i : i + 50_000])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in order])
+            cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(cuts, cuts[1:]):
+                key = tuple(at[:, low])
+                if key != now and held:
+                    yield from closed()
+                    held = []
+                now = key
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield from closed()
+
+    return dealt.repartition(*order).sortWithinPartitions(*order, "own").mapInArrow(run, "a long, b long")
+
+
 def bucket_pairs(entries: DataFrame, pairs, forest_only: bool, block: int = 2048) -> DataFrame:
-    """(a, b) for the pairs of entries (key, id, sig: long) of one key that pairs(left, right) lets through.
+    """(a, b) for the pairs of entries (key, id, sig..: long) of one key that pairs(left, right) lets through.
 
-    pairs takes two equally long arrays of sigs and gives a mask. Entries of one id count once in a key.
-    Groups of up to `block` ids are paired where their key is read; of larger groups, pairs of blocks are
-    dealt out over all tasks, so that no task gets a group's square. forest_only: stars in place of all pairs.
+    pairs takes two arrays of as many rows, a column for each sig, and gives a mask. Entries of one id count
+    once in a key. Groups of up to `block` ids are paired where their key is read; larger ones are only numbered
+    there, and block_links compares them, so that no task gets a group's square. forest_only: stars in place of
+    all pairs.
     """
+    sigs = [c for c in entries.columns if c not in ("key", "id")]
 
     def fold(a, b):
         if forest_only:
@@ -116,13 +180,6 @@ def bucket_pairs(entries: DataFrame, pairs, forest_only: bool, block: int = 2048
         new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
         return low[new], high[new]
 
-    def rows(a, b, blobs):
-        for i in range(0, len(a), 50_000):
-            part = a[i : i + 50_000]
-            yield pa.record_batch([pa.array(part), pa.array(b[i : i + 50_000]), pa.nulls(len(part), pa.binary())], names=["a", "b", "blob"])
-        for blob in blobs:
-            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([blob], pa.binary())], names=["a", "b", "blob"])
-
     def within(key, ids, sig):
         """Pairs within runs of equal key, offset by offset."""
         out_a, out_b = [], []
@@ -141,64 +198,78 @@ def bucket_pairs(entries: DataFrame, pairs, forest_only: bool, block: int = 2048
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return np.concatenate(out_a), np.concatenate(out_b)
 
-    def clean(key, ids, sig):
-        order = np.lexsort((ids, key))
-        key, ids, sig = key[order], ids[order], sig[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
-        return key[new], ids[new], sig[new]
+    names = ["a", "b", "key", "nth", "id", *sigs]
 
     def first(batches):
-        rest = [np.empty(0, np.int64)] * 3
+        kept: list[np.ndarray] = []
+        running: dict[str, int] = {}  # the large group that goes on in the next batch: its key, rows numbered, last id
+
+        def links(a, b):
+            for i in range(0, len(a), 50_000):
+                part = pa.array(a[i : i + 50_000])
+                yield pa.record_batch([part, pa.array(b[i : i + 50_000]), *([pa.nulls(len(part), pa.int64())] * (3 + len(sigs)))], names=names)
+
+        def numbered(rows, start):
+            key, ids, sig = rows
+            none = pa.nulls(len(key), pa.int64())
+            return pa.record_batch([none, none, pa.array(key), pa.array(np.arange(start, start + len(key))), pa.array(ids), *(pa.array(np.ascontiguousarray(c)) for c in sig.T)], names=names)
 
-        def closed(key, ids, sig):
-            key, ids, sig = clean(key, ids, sig)
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, int)
+        def closed(rows, more):
+            """Rows in order of key and id; more: the last key goes on."""
+            key, ids, sig = rows
+            new = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]
+            key, ids, sig = key[new], ids[new], sig[new]
+            if running:
+                end = np.searchsorted(key, running["key"], "right")
+                begin = 1 if end and ids[0] == running["id"] else 0
+                if end > begin:
+                    yield numbered((key[begin:end], ids[begin:end], sig[begin:end]), running["n"])
+                    running.update(n=running["n"] + int(end - begin), id=int(ids[end - 1]))
+                key, ids, sig = key[end:], ids[end:], sig[end:]
+                if len(key) or not more:
+                    running.clear()
+            if not len(key):
+                return
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[starts, len(key)])
             alone = np.repeat(sizes, sizes)
             small = (alone > 1) & (alone <= block)
-            a, b = fold(*within(key[small], ids[small], sig[small]))
-            blobs = []
+            yield from links(*fold(*within(key[small], ids[small], sig[small])))
             for start, n in zip(starts[sizes > block], sizes[sizes > block]):
-                cut = [(ids[i : min(i + block, start + n)], sig[i : min(i + block, start + n)]) for i in range(start, start + n, block)]
-                for i in range(len(cut)):
-                    for j in range(i, len(cut)):
-                        blobs.append(np.array([len(cut[i][0]), i == j], np.int64).tobytes() + b"".join(x.tobytes() for x in (*cut[i], *cut[j])))
-            yield from rows(a, b, blobs)
+                yield numbered((key[start : start + n], ids[start : start + n], sig[start : start + n]), 0)
+            if more:
+                running.update(key=int(key[-1]), n=int(sizes[-1]), id=int(ids[-1]))
 
         for batch in batches:
-            new = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "id", "sig")]
-            got = [np.concatenate(x) for x in zip(rest, new)]
-            last = np.searchsorted(got[0], got[0][-1])  # keys come in order; the last may go on in the next batch
-            if last > 200_000:
-                yield from closed(*[x[:last] for x in got])
-                got = [x[last:] for x in got]
-            rest = got
-        if len(rest[0]):
-            yield from closed(*rest)
-
-    def second(batches):
-        for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                words = np.frombuffer(blob, np.int64)
-                n, same = int(words[0]), bool(words[1])
-                rest = words[2:]
-                m = (len(rest) - 2 * n) // 2
-                ids_a, sig_a, ids_b, sig_b = rest[:n], rest[n : 2 * n], rest[2 * n : 2 * n + m], rest[2 * n + m :]
-                out_a, out_b = [], []
-                for i in range(n):
-                    right = slice(i + 1, None) if same else slice(None)
-                    hit = pairs(np.broadcast_to(sig_a[i], len(sig_b[right])), sig_b[right])
-                    out_b.append(ids_b[right][hit])
-                    out_a.append(np.full(len(out_b[-1]), ids_a[i]))
-                a, b = fold(np.concatenate(out_a), np.concatenate(out_b))
-                for i in range(0, len(a), 50_000):
-                    yield pa.record_batch([pa.array(a[i : i + 50_000]), pa.array(b[i : i + 50_000])], names=["a", "b"])
-
-    found = durable(entries.select("key", "id", "sig").repartition("key").sortWithinPartitions("key").mapInArrow(first, "a long, b long, blob binary"))
-    direct = found.where("a is not null").select("a", "b")
-    large = found.where("blob is not null").select("blob")
-    if large.isEmpty():
-        return direct
-    tasks = entries.sparkSession.sparkContext.defaultParallelism * 4
-    return direct.unionByName(large.repartition(tasks).mapInArrow(second, "a long, b long"))
+            if not batch.num_rows:
+                continue
+            key, ids = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "id"))
+            sig = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in sigs], axis=1)
+            kept = [np.concatenate(x) for x in zip(kept, (key, ids, sig))] if kept else [key, ids, sig]
+            if len(kept[0]) <= 200_000:
+                continue
+            last = int(np.searchsorted(kept[0], kept[0][-1]))  # the last key may go on in the next batch
+            if len(kept[0]) - last > block or running and running["key"] == kept[0][-1]:
+                yield from closed(kept, True)
+                kept = []
+            else:
+                yield from closed([x[:last] for x in kept], False)
+                kept = [x[last:] for x in kept]
+        if kept:
+            yield from closed(kept, False)
+
+    def compare(left, right, same):
+        ids_a, ids_b = (x.column("id").to_numpy() for x in (left, right))
+        sig_a, sig_b = (np.stack([x.column(c).to_numpy() for c in sigs], axis=1) for x in (left, right))
+        out_a, out_b = [], []
+        for i in range(len(ids_a)):
+            rest = slice(i + 1, None) if same else slice(None)
+            hit = pairs(np.broadcast_to(sig_a[i], sig_b[rest].shape), sig_b[rest])
+            out_b.append(ids_b[rest][hit])
+            out_a.append(np.full(len(out_b[-1]), ids_a[i]))
+        return fold(np.concatenate(out_a), np.concatenate(out_b))
+
+    ordered = entries.select("key", "id", *sigs).repartition("key").sortWithinPartitions("key", "id")
+    found = durable(ordered.mapInArrow(first, ", ".join(f"{c} long" for c in names)))
+    direct, large = found.where("a is not null").select("a", "b"), found.where("nth is not null").select("key", "nth", F.lit(0).cast("long").alias("by"), "id", *sigs)
+    return direct if large.isEmpty() else direct.unionByName(block_links(large, compare, block))

@@ -30,7 +30,7 @@ _WORD = re.compile(r"\w+")
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93], np.uint64)
 
 
-class _Hashes(dict):
+class Hashes(dict):
     """64-bit hashes of words, kept up to a bound."""
 
     def __missing__(self, word: str) -> int:
@@ -40,25 +40,34 @@ class _Hashes(dict):
         return value
 
 
-def shingle_hashes(text: str | None, seen: dict, words: int = WORDS) -> np.ndarray:
-    """Different hashes, sorted, of the text's shingles: lower-cased runs of letters, digits and underscores. Fewer words: one shingle of them all; none: nothing."""
-    tokens = _WORD.findall((text or "").lower())
-    if not tokens:
+def tokens_of(text: str | None) -> list[str]:
+    """Lower-cased runs of letters, digits and underscores."""
+    return _WORD.findall((text or "").lower())
+
+
+def unique_shingles(hashed: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Different hashes, sorted, of the runs of `words` words with these hashes. Fewer words: one run of them all; none: nothing."""
+    if not len(hashed):
         return np.empty(0, np.uint64)
-    hashed = np.fromiter(map(seen.__getitem__, tokens), np.uint64, len(tokens))
-    n = max(1, len(tokens) - words + 1)
-    total = np.full(n, min(words, len(tokens)), np.uint64)
-    for k in range(min(words, len(tokens))):
+    n = max(1, len(hashed) - words + 1)
+    total = np.full(n, min(words, len(hashed)), np.uint64)
+    for k in range(min(words, len(hashed))):
         total += hashed[k : k + n] * _FACTORS[k % 8] + np.uint64(k // 8)
     total = (total ^ (total >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
     return np.unique(total ^ (total >> np.uint64(29)))
 
 
+def shingle_hashes(text: str | None, seen: dict, words: int = WORDS) -> np.ndarray:
+    """Different hashes, sorted, of the text's shingles."""
+    tokens = tokens_of(text)
+    return unique_shingles(np.fromiter(map(seen.__getitem__, tokens), np.uint64, len(tokens)), words)
+
+
 class ItemBlock:
     """Sketches and shingles of some items, to be searched with one document at a time."""
 
     def __init__(self, items: list[tuple[int, str]], least: float, words: int):
-        seen = _Hashes()
+        seen = Hashes()
         self.words, self.least = words, least
         self.items = [(i, s) for i, t in items if len(s := shingle_hashes(t, seen, words))]
         sketch = [s[: len(s) - math.ceil(least * len(s) - 1e-9) + 1] for _, s in self.items]
@@ -122,7 +131,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
         shared = spark.sparkContext.broadcast(ItemBlock(block, least, words))
 
         def scan(batches, shared=shared):
-            seen, items = _Hashes(), shared.value
+            seen, items = Hashes(), shared.value
             for batch in batches:
                 rows = [(d, *hit) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for hit in items.search(shingle_hashes(t, seen, words))]
                 if rows:
@@ -143,7 +152,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         shared = spark.sparkContext.broadcast(ItemBlock(block, least, words))
 
         def scan(batches, shared=shared):
-            seen, items = _Hashes(), shared.value
+            seen, items = Hashes(), shared.value
             for batch in batches:
                 clean = [not t or not items.search(shingle_hashes(t, seen, words)) for t in batch.column(text_col).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))

@@ -6,7 +6,11 @@ indexed under its own segments, keyed by (ordinal, length, segment), and probes
 `edits` less with the few substrings that a match could start from (the multi-match-aware ranges of
 PassJoin, Li et al., 2011). Keys are 64-bit rolling hashes, packed by bucket before they are shuffled. What
 shares a key and has near-equal letter counts is verified with banded bit-parallel edit distance, many
-pairs at a time. Lines shorter than `fuzzy_from` code points are alike only if they are equal.
+pairs at a time.
+
+How many edits two lines may be apart grows with the shorter one: one for every `every` code points, up to
+`edits`. So there is a join for each number of edits, of the lines of its lengths; below `every` code points no
+edit is allowed, and the one segment is the whole line.
 """
 
 from __future__ import annotations
@@ -17,10 +21,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaplake.llm.common import connected_components, durable, forest
+from snaplake.llm.common import block_links, connected_components, durable, forest, free_names
 
-#: Edits up to which lines are alike, and the length in code points from which they count.
-EDITS, FUZZY_FROM = 2, 48
+#: Edits up to which lines are alike, and the code points of the shorter line that allow for one edit each.
+EDITS, EVERY = 2, 24
 #: Candidate line ids that are broadcast at most (16 MB); beyond it they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Code points hashed at a time in a task.
@@ -28,14 +32,14 @@ _SLICE = 2_000_000
 #: A packed key: its low 31 bits and whether it is of the line's own segment; the line; its letter counts. The
 #: bucket tells 2^31 keys apart further, and buckets grow with the corpus.
 _ENTRY = np.dtype([("key", "<u4"), ("h1", "<i8"), ("counts", "<u8")])
-#: Members of a key that are compared where the key is read; larger groups are dealt out by pairs of blocks.
-BLOCK = 1024
+#: Members of a key that one task compares; larger groups are cut by length and dealt out by pairs of blocks.
+BLOCK, LENGTHS = 256, 8
 #: Fixed value: what a line is stripped of before it is compared.
 BLANKS = " \t\r\x0b\x0c 　"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd base modulo 2^64 and their inverses, n of each."""
     inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
     out = []
@@ -46,7 +50,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -68,7 +72,7 @@ _LANE_SUM = sum(abs(((_LANES >> s) & 15) - 8) for s in (0, 4, 8, 12)).astype(np.
 _BIAS = np.uint64(0x8888888888888888)
 
 
-def near_counts(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
+def near_counts(a: np.ndarray, b: np.ndarray, edits: int | np.ndarray) -> np.ndarray:
     """Whether letter counts may differ by so few edits (never false for lines that do).
 
     The difference of two sums is the lanes' differences in balanced base 16; where these are small, adding
@@ -101,9 +105,9 @@ def segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndar
 def segment_keys(points: np.ndarray, lengths: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, key, own) for all keys of these lines; own: the key is of the line's own segment."""
     starts = np.cumsum(lengths) - lengths
-    power, inverse = _powers(len(points) + 1)
+    power, inverse = powers(len(points) + 1)
     summed = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(_mix(points.astype(np.uint64) + np.uint64(1)) * power[:-1], out=summed[1:])
+    np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * power[:-1], out=summed[1:])
     rows, keys, own = [], [], []
     for i, less, shift in probe_plan(edits):
         other = lengths - less
@@ -112,7 +116,7 @@ def segment_keys(points: np.ndarray, lengths: np.ndarray, edits: int) -> tuple[n
         row = np.flatnonzero((at >= 0) & (at + n <= lengths) & (n > 0))
         low = starts[row] + at[row]
         value = (summed[low + n[row]] - summed[low]) * inverse[low]
-        keys.append(_mix(value + other[row].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(i)))
+        keys.append(mix(value + other[row].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(i)))
         rows.append(row)
         own.append(np.full(len(row), less == 0 and shift == 0))
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(own)
@@ -176,35 +180,42 @@ def row_key(id_col: str, text_col: str):
     return F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("k1"), F.xxhash64(F.col(id_col).isNull(), F.col(text_col)).alias("k2")
 
 
-def line_links(lines: DataFrame, edits: int = EDITS, fuzzy_from: int = FUZZY_FROM, block: int = BLOCK) -> DataFrame:
-    """Links (a, b: h1 of the lines) that join all different lines within `edits` edits; of a group of links, a forest is enough."""
+def line_links(lines: DataFrame, edits: int = EDITS, every: int = EVERY, block: int = BLOCK) -> DataFrame:
+    """Links (a, b: h1 of the lines) that join all different lines within the edits that their lengths allow; of a group of links, a forest is enough."""
     spark = lines.sparkSession
-    fuzzy = lines.where(F.char_length("line") >= max(fuzzy_from, edits + 1)).select("h1", "line")
+    fuzzy = lines.where(F.char_length("line") >= max(every, 2)).select("h1", "line")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * tasks
 
     def keyed(batches):
+        """Packed keys by bucket, which tells the number of edits too."""
         for batch in batches:
             fresh, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
             text = batch.column(1).take(pa.array(first))
             size = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False))
             cuts = np.unique(np.r_[0, np.searchsorted(size, np.arange(_SLICE, int(size[-1]) + _SLICE, _SLICE), "right"), len(size)]) if len(size) else [0]
             for low, high in zip(cuts[:-1], cuts[1:]):
-                points, lengths = code_points(text.slice(low, high - low))
-                row, key, own = segment_keys(points, lengths, edits)
-                total = np.zeros(len(points) + 1, np.uint64)
-                np.cumsum(letter_counts(points), out=total[1:])
-                ends = np.cumsum(lengths)
-                counts = total[ends] - total[ends - lengths]
-                bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                packed = np.empty(len(order), _ENTRY)
-                packed["key"] = (key[order] << np.uint64(1) | own[order].astype(np.uint64)).astype(np.uint32)
-                packed["h1"], packed["counts"] = fresh[low:high][row[order]], counts[row[order]]
-                found, start = np.unique(bucket[order], return_index=True)
-                stops = np.r_[start[1:], len(order)]
-                blobs = [packed[a:b].tobytes() for a, b in zip(start, stops)]
-                yield pa.record_batch([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+                part = text.slice(low, high - low)
+                length = pc.utf8_length(part).to_numpy(zero_copy_only=False)
+                for e in range(1, edits + 1):
+                    mine = np.flatnonzero((length >= e * every) & ((length < (e + 1) * every + e) | (e == edits)) & (length > e))
+                    if not len(mine):
+                        continue
+                    points, lengths = code_points(part.take(pa.array(mine)))
+                    row, key, own = segment_keys(points, lengths, e)
+                    total = np.zeros(len(points) + 1, np.uint64)
+                    np.cumsum(letter_counts(points), out=total[1:])
+                    ends = np.cumsum(lengths)
+                    counts = total[ends] - total[ends - lengths]
+                    bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64) * edits + e - 1
+                    order = np.argsort(bucket, kind="stable")
+                    packed = np.empty(len(order), _ENTRY)
+                    packed["key"] = (key[order] << np.uint64(1) | own[order].astype(np.uint64)).astype(np.uint32)
+                    packed["h1"], packed["counts"] = fresh[low:high][mine][row[order]], counts[row[order]]
+                    found, start = np.unique(bucket[order], return_index=True)
+                    stops = np.r_[start[1:], len(order)]
+                    blobs = [packed[a:b].tobytes() for a, b in zip(start, stops)]
+                    yield pa.record_batch([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     def shared(batches):
         """(key, id) of the lines that share a key and could be alike."""
@@ -236,7 +247,7 @@ def line_links(lines: DataFrame, edits: int = EDITS, fuzzy_from: int = FUZZY_FRO
             at = at[key[at] == key[at + step]]
             if not len(at):
                 break
-            hit = at[near_counts(counts[at], counts[at + step], edits)]
+            hit = at[near_counts(counts[at], counts[at + step], (key[at] >> 31) % edits + 1)]
             keep[hit] = keep[hit + step] = True
             step += 1
         for start, n in zip(starts[live & (sizes > 64)], sizes[live & (sizes > 64)]):
@@ -246,7 +257,7 @@ def line_links(lines: DataFrame, edits: int = EDITS, fuzzy_from: int = FUZZY_FRO
             group = counts[start : start + n]
             for i in range(n - 1):
                 if not keep[start + i] or not keep[start + i + 1 : start + n].all():
-                    hit = np.flatnonzero(near_counts(np.broadcast_to(group[i], n - i - 1).copy(), group[i + 1 :], edits))
+                    hit = np.flatnonzero(near_counts(np.broadcast_to(group[i], n - i - 1).copy(), group[i + 1 :], int(key[start] >> 31) % edits + 1))
                     keep[start + i] |= len(hit) > 0
                     keep[start + i + 1 + hit] = True
         for i in range(0, int(keep.sum()), 100_000):
@@ -258,85 +269,84 @@ def line_links(lines: DataFrame, edits: int = EDITS, fuzzy_from: int = FUZZY_FRO
     wanted = members.select("h1").distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = fuzzy.join(wanted, "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line"))
-    groups = members.join(texts, "h1").select("key", "h1", "line").repartition("key").sortWithinPartitions("key", "h1")
+    members = members.withColumn("apart", (F.shiftright("key", 31) % edits + 1).cast("int"))
 
-    def compare(ids_a, text_a, ids_b, text_b, same):
+    def compare(left, right, same):
         """Stars of the links between two blocks of lines."""
-        points = [code_points(pa.array(t)) for t in (text_a, text_b)]
-        bags = []
-        for p, n in points:
-            total = np.zeros(len(p) + 1, np.uint64)
-            np.cumsum(letter_counts(p), out=total[1:])
-            ends = np.cumsum(n)
-            bags.append(total[ends] - total[ends - n])
+        apart = int(left.column("apart")[0].as_py())
+        ids, text, points, bags = [], [], [], []
+        for side in (left, right):
+            ids.append(side.column("h1").to_numpy(zero_copy_only=False))
+            text.append(side.column("line").to_pylist())
+            points.append(code_points(side.column("line")))
+            total = np.zeros(len(points[-1][0]) + 1, np.uint64)
+            np.cumsum(letter_counts(points[-1][0]), out=total[1:])
+            ends = np.cumsum(points[-1][1])
+            bags.append(total[ends] - total[ends - points[-1][1]])
         found_a, found_b = [], []
-        for i in range(len(ids_a)):
-            rest = np.arange(i + 1 if same else 0, len(ids_b))
-            rest = rest[(np.abs(points[1][1][rest] - points[0][1][i]) <= edits) & near_counts(np.full(len(rest), bags[0][i]), bags[1][rest], edits)] if len(rest) else rest
+        for i in range(len(ids[0])):
+            rest = np.arange(i + 1 if same else 0, len(ids[1]))
+            rest = rest[(np.abs(points[1][1][rest] - points[0][1][i]) <= apart) & near_counts(np.full(len(rest), bags[0][i]), bags[1][rest], apart)] if len(rest) else rest
             found_a.append(np.full(len(rest), i))
             found_b.append(rest)
         a, b = np.concatenate(found_a), np.concatenate(found_b)
         good = np.zeros(len(a), bool)
         for k in range(0, len(a), 20_000):
             part = slice(k, k + 20_000)
-            good[part] = within_edits([text_a[i] for i in a[part]], [text_b[i] for i in b[part]], edits)
-        return forest(ids_a[a[good]], ids_b[b[good]])
-
-    def as_rows(a, b):
-        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.string()), pa.nulls(len(a), pa.string())], names=["a", "b", "left", "right"])
+            good[part] = within_edits([text[0][i] for i in a[part]], [text[1][i] for i in b[part]], apart)
+        return forest(ids[0][a[good]], ids[1][b[good]])
 
-    def first(batches):
-        """Links within small groups; of large ones, the pairs of blocks, as texts joined by newlines."""
-        ids, text, now = [], [], None
+    def within_keys(batches):
+        """Links within groups that come one after the other."""
+        held: list[pa.RecordBatch] = []
 
         def closed():
-            if 1 < len(ids) <= block:
-                a, b = compare(np.array(ids), text, np.array(ids), text, True)
-                if len(a):
-                    yield as_rows(a, b)
-            elif len(ids) > block:
-                order = sorted(range(len(ids)), key=lambda i: len(text[i]))
-                cut = [order[i : i + block] for i in range(0, len(order), block)]
-                for i, left in enumerate(cut):
-                    for right in cut[i:]:
-                        if len(text[right[0]]) - len(text[left[-1]]) <= edits:
-                            sides = ["\n".join(f"{ids[x]}\t{text[x]}" for x in side) for side in (left, right)]
-                            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array(sides[:1]), pa.array(sides[1:])], names=["a", "b", "left", "right"])
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            return pa.record_batch([pa.array(c, pa.int64()) for c in compare(rows, rows, True)], names=["a", "b"])
 
         for batch in batches:
-            for key, h, line in zip(*(batch.column(c).to_pylist() for c in ("key", "h1", "line"))):
-                if key != now:
-                    yield from closed()
-                    ids, text, now = [], [], key
-                ids.append(h)
-                text.append(line)
-        yield from closed()
-
-    def second(batches):
-        for batch in batches:
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                (ids_a, text_a), (ids_b, text_b) = ((np.array([int(x.split("\t", 1)[0]) for x in side.split("\n")]), [x.split("\t", 1)[1] for x in side.split("\n")]) for side in (left, right))
-                a, b = compare(ids_a, text_a, ids_b, text_b, left == right)
-                if len(a):
-                    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    found = durable(groups.mapInArrow(first, "a long, b long, left string, right string"))
-    direct, large = found.where("a is not null").select("a", "b"), found.where("left is not null").select("left", "right")
+            key = batch.column("key").to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for low, high in zip(cuts, cuts[1:]):
+                if held and held[-1].column("key")[0].as_py() != key[low]:
+                    yield closed()
+                    held = []
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield closed()
+
+    # groups over a block are told by their keys before any task reads one
+    large = durable(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block))
+    groups = members.join(texts, "h1").select("key", "apart", "h1", "line")
     if large.isEmpty():
-        return direct
-    return direct.unionByName(large.repartition(4 * tasks).mapInArrow(second, "a long, b long"))
+        return _in_groups(groups, within_keys)
+    keys = large.select("key")
+    keys = F.broadcast(keys) if large.count() <= BROADCAST_IDS else keys
+    small = _in_groups(groups.join(keys, "key", "left_anti"), within_keys)
+    # a large group is cut into cells of near-equal lengths; a line that is near the next smaller cell is in it too
+    length = F.char_length("line")
+    cell = F.floor(length / LENGTHS)
+    cells = groups.join(keys, "key").withColumn("cell", F.explode(F.when(length % LENGTHS < edits, F.array(cell, cell - 1)).otherwise(F.array(cell))))
+    cells = durable(cells.select(F.xxhash64("key", "cell").alias("key"), "apart", "h1", "line"))
+    parts = cells.groupBy("key").agg(F.ceil(F.count("*") / block).alias("parts"))
+    placed = cells.join(parts, "key").select("key", (F.pmod(F.xxhash64("h1"), F.col("parts")) * block).alias("nth"), F.lit(0).cast("long").alias("by"), "apart", "h1", "line")
+    return small.unionByName(block_links(placed, compare, block))
+
+
+def _in_groups(groups: DataFrame, work) -> DataFrame:
+    return groups.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(work, "a long, b long")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, fuzzy_from: int = FUZZY_FROM) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, every: int = EVERY) -> DataFrame:
     """(k1, k2, removed): per row of docs with repeats, the positions of its lines that are alike an earlier one.
 
-    Lines are alike if a chain of lines within `edits` edits joins them; of each such class the line that
+    Lines are alike if a chain of lines joins them, each within the edits that the shorter of two allows; of each such class the line that
     comes first by (id, row, position) stays. Rows and keys as in row_key.
     """
     lines = lines_of(docs, id_col, text_col)
     here = F.struct("k1", "k2", "pos")
     firsts = durable(lines.groupBy("h1", "h2").agg(F.min(here).alias("f"), F.count("*").alias("n")).select("h1", "h2", "f.k1", "f.k2", "f.pos", "n"))
-    classes = connected_components(line_links(lines, edits, fuzzy_from))
+    classes = connected_components(line_links(lines, edits, every))
     members = classes.unionByName(classes.select(F.col("component").alias("id"), "component").distinct())
     firsts = firsts.select("h1", "h2", here.alias("first"), "n")
     near = firsts.join(members, F.col("h1") == F.col("id"))
@@ -347,7 +357,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return gone.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, fuzzy_from: int = FUZZY_FROM, report: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, every: int = EVERY, report: bool = False) -> DataFrame:
     """docs with text_col cut to the lines that are no repeats; report: with n_lines and removed (positions) too.
 
     Lines end at newline characters and are compared without blanks at their ends; blank lines stay. Of lines that are alike over the
@@ -356,14 +366,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row. Other columns stay as they are; a column called n_lines or removed is replaced if report is set.
     No rows: no rows.
     """
-    gone = repeated_lines(docs, id_col, text_col, edits, fuzzy_from)
-    gone = gone.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("removed").alias("_gone"))
-    names = [c for c in docs.columns if not (report and c in ("n_lines", "removed"))]
+    gone = repeated_lines(docs, id_col, text_col, edits, every)
+    n1, n2, cut = free_names(docs, "k1", "k2", "gone")
+    gone = gone.select(F.col("k1").alias(n1), F.col("k2").alias(n2), F.col("removed").alias(cut))
+    names = [c for c in docs.columns if not (report and c.lower() in ("n_lines", "removed"))]
     k1, k2 = row_key(id_col, text_col)
-    joined = docs.select(*(F.col(f"`{c}`") for c in names), k1.alias("_k1"), k2.alias("_k2")).join(gone, ["_k1", "_k2"], "left")
+    joined = docs.select(*(F.col(f"`{c}`") for c in names), k1.alias(n1), k2.alias(n2)).join(gone, [n1, n2], "left")
     split = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull()), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
+    kept = F.array_join(F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains(cut, i), x)), lambda x: x.isNotNull()), "\n")
+    text = F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(kept)
     out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
-    more = [F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.coalesce("_gone", F.array().cast("array<int>")).alias("removed")]
+    more = [F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.coalesce(cut, F.array().cast("array<int>")).alias("removed")]
     return joined.select(*out, *(more if report else []))

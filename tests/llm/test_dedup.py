@@ -14,6 +14,8 @@ from snaplake.llm import spans as sp
 
 
 def edit_distance(a, b):
+    start = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[start:], b[start:]
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -68,25 +70,25 @@ def test_segment_keys_meet_for_all_close_lines():
             assert set(ka[oa]) & set(kb) or set(kb[ob]) & set(ka)
 
 
-def brute_lines(rows, edits, least):
+def brute_lines(rows, edits, every):
     """Text per row, rows as distinct (id, text)."""
     seen = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0))
     at = [(i, p, line.strip(ld.BLANKS)) for i, (_, t) in enumerate(seen) if t is not None for p, line in enumerate(t.split("\n")) if line.strip(ld.BLANKS)]
-    links = [(a, b) for a in range(len(at)) for b in range(a) if at[a][2] == at[b][2] or min(len(at[a][2]), len(at[b][2])) >= least and abs(len(at[a][2]) - len(at[b][2])) <= edits and edit_distance(at[a][2], at[b][2]) <= edits]
+    links = [(a, b) for a in range(len(at)) for b in range(a) if at[a][2] == at[b][2] or abs(len(at[a][2]) - len(at[b][2])) <= edits and 0 < min(len(at[a][2]), len(at[b][2])) // every and edit_distance(at[a][2], at[b][2]) <= min(edits, len(at[a][2]) // every, len(at[b][2]) // every)]
     gone = {(i, p) for (i, p, _), r, k in zip(at, components(len(at), links), range(len(at))) if r != k}
     return {(d, t): None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone) for i, (d, t) in enumerate(seen)}
 
 
 def test_line_dedup_equals_brute_force(spark, docs_of):
     rng = random.Random(7)
-    base = [words(rng, rng.randint(8, 16)) for _ in range(14)]
+    base = [words(rng, n) for n in (1, 2, 2, 3, 3, 4, 4, 5, 6, 8, 9, 12, 14, 16)] + ["abcdefghijk", "abcdefghijklmnopqrstuvw"]
     rows = []
-    for i in range(36):
+    for i in range(60):
         parts = [mutate(rng, rng.choice(base), rng.choice((0, 0, 1, 2, 4))) for _ in range(rng.randint(1, 5))]
         rows.append((i, "\n".join(parts + ["ab", " \t", ""][: rng.randint(0, 3)])))
-    rows += [(90, None), (91, ""), (92, "\n\n"), (5, rows[5][1]), (None, "null id line\nab")]
-    out = ld.line_dedup(docs_of(rows, n_lines="x", removed="y", h1="z", k1="w"), report=True, fuzzy_from=20)
-    expected = brute_lines(rows, 2, 20)
+    rows += [(90, None), (91, ""), (92, "\n\n"), (5, rows[5][1]), (None, "null id line\nab"), (93, "x" * 100_000), (94, "x" * 100_001)]
+    out = ld.line_dedup(docs_of(rows, n_lines="x", removed="y", h1="z", k1="w", _k1="a", _K2="b", gone="c", _gone="d"), report=True, every=12)
+    expected = brute_lines(rows, 2, 12)
     got = out.collect()
     assert len(got) == len(rows) and out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(((r.doc_id is None, r.doc_id or 0), r.text or "", r.text is None) for r in got) == sorted(((d is None, d or 0), expected[d, t] or "", expected[d, t] is None) for d, t in rows)
@@ -100,7 +102,7 @@ def test_large_groups_of_lines_are_dealt_out_in_blocks(spark, docs_of):
     lines = ld.lines_of(docs_of(rows), "doc_id", "text")
     from snaplake.llm.common import connected_components
 
-    small, whole = (sorted(map(tuple, connected_components(ld.line_links(lines, 2, 20, block)).collect())) for block in (7, 1024))
+    small, whole = (sorted(map(tuple, connected_components(ld.line_links(lines, 2, 12, block)).collect())) for block in (7, 1024))
     assert small == whole and whole
 
 
@@ -109,18 +111,48 @@ def test_empty_tables(spark, docs_of, op):
     assert op(docs_of([])).count() == 0
 
 
+def word_rank(a, b):
+    """What decides where a long sentence is cut, of two neighbouring words."""
+    m = (1 << 64) - 1
+    a, b = (xxhash.xxh64_intdigest(w.lower().encode()) >> 1 << 1 | (w[-1] in ".!?") for w in (a, b))
+    x = (a * 0x9E3779B97F4A7C15 + b) & m
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
+def brute_sentences(text):
+    """Lists of words."""
+    plain = [x.split() for line in text.split("\n") for x in re.split(r"(?<=[.!?])\s+", line)]
+    out = []
+    for w in filter(None, plain):
+        at = set()
+        if len(w) > 20:
+            ranks = {k: word_rank(w[k - 1], w[k]) for k in range(1, len(w))}
+            for low in range(1, len(w) - 9):
+                at.add(max((k for k in range(low, low + 10)), key=lambda k: (-ranks[k], k)) + 1)
+        ends = [0, *sorted(k for k in at if k < len(w)), len(w)]
+        out += [w[a:b] for a, b in zip(ends, ends[1:])]
+    return out
+
+
 def brute_spans(rows):
     seen = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0))
     first, out = set(), {}
     for d, t in seen:
-        units = sp.sentences(t or "")
+        units = brute_sentences(t or "")
         gone = set()
-        for a, b in sp.runs(units):
-            key = " ".join(w for u in units[a : b + 1] for w in u[2]).lower()
+        for a in range(len(units)):
+            b = a + 1
+            while b < len(units) and sum(map(len, units[a : b + 1])) < 25:
+                b += 1
+            if b >= len(units):
+                break
+            key = " ".join(w for u in units[a : b + 1] for w in u).lower()
             if key in first:
                 gone.update(range(a, b + 1))
             first.add(key)
-        out[d, t] = [" ".join(u[2]) for k, u in enumerate(units) if k not in gone], len(units), len(gone)
+        out[d, t] = [" ".join(u) for k, u in enumerate(units) if k not in gone], len(units), len(gone)
     return out
 
 
@@ -132,7 +164,10 @@ def test_spans_equal_brute_force_and_catch_passages(spark, docs_of):
         passage += " " + prose(1)
     rows = [(i, f"{prose(4)}\n{passage if i % 3 == 0 else prose(2)} {prose(3)}") for i in range(30)]
     rows += [(100, rows[4][1]), (101, rows[4][1].replace(". ", ".\n")), (102, None), (103, ""), (104, words(rng, 70) + ". " + "x " * 200), (4, rows[4][1]), (None, prose(3))]
-    out = sp.span_dedup(docs_of(rows, n_removed="x", spans="y", first="z")).collect()
+    docs = docs_of(rows, n_removed="x", firsts="y", K1="z").repartition(3)
+    out = sp.span_dedup(docs).collect()
+    small = sp.span_dedup(docs, chunk=200, bucket_bytes=3_000)
+    assert small.columns == [*docs_of([], firsts="y", K1="z").columns, "n_sentences", "n_removed"] and sorted(map(str, small.collect())) == sorted(map(str, out))
     expected = brute_spans(rows)
     by = {(d, t) for d, t in rows}
     assert len(out) == len(rows) and len(by) == len(rows) - 1
@@ -173,13 +208,9 @@ def test_long_sentences_are_cut_alike():
     ends = []
     for n in (0, 7, 33):
         head = words(rng, n + 1).split()[:n]
-        units = sp.sentences(" ".join(head + passage))
-        assert max(len(u[2]) for u in units) <= sp.WINDOW + 1 and [w for u in units for w in u[2]] == head + passage
-        at, here = -n, set()
-        for u in units:
-            at += len(u[2])
-            here.add(at)
-        ends.append({e for e in here if sp.WINDOW < e < 120})
+        _, start, stop, _ = sp.units_of([" ".join(head + passage)], sp.Words())
+        assert max(stop - start) <= sp.WINDOW + 1 and stop[-1] == n + 120 and (start[1:] == stop[:-1]).all()
+        ends.append({e - n for e in stop.tolist() if sp.WINDOW < e - n < 120})
     assert ends[0] == ends[1] == ends[2] and len(ends[0]) >= 10
 
 
@@ -211,8 +242,84 @@ def test_simhash_equals_brute_force(spark, docs_of):
         least[r] = min(least.get(r, d), d)
     expected = sorted((d, f"{p:016x}", least[r]) for (d, _), p, r in zip(rows, prints, roots))
     assert sorted(map(tuple, sh.simhash_groups(docs_of(rows, fp="x", component="y")).collect())) == expected
-    kept = sh.simhash_dedup(docs_of(rows, fp="x")).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(set(least.values()))
+
+
+def brute_near(rows):
+    """The (id, text) that stay: near copies by words and shingles, over all pairs of different (id, text)."""
+    cut = lambda t: re.findall(r"\w+", (t or "").lower())
+    units = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, hash_of(r[1])))
+    tokens = [cut(t) for _, t in units]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in tokens]
+
+    def print_of(words):
+        hashed = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(words)]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashed) > len(hashed))
+
+    fp = [print_of(w) for w in tokens]
+    sig = [sh.majority(dec.shingle_hashes(t, dec.Hashes())) for _, t in units]
+    links = []
+    for a in range(len(units)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            near = (fp[a] ^ fp[b]).bit_count() <= 5 and (sig[a] ^ sig[b]).bit_count() <= 18 and shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared) - 1e-9
+            if tokens[a] == tokens[b] or near:
+                links.append((a, b))
+    return [u for k, u in enumerate(units) if components(len(units), links)[k] == k], links
+
+
+def hash_of(text):
+    """Which of the texts of one id comes first: the hash that the operator orders by."""
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    spark = SparkSession.getActiveSession()
+    return spark.createDataFrame([(text,)], "t string").select(F.xxhash64(F.col("t").isNull(), F.col("t"))).first()[0]
+
+
+def test_near_copies_equal_brute_force(spark, docs_of):
+    rng = random.Random(13)
+    base = [words(rng, n) for n in (90, 120, 200, 260)]
+    rows = [(i, words(rng, rng.randint(0, 8))) for i in range(8)]
+    for i in range(8, 60):
+        text = rng.choice(base).split()
+        for _ in range(rng.choice((0, 1, 2, 4, 8))):
+            text[rng.randrange(len(text))] = rng.choice(("zz", "Zy,"))
+        rows.append((i, " ".join(text)))
+    rows += [(70, None), (71, ""), (72, " .\n"), (None, rows[9][1]), (None, "only here, without an id"), (9, rows[9][1]), (9, words(rng, 30)), (3, rows[9][1].upper()), (80, "x " * 30_000)]
+    expected, links = brute_near(rows)
+    assert len(links) > 60 and len(expected) < 40
+    for block in (512, 5):
+        out = sh.simhash_dedup(docs_of(rows, fp="x", k1="y", K2="z"), block=block)
+        assert out.columns == docs_of([], fp="x", k1="y", K2="z").columns
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(expected, key=str)
+    three = [(1, base[0]), (3, base[0]), (3, base[1])]
+    assert sorted(tuple(r)[:2] for r in sh.simhash_dedup(docs_of(three)).collect()) == [(1, base[0]), (3, base[1])]
+
+
+def test_pair_keys_lose_no_pair_within_five_bits():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 1 << 63, 2000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 2000, dtype=np.uint64)
+    b = a.copy()
+    for _ in range(5):
+        b ^= np.uint64(1) << rng.integers(0, 64, 2000).astype(np.uint64)
+    (ra, ka), (rb, kb) = sh.pair_keys(a), sh.pair_keys(b)
+    assert np.bincount(ra).max() <= 108
+    assert {r for r, _ in {*zip(ra.tolist(), ka.tolist())} & {*zip(rb.tolist(), kb.tolist())}} == set(range(2000))
+
+
+def test_large_buckets_are_paired_in_blocks(spark):
+    from snaplake.llm.common import bucket_pairs, connected_components
+
+    rng = np.random.default_rng(5)
+    rows = [(int(k), int(i), int(s)) for i, (k, s) in enumerate(zip(rng.integers(0, 4, 900), rng.integers(0, 1 << 16, 900)))]
+    rows += [(0, r[1], r[2]) for r in rows[:400]]
+    near = lambda left, right: np.bitwise_count((left[:, 0] ^ right[:, 0]).view(np.uint64)) <= 2
+    entries = spark.createDataFrame(rows, "key long, id long, sig long").repartition(3)
+    expected = {(a, b) for k in range(4) for a, s in {(i, s) for kk, i, s in rows if kk == k} for b, t in {(i, s) for kk, i, s in rows if kk == k} if a < b and (s ^ t).bit_count() <= 2}
+    got = {(min(r), max(r)) for r in map(tuple, bucket_pairs(entries, near, False, block=50).collect())}
+    assert got == expected and len(got) > 50
+    parts = [sorted(map(tuple, connected_components(bucket_pairs(entries, near, True, block)).collect())) for block in (7, 5000)]
+    assert parts[0] == parts[1]
 
 
 def brute_contained(rows, items):

@@ -12,7 +12,7 @@ import corpus_pipeline
 from snaplake.llm import quality
 from snaplake.llm.queries import vocabulary_path
 
-from test_dedup import brute_contained, brute_fingerprint, brute_lines, components
+from test_dedup import brute_contained, brute_lines, brute_near
 
 
 def test_run_equals_brute_force(spark, sf_dir, tmp_path):
@@ -35,14 +35,9 @@ def test_run_equals_brute_force(spark, sf_dir, tmp_path):
     stats = quality.with_features(docs, "text", [docs.doc_id, docs.text]).select("doc_id", "text", *names).collect()
     score = model.scores(np.array([[r[n] for n in names] for r in stats], float))
     rows = [(r.doc_id, r.text) for r, s in zip(stats, score) if s >= quality.ACCEPT]
-    cut = brute_lines(rows, 2, 48)
+    cut = brute_lines(rows, 2, 24)
     rows = [(d, cut[d, t]) for d, t in rows if not (t or "").strip() or (cut[d, t] or "").strip()]
-    prints = [brute_fingerprint(t) for _, t in rows]
-    roots = components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2])
-    least = {}
-    for r, (d, _) in zip(roots, rows):
-        least[r] = min(least.get(r, d), d)
-    rows = [(d, t) for d, t in rows if d in set(least.values())]
+    rows = brute_near(rows)[0]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     leaks = {d for d, *_ in brute_contained(rows, items)}
     assert 9004 in leaks or 9004 not in {d for d, _ in rows}
