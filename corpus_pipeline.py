@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snaplake.llm.bpe import bpe_encode
-from snaplake.llm.common import durable, table
+from snaplake.llm.common import durable, free_names, table
 from snaplake.llm.decontaminate import decontaminate
 from snaplake.llm.linededup import line_dedup
 from snaplake.llm.quality import fit, quality_filter
@@ -24,14 +24,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one; documents of which nothing but blanks is left go, n_chars follows the text."""
-    was_blank = F.trim(F.coalesce("_was", F.lit(""))) == ""
-    cut = line_dedup(docs.withColumn("_was", F.when(F.trim(F.coalesce("text", F.lit(""))) != "", F.lit("x"))))
-    left = cut.where(was_blank | (F.regexp_replace("text", r"\s+", "") != "")).drop("_was")
-    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else left
+    (was,) = free_names(docs, "was_blank")
+    blank = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", "") == ""
+    cut = line_dedup(docs.withColumn(was, blank))
+    left = cut.where(F.col(was) | ~blank)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.char_length("text").cast("long"))
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group."""
+    """One document of each group of near copies (five-word shingles, four fifths of them shared)."""
     return simhash_dedup(docs)
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections import ChainMap
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,15 +17,55 @@ from snaplake.operators.query import Query
 KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"], "events": ["event_id"], "documents": ["doc_id"], "embeddings": ["vec_id"], "pages": ["page_id"], "benchmark": ["item_id"], "labels": ["doc_id"], "conversations": ["conv_id", "turn"]}
 
 
+@lru_cache(1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one for a local master; ValueError on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir isn't set, and executors don't share a local folder")
+    return _local_folder()
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """df, computed once into the folder of spark.checkpoint.dir, so that a lost executor costs only its own tasks; where the setting is unset (tests), a local folder."""
+    """df, computed once into the shared folder, so that a lost executor costs only its own tasks.
+
+    Spark drops the files with the frame if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/snaplake-checkpoints")
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+class Folder(Mapping):
+    """The tables of a folder of Parquet files by name; a table's files are looked at when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str, names: list[str]):
+        self.spark, self.folder, self.names, self.read = spark, folder, names, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.names:
+            raise KeyError(name)
+        if name not in self.read:
+            self.read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.read[name]
+
+    def __iter__(self):
+        return iter(self.names)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def __contains__(self, name) -> bool:
+        return name in self.names
+
+
 @dataclass(frozen=True)
 class Snapshot:
     """Tables by name, with the key columns of those that have any. Nothing is read before a query asks."""
@@ -34,7 +77,7 @@ class Snapshot:
     @classmethod
     def load(cls, spark: SparkSession, folder: str, names: list[str] | None = None) -> Snapshot:
         names = names or [*KEYS, "lineitem"]
-        return cls(spark, {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}, {n: KEYS[n] for n in names if n in KEYS})
+        return cls(spark, Folder(spark, folder, names), {n: KEYS[n] for n in names if n in KEYS})
 
     def tables(self) -> list[str]:
         return sorted(self.frames)
@@ -49,7 +92,7 @@ class Snapshot:
 
     def replace(self, **frames: DataFrame) -> Snapshot:
         """The snapshot after a write: a new one, with these tables in place of its own."""
-        return Snapshot(self.spark, {**self.frames, **frames}, self.keys)
+        return Snapshot(self.spark, ChainMap(frames, self.frames), self.keys)
 
     def sql(self, text: str, args: Mapping | None = None) -> DataFrame:
         """SQL over the tables, as views of this session; named parameters as :name."""

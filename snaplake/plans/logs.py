@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from snaplake.catalog import shared_folder
 from snaplake.operators import sessions as S
 from snaplake.operators import sync
 from snaplake.streaming import tail
@@ -154,7 +155,7 @@ def stream_tumbling_windows(spark, d):
 
 def streamed(spark, d, change, mode: str = "append"):
     """What a stream over the table events gives after `change`, started once over what is there; read back from the shared folder, one file set for each batch (complete: the last one)."""
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/snaplake-checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(_events(spark, d).schema).parquet(f"{d}/events.parquet" if _is_folder(spark, f"{d}/events.parquet") else f"{d}/events.parque[t]")
     out = change(stream)
     place = (lambda n: f"{base}/out/batch=0") if mode == "complete" else (lambda n: f"{base}/out/batch={n}")
