@@ -1,17 +1,27 @@
-"""Main text of web pages: suffix arrays over token streams, counted by host, and the pages' own markup.
+"""Main text of web pages: suffix arrays over token streams, counted by host, with the pages' own markup as a prior.
 
 A page is cut into blocks of text. The blocks of some pages at a time are concatenated as token streams, and
-their suffix array finds the different runs of `run` tokens and the pages of each. Those counts are added up
-over the whole host; a run that occurs on `pages` distinct pages of its host or more is repeated, wherever
-the pages were read. A block that such runs cover mostly is boilerplate and goes, unless all blocks of the page would. The markup has two
-says besides: blocks within navigation, headers, footers, sidebars, forms, notices, adverts and comment
-sections, as elements, roles, class and id names tell, go even where a host shows too few pages to repeat
-them; and what a page marks as its article (article, main, or the same by role or itemprop) stays even where
-a host prints it on several pages, as copies and quoted passages do.
-
-Runs are counted by 64-bit hashes of their host and words, in buckets of the hashes' leading bits, which
-bounds a task whatever a host's size. Pages are read twice and never shuffled, unless more runs are repeated
-than are broadcast: then pages and their repeated runs are joined by shuffle, with the same result.
+their suffix array finds the different runs of `run` tokens. (Longer repeats add nothing to that: what they
+cover is what the runs within them cover, each of which is on as many pages.) For every run the distinct pages
+of its host are counted, over the whole host however large it is. Pages count by content: each has a signature
+of 16 bits, the least hash of its word pairs, so that copies and most near copies of a page count as one, and
+what only they share isn't taken for boilerplate. Of a run's signatures the `SIGNATURES` least are kept, which
+count exactly below that number and tell the share of the host's pages beyond it.
+
+What repeats decides with what the markup says:
+
+- blocks of no marked article (article, main, or the same by role or itemprop) go if runs on `pages` pages or
+  more cover `covered` of their words, unless all such blocks of the page would;
+- blocks of a marked article go if runs that are on `share` of the host's pages, and on `widely` pages at least,
+  cover them so: copied articles and quoted passages stay, a host's box in every article goes;
+- a page with a marked article is that article, unless more words outside of it are left than in it;
+- blocks within navigation, headers, footers, sidebars, forms, notices, adverts and comment sections, as
+  elements, roles, class and id names tell, go even where a host shows too few pages to repeat them.
+
+Runs are counted by hashes of 48 bits of their host and words, in buckets of the hashes' leading bits, which
+bounds a task whatever a host's size: a run or two that collide don't cover a block. Pages are read twice and
+never shuffled, unless more runs are repeated than are broadcast: then pages and their repeated runs are joined
+by shuffle, with the same result.
 """
 
 from __future__ import annotations
@@ -25,33 +35,43 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaplake.llm.common import durable
+from snaplake.llm.common import durable, slices
 
 #: Least tokens of a repeated run, pages that it must occur on, share of a block that must be covered.
 RUN, PAGES, COVERED = 6, 3, 0.6
+#: Within a marked article: share of the host's pages that a run must be on, and least number of them.
+SHARE, WIDELY = 0.5, 5
+#: Signatures of a run that are kept.
+SIGNATURES = 64
 #: Bytes of pages whose runs are counted in one bucket; tokens that one suffix array takes.
 SHARD_BYTES, CHUNK = 32_000_000, 400_000
-#: Repeated runs, and repeated page ids, that are broadcast at most (32 MB of hashes); beyond it they are joined by shuffle.
+#: Repeated runs that are broadcast at most (48 MB); beyond it they are joined by shuffle.
 BROADCAST_RUNS = 4_000_000
 #: Elements by what their text is.
 SKIPPED = frozenset("script style noscript template svg math canvas iframe object audio video map title select option button textarea datalist dialog".split())
 FRAME = frozenset("nav header footer aside form menu fieldset".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Class, id and role words that mark what is no article.
-MARKS = frozenset("ad ads advert adverts advertisement advertising adsense banner promo promoted promotion sponsor sponsored sponsors nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside complementary contentinfo header masthead footer comment comments disqus replies reply reviews respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations search pagination pager widget widgets toolbar skip hidden".split())
+#: Words of class, id and role names that mark what is no article, and words that say only where or in what shape. A name marks if it has one of the first and none that is in neither.
+MARKS = frozenset("ad ads advert adverts advertisement advertising adsense banner promo promoted promotion sponsor sponsored sponsors nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside complementary contentinfo header masthead footer comment comments disqus replies reply respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations search pagination pager widget widgets toolbar skip hidden".split())
+SHAPES = frozenset("a and area article articles bar block body bottom box btn button buttons c col column container content entry fixed footer form global group header holder icons id inner item items js large left link links list main message middle mobile module outer page panel post posts primary reader right row secondary section site slot small sticky sub tag tags text thread title to top unit user wrap wrapper".split())
+HEADS = frozenset("header masthead".split())
 OPEN, MARKED, OUTSIDE = 0, 1, 2
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>\"']|$)", re.I)
-_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in SKIPPED}
+#: A tag whose attributes are all plain or in double quotes; others are read quote by quote.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>\"'=]*+)((?:\s++[^\s<>\"'=/]++(?:=\"[^\"<>]*+\")?+)*+)\s*+(/?)>")
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_NEXT = re.compile(r">|=\s*+([\"'])")
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?(?=[\s/>\"']|$)", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*+>", re.I) for name in SKIPPED}
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
-_WORD = re.compile(r"[a-z0-9]+")
+_WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_LONG_REFERENCE = re.compile(r"&#0*+[0-9]{8,};?")
 
 
-def _marks(name: str, attributes: str) -> tuple[bool, bool]:
-    """(frame, main): whether the element is no article; whether it is marked as one."""
-    frame, main = name in FRAME, name in ("article", "main")
+def _marks(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """(frame, main): whether the element is no article; whether it is marked as one. inside: a marked article surrounds it, whose own head is part of it."""
+    frame, main = name in FRAME and not (inside and name == "header"), name in ("article", "main")
     if attributes:
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), a or b or c
@@ -62,43 +82,121 @@ def _marks(name: str, attributes: str) -> tuple[bool, bool]:
             elif key == "role" and value.lower() in ("article", "main") or key == "itemprop" and value.lower() == "articlebody":
                 main = True
             else:
-                frame |= not MARKS.isdisjoint(_WORD.findall(_CAMEL.sub(" ", value).lower()))
+                for token in value.split():
+                    words = set(_WORD.findall(_CAMEL.sub(" ", token).lower()))
+                    marks = words & MARKS - (HEADS if inside else frozenset())
+                    frame |= bool(marks) and words <= MARKS | SHAPES
     return frame and name not in ("html", "body"), main
 
 
+class _Tags:
+    """The tags of a page in order, each (start, end, closing, name, attributes); CDATA sections as (start, end, None, text, ""). Reads every byte a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.quoted = True  # False once quotes turned out not to close: they count no more
+        self.unclosed: set[str] = set()
+
+    def next(self, at: int):
+        page = self.page
+        while True:
+            start = page.find("<", at)
+            if start < 0:
+                return None
+            m = _TAG.match(page, start)
+            if m:
+                return start, m.end(), bool(m.group(1)), m.group(2).lower(), m.group(3) + m.group(4)
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, False, "", ""
+            if page.startswith("<![CDATA[", start):
+                end = page.find("]]>", start)
+                return start, len(page) if end < 0 else end + 3, None, page[start + 9 : end if end >= 0 else len(page)], ""
+            m = _NAME.match(page, start + 1)
+            if not m and page[start + 1 : start + 2] not in ("!", "?"):
+                at = start + 1
+                continue
+            end = self._end(m.end() if m else start + 2) if m else page.find(">", start)
+            if end < 0:
+                return None
+            if not m:
+                return start, end + 1, False, "", ""
+            return start, end + 1, bool(m.group(1)), m.group(2).lower(), page[m.end() : end]
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends that goes on at `at`; -1: nowhere."""
+        first = at
+        while self.quoted:
+            m = _NEXT.search(self.page, at)
+            if not m:
+                self.quoted = False
+                break
+            if m.group() == ">":
+                return m.start()
+            quote = m.group(1)
+            close = -1 if quote in self.unclosed else self.page.find(quote, m.end())
+            if close < 0:
+                self.unclosed.add(quote)
+                at = m.end()
+            else:
+                at = close + 1
+        return self.page.find(">", first)
+
+    def after(self, name: str, at: int) -> int | None:
+        """The end of the next end tag of a skipped element."""
+        if name in self.unclosed:
+            return None
+        m = _CLOSE[name].search(self.page, at)
+        if not m:
+            self.unclosed.add(name)
+            return None
+        return m.end()
+
+
+def unescaped(text: str) -> str:
+    """Character references decoded; numbers of eight digits or more are no characters."""
+    return entities.unescape(_LONG_REFERENCE.sub("�", text) if "&#" in text else text)
+
+
 def blocks(page: str) -> tuple[list[str], list[int]]:
     """The texts of the page's blocks, and for each OPEN, MARKED (of a marked article) or OUTSIDE (of the page's frame)."""
     found: list[tuple[str, int]] = []
     stack: list[tuple[str, bool, bool]] = []  # element, frame, main; each with what surrounds it
+    places: dict[str, list[int]] = {}  # where on the stack an element's name is
     held: list[str] = []
     outer: list[str] = []
     frame = main = False
     at = 0
+    tags = _Tags(page)
 
     def flush():
         for parts, kind in ((outer, OUTSIDE), (held, MARKED if main else OPEN)):
             if parts:
-                text = " ".join(entities.unescape("".join(parts)).split())
+                text = " ".join(unescaped("".join(parts)).split())
                 parts.clear()
                 if text:
                     found.append((text, kind))
 
-    for m in iter(lambda: _TAG.search(page, at), None):
-        if m.start() > at:
-            (outer if frame else held).append(page[at : m.start()])
-        at = m.end()
-        if m.group(1) is not None:
-            (outer if frame else held).append(m.group(1))
+    def pop(upto: int):
+        while len(stack) > upto:
+            places[stack.pop()[0]].pop()
+        return stack[-1][1:] if stack else (False, False)
+
+    while (tag := tags.next(at)) is not None:
+        start, end, closing, name, attributes = tag
+        if start > at:
+            (outer if frame else held).append(page[at:start])
+        at = end
+        if closing is None:
+            (outer if frame else held).append(name.replace("&", "&amp;"))
             continue
-        name = (m.group(3) or m.group(6) or "").lower()
         if not name:
             continue
-        closing = bool(m.group(2) or m.group(5))
         if name in SKIPPED:
             if not closing:
-                end = _CLOSE[name].search(page, at)
-                if end or name in ("script", "style"):
-                    at = end.end() if end else len(page)
+                after = tags.after(name, at)
+                if after or name in ("script", "style"):
+                    at = after or len(page)
             continue
         if name == "br":
             (outer if frame else held).append(" ")
@@ -108,27 +206,22 @@ def blocks(page: str) -> tuple[list[str], list[int]]:
         if name in VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("article", "main", "body") and name not in ("html", "body", "main", "article"):
-                    break  # a stray end tag doesn't close what surrounds it
-            frame, main = stack[-1][1:] if stack else (False, False)
+            if places.get(name):
+                k = places[name][-1]
+                around = max((places[x][-1] for x in ("article", "main", "body") if places.get(x)), default=-1)
+                if k >= around or name in ("html", "body", "main", "article"):  # a stray end tag doesn't close what surrounds it
+                    frame, main = pop(k)
             continue
-        if name == "p" and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
-            stack.pop()
-            frame, main = stack[-1][1:] if stack else (False, False)
-        attributes = m.group(4) or m.group(7) or ""
-        own_frame, own_main = _marks(name, attributes)
-        if attributes.rstrip().endswith("/") and name not in BLOCKS:
+        if stack and stack[-1][0] == name and name in ("p", "li"):
+            frame, main = pop(len(stack) - 1)
+        own_frame, own_main = _marks(name, attributes, main)
+        if attributes.endswith("/") and name not in BLOCKS:
             continue
-        if name == "header" and main and not attributes:
-            own_frame = False  # the head of an article has its title
         frame, main = frame or own_frame, main or own_main
+        places.setdefault(name, []).append(len(stack))
         stack.append((name, frame, main))
     if at < len(page):
-        (outer if frame else held).append(page[at:].split("<")[0])
+        (outer if frame else held).append(page[at:].split("<")[0] if re.search(r"<[a-zA-Z/!?]", page[at:]) else page[at:])
     flush()
     return [t for t, _ in found], [k for _, k in found]
 
@@ -147,28 +240,6 @@ def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return order, rank[order]
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: int = PAGES) -> np.ndarray:
-    """Whether each token lies in a run of `run` tokens that occurs on `pages` distinct pages or more. Runs must not cross pages."""
-    if len(tokens) < run:
-        return np.zeros(len(tokens), bool)
-    order, group = suffix_array(tokens, run)
-    whole = order + run <= len(tokens)
-    whole[whole] = page[order[whole] + run - 1] == page[order[whole]]
-    order, group = order[whole], group[whole]
-    if not len(order):
-        return np.zeros(len(tokens), bool)
-    by = np.lexsort((page[order], group))
-    order, group = order[by], group[by]
-    fresh = np.r_[True, (group[1:] != group[:-1]) | (page[order][1:] != page[order][:-1])]
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    distinct = np.add.reduceat(fresh.astype(np.int64), starts)
-    often = np.repeat(distinct >= pages, np.diff(np.r_[starts, len(group)]))
-    mark = np.zeros(len(tokens) + 1, np.int64)
-    np.add.at(mark, order[often], 1)
-    np.add.at(mark, order[often] + run, -1)
-    return np.cumsum(mark[:-1]) > 0
-
-
 def word_hashes(texts: list[str], cache: dict[str, int]) -> tuple[np.ndarray, list[int]]:
     """64-bit hashes of a page's lower-cased words in order, and the number of words of each block."""
     if len(cache) > 500_000:
@@ -186,32 +257,67 @@ def word_hashes(texts: list[str], cache: dict[str, int]) -> tuple[np.ndarray, li
 
 
 def run_hashes(words: np.ndarray, host: np.ndarray, run: int = RUN) -> np.ndarray:
-    """A 64-bit hash of the run that starts at each word and of its host's hash. The last run - 1 words start none."""
+    """A 48-bit hash of the run that starts at each word and of its host's hash. The last run - 1 words start none."""
     n = max(0, len(words) - run + 1)
     out = host[:n] * _MULTIPLIERS[0]
     for k in range(run):
         out = (out ^ words[k : k + n]) * _MULTIPLIERS[k % 2]
         out ^= out >> np.uint64(31)
-    return out
+    return out >> np.uint64(16)
+
 
+def signature(words: np.ndarray, sizes: list[int], kinds: list[int]) -> int:
+    """16 bits of the least hash of neighbouring words, frames left out (unless there is nothing else)."""
+    inside = np.repeat(np.array(kinds) != OUTSIDE, sizes) if len(words) else np.empty(0, bool)
+    chosen = words[inside] if inside.any() else words
+    if len(chosen) < 2:
+        return int(chosen[0] & np.uint64(0xFFFF)) if len(chosen) else 0
+    pair = (chosen[:-1] * _MULTIPLIERS[0]) ^ (chosen[1:] * _MULTIPLIERS[1])
+    pair = (pair ^ (pair >> np.uint64(29))) * _MULTIPLIERS[0]
+    least = (pair ^ (pair >> np.uint64(32))).min()
+    return (int(least) * int(_MULTIPLIERS[1]) >> 48) & 0xFFFF
 
-def counted_runs(words: np.ndarray, page: np.ndarray, host: np.ndarray, run: int = RUN, pages: int = PAGES) -> np.ndarray:
-    """The hash of every different run of a host, sorted, as often as it has distinct pages, `pages` times at most. Runs don't cross pages."""
+
+def least_signatures(marked: np.ndarray, most: int = SIGNATURES) -> np.ndarray:
+    """Of sorted, different numbers (run << 16 | signature), the `most` least of each run."""
+    run = marked >> np.uint64(16)
+    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.empty(0, int)
+    sizes = np.diff(np.r_[starts, len(run)])
+    return marked[np.arange(len(run)) - np.repeat(starts, sizes) < most]
+
+
+def counted(marked: np.ndarray, most: int = SIGNATURES) -> tuple[np.ndarray, np.ndarray]:
+    """(run, pages) of sorted, different numbers: the signatures of each run, estimated by the last of the `most` least if there are that many."""
+    marked = least_signatures(marked, most)
+    run, starts, pages = np.unique(marked >> np.uint64(16), return_index=True, return_counts=True)
+    full = np.flatnonzero(pages >= most)
+    last = (marked[starts[full] + most - 1] & np.uint64(0xFFFF)).astype(np.int64)
+    pages[full] = np.maximum(most, (most - 1) * 65_536 // (last + 1))
+    return run, pages
+
+
+def host_run(host: np.ndarray) -> np.ndarray:
+    """The number under which a host's own pages are counted."""
+    return (host * _MULTIPLIERS[1] ^ host >> np.uint64(7)) >> np.uint64(16)
+
+
+def marked_runs(words: np.ndarray, page: np.ndarray, hosts: np.ndarray, signs: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Sorted numbers (run << 16 | signature) of the different runs of a chunk of pages, and of their hosts. page: of each word; hosts, signs: of each page. Runs don't cross pages."""
+    own = host_run(hosts) << np.uint64(16) | signs
     if len(words) < run:
-        return np.empty(0, np.uint64)
-    order, group = suffix_array(np.unique(words, return_inverse=True)[1], run)
+        return least_signatures(np.unique(own))
+    order, group = suffix_array(words, run)
     whole = order + run <= len(words)
     whole[whole] = page[order[whole] + run - 1] == page[order[whole]]
     order, group = order[whole], group[whole]
-    by = np.lexsort((page[order], host[order], group))
-    order, group = order[by], group[by]
-    if not len(order):
-        return np.empty(0, np.uint64)
-    new = np.r_[True, (group[1:] != group[:-1]) | (host[order][1:] != host[order][:-1])]
-    fresh = new | np.r_[True, page[order][1:] != page[order][:-1]]
-    starts = np.flatnonzero(new)
-    distinct = np.minimum(np.add.reduceat(fresh.astype(np.int64), starts), pages)
-    return np.sort(np.repeat(run_hashes(words, host, run)[order[starts]], distinct))
+    host, sign = hosts[page[order]], signs[page[order]]
+    by = np.lexsort((sign, host, group))
+    order, group, host, sign = order[by], group[by], host[by], sign[by]
+    new = np.ones(len(order), bool)
+    new[1:] = (group[1:] != group[:-1]) | (host[1:] != host[:-1]) | (sign[1:] != sign[:-1])
+    order, sign = order[new], sign[new]
+    found = run_hashes(words, hosts[page], run)[order] << np.uint64(16) | sign
+    return least_signatures(np.unique(np.concatenate([found, own])))
 
 
 def covered_blocks(sizes: list[int], often: np.ndarray, run: int = RUN, covered: float = COVERED) -> list[bool]:
@@ -226,52 +332,53 @@ def covered_blocks(sizes: list[int], often: np.ndarray, run: int = RUN, covered:
     return (total[ends] - total[ends - size] >= covered * size).tolist()
 
 
-def chosen_text(texts: list[str], kinds: list[int], gone: list[bool]) -> str:
-    """The main text of a page from its blocks."""
-    if MARKED in kinds:
-        return "\n".join(t for t, k in zip(texts, kinds) if k == MARKED)
-    open_ = [(t, g) for t, k, g in zip(texts, kinds, gone) if k == OPEN]
-    return "\n".join([t for t, g in open_ if not g] or [t for t, _ in open_])
+def chosen_text(texts: list[str], kinds: list[int], sizes: list[int], gone: list[bool], gone_inside: list[bool]) -> str:
+    """The main text of a page from its blocks. gone: covered by what repeats; gone_inside: so that a marked article's block goes."""
+    marked = [i for i, k in enumerate(kinds) if k == MARKED]
+    marked = [i for i in marked if not gone_inside[i]] or marked
+    open_ = [i for i, k in enumerate(kinds) if k == OPEN and not gone[i]]
+    if not marked:
+        chosen = open_ or [i for i, k in enumerate(kinds) if k == OPEN]
+    elif sum(sizes[i] for i in open_) > sum(sizes[i] for i in marked):
+        chosen = sorted(marked + open_)
+    else:
+        chosen = marked
+    return "\n".join(texts[i] for i in chosen)
 
 
 def _paged(batches, run: int):
     """(row of the batch, its blocks' texts and kinds, sizes, word hashes, host's hash) of every page."""
     cache: dict[str, int] = {}
-    for batch in batches:
-        for r, (host, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist())):
-            texts, kinds = blocks(page) if page else ([], [])
-            words, sizes = word_hashes(texts, cache)
-            yield batch, r, texts, kinds, sizes, words, np.full(len(words), xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass")), np.uint64)
+    for whole in batches:
+        for batch in slices(whole, "html"):
+            for r, (host, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist())):
+                texts, kinds = blocks(page) if page else ([], [])
+                words, sizes = word_hashes(texts, cache)
+                yield batch, r, texts, kinds, sizes, words, xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"))
 
 
 def repeated_runs(rows: DataFrame, run: int, least_pages: int, shard_bytes: int) -> DataFrame:
-    """(h) of the runs that occur on least_pages distinct pages of a host or more; rows has host, page_id, html."""
-    again = durable(rows.groupBy("host", "page_id").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-    again_count = again.count()
-    counted = rows.select("host", "html")
-    if again_count:
-        few = again.select(F.col("host").alias("_host"), F.col("page_id").alias("_id"))
-        few = F.broadcast(few) if again_count <= BROADCAST_RUNS // 16 else few
-        same = (F.col("host") == F.col("_host")) & F.col("page_id").eqNullSafe(F.col("_id"))
-        once = rows.join(few, same, "left_semi").groupBy("host", "page_id").agg(F.min("html").alias("html"))
-        counted = rows.join(few, same, "left_anti").select("host", "html").unionAll(once.select("host", "html"))
+    """(h, n) of the runs that occur on least_pages pages of a host or more, and of the hosts with as many (under host_run); rows has host, html."""
     buckets = max(1, -(-(rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0) // shard_bytes))
 
     def scan(batches):
         held, n = [], 0
 
         def closed():
-            words, hosts = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            words = np.concatenate([x[0] for x in held])
             page = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
-            found = counted_runs(words, page, hosts, run, least_pages)
+            hosts, signs = (np.array([x[k] for x in held], np.uint64) for k in (1, 2))
+            found = marked_runs(words, page, hosts, signs, run)
             bucket = ((found >> np.uint64(32)).astype(np.int64) * buckets) >> 32
-            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(found) else []
-            # bytes of equal rank together: the leading ones of sorted hashes are alike
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            # bytes of equal rank together: the leading ones of sorted numbers are alike
             blobs = [found[a:b].view(np.uint8).reshape(-1, 8).T.tobytes() for a, b in zip(cuts, cuts[1:])]
-            return pa.record_batch([pa.array(bucket[cuts[:-1]] if len(found) else [], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "runs"])
+            return pa.record_batch([pa.array(bucket[cuts[:-1]], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "runs"])
 
-        for *_, words, hosts in _paged(batches, run):
-            held.append((words, hosts))
+        for _, _, _, kinds, sizes, words, host in _paged(batches, run):
+            if not len(words):
+                continue
+            held.append((words, host, signature(words, sizes, kinds)))
             n += len(words)
             if n >= CHUNK:
                 yield closed()
@@ -282,14 +389,13 @@ def repeated_runs(rows: DataFrame, run: int, least_pages: int, shard_bytes: int)
     def often(batches):
         now, held, n = None, [], 0
 
-        def counts():
-            hashes, times = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-            hashes, inverse = np.unique(hashes, return_inverse=True)
-            return hashes, np.minimum(np.bincount(inverse, times, len(hashes)).astype(np.int64), least_pages)
+        def folded():
+            return least_signatures(np.unique(np.concatenate(held)))
 
         def closed():
-            hashes, times = counts()
-            return pa.record_batch([pa.array(hashes[times >= least_pages].view(np.int64))], names=["h"])
+            h, pages = counted(folded())
+            keep = pages >= least_pages
+            return pa.record_batch([pa.array(h[keep].view(np.int64)), pa.array(pages[keep].astype(np.int32))], names=["h", "n"])
 
         for batch in batches:
             for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("runs").to_pylist()):
@@ -297,46 +403,58 @@ def repeated_runs(rows: DataFrame, run: int, least_pages: int, shard_bytes: int)
                     if held:
                         yield closed()
                     now, held, n = b, [], 0
-                hashes = np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-                held.append((hashes, np.ones(len(hashes), np.int64)))
-                n += len(hashes)
+                held.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.uint64).ravel())
+                n += len(held[-1])
                 if n > 4_000_000:  # copies of one run are folded
-                    held = [counts()]
+                    held = [folded()]
                     n = 0
         if held:
             yield closed()
 
-    packed = counted.mapInArrow(scan, "bucket long, runs binary").repartition(int(buckets), "bucket").sortWithinPartitions("bucket")
-    return packed.mapInArrow(often, "h long")
-
-
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, least_pages: int = PAGES, covered: float = COVERED, shard_bytes: int = SHARD_BYTES, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
+    packed = rows.select("host", "html").mapInArrow(scan, "bucket long, runs binary").repartition(int(buckets), "bucket").sortWithinPartitions("bucket")
+    return packed.mapInArrow(often, "h long, n int")
+
+
+def main_text(
+    pages: DataFrame,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+    run: int = RUN,
+    least_pages: int = PAGES,
+    covered: float = COVERED,
+    share: float = SHARE,
+    widely: int = WIDELY,
+    shard_bytes: int = SHARD_BYTES,
+    broadcast_runs: int = BROADCAST_RUNS,
+) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages.
 
     Blocks are joined by newlines in page order; white space within a block is one space. Null, empty and
     text-free pages have an empty text; null ids and urls are carried (pages with no host in their url are
-    one host); repeated rows each get a row and count as one page of their host, by their least html; other
-    columns don't matter. shard_bytes and broadcast_runs change what a task holds, never the result. No rows:
-    no rows.
+    one host); repeated rows each get a row and count as one page of their host; other columns don't matter.
+    Tags that aren't closed end the text. shard_bytes and broadcast_runs change what a task holds, never the
+    result. No rows: no rows.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
     rows = rows.withColumn("host", host)
     repeats = durable(repeated_runs(rows, run, least_pages, shard_bytes))
     if repeats.count() <= broadcast_runs:
-        all_hits = np.sort(np.array(repeats.toArrow().column("h").to_numpy(), np.int64).view(np.uint64))
-        shared = pages.sparkSession.sparkContext.broadcast(all_hits)
+        table = repeats.orderBy("h").toArrow()
+        shared = pages.sparkSession.sparkContext.broadcast((table.column("h").to_numpy().view(np.uint64), table.column("n").to_numpy()))
     else:
         shared = None
 
         def runs_of(batches):
-            for batch, r, *_, words, hosts in _paged(batches, run):
-                hashes = np.unique(run_hashes(words, hosts, run)).view(np.int64)
+            for batch, r, _, _, _, words, host in _paged(batches, run):
+                hosts = np.full(len(words), host, np.uint64)
+                hashes = np.unique(np.concatenate([run_hashes(words, hosts, run), host_run(hosts[:1])])).view(np.int64)
                 yield pa.record_batch([pa.array(np.full(len(hashes), batch.column("row")[r].as_py(), np.int64)), pa.array(hashes)], names=["row", "h"])
 
         rows = rows.withColumn("row", F.xxhash64("host", "html"))  # equal rows have equal runs
-        hits = rows.select("row", "host", "html").mapInArrow(runs_of, "row long, h long").join(repeats, "h").groupBy("row").agg(F.collect_set("h").alias("hits"))
-        rows = rows.join(hits, "row", "left")
+        hits = rows.select("row", "host", "html").mapInArrow(runs_of, "row long, h long").distinct().join(repeats, "h").groupBy("row")
+        rows = rows.join(hits.agg(F.array_sort(F.collect_list(F.struct("h", "n"))).alias("hits")), "row", "left")
 
     def judged(batches):
         out, last = [], None
@@ -344,18 +462,26 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         def closed():
             return pa.record_batch([last.column("page_id"), last.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
-        for batch, r, texts, kinds, sizes, words, hosts in _paged(batches, run):
+        for batch, r, texts, kinds, sizes, words, host in _paged(batches, run):
             if batch is not last:
                 if out:
                     yield closed()
                 out, last = [], batch
-            known = shared.value if shared else np.sort(np.array(batch.column("hits")[r].as_py() or [], np.int64).view(np.uint64))
-            hashes = run_hashes(words, hosts, run)
+            if shared:
+                known, times = shared.value
+            else:
+                own = batch.column("hits")[r].as_py() or []
+                known, times = np.array([x["h"] for x in own], np.int64).view(np.uint64), np.array([x["n"] for x in own], np.int64)
+            hosts = np.full(len(words), host, np.uint64)
+            hashes = np.concatenate([run_hashes(words, hosts, run), host_run(np.array([host], np.uint64))])
             if len(known):
-                often = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                on = np.where(known[at] == hashes, times[at], 0)
             else:
-                often = np.zeros(len(hashes), bool)
-            out.append(chosen_text(texts, kinds, covered_blocks(sizes, often, run, covered)))
+                on = np.zeros(len(hashes), np.int64)
+            on, of = on[:-1], int(on[-1])
+            gone, inside = (covered_blocks(sizes, on >= least, run, covered) for least in (least_pages, max(widely, share * of)))
+            out.append(chosen_text(texts, kinds, sizes, gone, inside))
         if out:
             yield closed()
 

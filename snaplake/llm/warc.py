@@ -3,10 +3,10 @@
 Each page becomes a response record with an HTTP head and the payload in chunked transfer framing, or a
 revisit record where another page has an equal payload. A block longer than `segment` bytes goes on in
 continuation records, which name the first record as their origin, number themselves, and, the last one,
-give the total length. Archives are plain or gzip files in the cluster's shared folder, `per_file` records
-each, so that no file grows with the corpus. Reading parses each file by its records' own lengths; whole
-records are decoded where they are read, segments are dealt out by origin identifier, ordered by number,
-checked against the total length and only then decoded.
+give the total length. Archives are plain or gzip files in the cluster's shared folder, each of `file_bytes`
+at most (but for a single record), so that no file grows with the corpus. Reading parses each file by its
+records' own lengths; whole records are decoded where they are read, segments are dealt out by origin
+identifier, ordered by number, checked against the total length and only then decoded.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snaplake.catalog import shared_folder
 from snaplake.llm.common import durable
 
-#: Bytes of a block in one record, of a chunk in the framing, and records in one file.
-SEGMENT, CHUNK, PER_FILE = 65_536, 16_384, 1_000
+#: Bytes of a block in one record, of a chunk in the framing, and of records in one file before compression.
+SEGMENT, CHUNK, FILE_BYTES = 65_536, 16_384, 8_000_000
 #: Payloads shorter than this are never revisits.
 LEAST_BYTES = 0
 #: Record date and the namespace of record identifiers.
@@ -62,8 +63,9 @@ def unchunked(body: bytes) -> bytes:
         at += size + 2
 
 
-def record_id(page: int, number: int = 1) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{PAGE}{page}:{number}')}>"
+def record_id(page: int | None, url: str | None, digest: str, copy: int = 1, number: int = 1) -> str:
+    """Tells apart rows of one page, url and payload by copy, and the segments of a record by number."""
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{PAGE}{page}:{digest}:{copy}:{number}:{url}')}>"
 
 
 def _record(kind: str, identifier: str, block: bytes, *more: tuple[str, object]) -> bytes:
@@ -73,23 +75,33 @@ def _record(kind: str, identifier: str, block: bytes, *more: tuple[str, object])
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n"
 
 
-def page_records(page: int, url: str | None, payload: bytes, refers_to: int | None, segment: int = SEGMENT, chunk: int = CHUNK) -> list[bytes]:
-    """The records of one page."""
-    target = "".join(c for c in url or "" if c > " ") or f"{PAGE}{page}"
-    common = [("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest32(payload)}"), ("Content-Type", "application/http;msgtype=response")]
-    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\nX-Page: %d\r\n\r\n" % page
-    if refers_to is not None:
-        return [_record("revisit", record_id(page), head, *common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to)))]
-    block = head + chunked(payload, chunk)
+def page_records(page: int | None, url: str | None, payload: bytes, copy: int = 1, segment: int = SEGMENT, chunk: int = CHUNK) -> list[bytes]:
+    """The records of a response: one, or one for each segment."""
+    digest = digest32(payload)
+    target, common, head = _common(page, url, digest)
+    origin, block = record_id(page, url, digest, copy), head + chunked(payload, chunk)
     if len(block) <= segment:
-        return [_record("response", record_id(page), block, *common)]
-    out = [_record("response", record_id(page), block[:segment], *common, ("WARC-Segment-Number", 1))]
+        return [_record("response", origin, block, *common)]
+    out = [_record("response", origin, block[:segment], *common, ("WARC-Segment-Number", 1))]
     for number, at in enumerate(range(segment, len(block), segment), 2):
         last = [("WARC-Segment-Total-Length", len(block))] if at + segment >= len(block) else []
-        out.append(_record("continuation", record_id(page, number), block[at : at + segment], ("WARC-Target-URI", target), ("WARC-Segment-Origin-ID", record_id(page)), ("WARC-Segment-Number", number), *last))
+        out.append(_record("continuation", record_id(page, url, digest, copy, number), block[at : at + segment], ("WARC-Target-URI", target), ("WARC-Segment-Origin-ID", origin), ("WARC-Segment-Number", number), *last))
     return out
 
 
+def revisit_record(page: int | None, url: str | None, digest: str, copy: int, last_page: int | None, last_url: str | None) -> bytes:
+    """The record of a page whose payload the response of another row holds."""
+    _, common, head = _common(page, url, digest)
+    return _record("revisit", record_id(page, url, digest, copy), head, *common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(last_page, last_url, digest)))
+
+
+def _common(page: int | None, url: str | None, digest: str) -> tuple[str, list[tuple[str, str]], bytes]:
+    target = "".join(c for c in url or "" if c > " ") or f"{PAGE}{page}"
+    fields = [("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
+    known = b"" if page is None else b"X-Page: %d\r\n" % page
+    return target, fields, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n%b\r\n" % known
+
+
 def parse(archive: bytes):
     """(fields, block) of each record of an archive. ValueError if it is damaged."""
     at = 0
@@ -107,38 +119,57 @@ def parse(archive: bytes):
         at = stop + 4
 
 
-def http_parts(block: bytes) -> tuple[int, bytes]:
-    """The page number and the payload of a whole HTTP response."""
+def http_parts(block: bytes) -> tuple[int | None, bytes]:
+    """The page number, if there is one, and the payload of a whole HTTP response."""
     head, _, body = block.partition(b"\r\n\r\n")
     fields = dict(x.lower().split(b": ", 1) for x in head.split(b"\r\n")[1:])
-    return int(fields[b"x-page"]), unchunked(body) if body else b""
+    return int(fields[b"x-page"]) if b"x-page" in fields else None, unchunked(body) if body else b""
 
 
-def decisions(facts: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """facts (page_id, n, digest) with refers_to: the largest page with an equal payload of at least `least_bytes`, null for that page itself and for shorter ones."""
-    last = facts.groupBy("n", "digest").agg(F.max("page_id").alias("last"), F.count("*").alias("times")).where(f"times > 1 and n >= {int(least_bytes)}")
-    return facts.join(last, ["n", "digest"], "left").select("page_id", "digest", F.expr("case when page_id < last then last end").alias("refers_to"))
+def listed(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int) -> DataFrame:
+    """(page_id, url, digest, html, copy, last: page_id and url of the response) of the record of every row: a response has html, a revisit none.
 
-
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES, segment: int = SEGMENT, chunk: int = CHUNK, per_file: int = PER_FILE, compression: str = "gzip") -> None:
-    """Writes all pages as archives into the folder path. Rows with a null id are left out, of rows with one id one with the least digest stays; other columns don't matter."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html")).where("page_id is not null")
-    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    facts = rows.groupBy("page_id").agg(F.min(F.struct("digest", F.octet_length("html").alias("n"))).alias("least")).select("page_id", "least.n", "least.digest")
-    joined = rows.repartition("page_id", "digest").sortWithinPartitions("page_id", "digest").join(decisions(facts, least_bytes), ["page_id", "digest"])
+    Of rows with an equal payload of at least `least_bytes` the last by page_id (null first) and url is the
+    response; a payload goes once through the shuffle. Rows that repeat page, url and payload are its copies.
+    """
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    short = F.octet_length("html") < least_bytes
+    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("apart", F.when(short, F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    one = F.struct("page_id", "url")
+    responses = rows.groupBy("digest", "apart").agg(F.max(one).alias("last"), F.min("html").alias("html"))
+    alike = rows.where(~short).groupBy("digest", "page_id", "url").agg(F.count("*").alias("n"))
+    # of each payload its response's page: the same rows without the payload
+    heads = rows.where(~short).groupBy("digest").agg(F.max(one).alias("last"))
+    revisits = alike.join(heads, "digest").withColumn("since", F.when(F.col("page_id").eqNullSafe(F.col("last.page_id")) & F.col("url").eqNullSafe(F.col("last.url")), 2).otherwise(1))
+    revisits = revisits.where("n >= since").withColumn("copy", F.explode(F.sequence(F.col("since").cast("long"), F.col("n"))))
+    revisits = revisits.select("page_id", "url", "digest", F.lit(None).cast("string").alias("html"), "copy", "last")
+    return responses.select("last.page_id", "last.url", "digest", "html", (F.greatest(F.lit(0), "apart") + 1).alias("copy"), "last").unionByName(revisits)
+
+
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES, segment: int = SEGMENT, chunk: int = CHUNK, file_bytes: int = FILE_BYTES, compression: str = "gzip") -> None:
+    """Writes all pages as archives into the folder path, a record for every row; other columns don't matter."""
 
     def records(batches):
-        last = None
+        """Archives: records in a row, but for the last line end, which the writer adds."""
+        held, n = [], 0
         for batch in batches:
-            for page, url, text, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to"))):
-                if page != last:
-                    last = page
-                    for record in page_records(page, url, text.encode("utf-8", "surrogatepass"), refers, segment, chunk):
-                        yield (record,)
+            for page, url, digest, html, copy, last in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "html", "copy", "last"))):
+                if html is None:
+                    made = [revisit_record(page, url, base64.b32encode(bytes.fromhex(digest)).decode(), copy, last["page_id"], last["url"])]
+                else:
+                    made = page_records(page, url, html.encode("utf-8", "surrogatepass"), copy, segment, chunk)
+                for record in made:
+                    if held and n + len(record) > file_bytes:
+                        yield (b"\r\n".join(held),)
+                        held, n = [], 0
+                    held.append(record)
+                    n += len(record) + 2
+        if held:
+            yield (b"\r\n".join(held),)
 
-    lines = joined.mapInArrow(_in_batches(records, pa.schema([("record", pa.binary())])), "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.mode("errorifexists").option("maxRecordsPerFile", per_file).option("lineSep", "\r\n").option("compression", compression).text(path)
+    work = _in_batches(records, pa.schema([("archive", pa.binary())]), 1)
+    lines = listed(pages, id_col, url_col, html_col, least_bytes).mapInArrow(work, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    lines.write.mode("errorifexists").option("maxRecordsPerFile", 1).option("lineSep", "\r\n").option("compression", compression).text(path)
 
 
 def _in_batches(rows, schema: pa.Schema, size: int = 500, most: int = 8_000_000):
@@ -237,25 +268,25 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return complete.unionByName(dealt.mapInArrow(_in_batches(joined, _WHOLE), _WHOLE_SQL))
 
 
-def archive_folder(spark: SparkSession) -> str:
-    """A new folder for archives under the session's shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/snaplake-checkpoints"
-    return f"{base.rstrip('/')}/warc-{uuid.uuid4().hex}"
-
-
 def archived(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
     """(page_id, record_type, payload_bytes, payload_digest, refers_to, record_id) of pages, written to archives and read again.
 
-    Null html is an empty payload; see write_archives for null and repeated ids. No pages: no rows.
+    Every row has a record. Null html is an empty payload; a null id stays null and counts as less than any
+    other; of rows that repeat an id and payload one can be the response, the others revisit it. Without a
+    path the archives are in a folder of the session's shared one that is removed after reading. No pages: no
+    rows.
     """
     spark = pages.sparkSession
-    path = path or archive_folder(spark)
-    write_archives(pages, path, **options)
-    found = read_archives(spark, path)
+    folder = path or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write_archives(pages, folder, **options)
+    found = read_archives(spark, folder)
     facts = found.select("page_id", "record_id", "record_type", F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "refers_id")
     facts = durable(facts)  # the archives are parsed once
-    known = facts.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
+    if path is None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    known = facts.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("head_bytes"), F.col("payload_digest").alias("head_digest"))
     joined = facts.join(known, "refers_id", "left")
-    same = F.col("refers_id").isNull() | F.coalesce(F.col("_digest") == F.col("payload_digest"), F.lit(False))
+    same = F.col("refers_id").isNull() | F.coalesce(F.col("head_digest") == F.col("payload_digest"), F.lit(False))
     digest = F.when(same, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a revisit's response is missing or another")))
-    return joined.select("page_id", "record_type", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"), digest.alias("payload_digest"), "refers_to", "record_id")
+    return joined.select("page_id", "record_type", F.coalesce("payload_bytes", "head_bytes").alias("payload_bytes"), digest.alias("payload_digest"), "refers_to", "record_id")
