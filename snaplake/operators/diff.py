@@ -6,13 +6,13 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snaplake.functions.equality import equivalent, key_text
 
-#: The long form of changes: one row for each insert and delete, and for each changed field of a modified row.
-CHANGES = "table_name string, change_type string, row_id string, field string, before string, after string"
+#: The long form of changes: one row for each insert and delete, and for each changed field of a modified row. kinds: number, boolean or text by column, the same in all rows of a table.
+CHANGES = "table_name string, change_type string, row_id string, field string, before string, after string, kinds map<string,string>"
 
 
 @dataclass(frozen=True)
@@ -57,7 +57,14 @@ def table_changes(before: DataFrame, after: DataFrame, keys: list[str], table: s
     changed = F.filter(F.array(*entries), lambda x: x.isNotNull()) if entries else F.array().cast("array<struct<field:string,before:string,after:string>>")
     whole = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.to_json("before").alias("before"), F.to_json("after").alias("after")))
     listed = both.select("row_id", "change_type", F.explode(F.when(F.col("change_type") == "modify", changed).otherwise(whole)).alias("c"))
-    return listed.select(F.lit(table).alias("table_name"), "change_type", "row_id", "c.field", "c.before", "c.after")
+    return listed.select(F.lit(table).alias("table_name"), "change_type", "row_id", "c.field", "c.before", "c.after", kinds_of(fields).alias("kinds"))
+
+
+def kinds_of(fields) -> Column:
+    """A map of each field's name to number, boolean or text."""
+    kind = lambda t: "boolean" if t == "boolean" else "number" if t in ("byte", "short", "integer", "long", "float", "double", "decimal") or t.startswith("decimal") else "text"
+    listed = [F.lit(x) for f in fields for x in (f.name, kind(f.dataType.typeName()))]
+    return F.create_map(*listed) if listed else F.lit(None).cast("map<string,string>")
 
 
 def multiset_changes(before: DataFrame, after: DataFrame, table: str, ignore: Ignore = Ignore()) -> DataFrame:
@@ -68,7 +75,7 @@ def multiset_changes(before: DataFrame, after: DataFrame, table: str, ignore: Ig
     net = signed.groupBy("row").agg(F.sum("n").alias("n")).where("n <> 0")
     each = net.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("n"))))
     insert = F.col("n") > 0
-    return each.select(F.lit(table).alias("table_name"), F.when(insert, "insert").otherwise("delete").alias("change_type"), F.md5("row").alias("row_id"), F.lit(None).cast("string").alias("field"), F.when(~insert, F.col("row")).alias("before"), F.when(insert, F.col("row")).alias("after"))
+    return each.select(F.lit(table).alias("table_name"), F.when(insert, "insert").otherwise("delete").alias("change_type"), F.md5("row").alias("row_id"), F.lit(None).cast("string").alias("field"), F.when(~insert, F.col("row")).alias("before"), F.when(insert, F.col("row")).alias("after"), kinds_of([before.schema[c] for c in names]).alias("kinds"))
 
 
 def snapshot_changes(before, after, ignore: Ignore = Ignore()) -> DataFrame:

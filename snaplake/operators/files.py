@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from snaplake.operators.invariants import BROADCAST_SPECS
+
 _SPEC = "path string, content string, content_contains string, file_type string, size long"
 
 
@@ -14,7 +16,7 @@ def expect_files(changed: DataFrame, specs: list[dict]) -> DataFrame:
     specs: dicts with a path and what the file must have: content, content_contains, file_type, size; `...`
     or nothing checks nothing. Problems: unexpected (no spec has the path), missing (a spec's path didn't
     change, told once), unavailable (the content to be checked is null), content, content_contains,
-    file_type, size. Of several specs for one path all are checked. Specs are few: they are broadcast.
+    file_type, size. Of several specs for one path all are checked. Specs are few: they are broadcast, up to BROADCAST_SPECS of them.
     """
     if any(s.get("path") is None for s in specs):
         raise ValueError("a spec needs a path")
@@ -22,7 +24,8 @@ def expect_files(changed: DataFrame, specs: list[dict]) -> DataFrame:
     rows = [tuple(None if s.get(n) is ... else s.get(n) for n in names) for s in specs]
     wanted = changed.sparkSession.createDataFrame(rows, _SPEC)
     wanted = wanted.select("path", *(F.col(n).alias(f"w_{n}") for n in names[1:]))
-    met = changed.join(F.broadcast(wanted), "path")
+    sent = F.broadcast if len(specs) <= BROADCAST_SPECS else lambda df: df
+    met = changed.join(sent(wanted), "path")
     asked = F.col("w_content").isNotNull() | F.col("w_content_contains").isNotNull()
     tell = lambda bad, problem, expected: F.when(bad, F.struct(F.lit(problem).alias("problem"), expected.cast("string").alias("expected")))
     problems = F.array_compact(F.array(
@@ -33,7 +36,7 @@ def expect_files(changed: DataFrame, specs: list[dict]) -> DataFrame:
         tell(F.col("w_size").isNotNull() & ~F.col("size").eqNullSafe(F.col("w_size")), "size", F.col("w_size")),
     ))
     wrong = met.select("path", F.explode(problems).alias("p")).select("path", "p.problem", "p.expected")
-    alone = changed.join(F.broadcast(wanted.select("path")), "path", "left_anti").select("path", F.lit("unexpected").alias("problem"), F.lit(None).cast("string").alias("expected"))
-    there = changed.join(F.broadcast(wanted.select("path")), "path", "left_semi").select("path").distinct()
+    alone = changed.join(sent(wanted.select("path")), "path", "left_anti").select("path", F.lit("unexpected").alias("problem"), F.lit(None).cast("string").alias("expected"))
+    there = changed.join(sent(wanted.select("path")), "path", "left_semi").select("path").distinct()
     missing = wanted.select("path").distinct().join(there, "path", "left_anti").select("path", F.lit("missing").alias("problem"), F.lit(None).cast("string").alias("expected"))
     return wrong.unionByName(alone).unionByName(missing)

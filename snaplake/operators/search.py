@@ -15,14 +15,14 @@ K1, B, RRF = 1.2, 0.75, 60
 def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, last_as_prefix: bool = False) -> DataFrame:
     """(id, score) of documents with at least one of the query's words.
 
-    One pass counts each document's length and its words that the query has, so that only those leave the
-    scan; numbers of documents, lengths and document frequencies are aggregates of it.
+    One pass over the texts counts each document's length and its words that the query has, and is written to
+    the shared folder; numbers of documents, lengths and document frequencies are aggregates of it.
     """
     words = list(dict.fromkeys(_words(query)))
     exact, prefix = (words[:-1], words[-1:]) if last_as_prefix else (words, [])
     found = tokens(F.coalesce(F.col(text_col), F.lit("")))
     wanted = lambda w: w.isin(exact) | w.startswith(prefix[0]) if exact and prefix else (w.startswith(prefix[0]) if prefix else w.isin(exact))
-    base = docs.select(F.col(id_col).alias("id"), found.alias("w")).select("id", F.size("w").alias("len"), F.filter("w", wanted).alias("hits"))
+    base = durable(docs.select(F.col(id_col).alias("id"), found.alias("w")).select("id", F.size("w").alias("len"), F.filter("w", wanted).alias("hits")))
     stats = base.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))
     terms = base.select("id", "len", F.explode("hits").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     freq = terms.groupBy("term").agg(F.count("*").alias("df"))
@@ -47,6 +47,17 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return scores.orderBy(F.desc("score"), "id").limit(k)
 
 
+def recent(rows: DataFrame, id_col: str, time_col: str, k: int) -> DataFrame:
+    """(id, score) of the k ids with the latest times, ties by the larger id; score is the time in seconds. Rows without a time come last."""
+    latest = rows.groupBy(F.col(id_col).alias("id")).agg(F.max(time_col).alias("at"))
+    return latest.orderBy(F.desc_nulls_last("at"), F.desc("id")).limit(k).select("id", F.col("at").cast("timestamp").cast("double").alias("score"))
+
+
+def placed(best: DataFrame) -> DataFrame:
+    """A few best rows (a top-k result) with their place, from 1."""
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "id")))
+
+
 def ranked(scores: DataFrame) -> DataFrame:
     """(id, r) with r = 1, 2, ... by descending score, ties by id, for all rows.
 

@@ -49,6 +49,20 @@ def page(sessions: DataFrame, limit: int = 50, cursor: str | None = None, id_col
     return sessions.orderBy(F.desc_nulls_last(time_col), F.desc(id_col)).limit(max(1, min(200, limit)) + 1)
 
 
+def listed(sessions: DataFrame, tool: str | None = None, cwd: str | None = None, since: str | None = None, query: str | None = None, tenant: Column | None = None) -> DataFrame:
+    """Sessions of a tool and folder that were active since a time (as text; none: before any), that the query occurs in and that belong to the tenant."""
+    parts = [F.col(c) == F.lit(v) for c, v in (("tool", tool), ("cwd", cwd)) if v is not None]
+    if since is not None:
+        parts.append(F.coalesce(F.col("last_active").cast("string"), F.lit("")) >= since)
+    if query:
+        parts.append(matches_query(query, ["id", "tool", "cwd", "title"]))
+    if tenant is not None:
+        parts.append(tenant)
+    for p in parts:
+        sessions = sessions.where(p)
+    return sessions
+
+
 def matches_query(query: str, columns: list[str]) -> Column:
     """The query occurs in the columns, joined by blanks, whatever the case."""
     return F.contains(F.lower(F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))), F.lit(query.lower()))

@@ -13,10 +13,10 @@ def manifest_diff(local: DataFrame, remote: DataFrame, removed: bool = False) ->
     return both.where("not here <=> there").select("path", F.coalesce("here", "there").alias("sha256"), status.alias("status"))
 
 
-def manifest_root(files: DataFrame, buckets: int = 4096) -> DataFrame:
-    """(n, root): one digest of all files, whatever their order. Digests of buckets (by the path's hash) are hashed in turn, so that no task sees all files."""
+def manifest_root(files: DataFrame, digits: int = 3) -> DataFrame:
+    """(n, root): one digest of all files, whatever their order. Digests of buckets (16 to the power of digits, by the path's hash) are hashed in turn, so that no task sees all files."""
     leaf = F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat_ws("\t", "path", "sha256")))), 256)
-    part = files.groupBy(F.substring(F.sha2("path", 256), 1, 3).alias("bucket")).agg(leaf.alias("leaf"), F.count("*").alias("n"))
+    part = files.groupBy(F.substring(F.sha2("path", 256), 1, digits).alias("bucket")).agg(leaf.alias("leaf"), F.count("*").alias("n"))
     return part.agg(F.sum("n").alias("n"), F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat_ws("\t", "bucket", "leaf")))), 256).alias("root"))
 
 
@@ -32,8 +32,8 @@ def claim(queue: DataFrame, now: Column, n: int) -> DataFrame:
 
 
 def after_claim(queue: DataFrame, claimed: DataFrame, now: Column) -> DataFrame:
-    """The queue with the claimed rows in flight. A claim is a small batch."""
-    marked = queue.join(F.broadcast(claimed.withColumn("_c", F.lit(True))), ["path", "sha256"], "left")
+    """The queue with the claimed rows in flight. Spark broadcasts a claim if its size allows."""
+    marked = queue.join(claimed.withColumn("_c", F.lit(True)), ["path", "sha256"], "left")
     return marked.withColumn("status", F.when(F.col("_c"), "in_flight").otherwise(F.col("status"))).withColumn("updated_at", F.when(F.col("_c"), now).otherwise(F.col("updated_at"))).drop("_c").select(*queue.columns)
 
 

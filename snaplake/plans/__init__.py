@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from snaplake.plans import analytics, builder, changes, extras, logs, transfers
+from snaplake.plans import analytics, builder, changes, extras, logs, requests, transfers
 
-MODULES = (builder, changes, analytics, logs, extras, transfers)
+MODULES = (builder, changes, analytics, logs, extras, transfers, requests)
 
 
 def queries() -> dict:

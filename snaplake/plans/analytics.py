@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from snaplake.functions import text as T
 from snaplake.operators import aggregate as agg
-from snaplake.operators import filters, search
+from snaplake.operators import filters, rollups, search
 
 QUERIES, SQL = {}, {}
 NOW = datetime(2024, 1, 20)
@@ -89,7 +89,7 @@ def error_breakdown(spark, d):
 
 @query("SELECT event_type AS run_id, count(*) AS total, count(*) FILTER (value > 10) AS running, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1")
 def runs_rollup(spark, d):
-    return _events(spark, d).groupBy(F.col("event_type").alias("run_id")).agg(F.count("*").alias("total"), F.count_if(F.col("value") > 10).alias("running"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+    return rollups.run_rollup(_events(spark, d), "event_type", F.col("value") > 10, "ts")
 
 
 @query("SELECT doc_id, CASE WHEN quality > 0 THEN round(toxic / quality, 4) ELSE CAST(toxic AS DOUBLE) END AS score FROM labels")
@@ -99,7 +99,7 @@ def rubric_normalise(spark, d):
 
 @query("SELECT source, count(*) AS files, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, max(doc_id) AS newest FROM documents GROUP BY 1")
 def source_summary(spark, d):
-    return _docs(spark, d).groupBy("source").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes"), F.max("doc_id").alias("newest"))
+    return rollups.source_summary(_docs(spark, d), "source", F.octet_length("text"), "doc_id")
 
 
 @query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
@@ -126,7 +126,7 @@ def search_hybrid(spark, d):
 
 @query("SELECT user_id AS id, max(ts) AS last_active FROM events GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 30")
 def search_recent(spark, d):
-    return _events(spark, d).groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("last_active")).orderBy(F.desc("last_active"), F.desc("id")).limit(30)
+    return search.recent(_events(spark, d), "user_id", "ts", 30).select("id", F.timestamp_seconds("score").alias("last_active"))
 
 
 @query(r"""SELECT doc_id, regexp_replace(lower(text), '[!-/:-@\[-`{-~\s]+', '', 'g') AS plain FROM documents""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from snaplake.functions import text as T
-from snaplake.operators import filters
+from snaplake.operators import filters, rollups
 from snaplake.operators import sessions as S
 from snaplake.sources import transcripts
 
@@ -70,16 +70,16 @@ def scrub_hits(spark, d):
     return hits.groupBy(F.col("h.rule").alias("rule")).agg(F.sum("h.n").alias("n"), F.count("*").alias("docs"))
 
 
-@query("SELECT event_id, 'event ' || event_type AS agent, CASE WHEN length(event_type || '-' || user_id) > 12 THEN substr(event_type || '-' || user_id, 1, 8) || '...' ELSE '***' END AS auth FROM events")
+@query("SELECT event_id, 'event ' || event_type AS agent, CASE WHEN length(event_type || '-' || user_id) > 12 THEN substr(event_type || '-' || user_id, 1, 8) || '...[REDACTED]' ELSE '[REDACTED]' END AS auth FROM events")
 def header_redaction(spark, d):
     headers = F.create_map(F.lit("User-Agent"), F.concat(F.lit("event "), "event_type"), F.lit("Authorization"), F.concat("event_type", F.lit("-"), F.col("user_id").cast("string")))
-    out = _table(spark, d, "events").select("event_id", T.redacted_headers(headers, ["authorization"]).alias("h"))
+    out = _table(spark, d, "events").select("event_id", T.redacted_headers(headers).alias("h"))
     return out.select("event_id", F.col("h")["User-Agent"].alias("agent"), F.col("h")["Authorization"].alias("auth"))
 
 
 @query("SELECT event_type, min(ts) AS oldest, max(ts) AS newest FROM events WHERE event_id % 4 = 2 GROUP BY 1")
 def queue_oldest(spark, d):
-    return _table(spark, d, "events").where("event_id % 4 = 2").groupBy("event_type").agg(F.min("ts").alias("oldest"), F.max("ts").alias("newest"))
+    return rollups.waiting_since(_table(spark, d, "events").where("event_id % 4 = 2"), "ts", ["event_type"])
 
 
 @query("SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, arg_min(url, (length(url), url)) AS url FROM pages GROUP BY 1")
@@ -92,7 +92,7 @@ def file_lookup_prefer_shortest(spark, d):
 @query("SELECT source, count(l.quality) AS n, round(avg(l.quality), 6) AS pass_rate FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY 1")
 def job_pass_rate(spark, d):
     joined = _table(spark, d, "documents").select("doc_id", "source").join(_table(spark, d, "labels"), "doc_id", "left")
-    return joined.groupBy("source").agg(F.count("quality").alias("n"), F.round(F.avg("quality"), 6).alias("pass_rate"))
+    return rollups.job_rollup(joined, "source", "quality")
 
 
 @query("WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 13 = 1 THEN '' ELSE source END AS source FROM documents) SELECT doc_id FROM d WHERE text IS NULL OR text = '' OR source IS NULL OR source = ''")
@@ -105,8 +105,7 @@ def required_field_check(spark, d):
 @query("SELECT 'lang' AS field, lang AS value, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY 2")
 def fabric_aggregate(spark, d):
     """Counts by each of several fields in one pass."""
-    docs = _table(spark, d, "documents").select("lang", "source")
-    return docs.unpivot([], ["lang", "source"], "field", "value").groupBy("field", "value").agg(F.count("*").alias("n"))
+    return rollups.counts_by_each(_table(spark, d, "documents"), ["lang", "source"])
 
 
 @query("""SELECT conv_id::VARCHAR AS session_id, turn + 1 AS line_no, CASE role WHEN 'user' THEN 'user_message' WHEN 'assistant' THEN 'assistant_message' WHEN 'system' THEN 'lifecycle' ELSE 'opaque' END AS type, length(text) AS n FROM conversations""")

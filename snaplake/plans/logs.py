@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from snaplake.catalog import shared_folder
 from snaplake.operators import sessions as S
-from snaplake.operators import sync
+from snaplake.operators import rollups, sync
 from snaplake.streaming import tail
 
 QUERIES, SQL = {}, {}
@@ -121,7 +121,7 @@ _QUEUE = "q AS (SELECT 'p' || user_id AS path, md5(event_id::VARCHAR) AS sha256,
 
 @query(f"WITH {_QUEUE} SELECT status, count(*) AS n FROM q GROUP BY 1")
 def queue_stats(spark, d):
-    return _queue(spark, d).groupBy("status").agg(F.count("*").alias("n"))
+    return rollups.queue_stats(_queue(spark, d))
 
 
 @query(f"WITH {_QUEUE} SELECT path, sha256 FROM q WHERE status = 'pending' AND next_attempt_at <= TIMESTAMP '2024-01-20' ORDER BY enqueued_at, path, sha256 LIMIT 32")
