@@ -8,8 +8,11 @@ lists, from its medoid: greedily towards the query, then from everything found w
 until no neighbour lies in it. Pairs found are verified by cosine in double precision. The audit
 compares the links of a sample of nodes with brute force over their labels.
 
-Shards have a bounded size: a label gets as many centres as its number of nodes asks for, and what is over
-`2 * shard` nodes all the same is cut again by hash, its parts searched pairwise.
+Shards have a bounded size. The first centres are `CENTRES` at most over all labels; a shard that comes out
+with over four times its size is cut again around centres of its own, fitted on a sample of its nodes in the
+cluster, and so on down, however many nodes there are. Only where a shard is dense, most of its nodes being
+links of one another, is it cut by hash instead and its parts searched pairwise: its links then grow with the
+square of its nodes, as counts of links need them all.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from snaplake.llm.common import connected_components, durable
 COSINE = 0.93
 #: Nodes of a shard on average, shards of each node, sampled vectors to fit centres, most centres.
 SHARD, OVERLAP, SAMPLE, CENTRES = 600, 3, 20_000, 4_000
+#: Shards cut again: centres of each at most, shards of each node, sampled nodes to fit them, part of the sample's pairs that link in a dense one, rounds.
+FINER, FINER_OVERLAP, FINER_SAMPLE, DENSE, ROUNDS = 64, 2, 1_000, 0.05, 12
 #: Robust pruning: neighbours of a node and the distance factor; width of the greedy search.
 DEGREE, ALPHA, BEAM = 24, 1.2, 48
 
@@ -141,16 +146,38 @@ def nodes_of(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> D
     return chosen.mapInArrow(scan, "vec_id long, label string, unit binary")
 
 
-def vector_links(nodes: DataFrame, least: float = COSINE, shard: int = SHARD, overlap: int = OVERLAP) -> DataFrame:
-    """Links (a < b: node) of nodes (node long, label string, unit binary), each pair once."""
+def _by_key(work, names: list[str]):
+    """For mapInArrow: work(batch) of all rows that agree in the columns names; they come one after the other."""
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in names)))
+            start = 0
+            for k in range(1, len(keys) + 1):
+                if k == len(keys) or keys[k] != keys[start]:
+                    if keys[start] != key and held:
+                        yield from work(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                        held = []
+                    key = keys[start]
+                    held.append(batch.slice(start, k - start))
+                    start = k
+        if held:
+            yield from work(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return run
+
+
+def first_shards(nodes: DataFrame, shard: int, overlap: int, most: int) -> DataFrame:
+    """(node, label, place: string, home, unit): a row for each shard of a node; home: its nearest one."""
     spark = nodes.sparkSession
     counts = nodes.groupBy("label").count()
     total = nodes.count()
     part = min(1.0, SAMPLE / max(1, total))
     # what the driver gets is bounded by SAMPLE vectors, of each label in proportion
     taken = nodes.where((F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1_000_000)) < int(part * 1_000_000) + 1)).limit(2 * SAMPLE).toPandas()
-    sizes = {r["label"]: r["count"] for r in counts.orderBy(F.desc("count"), "label").limit(CENTRES).collect()}
-    centres, left = {}, CENTRES
+    sizes = {r["label"]: r["count"] for r in counts.orderBy(F.desc("count"), "label").limit(most).collect()}
+    centres, left = {}, most
     for label, rows in taken.groupby("label"):
         n = min(left, max(1, round(sizes.get(label, 0) / shard)), len(rows))
         if n > 1:
@@ -159,49 +186,101 @@ def vector_links(nodes: DataFrame, least: float = COSINE, shard: int = SHARD, ov
     shared = spark.sparkContext.broadcast(centres)
 
     def assign(batches):
-        """A row for each shard of a node; home: its nearest one."""
         for batch in batches:
+            if not batch.num_rows:
+                continue
             labels, vectors = np.array(batch.column("label").to_pylist(), object), _matrix(batch.column("unit"))
             node, place, home = [], [], []
             for label in set(labels.tolist()):
                 rows = np.flatnonzero(labels == label)
                 centre = shared.value.get(label)
-                if centre is None:
-                    near = np.zeros((len(rows), 1), int)
-                else:
-                    near = np.argsort(-(vectors[rows] @ centre.T), axis=1, kind="stable")[:, :overlap]
+                near = np.zeros((len(rows), 1), int) if centre is None else np.argsort(-(vectors[rows] @ centre.T), axis=1, kind="stable")[:, :overlap]
                 for k in range(near.shape[1]):
                     node.append(rows)
                     place.append(near[:, k])
                     home.append(np.full(len(rows), k == 0))
             rows = np.concatenate(node)
             take = pa.array(rows)
-            yield pa.record_batch([batch.column("node").take(take), batch.column("label").take(take), pa.array(np.concatenate(place), pa.int32()), pa.array(np.concatenate(home)), batch.column("unit").take(take)], names=["node", "label", "place", "home", "unit"])
+            places = pa.array([str(x) for x in np.concatenate(place).tolist()])
+            yield pa.record_batch([batch.column("node").take(take), batch.column("label").take(take), places, pa.array(np.concatenate(home)), batch.column("unit").take(take)], names=["node", "label", "place", "home", "unit"])
+
+    return nodes.select("node", "label", "unit").mapInArrow(assign, "node long, label string, place string, home boolean, unit binary")
 
-    members = nodes.select("node", "label", "unit").mapInArrow(assign, "node long, label string, place int, home boolean, unit binary")
-    # shards that came out too large are cut by hash; each part is searched for every home part
+
+def finer_shards(members: DataFrame, crowded: DataFrame, shard: int, least: float) -> DataFrame:
+    """The members of crowded shards (label, place, n) in smaller ones, or in the same if that is dense (parts > 1).
+
+    Centres are fitted on a sample of each shard's nodes by one task a shard, and dealt out to as many tasks as
+    read its nodes.
+    """
+    own = members.join(crowded, ["label", "place"])
+    sampled = own.where(F.pmod(F.xxhash64("node", F.lit(5)), F.col("n")) < FINER_SAMPLE)
+
+    def fit(batch):
+        vectors, n = _matrix(batch.column("unit")), batch.column("n")[0].as_py()
+        cosine = vectors @ vectors.T
+        dense = (np.count_nonzero(cosine >= least) - len(vectors)) > DENSE * max(1, len(vectors) * (len(vectors) - 1))
+        k = 1 if dense else max(2, min(FINER, -(-n // shard), len(vectors)))
+        yield pa.record_batch([batch.column("label").slice(0, 1), batch.column("place").slice(0, 1), pa.array([n], pa.int64()), pa.array([None if k == 1 else centres_of(vectors, k).tobytes()], pa.binary())], names=["label", "place", "n", "centres"])
+
+    ordered = sampled.select("label", "place", "n", "node", "unit").repartition("label", "place").sortWithinPartitions("label", "place", "node")
+    fitted = durable(ordered.mapInArrow(_by_key(fit, ["label", "place"]), "label string, place string, n long, centres binary"))
+    salts = F.ceil(F.col("n") / 50_000).cast("int")
+    copies = fitted.select("label", "place", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "centres", F.lit(None).cast("long").alias("node"), F.lit(None).cast("boolean").alias("home"), F.lit(None).cast("binary").alias("unit"))
+    dealt = own.select("label", "place", F.pmod(F.xxhash64("node", F.lit(6)), salts).cast("int").alias("salt"), F.lit(None).cast("binary").alias("centres"), "node", "home", "unit")
+
+    def assign(batches):
+        key, centre = None, None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("label", "place", "salt"))))
+            cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for low, high in zip(cuts, cuts[1:]):
+                part = batch.slice(low, high - low)
+                if keys[low] != key:
+                    key, blob = keys[low], part.column("centres")[0].as_py()
+                    part = part.slice(1)
+                    centre = None if blob is None else blob
+                if not part.num_rows:
+                    continue
+                vectors = _matrix(part.column("unit"))
+                if centre is None:
+                    rows, sub, nearest = np.arange(len(vectors)), [key[1] + "|"] * len(vectors), np.ones(len(vectors), bool)
+                else:
+                    near = np.argsort(-(vectors @ np.frombuffer(centre, np.float64).reshape(-1, vectors.shape[1]).T), axis=1, kind="stable")[:, :FINER_OVERLAP]
+                    rows = np.repeat(np.arange(len(vectors)), near.shape[1])
+                    sub = [f"{key[1]}.{x}" for x in near.ravel().tolist()]
+                    nearest = np.tile(np.arange(near.shape[1]) == 0, len(vectors))
+                take = pa.array(rows)
+                home = part.column("home").to_numpy(zero_copy_only=False).astype(bool)[rows] & nearest
+                yield pa.record_batch([part.column("node").take(take), part.column("label").take(take), pa.array(sub), pa.array(home), part.column("unit").take(take)], names=["node", "label", "place", "home", "unit"])
+
+    keyed = ["label", "place", "salt"]
+    work = copies.unionByName(dealt).repartition(*keyed).sortWithinPartitions(*keyed, F.col("node").asc_nulls_first())
+    return work.mapInArrow(assign, "node long, label string, place string, home boolean, unit binary")
+
+
+def shards_of(nodes: DataFrame, least: float, shard: int, overlap: int, most: int) -> DataFrame:
+    """(node, label, place, home, unit, part, parts): dense shards, whose places end in |, have several parts, others one."""
+    members = durable(first_shards(nodes, shard, overlap, most))
+    done = []
+    for _ in range(ROUNDS):
+        sized = members.groupBy("label", "place").agg(F.count("*").alias("n"))
+        crowded = durable(sized.where((F.col("n") > 4 * shard) & ~F.col("place").endswith("|")))
+        if crowded.isEmpty():
+            break
+        done.append(members.join(crowded.drop("n"), ["label", "place"], "left_anti"))
+        members = durable(finer_shards(members, crowded, shard, least))
+        # a node may come into one shard by two ways
+        members = members.groupBy("node", "label", "place").agg(F.max("home").alias("home"), F.min("unit").alias("unit"))
+    for more in done:
+        members = members.unionByName(more)
     crowd = members.groupBy("label", "place").agg(F.ceil(F.count("*") / (4 * shard)).cast("int").alias("parts"))
-    members = members.join(crowd, ["label", "place"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    members = durable(members)
-
-    def by_shard(work, names):
-        def run(batches):
-            key, held = None, []
-            for batch in batches:
-                keys = list(zip(*(batch.column(c).to_pylist() for c in ("label", "place", "part"))))
-                start = 0
-                for k in range(1, len(keys) + 1):
-                    if k == len(keys) or keys[k] != keys[start]:
-                        if keys[start] != key and held:
-                            yield from work(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-                            held = []
-                        key = keys[start]
-                        held.append(batch.slice(start, k - start))
-                        start = k
-            if held:
-                yield from work(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-
-        return run
+    return durable(members.join(crowd, ["label", "place"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
+
+
+def vector_links(nodes: DataFrame, least: float = COSINE, shard: int = SHARD, overlap: int = OVERLAP, most: int = CENTRES) -> DataFrame:
+    """Links (a < b: node) of nodes (node long, label string, unit binary), each pair once."""
+    members = shards_of(nodes, least, shard, overlap, most)
 
     def build(batch):
         vectors, ids = _matrix(batch.column("unit")), batch.column("node").to_numpy()
@@ -211,18 +290,15 @@ def vector_links(nodes: DataFrame, least: float = COSINE, shard: int = SHARD, ov
         for i in range(0, len(a), 50_000):
             yield pa.record_batch([pa.array(ids[a[i : i + 50_000]]), pa.array(ids[b[i : i + 50_000]])], names=["node", "next"])
 
-    sharded = members.repartition("label", "place", "part").sortWithinPartitions("label", "place", "part", "node")
-    edges = sharded.mapInArrow(by_shard(build, None), "node long, next long")
+    keys = ["label", "place", "part"]
+    sharded = members.repartition(*keys).sortWithinPartitions(*keys, "node")
+    edges = sharded.mapInArrow(_by_key(build, keys), "node long, next long")
     united = edges.groupBy("node").agg(F.sort_array(F.collect_set("next")).alias("next"))
-    # every part of a shard meets every home part: one copy of the part's nodes for each
+    # every part of a dense shard meets every home part: one copy of the part's nodes for each
     asked = members.withColumn("asks", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(united, "node", "left")
-    fields = asked.select("label", "place", "part", "asks", "node", "unit", "next", F.lit(None).cast("boolean").alias("query"))
-    queries = members.where("home and parts > 1").withColumn("into", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("into <> part")
-    queries = queries.select("label", "place", F.col("into").alias("part"), F.col("part").alias("asks"), "node", "unit", F.lit(None).cast("array<long>").alias("next"), F.lit(True).alias("query"))
-    own = members.where("home").select("label", "place", "part", F.col("part").alias("asks"), F.col("node").alias("home_node"))
-    fields = fields.join(own, (fields.label == own.label) & (fields.place == own.place) & (fields.part == own.part) & (fields.asks == own.asks) & (fields.node == own.home_node), "left").select(fields.label, fields.place, fields.part, fields.asks, "node", "unit", "next", F.col("home_node").isNotNull().alias("query"), F.lit(True).alias("member"))
-    fields = fields.unionByName(queries.withColumn("member", F.lit(False)))
-    packed = fields.withColumn("part", F.col("part") * 65_536 + F.col("asks"))
+    inside = asked.select(*keys, "asks", "node", "unit", "next", (F.col("home") & (F.col("asks") == F.col("part"))).alias("query"), F.lit(True).alias("member"))
+    into = members.where("home and parts > 1").withColumn("into", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("into <> part")
+    guests = into.select("label", "place", F.col("into").alias("part"), F.col("part").alias("asks"), "node", "unit", F.lit(None).cast("array<long>").alias("next"), F.lit(True).alias("query"), F.lit(False).alias("member"))
 
     def probe(batch):
         member = batch.column("member").to_numpy(zero_copy_only=False)
@@ -249,8 +325,9 @@ def vector_links(nodes: DataFrame, least: float = COSINE, shard: int = SHARD, ov
         for i in range(0, len(pairs), 50_000):
             yield pa.record_batch([pa.array(pairs[i : i + 50_000, 0]), pa.array(pairs[i : i + 50_000, 1])], names=["a", "b"])
 
-    work = packed.repartition("label", "place", "part").sortWithinPartitions("label", "place", "part", "node", "member")
-    return work.mapInArrow(by_shard(probe, None), "a long, b long").distinct()
+    keys = [*keys, "asks"]
+    work = inside.unionByName(guests).repartition(*keys).sortWithinPartitions(*keys, "node", "member")
+    return work.mapInArrow(_by_key(probe, keys), "a long, b long").distinct()
 
 
 def _joined(vectors: np.ndarray, graph: list[np.ndarray]) -> list[np.ndarray]:
@@ -277,7 +354,7 @@ def _joined(vectors: np.ndarray, graph: list[np.ndarray]) -> list[np.ndarray]:
     return graph
 
 
-def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = COSINE) -> DataFrame:
+def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = COSINE, shard: int = SHARD, overlap: int = OVERLAP, most: int = CENTRES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row with an id.
 
     Vectors of one label that isn't null link if their cosine is `least` or more. Null vectors, zero vectors
@@ -291,7 +368,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     padded = F.when(F.octet_length("unit") < width, F.concat("unit", F.unhex(F.repeat(F.lit("00"), F.lit(width) - F.octet_length("unit"))))).otherwise(F.col("unit"))
     every = every.withColumn("unit", padded)
     alike = durable(every.where("unit is not null and label is not null").groupBy("label", "unit").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")))
-    links = durable(vector_links(alike, least))
+    links = durable(vector_links(alike, least, shard, overlap, most))
     sized = alike.select("node", "n")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     partners = both.join(sized, F.col("b") == F.col("node")).groupBy("a").agg(F.sum("n").alias("others"))
@@ -303,43 +380,31 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
-def audit(rows: DataFrame, links: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = COSINE, every_nth: int = 50) -> DataFrame:
-    """(found, there, recall): links with partners of the vectors whose id every_nth divides, against brute force in blocks.
+def audit(rows: DataFrame, links: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = COSINE, every_nth: int = 50, block: int = 2_000) -> DataFrame:
+    """(found, there, recall): links with partners of the vectors whose id every_nth divides, against all vectors of their labels.
 
-    links: near_vectors' result. The queries are broadcast in blocks of 2,000 and compared with all rows.
+    links: near_vectors' result. Vectors and queries are packed in blocks of about `block` by label, and blocks
+    of one label are compared by one task each; nothing passes through the driver. Ids are taken as unique.
     """
-    spark = rows.sparkSession
-    nodes = nodes_of(rows, id_col, vector_col, label_col).where("unit is not null and label is not null")
+    nodes = durable(nodes_of(rows, id_col, vector_col, label_col).where("unit is not null and label is not null and vec_id is not null"))
+
+    def blocks(chosen: DataFrame, name: str) -> DataFrame:
+        parts = chosen.groupBy("label").agg(F.ceil(F.count("*") / block).alias("parts"))
+        numbered = chosen.join(parts, "label").withColumn("number", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+        return numbered.groupBy("label", "number").agg(F.collect_list(F.struct("vec_id", "unit")).alias(name)).drop("number")
+
     asked = nodes.where(f"vec_id % {int(every_nth)} = 0")
-    found = []
-    block = []
-
-    def compare(block):
-        shared = spark.sparkContext.broadcast(([r[0] for r in block], np.array([r[1] for r in block], object), np.stack([np.frombuffer(r[2], np.float64) for r in block])))
-
-        def scan(batches):
-            ids, labels, vectors = shared.value
-            total = np.zeros(len(ids), np.int64)
-            for batch in batches:
-                here, own = _matrix(batch.column("unit")), np.array(batch.column("label").to_pylist(), object)
-                node = batch.column("vec_id").to_numpy()
-                hit = (vectors @ here.T >= least) & (labels[:, None] == own[None, :]) & (np.array(ids)[:, None] != node[None, :])
-                total += hit.sum(axis=1)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(total)], names=["vec_id", "there"])
-
-        return nodes.mapInArrow(scan, "vec_id long, there long").groupBy("vec_id").agg(F.sum("there").alias("there"))
-
-    for row in asked.toLocalIterator():
-        block.append(tuple(row))
-        if len(block) == 2000:
-            found.append(compare(block))
-            block = []
-    if block:
-        found.append(compare(block))
-    if not found:
-        return spark.createDataFrame([(0, 0, 1.0)], "found long, there long, recall double")
-    there = found[0]
-    for part in found[1:]:
-        there = there.unionByName(part)
+    couples = blocks(asked, "queries").join(blocks(nodes, "others"), "label").select("queries", "others")
+
+    def compare(batches):
+        for batch in batches:
+            for queries, others in zip(batch.column("queries").to_pylist(), batch.column("others").to_pylist()):
+                left, right = (np.stack([np.frombuffer(x["unit"], np.float64) for x in side]) for side in (queries, others))
+                mine, theirs = (np.array([x["vec_id"] for x in side]) for side in (queries, others))
+                hit = (left @ right.T >= least) & (mine[:, None] != theirs[None, :])
+                yield pa.record_batch([pa.array(mine), pa.array(hit.sum(axis=1))], names=["vec_id", "n"])
+
+    there = couples.repartition(nodes.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(compare, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("there"))
     both = there.join(links.select("vec_id", "n_links"), "vec_id")
-    return both.agg(F.sum("n_links").alias("found"), F.sum("there").alias("there")).withColumn("recall", F.when(F.col("there") > 0, F.col("found") / F.col("there")).otherwise(1.0))
+    sums = both.agg(F.coalesce(F.sum("n_links"), F.lit(0)).alias("found"), F.coalesce(F.sum("there"), F.lit(0)).alias("there"))
+    return sums.withColumn("recall", F.when(F.col("there") > 0, F.col("found") / F.col("there")).otherwise(1.0))

@@ -61,6 +61,59 @@ def test_embedding_recall_and_oracle(spark, sf_dir):
     assert sorted(map(tuple, out.select("vec_id", "n_links", "component_id", "kept").collect())) == sorted(expected)
 
 
+def planted(rng, groups, alone, width=64, labels=3):
+    """Vectors in groups whose members are some 0.9 to 0.99 alike, others alone."""
+    rows = []
+    for g in range(groups):
+        base = rng.normal(size=width)
+        for _ in range(int(rng.integers(2, 12))):
+            rows.append(((base + rng.normal(size=width) * rng.uniform(0.1, 0.3)).tolist(), g % labels))
+    rows += [(rng.normal(size=width).tolist(), int(rng.integers(0, labels))) for _ in range(alone)]
+    order = rng.permutation(len(rows))
+    return [(int(i), *rows[k], "x") for i, k in enumerate(order)]
+
+
+def test_recall_where_there_are_links(spark):
+    rows = planted(np.random.default_rng(21), 900, 3_000)
+    frame = vectors_table(spark, rows).repartition(4)
+    out = embeddings.near_vectors(frame).cache()
+    checked = embeddings.audit(frame, out, every_nth=1).first()
+    assert checked.there > 4_000 and 0.9 <= checked.recall <= 1
+    unit = np.array([r[1] for r in rows], np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    label = np.array([r[2] for r in rows])
+    links = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])
+    assert checked.there == links.sum() - len(rows)
+    every = embeddings.audit(frame, out, every_nth=50, block=100).first()
+    assert every.there == (links.sum(axis=1) - 1)[::50].sum()
+
+
+def test_shards_are_cut_again_where_centres_are_few(spark):
+    rng = np.random.default_rng(22)
+    rows = planted(rng, 200, 700, width=16, labels=1)
+    base = rng.normal(size=16)
+    rows += [(10_000 + i, (base + rng.normal(size=16) * 0.08).tolist(), 0, "x") for i in range(150)]  # a dense group larger than a shard
+    frame = vectors_table(spark, rows).repartition(4)
+    out = embeddings.near_vectors(frame, shard=12, overlap=3, most=4).cache()
+    checked = embeddings.audit(frame, out, every_nth=1).first()
+    assert checked.there > 15_000 and 0.9 <= checked.recall <= 1
+    nodes = embeddings.nodes_of(frame, "vec_id", "embedding", "label").withColumnRenamed("vec_id", "node")
+    sizes = embeddings.shards_of(nodes, 0.93, 12, 3, 4).groupBy("place", "part").count().collect()
+    assert max(r["count"] for r in sizes) <= 4 * 12 * 2 and any("." in r.place for r in sizes) and any(r.place.endswith("|") for r in sizes)
+
+
+def test_links_at_the_threshold(spark):
+    a, b = [1.0, 0.0], [0.93, (1 - 0.93**2) ** 0.5]
+    rows = [(1, a, 0, "x"), (2, b, 0, "x"), (3, [0.929, (1 - 0.929**2) ** 0.5], 0, "x")]
+    wide = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, label_2 string")
+    unit = np.array([r[1] for r in rows])
+    unit /= np.abs(unit).max(axis=1)[:, None]
+    unit /= np.sqrt((unit**2).sum(axis=1))[:, None]
+    links = [[j for j in range(3) if j != i and (unit[i] * unit[j]).sum() >= 0.93] for i in range(3)]
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(wide).collect()}
+    assert got == {i + 1: len(x) for i, x in enumerate(links)}
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     scored = queries()["op7_quality"](spark, sf)
