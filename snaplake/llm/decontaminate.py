@@ -5,7 +5,7 @@ fall into size classes by powers of two of their shingle count. An item's sketch
 hashes (bottom-m MinHash) with m = n - ceil(least * n) + 1: a document without any of these lacks too many
 shingles to hold `least` of them, so no leak is missed however long the document is. Each class has a
 largest sketch hash; a document's shingles beyond it need no lookup in that class. Candidates are verified
-by exact containment of their shingle sets.
+by exact containment of their shingle sets: by hashes first, then by the words themselves.
 
 Items are taken in blocks of bounded size, each broadcast once, and every block passes over the documents:
 what a task holds grows neither with the documents nor with the benchmark, and documents are not shuffled.
@@ -45,8 +45,8 @@ def tokens_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def unique_shingles(hashed: np.ndarray, words: int = WORDS) -> np.ndarray:
-    """Different hashes, sorted, of the runs of `words` words with these hashes. Fewer words: one run of them all; none: nothing."""
+def all_shingles(hashed: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Hashes, in order, of the runs of `words` words with these hashes. Fewer words: one run of them all; none: nothing."""
     if not len(hashed):
         return np.empty(0, np.uint64)
     n = max(1, len(hashed) - words + 1)
@@ -54,7 +54,12 @@ def unique_shingles(hashed: np.ndarray, words: int = WORDS) -> np.ndarray:
     for k in range(min(words, len(hashed))):
         total += hashed[k : k + n] * _FACTORS[k % 8] + np.uint64(k // 8)
     total = (total ^ (total >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return np.unique(total ^ (total >> np.uint64(29)))
+    return total ^ (total >> np.uint64(29))
+
+
+def unique_shingles(hashed: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """The different ones of all_shingles, sorted."""
+    return np.unique(all_shingles(hashed, words))
 
 
 def shingle_hashes(text: str | None, seen: dict, words: int = WORDS) -> np.ndarray:
@@ -69,10 +74,10 @@ class ItemBlock:
     def __init__(self, items: list[tuple[int, str]], least: float, words: int):
         seen = Hashes()
         self.words, self.least = words, least
-        self.items = [(i, s) for i, t in items if len(s := shingle_hashes(t, seen, words))]
-        sketch = [s[: len(s) - math.ceil(least * len(s) - 1e-9) + 1] for _, s in self.items]
+        self.items = [(i, s, tokens_of(t)) for i, t in items if len(s := shingle_hashes(t, seen, words))]
+        sketch = [s[: len(s) - math.ceil(least * len(s) - 1e-9) + 1] for _, s, _ in self.items]
         self.classes = []
-        size = np.array([len(s).bit_length() for _, s in self.items])
+        size = np.array([len(s).bit_length() for _, s, _ in self.items])
         for c in np.unique(size):
             rows = np.flatnonzero(size == c)
             key = np.concatenate([sketch[r] for r in rows])
@@ -80,8 +85,16 @@ class ItemBlock:
             order = np.argsort(key, kind="stable")
             self.classes.append((key[order].max(), key[order], owner[order]))
 
-    def search(self, shingles: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, shared shingles, item's shingles) of every leak in a document with these sorted shingles."""
+    def runs(self, tokens: list[str], at) -> set[tuple[str, ...]]:
+        return {tuple(tokens[k : k + self.words]) for k in at}
+
+    def search(self, text: str | None, seen: dict) -> list[tuple[int, int, int]]:
+        """(item, shared shingles, item's shingles) of every leak in a document."""
+        tokens = tokens_of(text)
+        every = all_shingles(np.fromiter(map(seen.__getitem__, tokens), np.uint64, len(tokens)), self.words)
+        shingles = np.unique(every)
+        if not len(shingles):
+            return []
         out = []
         for largest, key, owner in self.classes:
             probe = shingles[: np.searchsorted(shingles, largest, "right")]
@@ -93,11 +106,14 @@ class ItemBlock:
                 at = np.searchsorted(probe, key)
                 found = {int(o) for o in owner[probe[np.minimum(at, len(probe) - 1)] == key]} if len(probe) else set()
             for k in sorted(found):
-                item, own = self.items[k]
+                item, own, words = self.items[k]
                 at = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
-                shared = int((shingles[at] == own).sum())
-                if shared >= self.least * len(own) - 1e-9:
-                    out.append((item, shared, len(own)))
+                if int((shingles[at] == own).sum()) < self.least * len(own) - 1e-9:
+                    continue
+                wanted = self.runs(words, range(max(1, len(words) - self.words + 1)))
+                shared = len(wanted & self.runs(tokens, np.flatnonzero(np.isin(every, own)).tolist()))
+                if shared >= self.least * len(wanted) - 1e-9:
+                    out.append((item, shared, len(wanted)))
         return out
 
 
@@ -133,7 +149,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
         def scan(batches, shared=shared):
             seen, items = Hashes(), shared.value
             for batch in batches:
-                rows = [(d, *hit) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for hit in items.search(shingle_hashes(t, seen, words))]
+                rows = [(d, *hit) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for hit in items.search(t, seen)]
                 if rows:
                     yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "item_id", "n_shared", "n_item"])
 
@@ -154,7 +170,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         def scan(batches, shared=shared):
             seen, items = Hashes(), shared.value
             for batch in batches:
-                clean = [not t or not items.search(shingle_hashes(t, seen, words)) for t in batch.column(text_col).to_pylist()]
+                clean = [not t or not items.search(t, seen) for t in batch.column(text_col).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         out = out.mapInArrow(scan, docs.schema)

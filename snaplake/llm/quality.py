@@ -186,15 +186,16 @@ def fold(id_col: str) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> RuleEnsemble:
-    """A model of label_col from labelled rows with fold() not 0, `sample` at most. Null ids, texts or labels are left out; of repeated rows of an id, one counts."""
+    """A model of label_col from labelled rows with fold() not 0, `sample` at most. Null ids, texts or labels are left out; of rows that repeat an id the one with the least text counts, of labels the larger."""
     names = list(features())
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     known = known.where(fold("_id") != 0).groupBy("_id").agg(F.max("_y").alias("_y"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_text is not null")
-    rows = with_features(texts.join(F.broadcast(chosen), "_id"), "_text", [F.col("_id"), F.col("_y")])
+    once = texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.min("_y").alias("_y"))
+    rows = with_features(once, "_text", [F.col("_id"), F.col("_y")])
     frame = rows.select("_id", "_y", *names).toPandas()
-    frame = frame.drop_duplicates("_id").assign(order=lambda f: (f["_id"].to_numpy(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).sort_values("order")
+    frame = frame.assign(order=lambda f: (f["_id"].to_numpy(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).sort_values("order")
     return RuleEnsemble(frame[names].to_numpy(float), frame["_y"].to_numpy(float), names)
 
 

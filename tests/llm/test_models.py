@@ -138,6 +138,68 @@ def test_rules_compile_to_the_same_scores(spark, docs_of):
     assert np.allclose(sorted(got), sorted(model.scores(x[:50])))
 
 
+def brute_features(text):
+    """The statistics of a text by plain Python; regex has the same character classes."""
+    import regex
+
+    words, lines = text.split(), text.split("\n")
+    solid = sum(len(w) for w in words)
+    other = regex.sub(r"[\p{L}\s]+", "", text)
+    per = lambda a, b: a / max(b, 1)
+    n = len(words)
+    plain = [c for c in other if not ("0" <= c <= "9") and c not in ".,;:!?'\"()-"]
+    return {
+        "word_count": n,
+        "word_length": per(solid, n),
+        "upper_share": per(len(regex.findall(r"\p{Lu}", text)), solid),
+        "other_share": per(len(other), solid),
+        "symbol_share": per(len(plain), solid),
+        "digit_share": per(sum("0" <= c <= "9" for c in other), solid),
+        "shout_share": per(text.count("!"), n),
+        "distinct_share": per(len(set(words)), n),
+        "short_share": per(sum(len(w) <= 3 for w in words), n),
+        "stop_share": per(len(regex.findall(r"[.!?](?=\s|$)", text)), n),
+        "line_words": per(n, len(lines)),
+        "distinct_lines": per(len(set(lines)), len(lines)),
+        "longest_word": max(map(len, words), default=0),
+    }
+
+
+def test_statistics_equal_brute_force(spark, docs_of):
+    rng = random.Random(14)
+    texts = ["", " ", "A", "a.b. c!", "!!!", "One. Two? THREE!! 4,5 (six) - x", "line\nline\n\nother", "ünïcödé ÄÖÜ 北京 🙂", "x" * 100_000, "w " * 20_000]
+    texts += ["".join(rng.choice("aB é.!?1 $\n\t-") for _ in range(rng.randint(1, 200))) for _ in range(60)]
+    docs = docs_of([*enumerate(texts), (900, None)])
+    names = list(quality.features())
+    for r in quality.with_features(docs, "text", [docs.doc_id, docs.text]).select("doc_id", "text", *names).collect():
+        expected = brute_features(r.text or "")
+        assert all(abs(r[n] - expected[n]) < 1e-12 for n in names), (r.doc_id, r.text)
+
+
+def test_the_least_text_of_a_repeated_id_is_learned_from(spark, docs_of):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    text = lambda i: "good words stand here. " * 3 if i % 2 else "BAD!! " * 9
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    plain = quality.fit(docs_of([(i, text(i)) for i in ids]), labels)
+    repeated = quality.fit(docs_of([(i, text(i)) for i in ids] + [(i, "z later " * 50) for i in ids]), labels)
+    assert plain.rules == repeated.rules and np.allclose(plain.weights, repeated.weights)
+
+
+def test_a_score_at_the_border_is_accepted(spark, docs_of):
+    class Fixed:
+        def __init__(self, score):
+            self.score = score
+
+        def column(self):
+            from pyspark.sql import functions as F
+
+            return F.lit(self.score)
+
+    docs = docs_of([(1, "a")], _row="x", words="y")
+    assert [quality.quality_scores(docs, Fixed(s)).first().predicted for s in (0.3, 0.29999999)] == [1, 0]
+    assert quality.quality_filter(docs, Fixed(0.3)).collect() == docs.collect() and quality.quality_filter(docs, Fixed(0.29999999)).count() == 0
+
+
 def test_quality_edges(spark, docs_of):
     docs = docs_of([(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "x" * 200_000)], score="s", words="w")
     labels = spark.createDataFrame([(1, 1), (3, None), (None, 0)], "doc_id long, quality int")
