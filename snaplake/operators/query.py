@@ -157,3 +157,8 @@ class Query:
         if (eq is not None and n != eq) or (least is not None and n < least) or (most is not None and n > most):
             raise AssertionError(f"{n} rows of {self.name} match")
         return self
+
+
+def projected(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns in that order; one that rows doesn't have is null."""
+    return rows.select(*(F.col(f"`{n}`") if n in rows.columns else F.lit(None).cast("string").alias(n) for n in names))

@@ -19,6 +19,11 @@ def latest(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     return out.select(key, *(F.col(f"_last.{c}").alias(c) for c in order), *(F.col(f"_last._rest.{c}").alias(c) for c in rest)).select(*log.columns)
 
 
+def freshest(rows: DataFrame, key: str, seen: str) -> DataFrame:
+    """The row of each key that was seen last; rows that were never seen come behind."""
+    return latest(rows, key, [seen])
+
+
 def first_store_wins(stores: list[DataFrame], key: str) -> DataFrame:
     """The rows of all stores, of each key that of the first store that has it."""
     ranked = [s.withColumn("_store", F.lit(-i)) for i, s in enumerate(stores)]

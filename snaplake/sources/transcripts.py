@@ -9,12 +9,21 @@ _ROW = "type string, uuid string, parentUuid string, sessionId string, cwd strin
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of the files' lines; a last line without its end is left out. Each file is one row until it is split, so that numbers are its own."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    tail = F.char_length(F.substring_index("value", "\n", -1))  # of a last line without its end
-    lines = files.withColumn("value", F.substring(F.col("value"), F.lit(1), F.char_length("value") - tail))
-    split = lines.select("file", F.posexplode(F.split("value", "\n")).alias("n", "line")).where("line <> ''")
-    return split.select("file", (F.col("n") + 1).alias("line_no"), "line")
+    """(file, line_no, line) of the files' lines; blank ones count but are left out, and so is a last line without its end.
+
+    Large files are read in blocks by many tasks: lines are numbered within their block, and the blocks of a
+    file are counted. Whether a file's last line has its end, the bytes of its lines tell beside its size.
+    """
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size")]
+    rows = spark.read.option("lineSep", "\n").text(path).select(*meta, F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
+    numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy("file", "start").orderBy("at")))
+    blocks = rows.groupBy("file", "start").agg(F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.min("size").alias("size"))
+    file = Window.partitionBy("file")
+    blocks = blocks.select(
+        "file", "start", F.coalesce(F.sum("n").over(file.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(file).alias("lines"), (F.sum("bytes").over(file) > F.col("size")).alias("open")
+    )
+    placed = numbered.drop("size").join(blocks, ["file", "start"]).withColumn("line_no", F.col("before") + F.col("nth"))
+    return placed.where("line <> '' and not (open and line_no = lines)").select("file", F.col("line_no").cast("int").alias("line_no"), "line")
 
 
 def block_events(lines: DataFrame) -> DataFrame:

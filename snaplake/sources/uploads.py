@@ -44,3 +44,21 @@ def payloads(files: DataFrame, mode: str = "auto") -> DataFrame:
         raise ValueError(f"no mode {mode}")
     clean = files.select("path", F.encode(scrub(complete_lines(F.col("path"), F.col("content"))), "utf-8").alias("raw"))
     return clean.mapInArrow(_compressed(mode), "path string, content binary, codec string, raw_bytes long, stored_bytes long")
+
+
+def unpacked(stored: DataFrame) -> DataFrame:
+    """(path, content) of payloads (path, content, codec): decompressed where the codec says so or, without one, where the content is gzip. Content that is damaged fails the job."""
+    codec = F.col("codec") if "codec" in stored.columns else F.lit(None).cast("string")
+
+    def run(batches):
+        for batch in batches:
+            out = [x if x is None or not (c == "gzip" or c is None and x[:2] == b"\x1f\x8b") else gzip.decompress(x) for x, c in zip(batch.column("content").to_pylist(), batch.column("codec").to_pylist())]
+            yield pa.record_batch([batch.column("path"), pa.array(out, pa.binary())], names=["path", "content"])
+
+    return stored.select("path", "content", codec.alias("codec")).mapInArrow(run, "path string, content binary")
+
+
+def fetched(wanted: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of wanted (path, codec, raw_bytes, stored_bytes, sha256): those that kept (with the same columns and content) doesn't have in that state, and the kept rows that are good."""
+    signature = ["path", "codec", "raw_bytes", "stored_bytes", "sha256"]
+    return wanted.join(kept.select(*signature), signature, "left_anti"), kept.join(wanted.select(*signature), signature, "left_semi")

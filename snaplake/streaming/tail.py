@@ -48,3 +48,34 @@ def deliver(stream: DataFrame, send: Callable[[DataFrame, int], None], checkpoin
                     raise
 
     return stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def reconciled(local: DataFrame, remote: Callable[[], DataFrame], publish: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "600 seconds"):
+    """Each batch of local files (path, sha256) is held against the remote manifest as it is then, and what differs is published; every: the interval, None: once over what is there."""
+    from snaplake.operators.sync import manifest_diff
+
+    def batch(rows: DataFrame, number: int) -> None:
+        newest = rows.groupBy("path").agg(F.max("sha256").alias("sha256"))
+        publish(manifest_diff(newest, remote()), number)
+
+    writer = local.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
+
+
+def progress(stream: DataFrame, status: str, terminal: list[str]) -> DataFrame:
+    """(status, n, done) so far, for a stream written in mode complete; done: whether the status is an end."""
+    return stream.groupBy(F.col(status).alias("status")).agg(F.count("*").alias("n")).withColumn("done", F.col("status").isin(terminal))
+
+
+def write_traffic(stream: DataFrame, folder: str, checkpoint: str, most: int = 10_000):
+    """Logs traffic rows (with maps request_headers and response_headers, texts request_body and response_body, if they are there) as JSON lines: sensitive headers hidden, bodies cut with their length beside them; started once over what is there."""
+    from snaplake.functions.text import redacted_headers
+
+    out = stream
+    for c in ("request_headers", "response_headers"):
+        if c in stream.columns:
+            out = out.withColumn(c, redacted_headers(F.col(c)))
+    for c in ("request_body", "response_body"):
+        if c in stream.columns:
+            out = out.withColumn(f"{c}_length", F.char_length(c)).withColumn(c, F.substring(c, 1, most))
+    return out.writeStream.format("json").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
