@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections import ChainMap
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -94,6 +94,30 @@ class Snapshot:
         """The snapshot after a write: a new one, with these tables in place of its own."""
         return Snapshot(self.spark, ChainMap(frames, self.frames), self.keys)
 
+    def by_key(self, name: str, *keys) -> DataFrame:
+        """The rows of a table with these keys (of several key columns: tuples); the filter reaches the scan."""
+        columns = self.keys[name]
+        wanted = [k if isinstance(k, tuple) else (k,) for k in keys]
+        hit = F.lit(False)
+        for values in wanted if len(columns) > 1 else []:
+            here = F.lit(True)
+            for c, v in zip(columns, values, strict=True):
+                here = here & (F.col(c) == F.lit(v))
+            hit = hit | here
+        return self.frame(name).where(hit if len(columns) > 1 else F.col(columns[0]).isin([v for (v,) in wanted]))
+
+    def write(self, name: str, insert: DataFrame | None = None, update: Mapping[str, str] | None = None, delete: bool = False, where: str = "true") -> tuple[Snapshot, int]:
+        """A new snapshot after one write, and the rows that it concerns: rows inserted, or those that meet `where` updated (column: SQL expression) or deleted."""
+        rows = self.frame(name)
+        if insert is not None:
+            return self.replace(**{name: rows.unionByName(insert, allowMissingColumns=True)}), insert.count()
+        hit = F.coalesce(F.expr(where), F.lit(False))
+        n = rows.where(hit).count()
+        if delete:
+            return self.replace(**{name: rows.where(~hit)}), n
+        changed = {c: F.when(hit, F.expr(e)).otherwise(F.col(c)).cast(rows.schema[c].dataType) for c, e in (update or {}).items()}
+        return self.replace(**{name: rows.withColumns(changed)}), n
+
     def sql(self, text: str, args: Mapping | None = None) -> DataFrame:
         """SQL over the tables, as views of this session; named parameters as :name."""
         for name, frame in self.frames.items():
@@ -112,3 +136,23 @@ class Snapshot:
         for part in parts[1:]:
             out = out.unionAll(part)
         return out
+
+
+class Resources:
+    """Snapshots and other resources by address (kind://name); each is made when first asked for."""
+
+    def __init__(self):
+        self.makers: dict[str, Callable] = {}
+        self.made: dict[str, object] = {}
+
+    def add(self, address: str, maker: Callable) -> None:
+        if "://" not in address:
+            raise ValueError(f"{address} is no address")
+        self.makers[address] = maker
+
+    def get(self, address: str):
+        if address not in self.makers:
+            raise KeyError(f"no resource {address}; there are {', '.join(sorted(self.makers))}")
+        if address not in self.made:
+            self.made[address] = self.makers[address]()
+        return self.made[address]

@@ -107,6 +107,8 @@ def repository(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(scp), r"/+$", ""), r"\.git$", "")
 
 
+#: Media types by the ending of a file's name.
+MEDIA_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml", "pdf": "application/pdf", "txt": "text/plain", "md": "text/markdown", "json": "application/json", "html": "text/html", "csv": "text/csv"}
 #: Header names whose values are hidden, the mark, and the length beyond which eight characters are shown before it.
 SENSITIVE = ["authorization", "x-api-key", "api-key", "x-goog-api-key", "x-gemini-api-key", "x-openai-api-key", "x-anthropic-api-key", "cookie", "set-cookie", "x-auth-token", "x-access-token"]
 HIDDEN, SHOWN_FROM = "[REDACTED]", 12
@@ -171,6 +173,34 @@ def normalised_equal(a: Column, b: Column) -> Column:
     return normalised(a).eqNullSafe(normalised(b))
 
 
+def json_has(text: Column, field: str) -> Column:
+    """The text is a JSON object with the field, be it null."""
+    return F.coalesce(F.array_contains(F.json_object_keys(text), field), F.lit(False))
+
+
+def media_type(name: Column, data: Column | None = None) -> Column:
+    """The type that a data address names, else the one of the file name's ending, else application/octet-stream."""
+    endings = F.create_map(*(F.lit(x) for kv in MEDIA_TYPES.items() for x in kv))
+    told = F.nullif(F.regexp_extract(data, r"^data:([\w.+-]+/[\w.+-]+)[;,]", 1), F.lit("")) if data is not None else F.lit(None).cast("string")
+    return F.coalesce(told, F.try_element_at(endings, F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))), F.lit("application/octet-stream"))
+
+
+def row_label(row: Column, most: int = 120) -> Column:
+    """A row (a struct) as JSON, cut with a mark."""
+    told = F.to_json(row, {"ignoreNullFields": "false"})
+    return F.when(F.char_length(told) > most, F.concat(F.substring(told, 1, most - 1), F.lit("…"))).otherwise(told)
+
+
+def path_id(path: Column, prefix: str = "") -> Column:
+    """A short id of a path: the prefix and 24 hex digits of its digest."""
+    return F.concat(F.lit(prefix), F.substring(F.sha2(path, 256), 1, 24))
+
+
+def folder_code(path: Column) -> Column:
+    """A folder as one name: every character but letters, digits, - and _ is a dash. Not to be undone."""
+    return F.regexp_replace(path, "[^A-Za-z0-9_-]", "-")
+
+
 def file_id(path: Column) -> Column:
     """The id at the end of a file's stem: its last five parts between dashes, if they look like one; else the stem."""
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")

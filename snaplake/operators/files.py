@@ -10,6 +10,19 @@ from snaplake.operators.invariants import BROADCAST_SPECS
 _SPEC = "path string, content string, content_contains string, file_type string, size long"
 
 
+def lookup(files: DataFrame, path: str, avoid: str | None = None, path_col: str = "path") -> DataFrame:
+    """The file at the path or, if there is none, the shortest one whose path ends with it, ties by path; those that contain `avoid` come last."""
+    c = F.col(path_col)
+    found = files.where((c == path) | c.endswith("/" + path.lstrip("/")))
+    away = F.contains(c, F.lit(avoid)) if avoid else F.lit(False)
+    return found.orderBy(c != path, away, F.char_length(c), c).limit(1)
+
+
+def shortest(files: DataFrame, by: str, path_col: str = "path") -> DataFrame:
+    """(by, path): the shortest path of each group, ties by path."""
+    return files.groupBy(by).agg(F.min_by(path_col, F.struct(F.char_length(path_col), path_col)).alias(path_col))
+
+
 def expect_files(changed: DataFrame, specs: list[dict]) -> DataFrame:
     """(path, problem, expected) for changed files (path, content, file_type, size) that don't meet the specs.
 

@@ -32,6 +32,13 @@ class Query:
     def _with(self, condition: Column) -> Query:
         return replace(self, conditions=(*self.conditions, condition))
 
+    def having(self, other: DataFrame, on: dict[str, str], without: bool = False) -> Query:
+        """Rows for which other has a row with equal values in the pairs of columns `on` (without: has none): a semi or anti join, before the joins of the query."""
+        held = other.select(*(F.col(b).alias(f"_on{i}") for i, b in enumerate(on.values())))
+        rows = self.snapshot.frame(self.name)
+        same = [rows[a] == held[f"_on{i}"] for i, a in enumerate(on)]
+        return replace(self, snapshot=self.snapshot.replace(**{self.name: rows.join(held, same, "left_anti" if without else "left_semi")}))
+
     def select(self, *columns: str) -> Query:
         """SQL expressions; none: all columns."""
         return replace(self, columns=columns)

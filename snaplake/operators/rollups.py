@@ -17,6 +17,11 @@ def counts_by_each(rows: DataFrame, columns: list[str]) -> DataFrame:
     return texts.unpivot([], columns, "field", "value").groupBy("field", "value").agg(F.count("*").alias("n"))
 
 
+def by_key(rows: DataFrame, keys: list[str], first: str) -> DataFrame:
+    """(keys, n, first_key): rows by a composite key, in which null counts as the empty text, with the least `first` of each."""
+    return rows.groupBy(*(F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys)).agg(F.count("*").alias("n"), F.min(first).alias("first_key"))
+
+
 def activity(rows: DataFrame, group_by: list[str], time_col: str = "at") -> DataFrame:
     """Counts of activity; group_by: columns, and day, hour or week of time_col."""
     parts = {p: F.date_trunc(p, time_col).alias(p) for p in ("hour", "day", "week")}

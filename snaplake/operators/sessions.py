@@ -123,6 +123,35 @@ def suffix_within(events: DataFrame, session_col: str, seq_col: str, cost: Colum
     return events.withColumn("cost", cost).withColumn("running", F.sum("cost").over(later)).where(F.col("running") <= budget)
 
 
+def first_known(events: DataFrame, session_col: str, seq_col: str, columns: dict[str, Column]) -> DataFrame:
+    """(session, names): of each session the first value that isn't null of every named column. Aggregates, so that a long session costs no more than its partial sums."""
+    return events.groupBy(session_col).agg(*(F.min_by(c, F.when(c.isNotNull(), F.col(seq_col))).alias(n) for n, c in columns.items()))
+
+
+def exchange_summary(events: DataFrame, session_col: str, seq_col: str, asked: Column, text_col: str = "text") -> DataFrame:
+    """(session, n, asked, first_text, last_text): events, those that ask, and the first and last text of these."""
+    at = F.when(asked, F.col(seq_col))
+    return events.groupBy(session_col).agg(F.count("*").alias("n"), F.count_if(asked).alias("asked"), F.min_by(text_col, at).alias("first_text"), F.max_by(text_col, at).alias("last_text"))
+
+
+def answered(calls: DataFrame, results: DataFrame, keys: list[str], left: bool = False) -> DataFrame:
+    """Calls with their results, by the keys; left: calls without a result stay."""
+    return calls.join(results, keys, "left" if left else "inner")
+
+
+def merged_page(stores: list[DataFrame], limit: int = 50, cursor: str | None = None, id_col: str = "id", time_col: str = "last_active") -> DataFrame:
+    """A page over several stores, of equal ids the first store's row. Each store gives a page of the ids that no former one has, so that the merge holds no more than that of each."""
+    parts, before = [], None
+    for store in stores:
+        own = store if before is None else store.join(before, id_col, "left_anti")
+        before = store.select(id_col) if before is None else before.unionAll(store.select(id_col))
+        parts.append(page(own, limit, cursor, id_col, time_col))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return page(out, limit, cursor, id_col, time_col)
+
+
 def carried_forward(events: DataFrame, session_col: str, seq_col: str, value: Column, name: str) -> DataFrame:
     """events with the last value that isn't null up to each row, and whether it differs from that before."""
     w = Window.partitionBy(session_col).orderBy(seq_col)

@@ -20,6 +20,23 @@ def manifest_root(files: DataFrame, digits: int = 3) -> DataFrame:
     return part.agg(F.sum("n").alias("n"), F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat_ws("\t", "bucket", "leaf")))), 256).alias("root"))
 
 
+def publish(files: DataFrame, folder: str) -> None:
+    """Writes a manifest (path, sha256) with its root; what was there before is replaced as a whole."""
+    files.select("path", "sha256").write.mode("overwrite").parquet(f"{folder}/files")
+    manifest_root(files).write.mode("overwrite").json(f"{folder}/root")
+
+
+def published(spark, folder: str) -> tuple[DataFrame, str]:
+    """A manifest's files and root."""
+    return spark.read.parquet(f"{folder}/files"), spark.read.json(f"{folder}/root").first()["root"]
+
+
+def upserted(rows: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """rows with the changes' values in place of theirs, where those aren't null, and with the changes' new rows; keys are unique on either side."""
+    both = rows.alias("o").join(changes.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
+    return both.select(*(F.coalesce(F.col(f"n.`{c}`"), F.col(f"o.`{c}`")).alias(c) if c in changes.columns else F.col(f"o.`{c}`") for c in rows.columns))
+
+
 def backoff(attempts: Column) -> Column:
     """Seconds until the next attempt."""
     return F.least(F.lit(0.5) * F.pow(F.lit(2.0), attempts), F.lit(1800.0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from snaplake.catalog import Snapshot
+from snaplake.functions import text as T
+from snaplake.operators import rollups
 from snaplake.operators.invariants import row_expectations
 
 QUERIES, SQL = {}, {}
@@ -87,17 +89,18 @@ def table_counts(spark, d):
   AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderpriority = '1-URGENT')""")
 def semi_anti_chain(spark, d):
     s = Snapshot.load(spark, d)
-    orders = s.frame("orders")
-    out = s.frame("customer").where("c_mktsegment = 'MACHINERY'").join(orders.where("o_orderstatus = 'F'").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left_semi")
-    return out.join(orders.where("o_orderpriority = '1-URGENT'").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    orders, on = s.frame("orders"), {"c_custkey": "o_custkey"}
+    out = s.table("customer").eq("c_mktsegment", "MACHINERY").having(orders.where("o_orderstatus = 'F'"), on).having(orders.where("o_orderpriority = '1-URGENT'"), on, without=True)
+    return out.select("c_custkey", "c_name").df()
 
 
 @query("SELECT coalesce(nullif(o_orderstatus, 'P'), '') AS status, o_orderpriority AS priority, count(*) AS n, min(o_orderkey) AS first_key FROM orders GROUP BY 1, 2")
 def group_composite_key(spark, d):
-    return spark.read.parquet(f"{d}/orders.parquet").groupBy(F.expr("coalesce(nullif(o_orderstatus, 'P'), '')").alias("status"), F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.expr("nullif(o_orderstatus, 'P')").alias("status"), F.col("o_orderpriority").alias("priority"), "o_orderkey")
+    return rollups.by_key(orders, ["status", "priority"], "o_orderkey")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL AND event_type = 'purchase'")
 def json_field_presence(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").where("event_type = 'purchase'")
-    return e.where(F.array_contains(F.json_object_keys("props"), "k")).select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    return e.where(T.json_has(F.col("props"), "k")).select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))

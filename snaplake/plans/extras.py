@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from snaplake.functions import text as T
-from snaplake.operators import filters, rollups
+from snaplake.operators import files, filters, rollups
 from snaplake.operators import sessions as S
 from snaplake.sources import transcripts
 
@@ -86,7 +86,7 @@ def queue_oldest(spark, d):
 def file_lookup_prefer_shortest(spark, d):
     """The shortest address of each host, ties by the address."""
     pages = _table(spark, d, "pages").withColumn("host", F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1))
-    return pages.groupBy("host").agg(F.min_by("url", F.struct(F.char_length("url"), "url")).alias("url"))
+    return files.shortest(pages, "host", "url")
 
 
 @query("SELECT source, count(l.quality) AS n, round(avg(l.quality), 6) AS pass_rate FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY 1")

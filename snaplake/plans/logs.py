@@ -90,15 +90,15 @@ def compact_suffix_budget(spark, d):
 
 @query("SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'user') AS asked, arg_min(text, turn) FILTER (role = 'user') AS first_text, arg_max(text, turn) FILTER (role = 'user') AS last_text FROM conversations GROUP BY 1")
 def compact_summary(spark, d):
-    user = F.col("role") == "user"
-    return _talk(spark, d).groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(user).alias("asked"), F.min_by("text", F.when(user, F.col("turn"))).alias("first_text"), F.max_by("text", F.when(user, F.col("turn"))).alias("last_text"))
+    return S.exchange_summary(_talk(spark, d), "conv_id", "turn", F.col("role") == "user")
 
 
 @query("SELECT q.conv_id, q.turn, length(q.text) AS asked, length(a.text) AS answered FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant'")
 def tool_call_result_join(spark, d):
     t = _talk(spark, d)
     calls = t.where("role = 'user'").select("conv_id", "turn", F.char_length("text").cast("bigint").alias("asked"))
-    return calls.join(t.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.char_length("text").cast("bigint").alias("answered")), ["conv_id", "turn"])
+    results = t.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.char_length("text").cast("bigint").alias("answered"))
+    return S.answered(calls, results, ["conv_id", "turn"])
 
 
 @query("""WITH c AS (SELECT user_id, event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS paid FROM events)
@@ -109,7 +109,7 @@ def carry_forward_state(spark, d):
 
 @query("SELECT user_id, arg_min(value, event_id) FILTER (event_type = 'click') AS first_click FROM events GROUP BY 1")
 def first_non_null_context(spark, d):
-    return _events(spark, d).groupBy("user_id").agg(F.min_by("value", F.when(F.col("event_type") == "click", F.col("event_id"))).alias("first_click"))
+    return S.first_known(_events(spark, d), "user_id", "event_id", {"first_click": F.when(F.col("event_type") == "click", F.col("value"))})
 
 
 def _queue(spark, d):
@@ -149,8 +149,11 @@ def backoff_table(spark, d):
 @query("SELECT event_type, time_bucket(INTERVAL 6 HOURS, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling_windows(spark, d):
     """As a stream over the table's file, started once over what is there; the counts are read back from the shared folder."""
-    counted = lambda events: events.groupBy(F.window("ts", "6 hours").start.alias("start"), "event_type").agg(F.count("*").alias("n")).select("event_type", "start", "n")
-    return streamed(spark, d, counted, "complete")
+    return streamed(spark, d, lambda events: tail.windowed(timed(events), "ts", "6 hours", ["event_type"]).withColumn("start", tail.zoneless("start")), "complete")
+
+
+def timed(events):
+    return events.withColumn("ts", tail.event_time("ts"))
 
 
 def streamed(spark, d, change, mode: str = "append"):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from snaplake.functions import text as T
 from snaplake.operators import diff, filters, search, sync
 from snaplake.operators.files import expect_files
-from snaplake.plans.logs import _QUEUE, _queue, streamed
+from snaplake.plans.logs import _QUEUE, _queue, streamed, timed
 from snaplake.sources import rewriting, transcripts
 from snaplake.sources.uploads import payloads
 from snaplake.streaming import tail
@@ -118,18 +118,13 @@ def stream_tail_counts(spark, d):
   SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM g GROUP BY user_id, part""")
 def stream_debounce(spark, d):
     """Runs of a user's events with less than two hours between them; complete output, so that the last ones, which are still open, are told too."""
-
-    def runs(events):
-        out = events.groupBy(F.session_window("ts", "2 hours"), "user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
-        return out.select("user_id", "first", "last", "n")
-
-    return streamed(spark, d, runs, "complete")
+    return streamed(spark, d, lambda events: tail.debounced(timed(events), "user_id", "ts", "2 hours").withColumns({c: tail.zoneless(c) for c in ("first", "last")}), "complete")
 
 
 @query("""SELECT event_type, time_bucket(INTERVAL 6 HOURS, ts) - to_hours(6 * k) AS start, count(*) AS n FROM events, range(0, 2) r(k) GROUP BY 1, 2""")
 def stream_sliding_windows(spark, d):
     """Windows of twelve hours, one every six."""
-    return streamed(spark, d, lambda events: events.groupBy(F.window("ts", "12 hours", "6 hours").start.alias("start"), "event_type").agg(F.count("*").alias("n")).select("event_type", "start", "n"), "complete")
+    return streamed(spark, d, lambda events: tail.windowed(timed(events), "ts", "12 hours", ["event_type"], slide="6 hours").withColumn("start", tail.zoneless("start")), "complete")
 
 
 @query(r"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM conversations) SELECT conv_id, turn, CASE WHEN length(flat) > 60 THEN substr(flat, 1, 59) || '…' ELSE flat END AS title FROM t""")

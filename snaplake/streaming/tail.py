@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,16 @@ def tail(spark: SparkSession, path: str, schema: str, form: str = "json", files:
     return spark.readStream.format(form).schema(schema).option("maxFilesPerTrigger", files).load(path)
 
 
+def event_time(name: str) -> Column:
+    """A time without a zone as the instant that it is in UTC, whatever the session's zone: watermarks need instants."""
+    return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)"))
+
+
+def zoneless(name: str) -> Column:
+    """The other way."""
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros(`{name}`), TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+
+
 def url_filter(stream: DataFrame, url: str, patterns: list[str]) -> DataFrame:
     """Rows whose url contains one of the patterns, with counts of rows read and kept as observed metrics."""
     hit = F.lit(False)

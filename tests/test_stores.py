@@ -5,7 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from snaplake.operators import checkouts, query, sessions, verify
+from snaplake.catalog import Resources, Snapshot
+from snaplake.functions import text as T
+from snaplake.operators import checkouts, files, query, sessions, sync, verify
 from snaplake.sources import plugins, transcripts, uploads
 from snaplake.streaming import tail
 
@@ -104,3 +106,68 @@ def test_streams_reconcile_and_log(spark, tmp_path):
     q = counted.writeStream.format("memory").queryName("so_far").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.status: (r.n, r.done) for r in spark.table("so_far").collect()} == {"a": (1, True), "b": (1, False)}
+
+
+def test_rows_by_key_and_writes(spark):
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "x int, y int, v string")
+    snap = Snapshot(spark, {"t": rows, "u": rows}, {"t": ["x", "y"], "u": ["x"]})
+    assert [r.v for r in snap.by_key("t", (1, 2)).collect()] == ["b"] and snap.by_key("u", 1, 2).count() == 3 and snap.by_key("t").count() == 0
+    new, n = snap.write("t", update={"v": "upper(v)"}, where="x = 1")
+    assert n == 2 and sorted(r.v for r in new.frame("t").collect()) == ["A", "B", "c"] and sorted(r.v for r in snap.frame("t").collect()) == ["a", "b", "c"]
+    new, n = new.write("t", delete=True, where="y = 1")
+    assert n == 2 and [r.v for r in new.frame("t").collect()] == ["B"]
+    new, n = new.write("t", insert=rows.limit(1))
+    assert n == 1 and new.frame("t").count() == 2
+    orders = spark.createDataFrame([(1,)], "k int")
+    assert snap.table("t").having(orders, {"x": "k"}).count() == 2 and snap.table("t").having(orders, {"x": "k"}, without=True).count() == 1
+
+
+def test_resources_are_made_once():
+    made = []
+    known = Resources()
+    known.add("db://current", lambda: made.append(1) or "snapshot")
+    assert known.get("db://current") == known.get("db://current") == "snapshot" and made == [1]
+    with pytest.raises(KeyError):
+        known.get("db://seed")
+    with pytest.raises(ValueError):
+        known.add("current", list)
+
+
+def test_files_are_looked_up_by_ending(spark):
+    rows = spark.createDataFrame([("/a/dataroom/x.txt",), ("/a/long/folder/x.txt",), ("/b/yx.txt",), ("x.txt2",)], "path string")
+    assert files.lookup(rows, "x.txt", "dataroom").first().path == "/a/long/folder/x.txt"
+    assert files.lookup(rows, "x.txt").first().path == "/a/dataroom/x.txt"
+    assert files.lookup(rows, "/b/yx.txt").first().path == "/b/yx.txt" and files.lookup(rows, "none").count() == 0
+
+
+def test_manifests_are_published_and_rows_upserted(spark, tmp_path):
+    listed = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, sha256 string")
+    sync.publish(listed, str(tmp_path))
+    got, root = sync.published(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [("a", "1"), ("b", "2")] and root == sync.manifest_root(listed.repartition(3)).first().root
+    rows = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id int, t string, n int")
+    assert sorted(map(tuple, sync.upserted(rows, spark.createDataFrame([(2, "B"), (3, "c"), (1, None)], "id int, t string")).collect()), key=str) == [(1, "a", 1), (2, "B", 2), (3, "c", None)]
+
+
+def test_pages_over_stores(spark):
+    kind = "id string, last_active string, v int"
+    first = spark.createDataFrame([(f"s{i:03d}", f"2024-01-{i % 28 + 1:02d}", 1) for i in range(0, 120, 2)], kind)
+    second = spark.createDataFrame([(f"s{i:03d}", f"2024-02-{i % 28 + 1:02d}", 2) for i in range(120)], kind)
+    rows = {r.id: r for r in second.collect()} | {r.id: r for r in first.collect()}
+    order = sorted(rows.values(), key=lambda r: (r.last_active, r.id), reverse=True)
+    seen, cursor = [], None
+    while True:
+        got = sessions.merged_page([first, second], 7, cursor).collect()
+        seen += got[:7]
+        if len(got) <= 7:
+            break
+        cursor = sessions.cursor_of(got[6].last_active, got[6].id)
+    assert seen == order
+
+
+def test_small_text_functions(spark):
+    rows = spark.createDataFrame([("a.PNG", "data:text/plain;base64,xx"), ("b.jpg", None), ("c", "x")], "n string, d string")
+    assert [r[0] for r in rows.select(T.media_type(F.col("n"), F.col("d"))).collect()] == ["text/plain", "image/jpeg", "application/octet-stream"]
+    row = rows.select(T.row_label(F.struct("n", "d"), 20).alias("l"), T.path_id(F.col("n"), "p-").alias("p"), T.folder_code(F.lit("/a b/é_1")).alias("f"), T.json_has(F.lit('{"k": null}'), "k").alias("j"), T.json_has(F.lit("no"), "k").alias("o")).first()
+    assert len(row.l) == 20 and row.l.endswith("…") and len(row.p) == 26 and row.f == "-a-b--_1" and row.j and not row.o
+    assert T.quoted('a"b') == '"a""b"'
