@@ -193,9 +193,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             new[1:] = (rows["h1"][1:] != rows["h1"][:-1]) | (rows["h2"][1:] != rows["h2"][:-1])
             head = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
             again = (rows["k1"] != head["k1"]) | (rows["k2"] != head["k2"]) | (rows["first"] != head["first"])
-            rows = np.concatenate([rows[again], *gone])
-            rows = rows[np.lexsort((rows["first"], rows["k2"], rows["k1"]))]
-            cuts = np.flatnonzero(np.r_[True, (rows["k1"][1:] != rows["k1"][:-1]) | (rows["k2"][1:] != rows["k2"][:-1]), True]) if len(rows) else np.empty(0, int)
+            yield from listed(rows[again], False)
+            for part in gone:
+                yield from listed(part[np.lexsort((part["first"], part["k2"], part["k1"]))], True)
+
+        def listed(rows, by_row):
+            """A row for each repeat or, of sorted repeats, for each row of docs."""
+            new = np.ones(len(rows), bool)
+            if by_row:
+                new[1:] = (rows["k1"][1:] != rows["k1"][:-1]) | (rows["k2"][1:] != rows["k2"][:-1])
+            cuts = np.r_[np.flatnonzero(new), len(rows)]
             for a in range(0, len(cuts) - 1, 20_000):
                 at = cuts[a : a + 20_001]
                 firsts = [np.ascontiguousarray(rows["first"][x:y]).tobytes() for x, y in zip(at, at[1:])]
