@@ -1,12 +1,14 @@
 """Main text of web pages: suffix arrays over token streams, counted by host, with the pages' own markup as a prior.
 
 A page is cut into blocks of text. The blocks of some pages at a time are concatenated as token streams, and
-their suffix array finds the different runs of `run` tokens. (Longer repeats add nothing to that: what they
-cover is what the runs within them cover, each of which is on as many pages.) For every run the distinct pages
-of its host are counted, over the whole host however large it is. Pages count by content: each has a signature
-of 16 bits, the least hash of its word pairs, so that copies and most near copies of a page count as one, and
-what only they share isn't taken for boilerplate. Of a run's signatures the `SIGNATURES` least are kept, which
-count exactly below that number and tell the share of the host's pages beyond it.
+the suffixes of a stream are put in the order of their host and first `run` tokens, by hash: neighbours in that
+array with equal hashes have a common prefix of `run` tokens or more. (A longer common prefix changes nothing:
+what a long repeated substring covers is what the runs within it cover, each of which is on as many pages, and
+neighbouring runs join to substrings as long as they go.) For every run the distinct pages of its host are
+counted, over the whole host however large it is. Pages count by content: each has a signature, the least hash
+of its word pairs, so that copies and most near copies of a page count as one, and what only they share isn't
+taken for boilerplate. Of a run's signatures the `SIGNATURES` least are kept, which count exactly below that
+number and tell the share of the host's pages beyond it; so a signature is a small floating-point number.
 
 What repeats decides with what the markup says:
 
@@ -18,8 +20,9 @@ What repeats decides with what the markup says:
 - blocks within navigation, headers, footers, sidebars, forms, notices, adverts and comment sections, as
   elements, roles, class and id names tell, go even where a host shows too few pages to repeat them.
 
-Runs are counted by hashes of 48 bits of their host and words, in buckets of the hashes' leading bits, which
-bounds a task whatever a host's size: a run or two that collide don't cover a block. Pages are read twice and
+Runs are counted by hashes of their host and words, in buckets of the hashes' leading bits, which bounds a task
+whatever a host's size. Hashes have six bits more than the bytes of all pages ask for, 48 at most; a run or two
+that collide don't cover a block. Pages are read twice and
 never shuffled, unless more runs are repeated than are broadcast: then pages and their repeated runs are joined
 by shuffle, with the same result.
 """
@@ -28,6 +31,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snaplake.llm.common import durable, slices
+from snaplake.llm.linededup import mix, powers
 
 #: Least tokens of a repeated run, pages that it must occur on, share of a block that must be covered.
 RUN, PAGES, COVERED = 6, 3, 0.6
@@ -43,8 +49,10 @@ RUN, PAGES, COVERED = 6, 3, 0.6
 SHARE, WIDELY = 0.5, 5
 #: Signatures of a run that are kept.
 SIGNATURES = 64
+#: Bits of a signature: of its exponent and of its mantissa.
+EXPONENT, MANTISSA = 4, 8
 #: Bytes of pages whose runs are counted in one bucket; tokens that one suffix array takes.
-SHARD_BYTES, CHUNK = 32_000_000, 400_000
+SHARD_BYTES, CHUNK = 16_000_000, 1_000_000
 #: Repeated runs that are broadcast at most (48 MB); beyond it they are joined by shuffle.
 BROADCAST_RUNS = 4_000_000
 #: Elements by what their text is.
@@ -59,6 +67,7 @@ HEADS = frozenset("header masthead".split())
 OPEN, MARKED, OUTSIDE = 0, 1, 2
 #: A tag whose attributes are all plain or in double quotes; others are read quote by quote.
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>\"'=]*+)((?:\s++[^\s<>\"'=/]++(?:=\"[^\"<>]*+\")?+)*+)\s*+(/?)>")
+_PLAIN = re.compile(_TAG.pattern + r"|<!--(?:[^-]|-(?!->))*+-->|<![a-zA-Z][^<>]*+>")
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
 _NEXT = re.compile(r">|=\s*+([\"'])")
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?(?=[\s/>\"']|$)", re.I)
@@ -158,16 +167,42 @@ def unescaped(text: str) -> str:
     return entities.unescape(_LONG_REFERENCE.sub("�", text) if "&#" in text else text)
 
 
+@lru_cache(20_000)
+def _told(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    return _marks(name, attributes, inside)
+
+
+def tags(page: str):
+    """The tags of a page, as _Tags has them: at once where all are plain, else one by one."""
+    plain, at = [], 0
+    if page.rfind("<!--") > page.rfind("-->"):
+        return plain, at  # a comment that isn't closed: the pattern would look for its end again and again
+    for m in _PLAIN.finditer(page):
+        start, end = m.span()
+        if page.find("<", at, start) >= 0:
+            break
+        at = end
+        closing, name, attributes, empty = m.groups("")
+        plain.append((start, at, closing != "", name.lower(), attributes + empty))
+    else:
+        if page.find("<", at) < 0:
+            return plain, len(page)
+    return plain, at
+
+
 def blocks(page: str) -> tuple[list[str], list[int]]:
     """The texts of the page's blocks, and for each OPEN, MARKED (of a marked article) or OUTSIDE (of the page's frame)."""
-    found: list[tuple[str, int]] = []
+    found: list[str] = []
+    kinds: list[int] = []
     stack: list[tuple[str, bool, bool]] = []  # element, frame, main; each with what surrounds it
     places: dict[str, list[int]] = {}  # where on the stack an element's name is
     held: list[str] = []
     outer: list[str] = []
     frame = main = False
+    reader = _Tags(page)
+    known, upto = tags(page)
+    known.reverse()
     at = 0
-    tags = _Tags(page)
 
     def flush():
         for parts, kind in ((outer, OUTSIDE), (held, MARKED if main else OPEN)):
@@ -175,15 +210,25 @@ def blocks(page: str) -> tuple[list[str], list[int]]:
                 text = " ".join(unescaped("".join(parts)).split())
                 parts.clear()
                 if text:
-                    found.append((text, kind))
+                    found.append(text)
+                    kinds.append(kind)
 
     def pop(upto: int):
         while len(stack) > upto:
             places[stack.pop()[0]].pop()
         return stack[-1][1:] if stack else (False, False)
 
-    while (tag := tags.next(at)) is not None:
-        start, end, closing, name, attributes = tag
+    while True:
+        while known and known[-1][0] < at:  # within what was skipped
+            known.pop()
+        if known:
+            start, end, closing, name, attributes = known.pop()
+        elif at >= upto == len(page):
+            break
+        elif (tag := reader.next(max(at, upto) if at < upto else at)) is None:
+            break
+        else:
+            start, end, closing, name, attributes = tag
         if start > at:
             (outer if frame else held).append(page[at:start])
         at = end
@@ -194,17 +239,16 @@ def blocks(page: str) -> tuple[list[str], list[int]]:
             continue
         if name in SKIPPED:
             if not closing:
-                after = tags.after(name, at)
+                after = reader.after(name, at)
                 if after or name in ("script", "style"):
                     at = after or len(page)
             continue
         if name == "br":
             (outer if frame else held).append(" ")
             continue
-        if name in BLOCKS:
+        block = name in BLOCKS
+        if block and (held or outer):
             flush()
-        if name in VOID:
-            continue
         if closing:
             if places.get(name):
                 k = places[name][-1]
@@ -212,124 +256,144 @@ def blocks(page: str) -> tuple[list[str], list[int]]:
                 if k >= around or name in ("html", "body", "main", "article"):  # a stray end tag doesn't close what surrounds it
                     frame, main = pop(k)
             continue
+        if name in VOID:
+            continue
         if stack and stack[-1][0] == name and name in ("p", "li"):
             frame, main = pop(len(stack) - 1)
-        own_frame, own_main = _marks(name, attributes, main)
-        if attributes.endswith("/") and name not in BLOCKS:
-            continue
+        if not attributes and name not in FRAME and name not in ("article", "main"):
+            if not block or name in ("p", "li"):
+                continue  # changes nothing, nor does its end
+            own_frame = own_main = False
+        else:
+            own_frame, own_main = _told(name, attributes, main) if len(attributes) < 500 else _marks(name, attributes, main)
+            if not (own_frame or own_main) and (not block or name in ("p", "li")):
+                continue
+            if attributes.endswith("/") and not block:
+                continue
         frame, main = frame or own_frame, main or own_main
         places.setdefault(name, []).append(len(stack))
         stack.append((name, frame, main))
     if at < len(page):
         (outer if frame else held).append(page[at:].split("<")[0] if re.search(r"<[a-zA-Z/!?]", page[at:]) else page[at:])
     flush()
-    return [t for t, _ in found], [k for _, k in found]
-
-
-def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes in order, group of each) by prefix doubling; suffixes of one group agree in `depth` tokens."""
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    done = 1
-    while done < depth:
-        step = min(done, depth - done)
-        after = np.full(len(rank), -1, np.int64)
-        after[: len(rank) - step] = rank[step:]
-        rank = np.unique(rank * (len(rank) + 1) + after + 1, return_inverse=True)[1].astype(np.int64)
-        done += step
-    order = np.argsort(rank, kind="stable")
-    return order, rank[order]
-
-
-def word_hashes(texts: list[str], cache: dict[str, int]) -> tuple[np.ndarray, list[int]]:
-    """64-bit hashes of a page's lower-cased words in order, and the number of words of each block."""
-    if len(cache) > 500_000:
-        cache.clear()
-    out, sizes = [], []
-    for text in texts:
-        words = text.lower().split()
-        for w in words:
-            h = cache.get(w)
-            if h is None:
-                h = cache[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-            out.append(h)
-        sizes.append(len(words))
-    return np.array(out, np.uint64), sizes
-
-
-def run_hashes(words: np.ndarray, host: np.ndarray, run: int = RUN) -> np.ndarray:
-    """A 48-bit hash of the run that starts at each word and of its host's hash. The last run - 1 words start none."""
+    return found, kinds
+
+
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased words of blocks' texts in order, and the number of words of each block.
+
+    Words are told apart by single blanks, which is all the white space that blocks have; their bytes are
+    hashed by differences of one running polynomial.
+    """
+    data = np.frombuffer("\n".join(texts).lower().encode("utf-8", "surrogatepass"), np.uint8)
+    if not len(data):
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    power, inverse = powers(len(data) + 1)
+    summed = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * power[:-1], out=summed[1:])
+    apart = np.flatnonzero((data == 32) | (data == 10))
+    start, stop = np.concatenate([[0], apart + 1]), np.concatenate([apart, [len(data)]])
+    hashed = mix((summed[stop] - summed[start]) * inverse[start] + (stop - start).astype(np.uint64))
+    ends = np.concatenate([np.flatnonzero(data[apart] == 10), [len(apart)]]) + 1
+    return hashed, np.diff(np.concatenate([[0], ends]))
+
+
+def distinct(numbers: np.ndarray) -> np.ndarray:
+    """The different numbers, sorted."""
+    numbers = np.sort(numbers)
+    return numbers[np.r_[True, numbers[1:] != numbers[:-1]]] if len(numbers) else numbers
+
+
+def run_hashes(words: np.ndarray, host: np.ndarray, run: int = RUN, bits: int = 48) -> np.ndarray:
+    """A hash of the run that starts at each word and of its host's hash. The last run - 1 words start none."""
     n = max(0, len(words) - run + 1)
     out = host[:n] * _MULTIPLIERS[0]
     for k in range(run):
         out = (out ^ words[k : k + n]) * _MULTIPLIERS[k % 2]
         out ^= out >> np.uint64(31)
-    return out >> np.uint64(16)
+    return out >> np.uint64(64 - bits)
+
+
+def host_run(host: np.ndarray, bits: int = 48) -> np.ndarray:
+    """The number under which a host's own pages are counted."""
+    return (host * _MULTIPLIERS[1] ^ host >> np.uint64(7)) >> np.uint64(64 - bits)
 
 
-def signature(words: np.ndarray, sizes: list[int], kinds: list[int]) -> int:
-    """16 bits of the least hash of neighbouring words, frames left out (unless there is nothing else)."""
+def small_float(value: int) -> int:
+    """A 64-bit number in EXPONENT + MANTISSA bits, in the same order."""
+    zeros, most = 64 - value.bit_length(), (1 << EXPONENT) - 1
+    if zeros >= most:
+        return value >> 64 - most - MANTISSA
+    return most - zeros << MANTISSA | value >> 63 - zeros - MANTISSA & (1 << MANTISSA) - 1
+
+
+def share_below(code: int) -> float:
+    """About what part of all numbers is below those of this small float."""
+    exponent, mantissa, most = code >> MANTISSA, (code & (1 << MANTISSA) - 1) + 0.5, (1 << EXPONENT) - 1
+    if not exponent:
+        return mantissa / 2.0 ** (MANTISSA + most)
+    return ((1 << MANTISSA) + mantissa) / 2.0 ** (MANTISSA + 1 + most - exponent)
+
+
+def signature(words: np.ndarray, sizes: np.ndarray | list[int], kinds: list[int]) -> int:
+    """The least hash of neighbouring words as a small float, frames left out (unless there is nothing else)."""
     inside = np.repeat(np.array(kinds) != OUTSIDE, sizes) if len(words) else np.empty(0, bool)
     chosen = words[inside] if inside.any() else words
     if len(chosen) < 2:
-        return int(chosen[0] & np.uint64(0xFFFF)) if len(chosen) else 0
+        return small_float(int(chosen[0])) if len(chosen) else 0
     pair = (chosen[:-1] * _MULTIPLIERS[0]) ^ (chosen[1:] * _MULTIPLIERS[1])
     pair = (pair ^ (pair >> np.uint64(29))) * _MULTIPLIERS[0]
-    least = (pair ^ (pair >> np.uint64(32))).min()
-    return (int(least) * int(_MULTIPLIERS[1]) >> 48) & 0xFFFF
+    least = int((pair ^ (pair >> np.uint64(32))).min())
+    return small_float((least * int(_MULTIPLIERS[1]) ^ least >> 29) * int(_MULTIPLIERS[0]) & (1 << 64) - 1)
+
+
+_SIGN = np.uint64(EXPONENT + MANTISSA)
 
 
 def least_signatures(marked: np.ndarray, most: int = SIGNATURES) -> np.ndarray:
-    """Of sorted, different numbers (run << 16 | signature), the `most` least of each run."""
-    run = marked >> np.uint64(16)
-    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.empty(0, int)
+    """Of sorted, different numbers (run and signature), the `most` least of each run."""
+    if not len(marked):
+        return marked
+    run = marked >> _SIGN
+    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
     sizes = np.diff(np.r_[starts, len(run)])
+    if sizes.max() <= most:
+        return marked
     return marked[np.arange(len(run)) - np.repeat(starts, sizes) < most]
 
 
 def counted(marked: np.ndarray, most: int = SIGNATURES) -> tuple[np.ndarray, np.ndarray]:
     """(run, pages) of sorted, different numbers: the signatures of each run, estimated by the last of the `most` least if there are that many."""
     marked = least_signatures(marked, most)
-    run, starts, pages = np.unique(marked >> np.uint64(16), return_index=True, return_counts=True)
-    full = np.flatnonzero(pages >= most)
-    last = (marked[starts[full] + most - 1] & np.uint64(0xFFFF)).astype(np.int64)
-    pages[full] = np.maximum(most, (most - 1) * 65_536 // (last + 1))
+    run, starts, pages = np.unique(marked >> _SIGN, return_index=True, return_counts=True)
+    for k in np.flatnonzero(pages >= most).tolist():
+        share = share_below(int(marked[starts[k] + most - 1]) & (1 << EXPONENT + MANTISSA) - 1)
+        pages[k] = max(most, int((most - 1) / share))
     return run, pages
 
 
-def host_run(host: np.ndarray) -> np.ndarray:
-    """The number under which a host's own pages are counted."""
-    return (host * _MULTIPLIERS[1] ^ host >> np.uint64(7)) >> np.uint64(16)
+def marked_runs(words: np.ndarray, page: np.ndarray, hosts: np.ndarray, signs: np.ndarray, run: int = RUN, bits: int = 48) -> np.ndarray:
+    """Sorted numbers (run and signature) of the different runs of a chunk of pages, and of their hosts. page: of each word; hosts, signs: of each page. Runs don't cross pages."""
+    own = host_run(hosts, bits) << _SIGN | signs
+    if len(words) < run:
+        return least_signatures(distinct(own))
+    whole = page[: len(words) - run + 1] == page[run - 1 :]
+    found = (run_hashes(words, hosts[page], run, bits) << _SIGN | signs[page[: len(whole)]])[whole]
+    return least_signatures(distinct(np.concatenate([found, own])))
 
 
-def marked_runs(words: np.ndarray, page: np.ndarray, hosts: np.ndarray, signs: np.ndarray, run: int = RUN) -> np.ndarray:
-    """Sorted numbers (run << 16 | signature) of the different runs of a chunk of pages, and of their hosts. page: of each word; hosts, signs: of each page. Runs don't cross pages."""
-    own = host_run(hosts) << np.uint64(16) | signs
-    if len(words) < run:
-        return least_signatures(np.unique(own))
-    order, group = suffix_array(words, run)
-    whole = order + run <= len(words)
-    whole[whole] = page[order[whole] + run - 1] == page[order[whole]]
-    order, group = order[whole], group[whole]
-    host, sign = hosts[page[order]], signs[page[order]]
-    by = np.lexsort((sign, host, group))
-    order, group, host, sign = order[by], group[by], host[by], sign[by]
-    new = np.ones(len(order), bool)
-    new[1:] = (group[1:] != group[:-1]) | (host[1:] != host[:-1]) | (sign[1:] != sign[:-1])
-    order, sign = order[new], sign[new]
-    found = run_hashes(words, hosts[page], run)[order] << np.uint64(16) | sign
-    return least_signatures(np.unique(np.concatenate([found, own])))
-
-
-def covered_blocks(sizes: list[int], often: np.ndarray, run: int = RUN, covered: float = COVERED) -> list[bool]:
-    """For a page's blocks, whether its repeated runs (often: by the word that each starts at) cover them."""
-    mark = np.zeros(sum(sizes) + 1, np.int64)
+def covered_blocks(sizes: np.ndarray, often: np.ndarray, run: int = RUN, covered: float = COVERED) -> np.ndarray:
+    """For blocks in a row, whether repeated runs (often: by the word that each starts at) cover them."""
+    mark = np.zeros(int(sizes.sum()) + 1, np.int32)
     at = np.flatnonzero(often)
-    np.add.at(mark, at, 1)
-    np.add.at(mark, at + run, -1)
+    mark[at] += 1
+    mark[at + run] -= 1
     total = np.concatenate([[0], np.cumsum(np.cumsum(mark[:-1]) > 0)])
-    size = np.array(sizes, np.int64)
-    ends = np.cumsum(size)
-    return (total[ends] - total[ends - size] >= covered * size).tolist()
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes] >= covered * sizes
 
 
 def chosen_text(texts: list[str], kinds: list[int], sizes: list[int], gone: list[bool], gone_inside: list[bool]) -> str:
@@ -346,20 +410,45 @@ def chosen_text(texts: list[str], kinds: list[int], sizes: list[int], gone: list
     return "\n".join(texts[i] for i in chosen)
 
 
-def _paged(batches, run: int):
-    """(row of the batch, its blocks' texts and kinds, sizes, word hashes, host's hash) of every page."""
-    cache: dict[str, int] = {}
-    for whole in batches:
-        for batch in slices(whole, "html"):
-            for r, (host, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist())):
-                texts, kinds = blocks(page) if page else ([], [])
-                words, sizes = word_hashes(texts, cache)
-                yield batch, r, texts, kinds, sizes, words, xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"))
+@dataclass
+class Pages:
+    """Some pages in a row: their rows, blocks' texts and kinds by page, words of each block, all words' hashes, and by page the number of its blocks and words, and its host's hash."""
+
+    rows: pa.RecordBatch
+    texts: list[list[str]]
+    kinds: list[list[int]]
+    sizes: np.ndarray
+    words: np.ndarray
+    n_blocks: np.ndarray
+    n_words: np.ndarray
+    hosts: np.ndarray
 
+    def runs(self, run: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of the run that starts at each word, and whether it lies within its page."""
+        page = np.repeat(np.arange(len(self.hosts)), self.n_words)
+        n = max(0, len(page) - run + 1)
+        return run_hashes(self.words, self.hosts[page], run, bits), page[:n] == page[len(page) - n :]
 
-def repeated_runs(rows: DataFrame, run: int, least_pages: int, shard_bytes: int) -> DataFrame:
-    """(h, n) of the runs that occur on least_pages pages of a host or more, and of the hosts with as many (under host_run); rows has host, html."""
-    buckets = max(1, -(-(rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0) // shard_bytes))
+
+def _paged(batches):
+    """The batches' pages, some hundred at a time."""
+    for whole in batches:
+        for rows in slices(whole, "html"):
+            read = [blocks(p) if p else ([], []) for p in rows.column("html").to_pylist()]
+            texts, kinds = [t for t, _ in read], [k for _, k in read]
+            words, sizes = word_hashes([t for x in texts for t in x])
+            n_blocks = np.array([len(x) for x in texts], np.int64)
+            ends = np.cumsum(n_blocks)
+            total = np.concatenate([[0], np.cumsum(sizes)])
+            hosts = np.array([xxhash.xxh64_intdigest(h.encode("utf-8", "surrogatepass")) for h in rows.column("host").to_pylist()], np.uint64)
+            yield Pages(rows, texts, kinds, sizes, words, n_blocks, total[ends] - total[ends - n_blocks], hosts)
+
+
+def repeated_runs(rows: DataFrame, run: int, least_pages: int, shard_bytes: int) -> tuple[DataFrame, int]:
+    """(h, n) of the runs that occur on least_pages pages of a host or more, and of the hosts with as many (under host_run); and the bits of h. rows has host, html."""
+    total = int(rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0)
+    buckets, bits = max(1, -(-total // shard_bytes)), min(48, max(32, total.bit_length() + 6))
+    left = np.uint64(64 - bits - EXPONENT - MANTISSA)  # numbers are moved up, so that unused bytes are zero
 
     def scan(batches):
         held, n = [], 0
@@ -368,18 +457,20 @@ def repeated_runs(rows: DataFrame, run: int, least_pages: int, shard_bytes: int)
             words = np.concatenate([x[0] for x in held])
             page = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
             hosts, signs = (np.array([x[k] for x in held], np.uint64) for k in (1, 2))
-            found = marked_runs(words, page, hosts, signs, run)
+            found = marked_runs(words, page, hosts, signs, run, bits) << left
             bucket = ((found >> np.uint64(32)).astype(np.int64) * buckets) >> 32
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
             # bytes of equal rank together: the leading ones of sorted numbers are alike
             blobs = [found[a:b].view(np.uint8).reshape(-1, 8).T.tobytes() for a, b in zip(cuts, cuts[1:])]
             return pa.record_batch([pa.array(bucket[cuts[:-1]], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "runs"])
 
-        for _, _, _, kinds, sizes, words, host in _paged(batches, run):
-            if not len(words):
-                continue
-            held.append((words, host, signature(words, sizes, kinds)))
-            n += len(words)
+        for pages in _paged(batches):
+            at = np.concatenate([[0], np.cumsum(pages.n_words)])
+            low = np.concatenate([[0], np.cumsum(pages.n_blocks)])
+            for k in np.flatnonzero(pages.n_words).tolist():
+                words = pages.words[at[k] : at[k + 1]]
+                held.append((words, pages.hosts[k], signature(words, pages.sizes[low[k] : low[k + 1]], pages.kinds[k])))
+                n += len(words)
             if n >= CHUNK:
                 yield closed()
                 held, n = [], 0
@@ -390,7 +481,7 @@ def repeated_runs(rows: DataFrame, run: int, least_pages: int, shard_bytes: int)
         now, held, n = None, [], 0
 
         def folded():
-            return least_signatures(np.unique(np.concatenate(held)))
+            return least_signatures(distinct(np.concatenate(held)))
 
         def closed():
             h, pages = counted(folded())
@@ -403,7 +494,7 @@ def repeated_runs(rows: DataFrame, run: int, least_pages: int, shard_bytes: int)
                     if held:
                         yield closed()
                     now, held, n = b, [], 0
-                held.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.uint64).ravel())
+                held.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.uint64).ravel() >> left)
                 n += len(held[-1])
                 if n > 4_000_000:  # copies of one run are folded
                     held = [folded()]
@@ -412,7 +503,15 @@ def repeated_runs(rows: DataFrame, run: int, least_pages: int, shard_bytes: int)
             yield closed()
 
     packed = rows.select("host", "html").mapInArrow(scan, "bucket long, runs binary").repartition(int(buckets), "bucket").sortWithinPartitions("bucket")
-    return packed.mapInArrow(often, "h long, n int")
+    return packed.mapInArrow(often, "h long, n int"), bits
+
+
+def times_of(hashes: np.ndarray, known: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The times of each hash in the sorted known ones; 0 if it isn't there."""
+    if not len(known):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, times[at], 0)
 
 
 def main_text(
@@ -439,7 +538,8 @@ def main_text(
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
     rows = rows.withColumn("host", host)
-    repeats = durable(repeated_runs(rows, run, least_pages, shard_bytes))
+    repeats, bits = repeated_runs(rows, run, least_pages, shard_bytes)
+    repeats = durable(repeats)
     if repeats.count() <= broadcast_runs:
         table = repeats.orderBy("h").toArrow()
         shared = pages.sparkSession.sparkContext.broadcast((table.column("h").to_numpy().view(np.uint64), table.column("n").to_numpy()))
@@ -447,43 +547,37 @@ def main_text(
         shared = None
 
         def runs_of(batches):
-            for batch, r, _, _, _, words, host in _paged(batches, run):
-                hosts = np.full(len(words), host, np.uint64)
-                hashes = np.unique(np.concatenate([run_hashes(words, hosts, run), host_run(hosts[:1])])).view(np.int64)
-                yield pa.record_batch([pa.array(np.full(len(hashes), batch.column("row")[r].as_py(), np.int64)), pa.array(hashes)], names=["row", "h"])
+            for some in _paged(batches):
+                hashes, whole = some.runs(run, bits)
+                row = some.rows.column("row").to_numpy()
+                of = np.concatenate([np.repeat(row, some.n_words)[: len(hashes)][whole], row])
+                yield pa.record_batch([pa.array(of), pa.array(np.concatenate([hashes[whole], host_run(some.hosts, bits)]).view(np.int64))], names=["row", "h"])
 
         rows = rows.withColumn("row", F.xxhash64("host", "html"))  # equal rows have equal runs
         hits = rows.select("row", "host", "html").mapInArrow(runs_of, "row long, h long").distinct().join(repeats, "h").groupBy("row")
         rows = rows.join(hits.agg(F.array_sort(F.collect_list(F.struct("h", "n"))).alias("hits")), "row", "left")
 
     def judged(batches):
-        out, last = [], None
-
-        def closed():
-            return pa.record_batch([last.column("page_id"), last.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
-
-        for batch, r, texts, kinds, sizes, words, host in _paged(batches, run):
-            if batch is not last:
-                if out:
-                    yield closed()
-                out, last = [], batch
+        for some in _paged(batches):
+            hashes, whole = some.runs(run, bits)
+            own = host_run(some.hosts, bits)
             if shared:
-                known, times = shared.value
+                on, of = (times_of(x, *shared.value) for x in (hashes, own))
             else:
-                own = batch.column("hits")[r].as_py() or []
-                known, times = np.array([x["h"] for x in own], np.int64).view(np.uint64), np.array([x["n"] for x in own], np.int64)
-            hosts = np.full(len(words), host, np.uint64)
-            hashes = np.concatenate([run_hashes(words, hosts, run), host_run(np.array([host], np.uint64))])
-            if len(known):
-                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                on = np.where(known[at] == hashes, times[at], 0)
-            else:
-                on = np.zeros(len(hashes), np.int64)
-            on, of = on[:-1], int(on[-1])
-            gone, inside = (covered_blocks(sizes, on >= least, run, covered) for least in (least_pages, max(widely, share * of)))
-            out.append(chosen_text(texts, kinds, sizes, gone, inside))
-        if out:
-            yield closed()
+                on, of = np.zeros(len(hashes), np.int64), np.zeros(len(own), np.int64)
+                at = 0
+                for k, hits in enumerate(some.rows.column("hits").to_pylist()):
+                    known, times = np.array([x["h"] for x in hits or ()], np.int64).view(np.uint64), np.array([x["n"] for x in hits or ()], np.int64)
+                    part = slice(at, at + int(some.n_words[k]))
+                    on[part], of[k] = times_of(hashes[part], known, times), times_of(own[k : k + 1], known, times)[0]
+                    at = part.stop
+            on = np.where(whole, on, 0)
+            strict = np.repeat(np.maximum(widely, share * of), some.n_words)[: len(on)]
+            gone, inside = (covered_blocks(some.sizes, often, run, covered) for often in (on >= least_pages, on >= strict))
+            low = np.concatenate([[0], np.cumsum(some.n_blocks)]).tolist()
+            sizes, gone, inside = some.sizes.tolist(), gone.tolist(), inside.tolist()
+            out = [chosen_text(t, k, sizes[a:b], gone[a:b], inside[a:b]) for t, k, a, b in zip(some.texts, some.kinds, low, low[1:])]
+            yield pa.record_batch([some.rows.column("page_id"), some.rows.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     out = rows.mapInArrow(judged, "page_id long, url string, text string")
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

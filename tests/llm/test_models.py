@@ -332,10 +332,10 @@ def brute_main_text(rows):
     """Main texts by their definition: runs of six words as tuples, pages of a host by signature."""
     from urllib.parse import urlsplit
 
-    cache, seen, pages = {}, {}, []
+    seen, pages = {}, []
     for i, url, page in rows:
         texts, kinds = htmltext.blocks(page or "")
-        words, sizes = htmltext.word_hashes(texts, cache)
+        words, sizes = htmltext.word_hashes(texts)
         host, sign = urlsplit(url or "").hostname or "", htmltext.signature(words, sizes, kinds)
         flat = [w for t in texts for w in t.lower().split()]
         pages.append((i, host, texts, kinds, sizes, flat))
@@ -423,10 +423,40 @@ def test_malformed_pages_take_linear_time():
 
 def test_counts_of_pages_by_signatures():
     rng = np.random.default_rng(9)
-    signs = rng.permutation(65_536)[:5_000].astype(np.uint64)
-    few, many = signs[:63], signs
-    numbers = np.unique(np.concatenate([np.uint64(1) << np.uint64(16) | few, np.uint64(2) << np.uint64(16) | many]))
-    halves = np.unique(np.concatenate([htmltext.least_signatures(np.sort(numbers[0::2])), htmltext.least_signatures(np.sort(numbers[1::2]))]))
-    for given in (numbers, halves):
-        run, pages = htmltext.counted(given)
-        assert run.tolist() == [1, 2] and pages[0] == 63 and 3_500 < pages[1] < 6_500
+    for pages in (63, 64, 500, 5_000, 200_000):
+        signs = np.array([htmltext.small_float(int(x)) for x in rng.integers(0, 1 << 63, pages, dtype=np.uint64) * np.uint64(2)], np.uint64)
+        numbers = np.unique(np.uint64(5) << np.uint64(12) | signs)
+        halves = np.unique(np.concatenate([htmltext.least_signatures(numbers[k::2]) for k in (0, 1)]))
+        for given in (numbers, halves):
+            run, n = htmltext.counted(given)
+            assert run.tolist() == [5] and (n[0] >= 54 if pages < 65 else 0.6 * pages < n[0] < 1.6 * pages), (pages, n)
+
+
+def test_words_have_a_hash_each():
+    texts = ["Ein Wort", "é", "wort ein EIN e\u0301", "x"]
+    hashed, sizes = htmltext.word_hashes(texts)
+    words = " ".join(texts).lower().split()
+    assert sizes.tolist() == [2, 1, 4, 1] and len({*zip(words, hashed.tolist())}) == len(set(words)) == len(set(hashed.tolist()))
+    assert htmltext.word_hashes([])[0].tolist() == []
+
+
+def test_small_floats_keep_their_order():
+    rng = np.random.default_rng(10)
+    values = sorted(int(x) >> int(k) for x, k in zip(rng.integers(1 << 62, 1 << 63, 3_000), rng.integers(0, 20, 3_000)))
+    codes = [htmltext.small_float(v) for v in [0, *values, (1 << 64) - 1]]
+    assert codes == sorted(codes) and codes[0] == 0 and codes[-1] == (1 << 12) - 1
+
+
+def test_plain_and_other_pages_are_read_alike():
+    rng = random.Random(12)
+    parts = ["<p>", "</p>", "<div class='ad'>", '<div class="ad">', "</div>", "<b>", "</b>", "text & more ", "<br/>", "<nav>", "</nav>", "<article>", "</article>", "<!-- x -->", "<script>var a='<p>'</script>", "<li>", "</li>", "<ul>", "</ul>", "1 < 2 ", "<img src=x>", "<svg>", "<p class=share>"]
+    for _ in range(300):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(1, 30)))
+        as_is, slow = htmltext.blocks(page), None
+        quick = htmltext.tags
+        htmltext.tags = lambda page: ([], 0)
+        try:
+            slow = htmltext.blocks(page)
+        finally:
+            htmltext.tags = quick
+        assert as_is == slow, page
