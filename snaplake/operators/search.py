@@ -28,7 +28,7 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, last_as_prefix
     freq = terms.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-    return terms.join(freq, "term").crossJoin(F.broadcast(stats)).groupBy("id").agg(F.sum(part).alias("score"))  # stats is one row
+    return terms.join(freq, "term").crossJoin(F.broadcast(stats)).groupBy("id").agg(F.round(F.sum(part), 12).alias("score"))  # stats is one row; rounded, so that equal texts tie in whatever order their parts are added
 
 
 def cosine(c: Column, query: list[float]) -> Column:

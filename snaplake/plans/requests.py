@@ -37,7 +37,7 @@ _BM25 = rf"""t AS (SELECT doc_id, lang, {_WORDS} AS w FROM docs), s AS (SELECT c
 
 
 @query(rf"""WITH docs AS (SELECT * FROM documents WHERE lang IN ('en', 'de') AND n_chars >= 200 AND NOT list_contains({_WORDS}, 'zzz')), {_BM25}
-  SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS place, round(score, 6) AS score, lang, 'search_text' AS matched_fields, 'lang,n_chars' AS filter_fields, 'keyword' AS rank_sources FROM r JOIN docs USING (doc_id) ORDER BY place LIMIT 20""")
+  SELECT doc_id, row_number() OVER (ORDER BY round(score, 12) DESC, doc_id) AS place, round(score, 6) AS score, lang, 'search_text' AS matched_fields, 'lang,n_chars' AS filter_fields, 'keyword' AS rank_sources FROM r JOIN docs USING (doc_id) ORDER BY place LIMIT 20""")
 def search_request_keyword(spark, d):
     body = {"query": "hast was from", "mode": "keyword", "filters": {"lang": {"$in": ["en", "de"]}, "n_chars": {"$gte": 200}}, "text_match": {"query": "zzz", "operator": "all_tokens", "field": "search_text", "negate": True}, "limit": 20}
     out = requests.search_rows(_table(spark, d, "documents"), body, "doc_id", "text")
