@@ -29,6 +29,11 @@ def slices(batch: pa.RecordBatch, column: str, rows: int = 500, size: int = 8_00
         at = stop
 
 
+def tasks(df: DataFrame) -> int:
+    """Partitions for work that costs more than its bytes tell: as many as the session shuffles into, where Spark would put small ones together."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores after it as make it no column of df (cases count as equal)."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -157,7 +162,7 @@ def block_links(large: DataFrame, compare, block: int, reach: int | None = None)
         if held:
             yield from closed()
 
-    return dealt.repartition(*order).sortWithinPartitions(*order, "own").mapInArrow(run, "a long, b long")
+    return dealt.repartition(tasks(large), *order).sortWithinPartitions(*order, "own").mapInArrow(run, "a long, b long")
 
 
 def bucket_pairs(entries: DataFrame, pairs, forest_only: bool, block: int = 2048) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaplake.llm.common import connected_components, durable
+from snaplake.llm.common import connected_components, durable, tasks
 
 #: Least cosine of a link.
 COSINE = 0.93
@@ -223,7 +223,7 @@ def finer_shards(members: DataFrame, crowded: DataFrame, shard: int, least: floa
         k = 1 if dense else max(2, min(FINER, -(-n // shard), len(vectors)))
         yield pa.record_batch([batch.column("label").slice(0, 1), batch.column("place").slice(0, 1), pa.array([n], pa.int64()), pa.array([None if k == 1 else centres_of(vectors, k).tobytes()], pa.binary())], names=["label", "place", "n", "centres"])
 
-    ordered = sampled.select("label", "place", "n", "node", "unit").repartition("label", "place").sortWithinPartitions("label", "place", "node")
+    ordered = sampled.select("label", "place", "n", "node", "unit").repartition(tasks(members), "label", "place").sortWithinPartitions("label", "place", "node")
     fitted = durable(ordered.mapInArrow(_by_key(fit, ["label", "place"]), "label string, place string, n long, centres binary"))
     salts = F.ceil(F.col("n") / 50_000).cast("int")
     copies = fitted.select("label", "place", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "centres", F.lit(None).cast("long").alias("node"), F.lit(None).cast("boolean").alias("home"), F.lit(None).cast("binary").alias("unit"))
@@ -255,7 +255,7 @@ def finer_shards(members: DataFrame, crowded: DataFrame, shard: int, least: floa
                 yield pa.record_batch([part.column("node").take(take), part.column("label").take(take), pa.array(sub), pa.array(home), part.column("unit").take(take)], names=["node", "label", "place", "home", "unit"])
 
     keyed = ["label", "place", "salt"]
-    work = copies.unionByName(dealt).repartition(*keyed).sortWithinPartitions(*keyed, F.col("node").asc_nulls_first())
+    work = copies.unionByName(dealt).repartition(tasks(members), *keyed).sortWithinPartitions(*keyed, F.col("node").asc_nulls_first())
     return work.mapInArrow(assign, "node long, label string, place string, home boolean, unit binary")
 
 
@@ -291,7 +291,7 @@ def vector_links(nodes: DataFrame, least: float = COSINE, shard: int = SHARD, ov
             yield pa.record_batch([pa.array(ids[a[i : i + 50_000]]), pa.array(ids[b[i : i + 50_000]])], names=["node", "next"])
 
     keys = ["label", "place", "part"]
-    sharded = members.repartition(*keys).sortWithinPartitions(*keys, "node")
+    sharded = members.repartition(tasks(nodes), *keys).sortWithinPartitions(*keys, "node")
     edges = sharded.mapInArrow(_by_key(build, keys), "node long, next long")
     united = edges.groupBy("node").agg(F.sort_array(F.collect_set("next")).alias("next"))
     # every part of a dense shard meets every home part: one copy of the part's nodes for each
@@ -326,7 +326,7 @@ def vector_links(nodes: DataFrame, least: float = COSINE, shard: int = SHARD, ov
             yield pa.record_batch([pa.array(pairs[i : i + 50_000, 0]), pa.array(pairs[i : i + 50_000, 1])], names=["a", "b"])
 
     keys = [*keys, "asks"]
-    work = inside.unionByName(guests).repartition(*keys).sortWithinPartitions(*keys, "node", "member")
+    work = inside.unionByName(guests).repartition(tasks(nodes), *keys).sortWithinPartitions(*keys, "node", "member")
     return work.mapInArrow(_by_key(probe, keys), "a long, b long").distinct()
 
 

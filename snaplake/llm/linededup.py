@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaplake.llm.common import block_links, connected_components, durable, forest, free_names
+from snaplake.llm.common import block_links, connected_components, durable, forest, free_names, tasks
 
 #: Edits up to which lines are alike, and the code points of the shorter line that allow for one edit each.
 EDITS, EVERY = 2, 24
@@ -182,10 +182,8 @@ def row_key(id_col: str, text_col: str):
 
 def line_links(lines: DataFrame, edits: int = EDITS, every: int = EVERY, block: int = BLOCK) -> DataFrame:
     """Links (a, b: h1 of the lines) that join all different lines within the edits that their lengths allow; of a group of links, a forest is enough."""
-    spark = lines.sparkSession
     fuzzy = lines.where(F.char_length("line") >= max(every, 2)).select("h1", "line")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * tasks
+    buckets = 4 * tasks(lines)
 
     def keyed(batches):
         """Packed keys by bucket, which tells the number of edits too."""
@@ -264,7 +262,7 @@ def line_links(lines: DataFrame, edits: int = EDITS, every: int = EVERY, block:
             part = np.flatnonzero(keep)[i : i + 100_000]
             yield pa.record_batch([pa.array(key[part]), pa.array(ids[part])], names=["key", "h1"])
 
-    entries = fuzzy.mapInArrow(keyed, "bucket int, blob binary").repartition(tasks, "bucket")
+    entries = fuzzy.mapInArrow(keyed, "bucket int, blob binary").repartition(tasks(lines), "bucket")
     members = durable(entries.mapInArrow(shared, "key long, h1 long"))
     wanted = members.select("h1").distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
@@ -334,7 +332,7 @@ def line_links(lines: DataFrame, edits: int = EDITS, every: int = EVERY, block:
 
 
 def _in_groups(groups: DataFrame, work) -> DataFrame:
-    return groups.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(work, "a long, b long")
+    return groups.repartition(tasks(groups), "key").sortWithinPartitions("key", "h1").mapInArrow(work, "a long, b long")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, every: int = EVERY) -> DataFrame:

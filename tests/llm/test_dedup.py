@@ -247,7 +247,8 @@ def test_simhash_equals_brute_force(spark, docs_of):
 def brute_near(rows):
     """The (id, text) that stay: near copies by words and shingles, over all pairs of different (id, text)."""
     cut = lambda t: re.findall(r"\w+", (t or "").lower())
-    units = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, hash_of(r[1])))
+    order = hashes_of({t for _, t in rows})
+    units = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, order[r[1]]))
     tokens = [cut(t) for _, t in units]
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in tokens]
 
@@ -264,16 +265,17 @@ def brute_near(rows):
             near = (fp[a] ^ fp[b]).bit_count() <= 5 and (sig[a] ^ sig[b]).bit_count() <= 18 and shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared) - 1e-9
             if tokens[a] == tokens[b] or near:
                 links.append((a, b))
-    return [u for k, u in enumerate(units) if components(len(units), links)[k] == k], links
+    roots = components(len(units), links)
+    return [u for k, u in enumerate(units) if roots[k] == k], links
 
 
-def hash_of(text):
-    """Which of the texts of one id comes first: the hash that the operator orders by."""
+def hashes_of(texts):
+    """Which of the texts of one id comes first: the hashes that the operator orders by."""
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame([(text,)], "t string").select(F.xxhash64(F.col("t").isNull(), F.col("t"))).first()[0]
+    frame = SparkSession.getActiveSession().createDataFrame([(t,) for t in texts], "t string")
+    return {r.t: r.h for r in frame.select("t", F.xxhash64(F.col("t").isNull(), F.col("t")).alias("h")).collect()}
 
 
 def test_near_copies_equal_brute_force(spark, docs_of):
