@@ -119,7 +119,12 @@ def search_semantic(spark, d):
     return search.semantic(spark.read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding", _QUERY).withColumn("score", F.round("score", 6))
 
 
-@query(None)
+@query(rf"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+  s AS (SELECT count(*) AS n_docs, avg(len(w)) AS mean_len FROM t), h AS (SELECT doc_id, len(w) AS dl, unnest(list_filter(w, lambda x: x IN ('hast', 'was', 'from'))) AS term FROM t),
+  f AS (SELECT doc_id, dl, term, count(*) AS tf FROM h GROUP BY ALL), q AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
+  b AS (SELECT doc_id AS id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean_len))) AS score FROM f JOIN q USING (term), s GROUP BY 1),
+  r AS (SELECT id, row_number() OVER (ORDER BY round(score, 12) DESC, id) AS r FROM b UNION ALL SELECT vec_id, row_number() OVER (ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_QSQL}) DESC, vec_id) FROM embeddings)
+  SELECT id, sum(1 / (60 + r)) AS score FROM r GROUP BY 1 ORDER BY score DESC, id LIMIT 50""")
 def search_hybrid(spark, d):
     return search.hybrid(search.bm25(_docs(spark, d), "doc_id", "text", "hast was from"), search.semantic(spark.read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding", _QUERY), 50)
 
