@@ -34,8 +34,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 2
 #: Near copies: bits of the words' fingerprint and of the shingles' that may differ, words in a shingle, least shared part (Jaccard).
 NEAR_BITS, SHINGLE_BITS, SHINGLE, NEAR = 5, 18, 5, 0.8
-#: Texts that one task verifies against one another; larger groups go in pairs of such blocks.
-BLOCK = 512
+#: Texts that one task verifies against one another; larger groups go in pairs of such blocks. Keys of rows that are broadcast at most (some 25 MB).
+BLOCK, BROADCAST_ROWS = 256, 1_000_000
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -262,7 +262,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     maybe = connected_components(bucket_pairs(entries, _alike, forest_only=True))
     members = maybe.unionByName(maybe.select(F.col("component").alias("id"), "component").distinct())
     asked = members.join(nodes, F.col("id") == F.col("node")).select(F.col("component").alias("key"), "id", "head.k1", "head.k2", "fp", "sig")
-    one_each = keyed.groupBy("k1", "k2").agg(F.min("text").alias("text"))
+    named = asked.select("k1", "k2")
+    named = F.broadcast(named) if members.count() <= BROADCAST_ROWS else named
+    one_each = keyed.join(named, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min("text").alias("text"))  # texts of candidates only
     # rows are numbered in their group; distinct parts of a group are compared pairwise, each part by one task
     sized = asked.groupBy("key").agg(F.ceil(F.count("*") / block).alias("parts"))
     placed = asked.join(sized, "key").withColumn("nth", F.pmod(F.xxhash64("id"), F.col("parts")) * block).drop("parts")
