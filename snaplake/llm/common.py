@@ -189,7 +189,7 @@ def bucket_pairs(entries: DataFrame, pairs, forest_only: bool, block: int = 2048
         """Pairs within runs of equal key, offset by offset."""
         out_a, out_b = [], []
         at = np.arange(len(key))
-        step = 1
+        step, waiting = 1, 0
         while True:
             at = at[at + step < len(key)]
             at = at[key[at] == key[at + step]]
@@ -198,6 +198,10 @@ def bucket_pairs(entries: DataFrame, pairs, forest_only: bool, block: int = 2048
             hit = at[pairs(sig[at], sig[at + step])]
             out_a.append(ids[hit])
             out_b.append(ids[hit + step])
+            waiting += len(hit)
+            if forest_only and waiting > 1_000_000:  # dense groups have many more pairs than members
+                a, b = forest(np.concatenate(out_a), np.concatenate(out_b))
+                out_a, out_b, waiting = [a], [b], 0
             step += 1
         if not out_a:
             return np.empty(0, np.int64), np.empty(0, np.int64)
