@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from snaplake.llm.bpe import bpe_digests
 from snaplake.llm.common import table
 from snaplake.llm.decontaminate import contained_items
+from snaplake.llm.divergence import source_divergence
 from snaplake.llm.embeddings import near_vectors
 from snaplake.llm.htmltext import main_text
 from snaplake.llm.linededup import line_dedup
+from snaplake.llm.negatives import hard_negatives
 from snaplake.llm.quality import fit, quality_scores
 from snaplake.llm.sharding import shard_by_bytes
 from snaplake.llm.simhash import simhash_groups
 from snaplake.llm.spans import span_dedup
+from snaplake.llm.topk import top_products
 from snaplake.llm.warc import archived
 
 #: Shards of op10.
@@ -73,8 +76,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_embedding_links, op4_simhash, op5_warc, op6_substring_dedup, op7_quality, op8_html_extraction, op9_bpe, op10_sharding)}
+    every = (op1_line_dedup, op2_decontamination, op3_embedding_links, op4_simhash, op5_warc, op6_substring_dedup, op7_quality, op8_html_extraction, op9_bpe, op10_sharding, op11_hard_negatives, op12_top_k, op13_source_divergence)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
