@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from snaplake.plans import analytics, builder, changes, extras, logs, requests, transfers
+from snaplake.plans import analytics, builder, changes, extras, files, logs, requests, transfers
 
-MODULES = (builder, changes, analytics, logs, extras, transfers, requests)
+MODULES = (builder, changes, analytics, logs, extras, transfers, requests, files)
 
 
 def queries() -> dict:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplake.sources import store, transcripts, turn_logs
+from snaplake.sources import ranges, store, transcripts, turn_logs
 
 
 @dataclass(frozen=True)
@@ -30,13 +30,22 @@ class Source:
         found = reduce(DataFrame.unionAll, [store.discovered(spark, p, self.glob, list(self.excluded)) for p in self.paths(root)])
         return found.select(F.lit(self.name).alias("source"), "path", "modified_at", "bytes")
 
+    def lines(self, spark: SparkSession, root: str) -> DataFrame:
+        """(file, line_no, line) of its files in all folders and those below them. Excluded names aren't opened."""
+        if ranges.opened_by_pyarrow(root):
+            return ranges.read_lines(spark, self.paths(root), self.glob, self.excluded)
+        bad = F.arrays_overlap(F.split("file", "/"), F.array(*map(F.lit, self.excluded)).cast("array<string>"))
+        return reduce(DataFrame.unionAll, [transcripts.read_lines(spark, p, self.glob) for p in self.paths(root)]).where(~bad)
+
+    def tail(self, spark: SparkSession, root: str) -> DataFrame:
+        """A stream of (file, at, line): what is there and what is appended; at is the line's place in bytes."""
+        return ranges.tail_lines(spark, self.paths(root), self.glob, self.excluded)
+
     def read(self, spark: SparkSession, root: str) -> DataFrame:
         """Its events; ValueError if its files have none."""
         if self.events is None:
             raise ValueError(f"{self.name} has no events")
-        lines = reduce(DataFrame.unionAll, [transcripts.read_lines(spark, f"{p}/{self.glob}") for p in self.paths(root)])
-        bad = F.arrays_overlap(F.split("file", "/"), F.array(*map(F.lit, self.excluded)).cast("array<string>"))
-        return self.events(lines.where(~bad))
+        return self.events(self.lines(spark, root))
 
 
 _KNOWN: dict[str, Source] = {}

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 _ROW = "type string, uuid string, parentUuid string, sessionId string, cwd string, gitBranch string, version string, timestamp string, message struct<role: string, content: variant>"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of the files' lines; blank ones count but are left out, and so is a last line without its end.
+def read_lines(spark: SparkSession, path: str, below: str | None = None) -> DataFrame:
+    """(file, line_no, line) of the files' lines; blank ones count but are left out, and so is a last line without its end. below: the files below path whose names match this glob.
 
     Large files are read in blocks by many tasks: lines are numbered within their block, and the blocks of a
     file are counted. Whether a file's last line has its end, the bytes of its lines tell beside its size.
     """
     meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size")]
-    rows = spark.read.option("lineSep", "\n").text(path).select(*meta, F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
+    reader = spark.read.option("lineSep", "\n") if below is None else spark.read.options(lineSep="\n", recursiveFileLookup="true", pathGlobFilter=below)
+    rows = reader.text(path).select(*meta, F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
     numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy("file", "start").orderBy("at")))
     blocks = rows.groupBy("file", "start").agg(F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.min("size").alias("size"))
     file = Window.partitionBy("file")
