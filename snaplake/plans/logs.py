@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from snaplake.catalog import shared_folder
 from snaplake.operators import sessions as S
 from snaplake.operators import rollups, sync
-from snaplake.streaming import tail
+from snaplake.streaming import stateful, tail
 
 QUERIES, SQL = {}, {}
 
@@ -141,31 +141,67 @@ def queue_failures(spark, d):
     return sync.after_failure(q, failed, F.lit("2024-01-20").cast("timestamp")).where("last_error = 'e'").select("path", "sha256", "status", F.col("attempts").cast("bigint").alias("attempts"))
 
 
-@query("SELECT range AS attempts, least(0.5 * pow(2.0, range), 1800.0)::DOUBLE AS seconds FROM range(0, 20)")
+@query(f"WITH {_QUEUE} SELECT path, sha256, attempts, least(0.5 * pow(2.0, attempts), 1800.0)::DOUBLE AS seconds FROM q")
 def backoff_table(spark, d):
-    return spark.range(20).select(F.col("id").alias("attempts"), sync.backoff(F.col("id")).alias("seconds"))
+    """How long each row of the queue waits after its next failure."""
+    return _queue(spark, d).select("path", "sha256", F.col("attempts").cast("bigint").alias("attempts"), sync.backoff(F.col("attempts")).alias("seconds"))
 
 
 @query("SELECT event_type, time_bucket(INTERVAL 6 HOURS, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling_windows(spark, d):
     """As a stream over the table's file, started once over what is there; the counts are read back from the shared folder."""
-    return streamed(spark, d, lambda events: tail.windowed(timed(events), "ts", "6 hours", ["event_type"]).withColumn("start", tail.zoneless("start")), "complete")
+    return streamed(spark, d, lambda events: tail.windowed(timed(events), "ts", "6 hours", ["event_type"]).withColumn("start", tail.zoneless("start")), CLOSING)
 
 
 def timed(events):
     return events.withColumn("ts", tail.event_time("ts"))
 
 
-def streamed(spark, d, change, mode: str = "append"):
-    """What a stream over the table events gives after `change`, started once over what is there; read back from the shared folder, one file set for each batch (complete: the last one)."""
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(_events(spark, d).schema).parquet(f"{d}/events.parquet" if _is_folder(spark, f"{d}/events.parquet") else f"{d}/events.parque[t]")
+#: A row long after all others: it moves the watermark past their windows, so that these close and are told; its own stays open.
+CLOSING = {"event_id": -1, "ts": "2100-01-01", "user_id": -1, "event_type": "", "value": 0}
+
+
+def streamed(spark, d, change, closing: dict | None = None):
+    """What a stream over the table events appends after `change`, started once over what is there; read back from the shared folder, a file set for each batch. closing: one more row of the stream."""
+    base, schema = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", _events(spark, d).schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet" if _is_folder(spark, f"{d}/events.parquet") else f"{d}/events.parque[t]")
+    if closing:
+        spark.range(1).select(*(F.lit(closing.get(f.name)).cast(f.dataType).alias(f.name) for f in schema)).write.parquet(f"{base}/closing")
+        stream = stream.unionByName(spark.readStream.schema(schema).parquet(f"{base}/closing"))
     out = change(stream)
-    place = (lambda n: f"{base}/out/batch=0") if mode == "complete" else (lambda n: f"{base}/out/batch={n}")
-    tail.deliver(out, lambda rows, n: rows.write.mode("overwrite").parquet(place(n)), f"{base}/state", mode=mode).awaitTermination()
+    tail.deliver(out, lambda rows, n: rows.write.mode("overwrite").parquet(f"{base}/out/batch={n}"), f"{base}/state").awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out").select(*out.columns)
 
 
 def _is_folder(spark, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+
+
+@query(f"""WITH {_QUEUE}, q2 AS (SELECT path, sha256, enqueued_at, attempts % 4 AS k FROM q), d AS (SELECT path, max(enqueued_at) AS newest FROM q2 WHERE k = 0 GROUP BY 1)
+  SELECT path, sha256, CASE k WHEN 0 THEN 'done' WHEN 3 THEN 'in_flight' ELSE 'pending' END AS status, CASE WHEN k IN (1, 2) THEN k ELSE 0 END AS attempts
+  FROM q2 LEFT JOIN d USING (path) WHERE k IN (0, 3) OR coalesce(enqueued_at >= newest, true)""")
+def stream_queue_machine(spark, d):
+    """A queue as keyed state, from a stream of commands: every event is entered, a quarter each is sent, fails once, fails twice, and is claimed. A sent one prunes older ones of its path."""
+    stamp = lambda days: F.expr(f"ts + interval {days} days")
+
+    def commands(events):
+        k = F.col("event_id") % 12 % 4
+        sent = F.when(k == 0, F.array(F.struct(F.lit("claim").alias("command"), stamp(100).alias("at")), F.struct(F.lit("done").alias("command"), stamp(200).alias("at"))))
+        failed = F.when(k == 1, F.array(F.struct(F.lit("failed").alias("command"), stamp(100).alias("at")))).when(k == 2, F.array(F.struct(F.lit("failed").alias("command"), stamp(100).alias("at")), F.struct(F.lit("failed").alias("command"), stamp(101).alias("at"))))
+        claimed = F.when(k == 3, F.array(F.struct(F.lit("claim").alias("command"), stamp(50).alias("at"))))
+        all_of = F.concat(F.array(F.struct(F.lit("enqueue").alias("command"), F.col("ts").alias("at"))), F.coalesce(sent, failed, claimed))
+        rows = events.select(F.format_string("p%d", "user_id").alias("path"), F.md5(F.col("event_id").cast("string")).alias("sha256"), F.posexplode(all_of).alias("nth", "c"))
+        return rows.select("path", "sha256", F.lit("e").alias("error"), "nth", "c.*").withColumn("at", tail.event_time("at"))
+
+    steps = streamed(spark, d, lambda events: stateful.work_queue(commands(events), by_event_time=True, lease_s=10**10, kept_s=10**10))
+    return stateful.queue_now(steps).select("path", "sha256", "status", F.col("attempts").cast("bigint").alias("attempts"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOURS THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  g AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS part FROM e)
+  SELECT user_id::VARCHAR AS user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM g GROUP BY user_id, part""")
+def stream_quiet_timers(spark, d):
+    """Runs of a user's events with less than two hours between them, by keyed state and timers, appended as they close."""
+    out = streamed(spark, d, lambda events: stateful.quiet_keys(timed(events), "user_id", 7200, "ts"), CLOSING)
+    return out.select(F.col("key").alias("user_id"), "first", "last", "n")

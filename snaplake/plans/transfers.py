@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from snaplake.catalog import Snapshot
 from snaplake.functions import text as T
 from snaplake.operators import diff, filters, search, sync
 from snaplake.operators.files import expect_files
-from snaplake.plans.logs import _QUEUE, _queue, streamed, timed
+from snaplake.plans.logs import _QUEUE, CLOSING, _queue, streamed, timed
 from snaplake.sources import rewriting, transcripts
-from snaplake.sources.uploads import payloads
+from snaplake.sources.uploads import payloads, unpacked
 from snaplake.streaming import tail
 
 QUERIES, SQL = {}, {}
@@ -78,11 +79,13 @@ def queue_requeue(spark, d):
     return sync.requeued(q, q.where("status = 'done'").select("path", "sha256").unionByName(new), F.lit("2024-02-20").cast("timestamp")).select("path", "sha256", "status")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS path, CAST(octet_length(encode(text)) AS BIGINT) AS raw_bytes FROM documents")
+@query("SELECT CAST(doc_id AS VARCHAR) AS path, CAST(octet_length(encode(text)) AS BIGINT) AS raw_bytes, true AS no_larger, md5(text) AS digest FROM documents")
 def upload_payloads(spark, d):
-    """Sizes of the documents as they are sent; nothing in them is scrubbed and none is cut."""
+    """The documents as they are sent: packed where that is smaller, and what they are once unpacked again. Nothing in them is scrubbed."""
     files = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "utf-8").alias("content"))
-    return payloads(files).where("stored_bytes <= raw_bytes").select("path", "raw_bytes")
+    sent = payloads(files)
+    sizes = sent.select("path", "raw_bytes", (F.col("stored_bytes") <= F.col("raw_bytes")).alias("no_larger"))
+    return sizes.join(unpacked(sent).select("path", F.md5("content").alias("digest")), "path")
 
 
 def _lines(spark, d):
@@ -109,22 +112,22 @@ def convert_transcripts(spark, d):
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE event_type LIKE '%click%' OR event_type LIKE '%view%' GROUP BY 1")
 def stream_tail_counts(spark, d):
-    """The stream, filtered by parts of a text, counted as what has arrived by batch."""
-    return streamed(spark, d, lambda events: tail.url_filter(events, "event_type", ["click", "view"]).groupBy("event_type").agg(F.count("*").alias("n")), "complete")
+    """The stream, filtered by parts of a text; what it let through is counted."""
+    return streamed(spark, d, lambda events: tail.url_filter(events, "event_type", ["click", "view"])).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOURS THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
   g AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS part FROM e)
   SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM g GROUP BY user_id, part""")
 def stream_debounce(spark, d):
-    """Runs of a user's events with less than two hours between them; complete output, so that the last ones, which are still open, are told too."""
-    return streamed(spark, d, lambda events: tail.debounced(timed(events), "user_id", "ts", "2 hours").withColumns({c: tail.zoneless(c) for c in ("first", "last")}), "complete")
+    """Runs of a user's events with less than two hours between them, appended as the watermark passes their end."""
+    return streamed(spark, d, lambda events: tail.debounced(timed(events), "user_id", "ts", "2 hours").withColumns({c: tail.zoneless(c) for c in ("first", "last")}), CLOSING)
 
 
 @query("""SELECT event_type, time_bucket(INTERVAL 6 HOURS, ts) - to_hours(6 * k) AS start, count(*) AS n FROM events, range(0, 2) r(k) GROUP BY 1, 2""")
 def stream_sliding_windows(spark, d):
     """Windows of twelve hours, one every six."""
-    return streamed(spark, d, lambda events: tail.windowed(timed(events), "ts", "12 hours", ["event_type"], slide="6 hours").withColumn("start", tail.zoneless("start")), "complete")
+    return streamed(spark, d, lambda events: tail.windowed(timed(events), "ts", "12 hours", ["event_type"], slide="6 hours").withColumn("start", tail.zoneless("start")), CLOSING)
 
 
 @query(r"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM conversations) SELECT conv_id, turn, CASE WHEN length(flat) > 60 THEN substr(flat, 1, 59) || '…' ELSE flat END AS title FROM t""")
@@ -141,8 +144,11 @@ def relative_age(spark, d):
 
 @query("""SELECT table_name, change_type, count(*) AS n FROM (SELECT 'customer' AS table_name, 'modify' AS change_type FROM customer WHERE c_custkey % 5 = 1 UNION ALL SELECT 'part', 'delete' FROM part WHERE p_partkey % 4 = 3 UNION ALL SELECT 'part', 'insert' FROM part WHERE p_partkey % 6 = 0) GROUP BY ALL""")
 def diff_two_tables(spark, d):
-    """Totals over the changes of several tables."""
-    customer, part = _table(spark, d, "customer"), _table(spark, d, "part")
-    first = diff.table_changes(customer, customer.withColumn("c_name", F.expr("case when c_custkey % 5 = 1 then concat(c_name, '!') else c_name end")), ["c_custkey"], "customer")
-    second = diff.table_changes(part, part.where("p_partkey % 4 <> 3").unionByName(part.where("p_partkey % 6 = 0").withColumn("p_partkey", F.expr("-p_partkey - 1"))), ["p_partkey"], "part")
-    return first.unionByName(second).groupBy("table_name", "change_type").agg(F.count("*").alias("n"))
+    """Totals over the changes of all tables of two snapshots; what didn't change has none."""
+    before = Snapshot.load(spark, d, ["customer", "part", "nation", "lineitem"])
+    customer, part = before.frame("customer"), before.frame("part")
+    after = before.replace(
+        customer=customer.withColumn("c_name", F.expr("case when c_custkey % 5 = 1 then concat(c_name, '!') else c_name end")),
+        part=part.where("p_partkey % 4 <> 3").unionByName(part.where("p_partkey % 6 = 0").withColumn("p_partkey", F.expr("-p_partkey - 1"))),
+    )
+    return diff.snapshot_changes(before, after).groupBy("table_name", "change_type").agg(F.count("*").alias("n"))
