@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snaplake.catalog import durable
+from snaplake.operators import segments
 
 
 def latest(log: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -117,8 +118,10 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.char_length(F.coalesce(text, F.lit(""))) / 4)).cast("long")
 
 
-def suffix_within(events: DataFrame, session_col: str, seq_col: str, cost: Column, budget: int) -> DataFrame:
-    """The longest run of last events of each session whose costs fit the budget."""
+def suffix_within(events: DataFrame, session_col: str, seq_col: str, cost: Column, budget: int, parts: int | None = None) -> DataFrame:
+    """The longest run of last events of each session whose costs fit the budget. parts: sessions are cut into so many parts by position, where one may be too long for a task."""
+    if parts:
+        return segments.running_from_end(events, session_col, seq_col, cost, parts).where(F.col("running") <= budget)
     later = Window.partitionBy(session_col).orderBy(F.desc(seq_col)).rowsBetween(Window.unboundedPreceding, 0)
     return events.withColumn("cost", cost).withColumn("running", F.sum("cost").over(later)).where(F.col("running") <= budget)
 
@@ -152,16 +155,20 @@ def merged_page(stores: list[DataFrame], limit: int = 50, cursor: str | None = N
     return page(out, limit, cursor, id_col, time_col)
 
 
-def carried_forward(events: DataFrame, session_col: str, seq_col: str, value: Column, name: str) -> DataFrame:
-    """events with the last value that isn't null up to each row, and whether it differs from that before."""
+def carried_forward(events: DataFrame, session_col: str, seq_col: str, value: Column, name: str, parts: int | None = None) -> DataFrame:
+    """events with the last value that isn't null up to each row, and whether it differs from that before. parts: as for suffix_within."""
+    if parts:
+        return segments.last_known(events, session_col, seq_col, value, name, parts)
     w = Window.partitionBy(session_col).orderBy(seq_col)
     out = events.withColumn(name, F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     before = F.lag(name).over(w)
     return out.withColumn(f"{name}_changed", F.coalesce((before != F.col(name)) & before.isNotNull(), F.lit(False)))
 
 
-def changes_of(events: DataFrame, session_col: str, seq_col: str, name: str) -> DataFrame:
-    """The rows at which the value differs from that of the row before, with it as `previous`; the first value is no change."""
+def changes_of(events: DataFrame, session_col: str, seq_col: str, name: str, parts: int | None = None) -> DataFrame:
+    """The rows at which the value differs from that of the row before, with it as `previous`; the first value is no change. parts: as for suffix_within."""
+    if parts:
+        return segments.value_before(events, session_col, seq_col, name, parts).where(F.col("previous") != F.col(name))
     before = F.lag(name).over(Window.partitionBy(session_col).orderBy(seq_col))
     return events.withColumn("previous", before).where(F.col("previous") != F.col(name))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from snaplake.plans import analytics, builder, changes, extras, files, logs, requests, transfers
+from snaplake.plans import analytics, builder, changes, extras, files, logs, requests, scale, transfers
 
-MODULES = (builder, changes, analytics, logs, extras, transfers, requests, files)
+MODULES = (builder, changes, analytics, logs, extras, transfers, requests, files, scale)
 
 
 def queries() -> dict:
