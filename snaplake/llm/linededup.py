@@ -371,7 +371,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     k1, k2 = row_key(id_col, text_col)
     joined = docs.select(*(F.col(f"`{c}`") for c in names), k1.alias(n1), k2.alias(n2)).join(gone, [n1, n2], "left")
     split = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains(cut, i), x)), lambda x: x.isNotNull()), "\n")
+    # the lines are bound once and the places that stay looked up in them: as many steps as there are lines
+    staying = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), cut)
+    kept = F.get(F.transform(F.array(split), lambda lines: F.array_join(F.transform(staying(lines), lambda i: F.get(lines, i)), "\n")), F.lit(0))
     text = F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(kept)
     out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
     more = [F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.coalesce(cut, F.array().cast("array<int>")).alias("removed")]

@@ -11,7 +11,9 @@ and no link is lost. Fingerprints that share a key are compared bit by bit.
 Near copies, as a pipeline removes them, share four fifths of their five-word shingles and differ in more bits
 than that. They get a smoother fingerprint, of a text's different words, and a radius of five bits: two of the
 three segments hold at most two errors each then, so a key is (which two segments, a codeword index of either),
-108 at most. What links so and by a second fingerprint, of the shingles, is verified by its exact shingles.
+108 at most. Most pairs that differ in more bits share a key as well: three errors or more in two segments are
+rare up to nine bits. So what shares a key is let through up to twelve bits, if a second fingerprint, of the
+shingles, agrees, and then verified by its exact shingles.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ GENERATOR = 0b101011100011
 #: (lowest bit, bits) of the three segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 2
-#: Near copies: bits of the words' fingerprint and of the shingles' that may differ, words in a shingle, least shared part (Jaccard).
-NEAR_BITS, SHINGLE_BITS, SHINGLE, NEAR = 5, 18, 5, 0.8
+#: Near copies: bits of the words' fingerprint within which no pair is missed, bits of it and of the shingles' that may differ, words in a shingle, least shared part (Jaccard).
+NEAR_BITS, WORD_BITS, SHINGLE_BITS, SHINGLE, NEAR = 5, 12, 18, 5, 0.8
 #: Texts that one task verifies against one another; larger groups go in pairs of such blocks. Keys of rows that are broadcast at most (some 25 MB).
 BLOCK, BROADCAST_ROWS = 256, 1_000_000
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -188,7 +190,7 @@ def text_prints(rows: DataFrame, words: int = SHINGLE) -> DataFrame:
 def _alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Whether (fp, sig) may be near copies."""
     near = np.bitwise_count((left ^ right).view(np.uint64))
-    return (near[:, 0] <= NEAR_BITS) & (near[:, 1] <= SHINGLE_BITS)
+    return (near[:, 0] <= WORD_BITS) & (near[:, 1] <= SHINGLE_BITS)
 
 
 def jaccard_links(words: int, least: float):
@@ -241,9 +243,9 @@ def jaccard_links(words: int, least: float):
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, least: float = NEAR, block: int = BLOCK) -> DataFrame:
     """(k1, k2, first): for every different (id, text) of docs, whether it is the first of its group, by id (null ids last) and hash of the text.
 
-    Texts with the same words in the same order are one; others link if their fingerprints of words differ in
-    NEAR_BITS bits or fewer, those of shingles in SHINGLE_BITS or fewer, and they share `least` of their
-    different shingles. A group is what links reach. Texts without words are one group.
+    Texts with the same words in the same order are one; others link if their fingerprints of words share a key
+    (all within NEAR_BITS do) and differ in WORD_BITS bits or fewer, those of shingles in SHINGLE_BITS or fewer,
+    and they share `least` of their different shingles. A group is what links reach. Texts without words are one group.
     """
     keyed = docs.select(*near_key(docs, id_col, text_col), F.col(text_col).alias("text"))
     prints = durable(text_prints(keyed, words))

@@ -107,3 +107,15 @@ def test_vectors_on_edges(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(frame).collect()}
     assert got == {1: (2, 1, True), 2: (2, 1, False), 6: (2, 1, False), 3: (0, 3, True), 4: (0, 4, True), 5: (0, 5, True), 7: (0, 7, True)}
     assert np.isfinite(embeddings.audit(frame.where("vec_id is not null").dropDuplicates(["vec_id"]), embeddings.near_vectors(frame), every_nth=1).first().recall)
+
+
+def test_a_text_of_very_many_equal_lines_is_cut_in_linear_time(docs_of):
+    import time
+
+    took = []
+    for n in (20_000, 300_000):
+        began = time.time()
+        out = linededup.line_dedup(docs_of([(1, "the same line, over and over again\n" * n)]), report=True).collect()
+        took.append(time.time() - began)
+        assert out[0].text == "the same line, over and over again\n" and out[0].n_lines == n + 1
+    assert took[1] < 60
