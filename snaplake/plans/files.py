@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from snaplake.catalog import shared_folder
-from snaplake.sources import plugins, ranges
+from snaplake.sources import plugins, ranges, versions
 from snaplake.streaming import tail
 
 QUERIES, SQL = {}, {}
@@ -55,3 +55,18 @@ def tail_appended_bytes(spark, d):
         found = plugins.named("blocks").tail(spark, folder).select(F.get_json_object("line", "$.uuid").alias("id"))
         tail.deliver(found, lambda batch, n, run=run: batch.withColumn("run", F.lit(run)).write.mode("overwrite").parquet(f"{out}/run={run}-{n}"), state).awaitTermination()
     return spark.read.schema("id string, run int").option("recursiveFileLookup", "true").parquet(out)
+
+
+@query("""SELECT 'first' AS seen, event_id, value FROM events WHERE event_id % 3 = 0
+  UNION ALL SELECT 'last', event_id, CASE WHEN event_id % 6 = 1 THEN -1.0 ELSE value END FROM events WHERE event_id % 3 <> 2 AND NOT coalesce(event_type = 'click', false)""")
+def store_versions(spark, d):
+    """A versioned table of events: two appends, rows put in place of others, rows deleted, files merged; its first version, still there, and its last."""
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type", "value")
+    store = versions.VersionedTable(spark, _folder(spark, "versions"))
+    store.append(events.where("event_id % 3 = 0"))
+    store.append(events.where("event_id % 3 = 1"))
+    store.upsert(events.where("event_id % 6 = 1").withColumn("value", F.lit(-1.0)), ["event_id"])
+    store.delete("event_type = 'click'")
+    store.compact()
+    seen = [store.read(n).select(F.lit(name).alias("seen"), "event_id", "value") for name, n in (("first", 1), ("last", None))]
+    return seen[0].unionByName(seen[1])
