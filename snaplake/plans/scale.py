@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from snaplake.catalog import shared_folder
-from snaplake.operators import manifest, reconcile
+from snaplake.operators import manifest, reconcile, textindex
 from snaplake.operators import sessions as S
 from snaplake.plans.extras import _table
 
@@ -78,3 +78,29 @@ def manifest_tree_diff(spark, d):
     other = files.where((number % 500 == 3) & (number % 900 != 5)).withColumn("sha256", F.sha2("path", 256))
     manifest.apply(spark, there, other.unionByName(_table(spark, d, "documents").where("doc_id % 100 = 1").select(F.concat(F.lit("gone/"), "doc_id").alias("path"), F.sha2(F.col("doc_id").cast("string"), 256).alias("sha256"))))
     return manifest.tree_diff(spark, here, there).select("path", "status")
+
+
+def _index(spark, d, fields):
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    docs = _table(spark, d, "documents").withColumn("about", F.concat_ws(" ", "lang", "source"))
+    textindex.build(docs, "doc_id", fields, folder)
+    return folder
+
+
+def _bm25(field: str, words: str) -> str:
+    return rf"""(WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower({field}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM (SELECT *, lang || ' ' || source AS about FROM documents)),
+  s AS (SELECT count(*) AS n_docs, avg(len(w)) AS mean_len FROM t), h AS (SELECT doc_id, len(w) AS dl, unnest(list_filter(w, lambda x: {words})) AS term FROM t),
+  f AS (SELECT doc_id, dl, term, count(*) AS tf FROM h GROUP BY ALL), q AS (SELECT term, count(*) AS df FROM f GROUP BY 1)
+  SELECT doc_id AS id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean_len))) AS score FROM f JOIN q USING (term), s GROUP BY 1)"""
+
+
+@query(f"SELECT id, round(sum(score), 6) AS score FROM ({_bm25('text', "x IN ('hast', 'en') OR starts_with(x, 'fro')")} UNION ALL {_bm25('about', "x IN ('hast', 'en') OR starts_with(x, 'fro')")}) GROUP BY 1")
+def search_index_two_fields(spark, d):
+    """Words and the beginning of one, in two fields of a stored index."""
+    return textindex.search(spark, _index(spark, d, ["text", "about"]), "hast en fro", last_as_prefix=True).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT id, round(score, 6) AS score FROM {_bm25('text', "x IN ('was', 'hast')")} ORDER BY round(score, 12) DESC, id LIMIT 20")
+def search_index_top(spark, d):
+    """The twenty best; blocks of postings that can't reach them are left unread."""
+    return textindex.search(spark, _index(spark, d, ["text"]), "was hast", k=20).withColumn("score", F.round("score", 6))
