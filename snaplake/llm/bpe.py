@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snaplake.llm.common import slices
+
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Fixed value: the characters that the pattern's \\s takes as white space.
@@ -179,8 +181,9 @@ def bpe_encode(docs: DataFrame, vocabulary: str | Vocabulary, text_col: str = "t
     def scan(batches):
         vocab = shared.value
         for batch in batches:
-            ids = pa.array([vocab.encode(t) for t in batch.column(text_col).to_pylist()], pa.binary())
-            yield pa.record_batch([ids if c == text_col else batch.column(c) for c in batch.schema.names], names=names)
+            for part in slices(batch, text_col):
+                ids = pa.array([vocab.encode(t) for t in part.column(text_col).to_pylist()], pa.binary())
+                yield pa.record_batch([ids if c == text_col else part.column(c) for c in part.schema.names], names=names)
 
     return kept.mapInArrow(scan, schema)
 
@@ -194,8 +197,9 @@ def bpe_decode(encoded: DataFrame, vocabulary: str | Vocabulary, ids_col: str =
     def scan(batches):
         vocab = shared.value
         for batch in batches:
-            text = pa.array([vocab.decode(x or b"") for x in batch.column(ids_col).to_pylist()], pa.string())
-            yield pa.record_batch([*batch.columns, text], names=[*batch.schema.names, text_col])
+            for part in slices(batch, ids_col):
+                text = pa.array([vocab.decode(x or b"") for x in part.column(ids_col).to_pylist()], pa.string())
+                yield pa.record_batch([*part.columns, text], names=[*part.schema.names, text_col])
 
     return kept.mapInArrow(scan, schema)
 
