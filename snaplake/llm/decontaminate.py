@@ -7,6 +7,9 @@ shingles to hold `least` of them, so no leak is missed however long the document
 largest sketch hash; a document's shingles beyond it need no lookup in that class. Candidates are verified
 by exact containment of their shingle sets: by hashes first, then by the words themselves.
 
+Items of fewer than five words are one shingle of their own length: for each such length that a block has, the
+document's runs of so many words are looked up, and the words compared.
+
 Items are taken in blocks of bounded size, each broadcast once, and every block passes over the documents:
 what a task holds grows neither with the documents nor with the benchmark, and documents are not shuffled.
 """
@@ -76,9 +79,15 @@ class ItemBlock:
         self.words, self.least = words, least
         self.items = [(i, s, tokens_of(t)) for i, t in items if len(s := shingle_hashes(t, seen, words))]
         sketch = [s[: len(s) - math.ceil(least * len(s) - 1e-9) + 1] for _, s, _ in self.items]
-        self.classes = []
-        size = np.array([len(s).bit_length() for _, s, _ in self.items])
-        for c in np.unique(size):
+        self.classes, self.short = [], {}
+        n_words = np.array([len(w) for _, _, w in self.items], np.int64)
+        for n in np.unique(n_words[n_words < words]).tolist():
+            rows = np.flatnonzero(n_words == n)
+            key = np.concatenate([sketch[r] for r in rows])
+            order = np.argsort(key, kind="stable")
+            self.short[n] = key[order], rows[order]
+        size = np.array([len(s).bit_length() if len(w) >= words else 0 for _, s, w in self.items])
+        for c in np.unique(size[size > 0]):
             rows = np.flatnonzero(size == c)
             key = np.concatenate([sketch[r] for r in rows])
             owner = np.repeat(rows, [len(sketch[r]) for r in rows])
@@ -88,14 +97,33 @@ class ItemBlock:
     def runs(self, tokens: list[str], at) -> set[tuple[str, ...]]:
         return {tuple(tokens[k : k + self.words]) for k in at}
 
+    def search_short(self, tokens: list[str], hashed: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, 1, 1) of the items of fewer than `words` words that stand anywhere in a document."""
+        found = set()
+        for n, (key, owner) in self.short.items():
+            if len(tokens) < n:
+                continue
+            runs = all_shingles(hashed, n)
+            low, high = np.searchsorted(key, runs, "left"), np.searchsorted(key, runs, "right")
+            seen = set()
+            for k in np.flatnonzero(high > low).tolist():
+                run = tuple(tokens[k : k + n])
+                if run not in seen:
+                    seen.add(run)
+                    found.update(o for o in owner[low[k] : high[k]].tolist() if tuple(self.items[o][2]) == run)
+        return [(self.items[o][0], 1, 1) for o in sorted(found)]
+
     def search(self, text: str | None, seen: dict) -> list[tuple[int, int, int]]:
         """(item, shared shingles, item's shingles) of every leak in a document."""
         tokens = tokens_of(text)
-        every = all_shingles(np.fromiter(map(seen.__getitem__, tokens), np.uint64, len(tokens)), self.words)
+        hashed = np.fromiter(map(seen.__getitem__, tokens), np.uint64, len(tokens))
+        every = all_shingles(hashed, self.words)
         shingles = np.unique(every)
         if not len(shingles):
             return []
-        out = []
+        out = self.search_short(tokens, hashed)
+        if len(tokens) < self.words:
+            return out
         for largest, key, owner in self.classes:
             probe = shingles[: np.searchsorted(shingles, largest, "right")]
             if len(probe) < len(key):
@@ -121,7 +149,7 @@ def _blocks(items: DataFrame, item_col: str, text_col: str):
     """Blocks of items, read in turn: the driver holds one at a time."""
     block, size = [], 0
     for item, text in items.select(F.col(item_col).cast("long"), text_col).where(f"`{text_col}` is not null").distinct().toLocalIterator():
-        n = text.count(" ") + text.count("\n") + 1
+        n = sum(1 for _ in _WORD.finditer(text))
         if block and size + n > BLOCK_SHINGLES:
             yield block
             block, size = [], 0
@@ -135,7 +163,8 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     """(doc_id, item_id, n_shared, n_item, containment) of every leak.
 
     Words are lower-cased runs of word characters, whatever stands between them. Items without words leak
-    nowhere, items of fewer than `words` words are one shingle; null and blank documents hold nothing; null
+    nowhere, items of fewer than `words` words are one shingle of all their words, found wherever these stand in
+    a row (a one-word item in every document with the word: choose items with care); null and blank documents hold nothing; null
     ids are carried as null. Repeated documents each get rows, repeated items (same id and text) count once.
     Other columns don't matter. No documents or no items: no rows.
     """

@@ -9,15 +9,15 @@ WITH doc_words AS (
 ), item_words AS (
   SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+') AS w FROM benchmark WHERE text IS NOT NULL
 ), item_shingles AS (
-  SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
+  SELECT DISTINCT item_id, least(5, len(w)) AS n, array_to_string(w[i:i + 4], ' ') AS s
   FROM item_words, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS t(i) WHERE len(w) > 0
 ), sizes AS (
   SELECT item_id, count(*) AS n_item FROM item_shingles GROUP BY item_id
 ), doc_shingles AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
-  FROM doc_words, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS t(i) WHERE len(w) > 0
+  SELECT DISTINCT doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM (SELECT * FROM doc_words, (SELECT DISTINCT n FROM item_shingles) WHERE len(w) >= n), unnest(range(1, len(w) - n + 2)) AS t(i)
 ), shared AS (
-  SELECT doc_id, item_id, count(*) AS n_shared FROM doc_shingles JOIN item_shingles USING (s) GROUP BY doc_id, item_id
+  SELECT doc_id, item_id, count(*) AS n_shared FROM doc_shingles JOIN item_shingles USING (s, n) GROUP BY doc_id, item_id
 )
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
 FROM shared JOIN sizes USING (item_id) WHERE n_shared >= 0.8 * n_item - 1e-9

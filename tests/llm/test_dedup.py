@@ -338,15 +338,16 @@ def test_large_buckets_are_paired_in_blocks(spark):
 
 
 def brute_contained(rows, items):
-    def shingles(t):
+    def shingles(t, n):
         w = re.findall(r"\w+", (t or "").lower())
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
 
     out = []
     for d, t in rows:
         for i, x in set(items):
-            s = shingles(x)
-            n = len(s & shingles(t))
+            n = min(5, len(re.findall(r"\w+", (x or "").lower())))
+            s = shingles(x, n)
+            n = len(s & shingles(t, n))
             if s and n >= 0.8 * len(s) - 1e-9:
                 out.append((d, i, n, len(s)))
     return out
@@ -375,3 +376,11 @@ def test_containment_equals_brute_force(spark, docs_of, monkeypatch):
     assert order((r.doc_id, r.text) for r in clean.collect()) == order((d, t) for d, t in rows if (d, t) not in {(d, dict(rows)[d]) for d, *_ in expected})
     assert dec.contained_items(docs_of([]), bench).count() == 0 and dec.contained_items(docs, bench.limit(0)).count() == 0
     assert dec.decontaminate(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_short_items_are_found_inside_long_texts(spark, docs_of):
+    docs = docs_of([(1, "well the quick brown fox jumps over it"), (2, "Quick, brown\tFOX"), (3, "quick fox brown"), (4, "brown"), (5, ""), (6, None)])
+    bench = spark.createDataFrame([(7, "quick brown fox"), (8, "brown"), (9, "brown fox jumps over"), (10, "...")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dec.contained_items(docs, bench).collect()}
+    assert got == {(1, 7), (1, 8), (1, 9), (2, 7), (2, 8), (3, 8), (4, 8)}
+    assert {r.doc_id for r in dec.decontaminate(docs, bench).collect()} == {5, 6}
