@@ -6,9 +6,9 @@ array with equal hashes have a common prefix of `run` tokens or more. (A longer
 what a long repeated substring covers is what the runs within it cover, each of which is on as many pages, and
 neighbouring runs join to substrings as long as they go.) For every run the distinct pages of its host are
 counted, over the whole host however large it is. Pages count by content: each has a signature, the least hash
-of its word pairs, so that copies and most near copies of a page count as one, and what only they share isn't
-taken for boilerplate. Of a run's signatures the `SIGNATURES` least are kept, which count exactly below that
-number and tell the share of the host's pages beyond it; so a signature is a small floating-point number.
+of its word pairs outside of marked frames, so that copies and most near copies of a page count as one, and what
+only they share isn't taken for boilerplate. Pages whose least pair lies in an unmarked block that they share
+count as one too: where such blocks have more words than the rest, counts are low.
 
 What repeats decides with what the markup says:
 
@@ -16,15 +16,18 @@ What repeats decides with what the markup says:
   more cover `covered` of their words, unless all such blocks of the page would;
 - blocks of a marked article go if runs that are on `share` of the host's pages, and on `widely` pages at least,
   cover them so: copied articles and quoted passages stay, a host's box in every article goes;
-- a page with a marked article is that article, unless more words outside of it are left than in it;
+- a page with a marked article is that article;
 - blocks within navigation, headers, footers, sidebars, forms, notices, adverts and comment sections, as
   elements, roles, class and id names tell, go even where a host shows too few pages to repeat them.
 
-Runs are counted by hashes of their host and words, in buckets of the hashes' leading bits, which bounds a task
-whatever a host's size. Hashes have six bits more than the bytes of all pages ask for, 48 at most; a run or two
-that collide don't cover a block. Pages are read twice and
-never shuffled, unless more runs are repeated than are broadcast: then pages and their repeated runs are joined
-by shuffle, with the same result.
+Most runs are on one page only, so counting takes two passes. The first counts leading bits of the runs' hashes
+by chunks of pages; what may be on enough pages is marked in a bitmap of `FILTER_BITS`, which lets chance
+neighbours through but loses none. The second sends what the bitmap lets through with whole 64-bit hashes and
+whole signatures, and counts different signatures exactly, so that a page's text doesn't depend on how many other
+pages there are. Both work in buckets of the hashes' leading bits; a run that may be on more pages than `HOT` is
+split over buckets by signature and its counts are added up. So a task's share is bounded whatever a host's size.
+Pages are read three times and never shuffled, unless more runs are repeated than are broadcast: then pages and
+their repeated runs are joined by shuffle, with the same result.
 """
 
 from __future__ import annotations
@@ -47,16 +50,14 @@ from snaplake.llm.linededup import mix, powers
 RUN, PAGES, COVERED = 6, 3, 0.6
 #: Within a marked article: share of the host's pages that a run must be on, and least number of them.
 SHARE, WIDELY = 0.5, 5
-#: Signatures of a run that are kept.
-SIGNATURES = 64
-#: Bits of a signature: of its exponent and of its mantissa.
-EXPONENT, MANTISSA = 4, 8
+#: Bits of a run's hash that the bitmap of runs worth counting goes by (2 ** 28 bits are 32 MB); pages from which on a run's signatures are split (more, a hundred-millionth of all bytes, where these are many).
+FILTER_BITS, HOT = 28, 100_000
 #: Bytes of pages whose runs are counted in one bucket; tokens that one suffix array takes.
 SHARD_BYTES, CHUNK = 16_000_000, 1_000_000
 #: Repeated runs that are broadcast at most (48 MB); beyond it they are joined by shuffle.
 BROADCAST_RUNS = 4_000_000
 #: Elements by what their text is.
-SKIPPED = frozenset("script style noscript template svg math canvas iframe object audio video map title select option button textarea datalist dialog".split())
+SKIPPED = frozenset("script style noscript template svg canvas iframe object audio video map title select option button textarea datalist dialog".split())
 FRAME = frozenset("nav header footer aside form menu fieldset".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -307,82 +308,74 @@ def distinct(numbers: np.ndarray) -> np.ndarray:
     return numbers[np.r_[True, numbers[1:] != numbers[:-1]]] if len(numbers) else numbers
 
 
-def run_hashes(words: np.ndarray, host: np.ndarray, run: int = RUN, bits: int = 48) -> np.ndarray:
-    """A hash of the run that starts at each word and of its host's hash. The last run - 1 words start none."""
+def run_hashes(words: np.ndarray, host: np.ndarray, run: int = RUN) -> np.ndarray:
+    """A 64-bit hash of the run that starts at each word and of its host's hash. The last run - 1 words start none."""
     n = max(0, len(words) - run + 1)
     out = host[:n] * _MULTIPLIERS[0]
     for k in range(run):
         out = (out ^ words[k : k + n]) * _MULTIPLIERS[k % 2]
         out ^= out >> np.uint64(31)
-    return out >> np.uint64(64 - bits)
+    return out
 
 
-def host_run(host: np.ndarray, bits: int = 48) -> np.ndarray:
+def host_run(host: np.ndarray) -> np.ndarray:
     """The number under which a host's own pages are counted."""
-    return (host * _MULTIPLIERS[1] ^ host >> np.uint64(7)) >> np.uint64(64 - bits)
-
-
-def small_float(value: int) -> int:
-    """A 64-bit number in EXPONENT + MANTISSA bits, in the same order."""
-    zeros, most = 64 - value.bit_length(), (1 << EXPONENT) - 1
-    if zeros >= most:
-        return value >> 64 - most - MANTISSA
-    return most - zeros << MANTISSA | value >> 63 - zeros - MANTISSA & (1 << MANTISSA) - 1
-
-
-def share_below(code: int) -> float:
-    """About what part of all numbers is below those of this small float."""
-    exponent, mantissa, most = code >> MANTISSA, (code & (1 << MANTISSA) - 1) + 0.5, (1 << EXPONENT) - 1
-    if not exponent:
-        return mantissa / 2.0 ** (MANTISSA + most)
-    return ((1 << MANTISSA) + mantissa) / 2.0 ** (MANTISSA + 1 + most - exponent)
+    return host * _MULTIPLIERS[1] ^ host >> np.uint64(7)
 
 
 def signature(words: np.ndarray, sizes: np.ndarray | list[int], kinds: list[int]) -> int:
-    """The least hash of neighbouring words as a small float, frames left out (unless there is nothing else)."""
+    """The least hash of neighbouring words frames left out (unless there is nothing else)."""
     inside = np.repeat(np.array(kinds) != OUTSIDE, sizes) if len(words) else np.empty(0, bool)
     chosen = words[inside] if inside.any() else words
     if len(chosen) < 2:
-        return small_float(int(chosen[0])) if len(chosen) else 0
+        return int(chosen[0]) if len(chosen) else 0
     pair = (chosen[:-1] * _MULTIPLIERS[0]) ^ (chosen[1:] * _MULTIPLIERS[1])
     pair = (pair ^ (pair >> np.uint64(29))) * _MULTIPLIERS[0]
     least = int((pair ^ (pair >> np.uint64(32))).min())
-    return small_float((least * int(_MULTIPLIERS[1]) ^ least >> 29) * int(_MULTIPLIERS[0]) & (1 << 64) - 1)
+    return (least * int(_MULTIPLIERS[1]) ^ least >> 29) * int(_MULTIPLIERS[0]) & (1 << 64) - 1
+
+
+def different(h: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs, sorted."""
+    order = np.lexsort((signs, h))
+    h, signs = h[order], signs[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (signs[1:] != signs[:-1])] if len(h) else np.empty(0, bool)
+    return h[new], signs[new]
 
 
-_SIGN = np.uint64(EXPONENT + MANTISSA)
+def summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers, sorted, and for each the sum of its n."""
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
+    return h[starts], np.add.reduceat(n, starts) if len(h) else n
 
 
-def least_signatures(marked: np.ndarray, most: int = SIGNATURES) -> np.ndarray:
-    """Of sorted, different numbers (run and signature), the `most` least of each run."""
-    if not len(marked):
-        return marked
-    run = marked >> _SIGN
-    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-    sizes = np.diff(np.r_[starts, len(run)])
-    if sizes.max() <= most:
-        return marked
-    return marked[np.arange(len(run)) - np.repeat(starts, sizes) < most]
+def planes(numbers: np.ndarray) -> bytes:
+    """Bytes of equal rank together: the leading ones of sorted numbers are alike and pack well."""
+    return numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
 
 
-def counted(marked: np.ndarray, most: int = SIGNATURES) -> tuple[np.ndarray, np.ndarray]:
-    """(run, pages) of sorted, different numbers: the signatures of each run, estimated by the last of the `most` least if there are that many."""
-    marked = least_signatures(marked, most)
-    run, starts, pages = np.unique(marked >> _SIGN, return_index=True, return_counts=True)
-    for k in np.flatnonzero(pages >= most).tolist():
-        share = share_below(int(marked[starts[k] + most - 1]) & (1 << EXPONENT + MANTISSA) - 1)
-        pages[k] = max(most, int((most - 1) / share))
-    return run, pages
+def unplaned(blob: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def marked_runs(words: np.ndarray, page: np.ndarray, hosts: np.ndarray, signs: np.ndarray, run: int = RUN, bits: int = 48) -> np.ndarray:
-    """Sorted numbers (run and signature) of the different runs of a chunk of pages, and of their hosts. page: of each word; hosts, signs: of each page. Runs don't cross pages."""
-    own = host_run(hosts, bits) << _SIGN | signs
-    if len(words) < run:
-        return least_signatures(distinct(own))
-    whole = page[: len(words) - run + 1] == page[run - 1 :]
-    found = (run_hashes(words, hosts[page], run, bits) << _SIGN | signs[page[: len(whole)]])[whole]
-    return least_signatures(distinct(np.concatenate([found, own])))
+@dataclass
+class Chunk:
+    """Pages whose token streams stand in a row: words' hashes, and the page of each; hosts' hashes and signatures of each page."""
+
+    words: np.ndarray
+    page: np.ndarray
+    hosts: np.ndarray
+    signs: np.ndarray
+
+    def runs(self, run: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, page) of every run of every page, and of the pages' hosts. Runs don't cross pages."""
+        n = max(0, len(self.words) - run + 1)
+        whole = self.page[:n] == self.page[len(self.page) - n :]
+        own = np.arange(len(self.hosts))
+        return np.concatenate([run_hashes(self.words, self.hosts[self.page], run)[whole], host_run(self.hosts)]), np.concatenate([self.page[:n][whole], own])
 
 
 def covered_blocks(sizes: np.ndarray, often: np.ndarray, run: int = RUN, covered: float = COVERED) -> np.ndarray:
@@ -396,15 +389,13 @@ def covered_blocks(sizes: np.ndarray, often: np.ndarray, run: int = RUN, covered
     return total[ends] - total[ends - sizes] >= covered * sizes
 
 
-def chosen_text(texts: list[str], kinds: list[int], sizes: list[int], gone: list[bool], gone_inside: list[bool]) -> str:
+def chosen_text(texts: list[str], kinds: list[int], gone: list[bool], gone_inside: list[bool]) -> str:
     """The main text of a page from its blocks. gone: covered by what repeats; gone_inside: so that a marked article's block goes."""
     marked = [i for i, k in enumerate(kinds) if k == MARKED]
     marked = [i for i in marked if not gone_inside[i]] or marked
     open_ = [i for i, k in enumerate(kinds) if k == OPEN and not gone[i]]
     if not marked:
         chosen = open_ or [i for i, k in enumerate(kinds) if k == OPEN]
-    elif sum(sizes[i] for i in open_) > sum(sizes[i] for i in marked):
-        chosen = sorted(marked + open_)
     else:
         chosen = marked
     return "\n".join(texts[i] for i in chosen)
@@ -423,11 +414,11 @@ class Pages:
     n_words: np.ndarray
     hosts: np.ndarray
 
-    def runs(self, run: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    def runs(self, run: int) -> tuple[np.ndarray, np.ndarray]:
         """The hash of the run that starts at each word, and whether it lies within its page."""
         page = np.repeat(np.arange(len(self.hosts)), self.n_words)
         n = max(0, len(page) - run + 1)
-        return run_hashes(self.words, self.hosts[page], run, bits), page[:n] == page[len(page) - n :]
+        return run_hashes(self.words, self.hosts[page], run), page[:n] == page[len(page) - n :]
 
 
 def _paged(batches):
@@ -444,70 +435,146 @@ def _paged(batches):
             yield Pages(rows, texts, kinds, sizes, words, n_blocks, total[ends] - total[ends - n_blocks], hosts)
 
 
-def repeated_runs(rows: DataFrame, run: int, least_pages: int, shard_bytes: int) -> tuple[DataFrame, int]:
-    """(h, n) of the runs that occur on least_pages pages of a host or more, and of the hosts with as many (under host_run); and the bits of h. rows has host, html."""
-    total = int(rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0)
-    buckets, bits = max(1, -(-total // shard_bytes)), min(48, max(32, total.bit_length() + 6))
-    left = np.uint64(64 - bits - EXPONENT - MANTISSA)  # numbers are moved up, so that unused bytes are zero
+def _chunks(batches):
+    """The batches' pages as chunks of CHUNK words or more; pages without words are left out."""
+    held, n = [], 0
 
-    def scan(batches):
-        held, n = [], 0
-
-        def closed():
-            words = np.concatenate([x[0] for x in held])
-            page = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
-            hosts, signs = (np.array([x[k] for x in held], np.uint64) for k in (1, 2))
-            found = marked_runs(words, page, hosts, signs, run, bits) << left
-            bucket = ((found >> np.uint64(32)).astype(np.int64) * buckets) >> 32
-            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-            # bytes of equal rank together: the leading ones of sorted numbers are alike
-            blobs = [found[a:b].view(np.uint8).reshape(-1, 8).T.tobytes() for a, b in zip(cuts, cuts[1:])]
-            return pa.record_batch([pa.array(bucket[cuts[:-1]], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "runs"])
-
-        for pages in _paged(batches):
-            at = np.concatenate([[0], np.cumsum(pages.n_words)])
-            low = np.concatenate([[0], np.cumsum(pages.n_blocks)])
-            for k in np.flatnonzero(pages.n_words).tolist():
-                words = pages.words[at[k] : at[k + 1]]
-                held.append((words, pages.hosts[k], signature(words, pages.sizes[low[k] : low[k + 1]], pages.kinds[k])))
-                n += len(words)
-            if n >= CHUNK:
-                yield closed()
-                held, n = [], 0
-        if held:
-            yield closed()
+    def closed():
+        page = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
+        return Chunk(np.concatenate([x[0] for x in held]), page, *(np.array([x[k] for x in held], np.uint64) for k in (1, 2)))
 
-    def often(batches):
-        now, held, n = None, [], 0
-
-        def folded():
-            return least_signatures(distinct(np.concatenate(held)))
-
-        def closed():
-            h, pages = counted(folded())
-            keep = pages >= least_pages
-            return pa.record_batch([pa.array(h[keep].view(np.int64)), pa.array(pages[keep].astype(np.int32))], names=["h", "n"])
-
-        for batch in batches:
-            for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("runs").to_pylist()):
-                if b != now:
-                    if held:
-                        yield closed()
-                    now, held, n = b, [], 0
-                held.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.uint64).ravel() >> left)
-                n += len(held[-1])
-                if n > 4_000_000:  # copies of one run are folded
-                    held = [folded()]
-                    n = 0
-        if held:
+    for pages in _paged(batches):
+        at = np.concatenate([[0], np.cumsum(pages.n_words)])
+        low = np.concatenate([[0], np.cumsum(pages.n_blocks)])
+        for k in np.flatnonzero(pages.n_words).tolist():
+            words = pages.words[at[k] : at[k + 1]]
+            held.append((words, pages.hosts[k], signature(words, pages.sizes[low[k] : low[k + 1]], pages.kinds[k])))
+            n += len(words)
+        if n >= CHUNK:
             yield closed()
+            held, n = [], 0
+    if held:
+        yield closed()
+
+
+def _in_buckets(batches, fold, read):
+    """(bucket, folded parts) of each bucket of batches sorted by bucket; fold joins parts, copies are folded as they come."""
+    now, held, n = None, [], 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != now:
+                if held:
+                    yield now, fold(held)
+                now, held, n = row["bucket"], [], 0
+            held.append(read(row))
+            n += len(held[-1][0])
+            if n > 4_000_000:
+                held = [fold(held)]
+                n = 0
+    if held:
+        yield now, fold(held)
+
+
+def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """By the leading 32 bits."""
+    return ((h >> np.uint64(32)).astype(np.int64) * buckets) >> 32
+
+
+def worth_counting(rows: DataFrame, run: int, least_pages: int, buckets: int, bits: int, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A bitmap of the runs that may be on least_pages pages, by leading bits of their hashes, and the leading bits of those that may be on over `hot` pages, sorted, with the number of pages at most.
+
+    A run's pages are counted chunk by chunk and added up, runs with the same leading bits together, so no count
+    is too low. The bitmap has the same size whatever the corpus.
+    """
 
-    packed = rows.select("host", "html").mapInArrow(scan, "bucket long, runs binary").repartition(int(buckets), "bucket").sortWithinPartitions("bucket")
-    return packed.mapInArrow(often, "h long, n int"), bits
+    def scan(batches):
+        for chunk in _chunks(batches):
+            h, page = chunk.runs(run)
+            _, sign = np.unique(chunk.signs, return_inverse=True)
+            low = np.uint64(len(sign).bit_length())
+            found = distinct((h >> np.uint64(64 - bits)) << low | sign[page].astype(np.uint64)) >> low
+            starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+            n = np.diff(np.r_[starts, len(found)]).astype(np.uint32)
+            found = found[starts] << np.uint64(64 - bits)
+            bucket = _bucket_of(found, buckets)
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            parts = list(zip(cuts, cuts[1:]))
+            yield pa.record_batch([pa.array(bucket[cuts[:-1]], pa.int64()), pa.array([planes(found[a:b]) for a, b in parts], pa.binary()), pa.array([planes(n[a:b]) for a, b in parts], pa.binary())], names=["bucket", "runs", "n"])
+
+    def marked(batches):
+        read = lambda row: (unplaned(row["runs"], np.uint64), unplaned(row["n"], np.uint32).astype(np.int64))
+        fold = lambda held: summed(*(np.concatenate(x) for x in zip(*held)))
+        for _, (h, n) in _in_buckets(batches, fold, read):
+            chosen = h[n >= least_pages]
+            if len(chosen):
+                slots = (chosen >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                first = int(slots[0]) >> 3
+                on = np.zeros(((int(slots[-1]) >> 3) - first + 1) * 8, np.uint8)
+                on[slots - first * 8] = 1
+                yield pa.record_batch([pa.array([first], pa.int64()), pa.array([np.packbits(on).tobytes()], pa.binary()), pa.array([np.stack([h[n > hot].view(np.int64), n[n > hot]]).tobytes()], pa.binary())], names=["first", "slots", "hot"])
+
+    packed = rows.select("host", "html").mapInArrow(scan, "bucket long, runs binary, n binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    bitmap, often = np.zeros(1 << FILTER_BITS - 3, np.uint8), [np.empty((2, 0), np.int64)]
+    for row in packed.mapInArrow(marked, "first long, slots binary, hot binary").collect():  # the bitmap's bytes, a piece a bucket
+        bitmap[row.first : row.first + len(row.slots)] |= np.frombuffer(row.slots, np.uint8)
+        often.append(np.frombuffer(row.hot, np.int64).reshape(2, -1))
+    h, n = np.concatenate(often, axis=1)
+    order = np.argsort(h.view(np.uint64))
+    return bitmap, h.view(np.uint64)[order], n[order]
+
+
+def repeated_runs(rows: DataFrame, run: int, least_pages: int, shard_bytes: int, hot: int | None = None) -> DataFrame:
+    """(h, n) of the runs that occur on least_pages pages of a host or more, and of the hosts with as many (under host_run); n is exact. rows has host, html."""
+    total = int(rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0)
+    buckets, bits = int(max(1, -(-total // shard_bytes))), min(44, max(32, total.bit_length() + 3))
+    hot = hot or max(HOT, total // 100_000_000)
+    bitmap, often, most = worth_counting(rows, run, least_pages, buckets, bits, hot)
+    parts = -(-most // hot)  # of each hot run
+    spread = int(parts.sum())
+    known = rows.sparkSession.sparkContext.broadcast((bitmap, often, parts))
+
+    def scan(batches):
+        bitmap, often, parts = known.value
+        for chunk in _chunks(batches):
+            h, page = chunk.runs(run)
+            slot = h >> np.uint64(64 - FILTER_BITS)
+            on = bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7))).astype(np.uint8) & 1 > 0
+            h, signs = different(h[on], chunk.signs[page[on]])
+            if not len(h):
+                continue
+            bucket = _bucket_of(h, buckets)
+            if len(often):
+                lead = h >> np.uint64(64 - bits) << np.uint64(64 - bits)
+                at = np.minimum(np.searchsorted(often, lead), len(often) - 1)
+                split = often[at] == lead
+                own = (h ^ (signs % parts[at].astype(np.uint64)) * _MULTIPLIERS[1]) * _MULTIPLIERS[0]
+                bucket = np.where(split, buckets + _bucket_of(own ^ own >> np.uint64(29), spread), bucket)
+                order = np.argsort(bucket, kind="stable")
+                h, signs, bucket = h[order], signs[order], bucket[order]
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            out = []
+            for a, b in zip(cuts, cuts[1:]):
+                table, which = np.unique(signs[a:b], return_inverse=True)
+                out.append((planes(h[a:b]), table.tobytes(), planes(which.astype(np.uint32))))
+            yield pa.record_batch([pa.array(bucket[cuts[:-1]], pa.int64()), *(pa.array(x, pa.binary()) for x in zip(*out))], names=["bucket", "runs", "signs", "which"])
+
+    def counted(batches):
+        read = lambda row: (unplaned(row["runs"], np.uint64), np.frombuffer(row["signs"], np.uint64)[unplaned(row["which"], np.uint32)])
+        fold = lambda held: different(*(np.concatenate(x) for x in zip(*held)))
+        for b, (h, _) in _in_buckets(batches, fold, read):
+            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            n = np.diff(np.r_[starts, len(h)])
+            keep = n >= (least_pages if b < buckets else 1)  # parts of a hot run are added up yet
+            yield pa.record_batch([pa.array(h[starts][keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["h", "n"])
+
+    packed = rows.select("host", "html").mapInArrow(scan, "bucket long, runs binary, signs binary, which binary").repartition(buckets + spread, "bucket").sortWithinPartitions("bucket")
+    counts = packed.mapInArrow(counted, "h long, n long")
+    return counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least_pages) if spread else counts
 
 
 def times_of(hashes: np.ndarray, known: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The times of each hash in the sorted known ones; 0 if it isn't there."""
+    """The times of each hash in the known ones, sorted as signed numbers; 0 if it isn't there."""
+    hashes = hashes.view(np.int64)
     if not len(known):
         return np.zeros(len(hashes), np.int64)
     at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
@@ -526,32 +593,32 @@ def main_text(
     widely: int = WIDELY,
     shard_bytes: int = SHARD_BYTES,
     broadcast_runs: int = BROADCAST_RUNS,
+    hot: int | None = None,
 ) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages.
 
     Blocks are joined by newlines in page order; white space within a block is one space. Null, empty and
     text-free pages have an empty text; null ids and urls are carried (pages with no host in their url are
     one host); repeated rows each get a row and count as one page of their host; other columns don't matter.
-    Tags that aren't closed end the text. shard_bytes and broadcast_runs change what a task holds, never the
+    Tags that aren't closed end the text. shard_bytes, broadcast_runs and hot change what a task holds, never the
     result. No rows: no rows.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
     rows = rows.withColumn("host", host)
-    repeats, bits = repeated_runs(rows, run, least_pages, shard_bytes)
-    repeats = durable(repeats)
+    repeats = durable(repeated_runs(rows, run, least_pages, shard_bytes, hot))
     if repeats.count() <= broadcast_runs:
         table = repeats.orderBy("h").toArrow()
-        shared = pages.sparkSession.sparkContext.broadcast((table.column("h").to_numpy().view(np.uint64), table.column("n").to_numpy()))
+        shared = pages.sparkSession.sparkContext.broadcast((table.column("h").to_numpy(), table.column("n").to_numpy()))
     else:
         shared = None
 
         def runs_of(batches):
             for some in _paged(batches):
-                hashes, whole = some.runs(run, bits)
+                hashes, whole = some.runs(run)
                 row = some.rows.column("row").to_numpy()
                 of = np.concatenate([np.repeat(row, some.n_words)[: len(hashes)][whole], row])
-                yield pa.record_batch([pa.array(of), pa.array(np.concatenate([hashes[whole], host_run(some.hosts, bits)]).view(np.int64))], names=["row", "h"])
+                yield pa.record_batch([pa.array(of), pa.array(np.concatenate([hashes[whole], host_run(some.hosts)]).view(np.int64))], names=["row", "h"])
 
         rows = rows.withColumn("row", F.xxhash64("host", "html"))  # equal rows have equal runs
         hits = rows.select("row", "host", "html").mapInArrow(runs_of, "row long, h long").distinct().join(repeats, "h").groupBy("row")
@@ -559,15 +626,15 @@ def main_text(
 
     def judged(batches):
         for some in _paged(batches):
-            hashes, whole = some.runs(run, bits)
-            own = host_run(some.hosts, bits)
+            hashes, whole = some.runs(run)
+            own = host_run(some.hosts)
             if shared:
                 on, of = (times_of(x, *shared.value) for x in (hashes, own))
             else:
                 on, of = np.zeros(len(hashes), np.int64), np.zeros(len(own), np.int64)
                 at = 0
                 for k, hits in enumerate(some.rows.column("hits").to_pylist()):
-                    known, times = np.array([x["h"] for x in hits or ()], np.int64).view(np.uint64), np.array([x["n"] for x in hits or ()], np.int64)
+                    known, times = np.array([x["h"] for x in hits or ()], np.int64), np.array([x["n"] for x in hits or ()], np.int64)
                     part = slice(at, at + int(some.n_words[k]))
                     on[part], of[k] = times_of(hashes[part], known, times), times_of(own[k : k + 1], known, times)[0]
                     at = part.stop
@@ -575,8 +642,8 @@ def main_text(
             strict = np.repeat(np.maximum(widely, share * of), some.n_words)[: len(on)]
             gone, inside = (covered_blocks(some.sizes, often, run, covered) for often in (on >= least_pages, on >= strict))
             low = np.concatenate([[0], np.cumsum(some.n_blocks)]).tolist()
-            sizes, gone, inside = some.sizes.tolist(), gone.tolist(), inside.tolist()
-            out = [chosen_text(t, k, sizes[a:b], gone[a:b], inside[a:b]) for t, k, a, b in zip(some.texts, some.kinds, low, low[1:])]
+            gone, inside = gone.tolist(), inside.tolist()
+            out = [chosen_text(t, k, gone[a:b], inside[a:b]) for t, k, a, b in zip(some.texts, some.kinds, low, low[1:])]
             yield pa.record_batch([some.rows.column("page_id"), some.rows.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     out = rows.mapInArrow(judged, "page_id long, url string, text string")
