@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from snaplake.catalog import shared_folder
-from snaplake.operators import manifest, reconcile, textindex
+from snaplake.operators import manifest, pageindex, reconcile, textindex, vectorindex
 from snaplake.operators import sessions as S
 from snaplake.plans.extras import _table
 
@@ -104,3 +104,38 @@ def search_index_two_fields(spark, d):
 def search_index_top(spark, d):
     """The twenty best; blocks of postings that can't reach them are left unread."""
     return textindex.search(spark, _index(spark, d, ["text"]), "was hast", k=20).withColumn("score", F.round("score", 6))
+
+
+#: A direction to look in.
+_QUERY = [round(0.3 - 0.01 * i, 2) for i in range(64)]
+_COSINE = "SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], [" + ", ".join(f"{x}::DOUBLE" for x in _QUERY) + "]) AS score FROM embeddings WHERE embedding IS NOT NULL"
+
+
+def _vectors(spark, d):
+    folder = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    vectorindex.build(_table(spark, d, "embeddings"), "vec_id", "embedding", folder)
+    return folder
+
+
+@query(f"SELECT id, round(score, 6) AS score FROM ({_COSINE}) ORDER BY round(score, 12) DESC, id LIMIT 25")
+def search_vector_index_top(spark, d):
+    """The best by cosine from a stored index, read where the triangle bound lets one be."""
+    return vectorindex.search(spark, _vectors(spark, d), _QUERY, 25).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT id, round(score, 6) AS score FROM ({_COSINE}) WHERE score >= 0.2")
+def search_vector_index_range(spark, d):
+    """All vectors with a cosine of a fifth or more."""
+    return vectorindex.within(spark, _vectors(spark, d), _QUERY, 0.2).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH s AS (SELECT lpad(o_orderkey::VARCHAR, 10, '0') AS id, strftime(o_orderdate, '%Y-%m-%d') AS last_active, o_totalprice FROM orders)
+  SELECT id, last_active, o_totalprice FROM s WHERE (last_active, id) < ('1995-06-17', '0000003000') ORDER BY last_active DESC, id DESC LIMIT 51""")
+def session_page_index(spark, d):
+    """A page far down a list that was stored in two runs; few files are opened for it."""
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    rows = _table(spark, d, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("last_active"), "o_totalprice")
+    late = F.col("id").cast("long") % 4 == 0
+    for run in (rows.where(~late), rows.where(late)):
+        pageindex.append(run, folder, rows_a_file=2_000)
+    return pageindex.page(spark, folder, 50, S.cursor_of("1995-06-17", "0000003000"))
