@@ -5,6 +5,9 @@ transformWithState needs RocksDB as the state store; with_state sets it where th
 
 from __future__ import annotations
 
+import heapq
+import json
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
@@ -100,49 +103,95 @@ def quiet_keys(stream: DataFrame, key: str, quiet_s: float = QUIET_S, time: str
     return made
 
 
+#: Where rows wait, and may be pruned.
+_WAITING = ("failed", "pending")
+#: Parts that a path's rows are kept in, each one value of the state: every read or write of one is a call to the JVM, which costs far more than the rows in it.
+PARTS = 16
 #: What a queue's stream tells of each step: the row after it, null status once it is gone. n: rises from step to step of a path.
 STEPS = "path string, sha256 string, n long, event string, status string, attempts int, last_error string, at timestamp_ntz, next_attempt_at timestamp_ntz, enqueued_at timestamp_ntz"
 
 
+def _part(sha: str) -> int:
+    return zlib.crc32(sha.encode()) % PARTS
+
+
 class _Queue(StatefulProcessor):
-    """The rows of one path, by digest: pending, in_flight, done or failed. See work_queue."""
+    """The rows of one path, by digest: pending, in_flight, done or failed. See work_queue.
+
+    A path's rows are read once for what comes for it in a batch, and once for all waits that end in one: it has a
+    single timer, for the first of them. They are kept by parts of digests, as JSON, and changed parts are written. What a done row prunes is found by a heap of waiting rows by their time.
+    """
 
     def __init__(self, by_event_time: bool, attempts: int, lease: int, kept: int):
         self.by_event_time, self.most, self.lease, self.kept = by_event_time, attempts, lease, kept
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.rows = handle.getMapState("rows", "sha256 string", "status string, attempts int, last_error string, next long, enqueued long, updated long, due boolean")
-        self.count = handle.getValueState("count", "n long")
+        self.parts = handle.getMapState("parts", "part int", "rows string")
+        self.count = handle.getValueState("count", "n long, timer long")
+
+    def wake(self, row: tuple) -> int | None:
+        """When time alone changes the row, in milliseconds."""
+        status, _, _, next_at, _, updated, due = row
+        at = {"pending": None if due else next_at, "in_flight": updated + self.lease, "done": updated + self.kept}.get(status)
+        return None if at is None else _timer(at)
 
     def step(self, path: str, sha: str, event: str, row: tuple | None, now: int, before: tuple | None = None) -> Row:
-        """Keeps the row (or drops it) with its timer, and tells the step."""
+        """Keeps the row (or drops it), and tells the step."""
         self.n += 1
         self.touched.add(sha)
         if row is None:
             del self.mine[sha]
+            self.failed.pop(sha, None)
             status, attempts, error, next_at, enqueued = None, before[1], before[2], None, before[4]
         else:
+            old = self.mine.get(sha)
             self.mine[sha] = row
             status, attempts, error, next_at, enqueued = row[:5]
-            wake = {"pending": None if row[6] else next_at, "in_flight": row[5] + self.lease, "done": row[5] + self.kept}.get(status)
-            if wake is not None:
-                self.handle.registerTimer(_timer(wake))
+            if status == "failed":
+                self.failed[sha] = None
+            else:
+                self.failed.pop(sha, None)
+            if self.waiting is not None and status in _WAITING and (old is None or old[0] not in _WAITING):
+                heapq.heappush(self.waiting, (enqueued, self.n, sha))
         return Row(path=path, sha256=sha, n=self.n, event=event, status=status, attempts=attempts, last_error=error, at=_moment(now), next_attempt_at=None if next_at is None else _moment(next_at), enqueued_at=_moment(enqueued))
 
     def load(self, timerValues) -> None:
         """The path's rows, read once for all that is done to them now. Steps are numbered from the clock on, so that a path that was empty in between goes on above its old numbers."""
-        self.n = self.count.get()[0] if self.count.exists() else timerValues.getCurrentProcessingTimeInMs() * 1000
-        self.mine, self.touched = {k[0]: tuple(v) for k, v in self.rows.iterator()}, set()
+        self.n, self.timer = self.count.get() or (timerValues.getCurrentProcessingTimeInMs() * 1000, None)
+        stored = {k[0]: json.loads(v[0]) for k, v in self.parts.iterator()}
+        self.mine, self.touched, self.stored = {sha: tuple(row) for rows in stored.values() for sha, *row in rows}, set(), set(stored)
+        self.failed, self.waiting = {sha: None for sha, row in self.mine.items() if row[0] == "failed"}, None
+
+    def older(self, enqueued: int) -> Iterator[tuple[str, tuple]]:
+        """Waiting rows that were entered strictly before, each taken off the heap. Entries of rows that no longer wait are passed over; such a row is put there again once it waits."""
+        if self.waiting is None:
+            self.waiting = [(row[4], k, sha) for k, (sha, row) in enumerate(self.mine.items()) if row[0] in _WAITING]
+            heapq.heapify(self.waiting)
+        while self.waiting and self.waiting[0][0] < enqueued:
+            at, _, sha = heapq.heappop(self.waiting)
+            row = self.mine.get(sha)
+            if row and row[0] in _WAITING and row[4] == at:
+                yield sha, row
 
     def save(self) -> None:
-        for sha in self.touched:
-            if sha in self.mine:
-                self.rows.updateValue((sha,), self.mine[sha])
-            elif self.rows.containsKey((sha,)):
-                self.rows.removeKey((sha,))
+        changed = {_part(sha): [] for sha in self.touched}
+        for sha, row in self.mine.items():
+            if (part := _part(sha)) in changed:
+                changed[part].append((sha, *row))
+        for part, rows in changed.items():
+            if rows:
+                self.parts.updateValue((part,), (json.dumps(rows),))
+            elif part in self.stored:
+                self.parts.removeKey((part,))
+        wake = min((x for x in map(self.wake, self.mine.values()) if x is not None), default=None)
+        if wake != self.timer:
+            if self.timer is not None:
+                self.handle.deleteTimer(self.timer)
+            if wake is not None:
+                self.handle.registerTimer(wake)
         if self.mine:
-            self.count.update((self.n,))
+            self.count.update((self.n, wake))
         else:
             self.count.clear()
 
@@ -157,19 +206,19 @@ class _Queue(StatefulProcessor):
             yield self.step(path, sha, "claimed", ("in_flight", *old[1:5], now, False), now)
         elif what == "done" and old:
             yield self.step(path, sha, "done", ("done", *old[1:5], now, False), now)
-            for other, row in list(self.mine.items()):
-                if other != sha and row[0] in ("failed", "pending") and row[4] < old[4]:
-                    yield self.step(path, other, "pruned", None, now, row)
+            for other, row in self.older(old[4]):
+                yield self.step(path, other, "pruned", None, now, row)
         elif what == "failed" and old:
             tried = old[1] + 1
             wait = round(1_000_000 * min(FIRST_WAIT_S * 2.0**tried, LONGEST_WAIT_S))
             yield self.step(path, sha, "failed" if tried >= self.most else "retry", ("failed" if tried >= self.most else "pending", tried, (r["error"] or "")[:ERROR_CHARS], now + wait, old[4], now, False), now)
-        elif what in ("reset", "delete"):
+        elif what == "delete":
             for other, row in list(self.mine.items()):
-                if what == "delete":
-                    yield self.step(path, other, "deleted", None, now, row)
-                elif row[0] == "failed":
-                    yield self.step(path, other, "reset", ("pending", 0, row[2], now, row[4], now, True), now)
+                yield self.step(path, other, "deleted", None, now, row)
+        elif what == "reset":
+            for other in list(self.failed):
+                row = self.mine[other]
+                yield self.step(path, other, "reset", ("pending", 0, row[2], now, row[4], now, True), now)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         self.load(timerValues)
@@ -180,16 +229,25 @@ class _Queue(StatefulProcessor):
         return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """All that is over by the batch's clock, in the order of its times, each step at its own."""
+        expired = expiredTimerInfo.getExpiryTimeInMs()
+        until = max(expired, timerValues.getCurrentWatermarkInMs() if self.by_event_time else timerValues.getCurrentProcessingTimeInMs())
         self.load(timerValues)
-        now, out = expiredTimerInfo.getExpiryTimeInMs() * 1000, []
-        for sha, row in sorted(self.mine.items()):
-            status, attempts, error, next_at, enqueued, updated, due = row
-            if status == "pending" and not due and next_at <= now:
-                out.append(self.step(key[0], sha, "due", ("pending", attempts, error, next_at, enqueued, updated, True), now))
-            elif status == "in_flight" and updated + self.lease <= now:
-                out.append(self.step(key[0], sha, "released", ("pending", attempts, error, next_at, enqueued, now, True), now))
-            elif status == "done" and updated + self.kept <= now:
-                out.append(self.step(key[0], sha, "expired", None, now, row))
+        self.timer = None if self.timer == expired else self.timer  # that one is spent
+        over, out = [], []
+        for sha, row in self.mine.items():
+            ms = self.wake(row)
+            if ms is not None and ms <= until:
+                heapq.heappush(over, (ms, sha))
+        while over:
+            ms, sha = heapq.heappop(over)
+            status, attempts, error, next_at, enqueued, updated, _ = row = self.mine[sha]
+            if status == "pending":
+                out.append(self.step(key[0], sha, "due", ("pending", attempts, error, next_at, enqueued, updated, True), ms * 1000))
+            elif status == "in_flight":
+                out.append(self.step(key[0], sha, "released", ("pending", attempts, error, next_at, enqueued, ms * 1000, True), ms * 1000))
+            else:
+                out.append(self.step(key[0], sha, "expired", None, ms * 1000, row))
         self.save()
         return iter(out)
 

@@ -145,3 +145,74 @@ def test_stream_equals_the_batch_functions(spark, feed):
     queue = sync.after_success(queue, spark.createDataFrame([(p, v) for p, v, _ in done], "path string, sha256 string"), F.lit(at(101)).cast("timestamp"))
     columns = ["path", "sha256", "status", "attempts", "last_error"]
     assert sorted(map(tuple, now.select(*columns).collect())) == sorted(map(tuple, queue.select(*columns).collect()))
+
+
+class Held:
+    """A handle of states and timers in memory, with counts of what is asked of it."""
+
+    def __init__(self):
+        self.timers, self.registered, self.read = set(), 0, 0
+
+    def getMapState(self, name, *schema):
+        held, data = self, {}
+
+        class Map:
+            updateValue = staticmethod(data.__setitem__)
+            removeKey = staticmethod(data.pop)
+            containsKey = staticmethod(data.__contains__)
+
+            def iterator(self):
+                held.read += 1
+                return iter(list(data.items()))
+
+        return Map()
+
+    def getValueState(self, name, schema):
+        data = []
+
+        class Value:
+            exists = staticmethod(lambda: bool(data))
+            get = staticmethod(lambda: data[0] if data else None)
+            clear = staticmethod(data.clear)
+
+            def update(self, value):
+                data[:] = [value]
+
+        return Value()
+
+    def registerTimer(self, ms):
+        self.registered += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.discard(ms)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getCurrentProcessingTimeInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def test_a_long_path_is_read_once_a_batch_and_has_one_timer():
+    """2,000 rows of one path: half fail and wait, of which all are due at once later; some are done and prune what is older."""
+    held = Held()
+    queue = stateful._Queue(True, 10, 10**16, 10**16)
+    queue.init(held)
+    rows = [{"sha256": f"v{i}", "command": "enqueue", "error": None, "nth": 0, "at": at(i)} for i in range(2000)]
+    rows += [{"sha256": f"v{i}", "command": "failed", "error": "e", "nth": 1, "at": at(5000 + i)} for i in range(0, 2000, 2)]
+    rows += [{"sha256": f"v{i}", "command": "done", "error": None, "nth": 2, "at": at(5000 + i)} for i in (101, 51, 103)]
+    first = list(queue.handleInputRows(("p",), iter(rows), Clock(0)))
+    assert held.registered <= 2 and held.read == 1 and len(held.timers) == 1
+    gone = {f"v{i}" for i in range(103)} - {"v101", "v51"}
+    assert {r.sha256 for r in first if r.event == "pruned"} == gone and sum(r.event == "pruned" for r in first) == len(gone)
+    ms, fired, due = stateful._us(at(9000)) // 1000, 0, []
+    while held.timers and (now := min(held.timers)) <= ms:
+        clock = Clock(ms)
+        clock.getExpiryTimeInMs = lambda now=now: now
+        due += queue.handleExpiredTimer(("p",), clock, clock)
+        held.timers.discard(now)  # as Spark does
+        fired += 1
+    assert fired == 1 and held.read == 2
+    assert [(r.sha256, r.event, r.at) for r in sorted(due, key=lambda r: r.n)] == [(f"v{i}", "due", at(5001 + i)) for i in range(104, 2000, 2)]
+    late = list(queue.handleInputRows(("p",), iter([{"sha256": None, "command": "delete", "error": None, "nth": 0, "at": at(9001)}]), Clock(ms)))
+    assert {r.sha256 for r in late} == {f"v{i}" for i in range(2000)} - gone and not held.timers
