@@ -1,7 +1,8 @@
 """A stored inverted index for keyword search: postings in blocks by term, read for a query's terms only.
 
-Postings are range-partitioned by field, term and id and cut into blocks of some hundred, so that a frequent term
-lies in many files and a rare one in a page of one. A block has its ids as gaps, counts, lengths, and the most that
+Postings are gathered into runs by field and term, which are range-partitioned by field, term and first id and cut
+into blocks of some hundred, so that a frequent term lies in many files and a rare one in a page of one. A block has
+its ids, which rise, as gaps, counts, lengths, and the most that
 any of its postings can add to a score, without the term's weight. Scores are those of search.bm25. For the k best,
 blocks that can't lift a document over the k-th best score known are not read.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from snaplake.operators.search import K1, B, top
 
 #: Postings of a block; blocks that are looked up by name.
 BLOCK, NAMED = 128, 2_000
+#: Words of the documents that a run is made of, and postings of a row of it at most.
+WORDS, RUN = 1_000_000, 256
+_RUNS = "field string, term string, first long, n long, words long, ids array<long>, counts array<int>, lengths array<int>"
 _PAGES = {"parquet.block.size": 8_000_000, "parquet.page.row.count.limit": 200}
 _SCHEMA = "field string, term string, first long, last long, n int, best double, gaps array<long>, counts array<int>, lengths array<int>"
 
@@ -27,62 +32,110 @@ def _part(tf, length, mean):
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+def _lists(offsets, values, kind) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+def _runs(batches):
+    """Postings of some documents at a time, by field and term, and a row of the empty term with their number and words (in n and words)."""
+    for batch in batches:
+        at, ends = 0, batch.column("w").offsets.to_numpy()
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + WORDS, "right")) - 1)
+            part, at = batch.slice(at, stop - at), stop
+            named = pc.dictionary_encode(part.column("f"))
+            fields, field_of = named.dictionary, named.indices.to_numpy()
+            lengths = pc.list_value_length(part.column("w")).to_numpy().astype(np.int64)
+            found = pc.dictionary_encode(part.column("w").flatten())
+            order = pc.sort_indices(found.dictionary).to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            doc = np.repeat(np.arange(part.num_rows), lengths)
+            # one number for field, term and document, so that a sort counts them
+            key, tf = np.unique((np.repeat(field_of, lengths) * len(order) + rank[found.indices.to_numpy()]) * part.num_rows + doc, return_counts=True)
+            group, doc = key // part.num_rows, key % part.num_rows
+            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+            place = np.arange(len(group)) - np.repeat(first, np.diff(np.r_[first, len(group)]))
+            cut = np.flatnonzero(place % RUN == 0)
+            ids = part.column("id").to_numpy()[doc]
+            offsets, n = np.r_[cut, len(group)], len(fields)
+            docs, words = np.bincount(field_of, minlength=n), np.bincount(field_of, lengths, n).astype(np.int64)
+            here, term = np.divmod(group[cut], max(1, len(order)))
+            terms = found.dictionary.take(pa.array(order[term]))
+            nothing = _lists(np.zeros(n + 1, np.int64), [], pa.int64())
+            yield pa.record_batch(
+                [
+                    pa.concat_arrays([fields.take(pa.array(here)), fields]), pa.concat_arrays([terms, pa.array([""] * n)]), pa.array(np.r_[ids[cut], np.zeros(n, np.int64)], pa.int64()), pa.array(np.r_[np.diff(offsets), docs], pa.int64()), pa.array(np.r_[np.zeros(len(cut), np.int64), words], pa.int64()),
+                    pa.concat_arrays([_lists(offsets, ids, pa.int64()), nothing]), pa.concat_arrays([_lists(offsets, tf, pa.int32()), nothing.cast(pa.list_(pa.int32()))]), pa.concat_arrays([_lists(offsets, lengths[doc], pa.int32()), nothing.cast(pa.list_(pa.int32()))]),
+                ],
+                names=["field", "term", "first", "n", "words", "ids", "counts", "lengths"],
+            )
+
+
 def _blocks(means: dict[str, float], size: int):
-    def run(batches):
-        held: tuple | None = None  # field, term, ids, counts, lengths that wait for more
-
-        def cut(key, ids, tf, n, whole: bool):
-            """Blocks of what is there, and what is left if more may come."""
-            out, at = [], 0
-            while len(ids) - at >= size or (whole and at < len(ids)):
-                part = slice(at, at + size)
-                out.append((*key, ids[part], tf[part], n[part]))
-                at += size
-            return out, (ids[at:], tf[at:], n[at:])
-
-        def told(blocks):
-            for i in range(0, len(blocks), 2_000):
-                some = blocks[i : i + 2_000]
-                best = [float(_part(tf.astype(float), n.astype(float), means[f] or 1.0).max()) for f, _, _, tf, n in some]
-                columns = [
-                    pa.array([b[0] for b in some]), pa.array([b[1] for b in some]), pa.array([int(b[2][0]) for b in some], pa.int64()), pa.array([int(b[2][-1]) for b in some], pa.int64()), pa.array([len(b[2]) for b in some], pa.int32()), pa.array(best),
-                    pa.array([np.diff(b[2], prepend=b[2][:1]).tolist() for b in some], pa.list_(pa.int64())), pa.array([b[3].tolist() for b in some], pa.list_(pa.int32())), pa.array([b[4].tolist() for b in some], pa.list_(pa.int32())),
-                ]
-                yield pa.record_batch(columns, names=["field", "term", "first", "last", "n", "best", "gaps", "counts", "lengths"])
+    """Blocks of runs that come in order; what a term has left over waits for its next run."""
+
+    def told(fields, terms, sizes, ids, tf, n, last: bool):
+        """Blocks of these runs, and of the last term what may still grow: its field, term, ids, counts, lengths."""
+        same = np.r_[False, (pc.equal(terms[1:], terms[:-1]).to_numpy(zero_copy_only=False)) & (pc.equal(fields[1:], fields[:-1]).to_numpy(zero_copy_only=False))]
+        run_of = np.flatnonzero(~same)  # first run of each term
+        total = np.add.reduceat(sizes, run_of)
+        start = np.cumsum(total) - total
+        by_id = np.lexsort((ids, np.repeat(np.arange(len(total)), total)))
+        ids, tf, n = ids[by_id], tf[by_id], n[by_id]
+        end = len(ids) if last else len(ids) - int(total[-1] % size)
+        held = None if last else (fields[-1:], terms[-1:], ids[end:], tf[end:], n[end:])
+        cut = np.flatnonzero((np.arange(len(ids)) - np.repeat(start, total)) % size == 0)
+        cut = cut[cut < end]
+        if not len(cut):
+            return None, held
+        term_of = run_of[np.searchsorted(start, cut, "right") - 1]
+        offsets = np.r_[cut, end]
+        fields, terms = fields.take(pa.array(term_of)), terms.take(pa.array(term_of))
+        named = pc.dictionary_encode(fields)
+        mean = np.repeat(np.array([means[f] or 1.0 for f in named.dictionary.to_pylist()])[named.indices.to_numpy()], np.diff(offsets))
+        best = np.maximum.reduceat(_part(tf[:end].astype(float), n[:end].astype(float), mean), cut)
+        gaps = np.diff(ids[:end], prepend=ids[:1])
+        gaps[cut] = 0
+        columns = [fields, terms, pa.array(ids[cut]), pa.array(ids[offsets[1:] - 1]), pa.array(np.diff(offsets), pa.int32()), pa.array(best), _lists(offsets, gaps, pa.int64()), _lists(offsets, tf[:end], pa.int32()), _lists(offsets, n[:end], pa.int32())]
+        return pa.record_batch(columns, names=["field", "term", "first", "last", "n", "best", "gaps", "counts", "lengths"]), held
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            fields, terms = (batch.column(c).to_pylist() for c in ("field", "term"))
-            ids, tf, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tf", "len"))
-            cuts = [0, *(i for i in range(1, len(terms)) if terms[i] != terms[i - 1] or fields[i] != fields[i - 1]), len(terms)]
-            ready = []
-            for low, high in zip(cuts, cuts[1:]):
-                key, mine = (fields[low], terms[low]), (ids[low:high], tf[low:high], n[low:high])
-                if held and held[0] == key:
-                    mine = tuple(np.concatenate(x) for x in zip(held[1], mine))
-                elif held:
-                    ready += cut(held[0], *held[1], True)[0]
-                done, rest = cut(key, *mine, False)
-                ready += done
-                held = (key, rest)
-            yield from told(ready)
-        if held:
-            yield from told(cut(held[0], *held[1], True)[0])
+    def run(batches):
+        held = None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2_000):
+                batch = whole.slice(at, 2_000)
+                fields, terms = batch.column("field"), batch.column("term")
+                sizes = pc.list_value_length(batch.column("ids")).to_numpy().astype(np.int64)
+                postings = [batch.column(c).flatten().to_numpy() for c in ("ids", "counts", "lengths")]
+                if held:
+                    fields, terms, sizes = pa.concat_arrays([held[0], fields]), pa.concat_arrays([held[1], terms]), np.r_[len(held[2]), sizes]
+                    postings = [np.concatenate(x) for x in zip(held[2:], postings)]
+                out, held = told(fields, terms, sizes, *postings, False)
+                if out is not None:
+                    yield out
+        if held and len(held[2]):
+            yield told(held[0], held[1], np.array([len(held[2])]), *held[2:], True)[0]
 
     return run
 
 
 def build(docs: DataFrame, id_col: str, fields: list[str], folder: str, block: int = BLOCK) -> None:
-    """Writes the index of text columns, in place of one that is there. Ids are whole numbers, each once; rows without id are left out, null texts count as empty."""
-    named = [F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("w")) for f in fields]
-    cut = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.explode(F.array(*named)).alias("f")).select("id", "f.field", "f.w")
-    stats = cut.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("mean_len"))
+    """Writes the index of text columns, in place of one that is there. Ids are whole numbers, each once; rows without id are left out, null texts count as empty.
+
+    Documents are read once: their postings go to the folder as runs, some thousand documents each, and runs are put
+    in order, not single postings. The runs stay there; searches don't read them.
+    """
+    spark = docs.sparkSession
+    named = [F.struct(F.lit(f).alias("f"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("w")) for f in fields]
+    cut = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.explode(F.array(*named)).alias("f")).select("id", "f.f", "f.w")
+    cut.mapInArrow(_runs, _RUNS).write.mode("overwrite").parquet(f"{folder}/runs")
+    runs = spark.read.schema(_RUNS).parquet(f"{folder}/runs")
+    stats = runs.where("term = ''").groupBy("field").agg(F.sum("n").alias("n_docs"), (F.sum("words") / F.sum("n")).alias("mean_len"))
     stats.coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
-    means = {r.field: r.mean_len for r in docs.sparkSession.read.parquet(f"{folder}/stats").collect()}  # a row a field
-    postings = cut.select("field", "id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("field", "term", "id", "len").agg(F.count("*").cast("int").alias("tf"))
-    order = ["field", "term", "id"]
-    blocks = postings.repartitionByRange(*order).sortWithinPartitions(*order).select("field", "term", "id", "tf", "len").mapInArrow(_blocks(means, block), _SCHEMA)
+    means = {r.field: r.mean_len for r in spark.read.parquet(f"{folder}/stats").collect()}  # a row a field
+    order = ["field", "term", "first"]
+    blocks = runs.where("term <> ''").repartitionByRange(*order).sortWithinPartitions(*order).select("field", "term", "ids", "counts", "lengths").mapInArrow(_blocks(means, block), _SCHEMA)
     blocks.write.mode("overwrite").options(**_PAGES).parquet(f"{folder}/blocks")
 
 

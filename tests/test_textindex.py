@@ -1,7 +1,9 @@
 """The stored index gives the scores of the scan, reads few rows for rare words, and skips blocks for the best."""
 
+import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_scale import records_read
@@ -64,3 +66,31 @@ def test_few_rows_are_read(spark, docs, tmp_path):
     scored = lambda chosen: textindex._decoded(chosen).groupBy("id").agg(F.sum(textindex._part(F.col("tf"), F.col("len"), F.lit(2.002))).alias("score"))
     taken = textindex._worth_reading(blocks.where("term = 'common'"), weights, scored, 10).count()
     assert taken < 200 < blocks.where("term = 'common'").count() / 10
+
+
+def test_runs_hold_many_postings_a_row_and_blocks_are_theirs(monkeypatch):
+    """What is shuffled is a row for each term of some documents, not for each posting; cut anywhere, blocks hold every posting once, full but for a term's last."""
+    rng = random.Random(1)
+    monkeypatch.setattr(textindex, "WORDS", 4_000)
+    monkeypatch.setattr(textindex, "RUN", 20)
+    docs = [(i, f, [f"w{int(rng.paretovariate(0.6)) % 90}" for _ in range(rng.randrange(0, 30))]) for i in range(400) for f in "ab"] + [(999, "a", []), (1000, "b", ["é", "z", "é"])]
+    wanted = {(f, x, i): (w.count(x), len(w)) for i, f, w in docs for x in set(w)}
+    batch = pa.record_batch([pa.array([d[0] for d in docs]), pa.array([d[1] for d in docs]), pa.array([d[2] for d in docs], pa.list_(pa.string()))], names=["id", "f", "w"])
+    runs = [r for b in textindex._runs([batch.slice(0, 500), batch.slice(500, 0), batch.slice(500)]) for r in b.to_pylist()]
+    facts = [r for r in runs if not r["term"]]
+    assert (sum(r["n"] for r in facts), sum(r["words"] for r in facts)) == (len(docs), sum(len(w) for _, _, w in docs))
+    runs = sorted((r for r in runs if r["term"]), key=lambda r: (r["field"], r["term"].encode(), r["first"]))
+    assert len(runs) < len(wanted) / 4 and max(r["n"] for r in runs) == 20
+    schema = pa.schema([("field", pa.string()), ("term", pa.string()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32()))])
+    means = {"a": 10.0, "b": 12.0}
+    for step in (7, 50, 10_000):
+        cut = [pa.RecordBatch.from_pylist(runs[i : i + step], schema=schema) for i in range(0, len(runs), step)]
+        got, short = {}, []
+        for r in (r for b in textindex._blocks(means, 16)(cut) for r in b.to_pylist()):
+            ids = [r["first"] + x for x in itertools.accumulate(r["gaps"])]
+            assert ids == sorted(set(ids)) and ids[-1] == r["last"] and len(ids) == r["n"] <= 16
+            assert r["best"] == pytest.approx(max(textindex._part(c, n, means[r["field"]]) for c, n in zip(r["counts"], r["lengths"])))
+            assert not got.keys() & {(r["field"], r["term"], i) for i in ids}
+            got |= {(r["field"], r["term"], i): (c, n) for i, c, n in zip(ids, r["counts"], r["lengths"])}
+            short += [(r["field"], r["term"])] if r["n"] < 16 else []
+        assert got == wanted and len(short) == len(set(short))
