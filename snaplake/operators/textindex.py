@@ -22,7 +22,9 @@ from snaplake.operators.search import K1, B, top
 BLOCK, NAMED = 128, 2_000
 #: Words of the documents that a run is made of, and postings of a row of it at most.
 WORDS, RUN = 1_000_000, 256
-_RUNS = "field string, term string, first long, n long, words long, ids array<long>, counts array<int>, lengths array<int>"
+_RUNS = "field string, term string, first long, n long, words long, postings binary"
+#: A posting in a run: document, occurrences, words of the document.
+_POSTING = np.dtype([("id", "<i8"), ("tf", "<i4"), ("len", "<i4")])
 _PAGES = {"parquet.block.size": 8_000_000, "parquet.page.row.count.limit": 200}
 _SCHEMA = "field string, term string, first long, last long, n int, best double, gaps array<long>, counts array<int>, lengths array<int>"
 
@@ -57,18 +59,19 @@ def _runs(batches):
             first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
             place = np.arange(len(group)) - np.repeat(first, np.diff(np.r_[first, len(group)]))
             cut = np.flatnonzero(place % RUN == 0)
-            ids = part.column("id").to_numpy()[doc]
+            postings = np.empty(len(group), _POSTING)
+            postings["id"], postings["tf"], postings["len"] = part.column("id").to_numpy()[doc], tf, lengths[doc]
             offsets, n = np.r_[cut, len(group)], len(fields)
             docs, words = np.bincount(field_of, minlength=n), np.bincount(field_of, lengths, n).astype(np.int64)
             here, term = np.divmod(group[cut], max(1, len(order)))
             terms = found.dictionary.take(pa.array(order[term]))
-            nothing = _lists(np.zeros(n + 1, np.int64), [], pa.int64())
+            packed = pa.BinaryArray.from_buffers(pa.binary(), len(cut) + n, [None, pa.py_buffer(np.r_[offsets, np.full(n, len(group))].astype(np.int32) * _POSTING.itemsize), pa.py_buffer(postings)])
             yield pa.record_batch(
                 [
-                    pa.concat_arrays([fields.take(pa.array(here)), fields]), pa.concat_arrays([terms, pa.array([""] * n)]), pa.array(np.r_[ids[cut], np.zeros(n, np.int64)], pa.int64()), pa.array(np.r_[np.diff(offsets), docs], pa.int64()), pa.array(np.r_[np.zeros(len(cut), np.int64), words], pa.int64()),
-                    pa.concat_arrays([_lists(offsets, ids, pa.int64()), nothing]), pa.concat_arrays([_lists(offsets, tf, pa.int32()), nothing.cast(pa.list_(pa.int32()))]), pa.concat_arrays([_lists(offsets, lengths[doc], pa.int32()), nothing.cast(pa.list_(pa.int32()))]),
+                    pa.concat_arrays([fields.take(pa.array(here)), fields]), pa.concat_arrays([terms, pa.array([""] * n)]), pa.array(np.r_[postings["id"][cut], np.zeros(n, np.int64)]),
+                    pa.array(np.r_[np.diff(offsets), docs], pa.int64()), pa.array(np.r_[np.zeros(len(cut), np.int64), words], pa.int64()), packed,
                 ],
-                names=["field", "term", "first", "n", "words", "ids", "counts", "lengths"],
+                names=["field", "term", "first", "n", "words", "postings"],
             )
 
 
@@ -106,8 +109,10 @@ def _blocks(means: dict[str, float], size: int):
             for at in range(0, whole.num_rows, 2_000):
                 batch = whole.slice(at, 2_000)
                 fields, terms = batch.column("field"), batch.column("term")
-                sizes = pc.list_value_length(batch.column("ids")).to_numpy().astype(np.int64)
-                postings = [batch.column(c).flatten().to_numpy() for c in ("ids", "counts", "lengths")]
+                packed = batch.column("postings")
+                sizes = pc.binary_length(packed).to_numpy().astype(np.int64) // _POSTING.itemsize
+                rows = np.frombuffer(b"".join(packed.to_pylist()), _POSTING)
+                postings = [rows[c] for c in ("id", "tf", "len")]
                 if held:
                     fields, terms, sizes = pa.concat_arrays([held[0], fields]), pa.concat_arrays([held[1], terms]), np.r_[len(held[2]), sizes]
                     postings = [np.concatenate(x) for x in zip(held[2:], postings)]
@@ -135,7 +140,7 @@ def build(docs: DataFrame, id_col: str, fields: list[str], folder: str, block: i
     stats.coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
     means = {r.field: r.mean_len for r in spark.read.parquet(f"{folder}/stats").collect()}  # a row a field
     order = ["field", "term", "first"]
-    blocks = runs.where("term <> ''").repartitionByRange(*order).sortWithinPartitions(*order).select("field", "term", "ids", "counts", "lengths").mapInArrow(_blocks(means, block), _SCHEMA)
+    blocks = runs.where("term <> ''").repartitionByRange(*order).sortWithinPartitions(*order).select("field", "term", "postings").mapInArrow(_blocks(means, block), _SCHEMA)
     blocks.write.mode("overwrite").options(**_PAGES).parquet(f"{folder}/blocks")
 
 
