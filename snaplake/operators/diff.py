@@ -15,6 +15,10 @@ from snaplake.functions.equality import equivalent, key_text
 CHANGES = "table_name string, change_type string, row_id string, field string, before string, after string, kinds map<string,string>"
 
 
+#: Buckets of rows that are compared by sums.
+BUCKETS = 1 << 18
+
+
 @dataclass(frozen=True)
 class Ignore:
     """Tables, fields of all tables, and fields of single tables that a diff passes over."""
@@ -67,11 +71,23 @@ def kinds_of(fields) -> Column:
     return F.create_map(*listed) if listed else F.lit(None).cast("map<string,string>")
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("row"), F.lit(BUCKETS))
+
+
 def multiset_changes(before: DataFrame, after: DataFrame, table: str, ignore: Ignore = Ignore()) -> DataFrame:
-    """CHANGES of a table without keys: rows that one side has more often are deletes or inserts, each as often; row_id is a digest of the row."""
+    """CHANGES of a table without keys: rows that one side has more often are deletes or inserts, each as often; row_id is a digest of the row.
+
+    Rows fall into buckets by a hash. Buckets whose signed count and sums of digests (96 bits) are zero hold the same
+    rows on both sides; only the others' rows are shuffled, and compared as texts. Where most buckets differ, all are.
+    """
     names = [c for c in before.columns if c in after.columns and not ignore.skips(table, c)]
     row = F.to_json(F.struct(*(F.col(f"`{c}`") for c in names)), {"ignoreNullFields": "false"})
     signed = before.select(row.alias("row"), F.lit(-1).alias("n")).unionAll(after.select(row.alias("row"), F.lit(1).alias("n")))
+    hashed = signed.select("n", F.xxhash64("row").alias("h"), F.crc32(F.encode("row", "utf-8")).alias("c"), _bucket().alias("bucket"))
+    sums = [F.sum(F.col("n") * x) for x in (F.lit(1), F.col("h").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("h", 32), F.col("c"))]
+    differs = hashed.groupBy("bucket").agg(F.array(*(x.cast("long") for x in sums)).alias("sums")).where(F.exists("sums", lambda x: x != 0)).select("bucket")
+    signed = signed.withColumn("bucket", _bucket()).join(F.broadcast(differs), "bucket", "left_semi")  # BUCKETS at most
     net = signed.groupBy("row").agg(F.sum("n").alias("n")).where("n <> 0")
     each = net.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("n"))))
     insert = F.col("n") > 0

@@ -2,6 +2,7 @@
 
 import random
 import uuid
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +128,32 @@ def test_trees_of_any_depth_compare_and_updates_equal_a_new_tree(spark, tmp_path
     assert manifest.root(spark, here).first() == manifest.root(spark, there).first()
     manifest.build(frames[0].limit(0), other)
     assert manifest.root(spark, other).first().n == 0 and manifest.tree_diff(spark, other, there).count() == len(two)
+
+
+def shuffled_bytes(spark, work):
+    """What work gives, and the bytes that its stages shuffled."""
+    sc, group = spark.sparkContext, uuid.uuid4().hex
+    sc.setJobGroup(group, "")
+    out = work()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {i for j in tracker.getJobIdsForGroup(group) if (info := tracker.getJobInfo(j)) for i in info.stageIds}
+    sc.setJobGroup("", "")
+    return out, sum(store.lastStageAttempt(i).shuffleWriteBytes() for i in stages if tracker.getStageInfo(i))
+
+
+def test_rows_of_equal_buckets_are_not_shuffled(spark, monkeypatch):
+    """Tables without keys that differ in few rows, repeats and nulls among them: the same changes with few and many buckets, and little is shuffled."""
+    rows = spark.range(20_000).select((F.col("id") % 9_000).alias("a"), F.when(F.col("id") % 7 > 0, F.repeat(F.md5(F.col("id").cast("string")), 8)).alias("b"))
+    after = rows.where("a <> 17").unionAll(rows.where("a in (5, 7)")).unionAll(spark.sql("select 3L a, 'new' b union all select 3L, 'new' union all select null, null"))
+    got = {}
+    for buckets in (1, 1_000, diff.BUCKETS):
+        monkeypatch.setattr(diff, "BUCKETS", buckets)
+        found, moved = shuffled_bytes(spark, lambda: diff.multiset_changes(rows, after, "t").collect())
+        got[buckets] = sorted((r.change_type, r.row_id, r.before or "", r.after or "") for r in found), moved
+    listed = lambda frame: [r[0] for r in frame.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
+    old, new = Counter(listed(rows)), Counter(listed(after))
+    wanted = sorted([("delete", x, "") for x in (old - new).elements()] + [("insert", "", x) for x in (new - old).elements()])
+    assert all(sorted((c, b, a) for c, _, b, a in changes) == wanted for changes, _ in got.values()) and len(wanted) > 8
+    assert got[1_000][1] < got[1][1] / 4
+    assert diff.multiset_changes(rows, rows, "t").count() == 0
