@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import gzip
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snaplake.functions.text import scrub
 
+#: Rows and bytes of contents that a task packs or unpacks at a time.
+ROWS, BYTES = 500, 8_000_000
 #: Level of compression.
 LEVEL = 6
 
@@ -22,9 +26,20 @@ def complete_lines(path: Column, content: Column) -> Column:
     return F.when(path.endswith(".jsonl") & F.contains(text, F.lit("\n")), whole).otherwise(text)
 
 
+def _slices(batches, column: str):
+    """Batches again, of ROWS rows and BYTES bytes at most; a longer content is alone."""
+    for whole in batches:
+        ends, at = np.cumsum(pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while at < whole.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = min(at + ROWS, max(at + 1, int(np.searchsorted(ends, before + BYTES, "right"))))
+            yield whole.slice(at, stop - at)
+            at = stop
+
+
 def _compressed(mode: str):
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches, "raw"):
             raw = [x or b"" for x in batch.column("raw").to_pylist()]
             packed = [gzip.compress(x, LEVEL, mtime=0) if mode != "raw" else x for x in raw]
             use = [mode == "gzip" or (mode == "auto" and len(p) < len(x)) for p, x in zip(packed, raw)]
@@ -51,9 +66,18 @@ def unpacked(stored: DataFrame) -> DataFrame:
     codec = F.col("codec") if "codec" in stored.columns else F.lit(None).cast("string")
 
     def run(batches):
-        for batch in batches:
-            out = [x if x is None or not (c == "gzip" or c is None and x[:2] == b"\x1f\x8b") else gzip.decompress(x) for x, c in zip(batch.column("content").to_pylist(), batch.column("codec").to_pylist())]
-            yield pa.record_batch([batch.column("path"), pa.array(out, pa.binary())], names=["path", "content"])
+        for batch in _slices(batches, "content"):
+            paths, out, size = [], [], 0
+            for path, x, c in zip(batch.column("path"), batch.column("content"), batch.column("codec").to_pylist()):
+                x = x.as_py()
+                paths.append(path.as_py())
+                out.append(x if x is None or not (c == "gzip" or c is None and x[:2] == b"\x1f\x8b") else gzip.decompress(x))
+                size += len(out[-1] or b"")
+                if size >= BYTES:  # what was small when packed may be large
+                    yield pa.record_batch([pa.array(paths, batch.column("path").type), pa.array(out, pa.binary())], names=["path", "content"])
+                    paths, out, size = [], [], 0
+            if paths:
+                yield pa.record_batch([pa.array(paths, batch.column("path").type), pa.array(out, pa.binary())], names=["path", "content"])
 
     return stored.select("path", "content", codec.alias("codec")).mapInArrow(run, "path string, content binary")
 

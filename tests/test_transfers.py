@@ -3,12 +3,14 @@
 import gzip
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from snaplake.functions import text as T
 from snaplake.operators import filters, sessions, sync
 from snaplake.operators.files import expect_files
+from snaplake.sources import uploads
 from snaplake.sources.tasks import read_tasks, write_tasks
 from snaplake.sources.uploads import payloads
 
@@ -100,3 +102,15 @@ def test_texts(spark):
     assert len(row.c) == 60 and row.c.startswith("x y z") and row.c.endswith("…")
     paths = spark.createDataFrame([("a/1-id7.jsonl",), ("a/id7-more.jsonl",), ("x/id7.jsonl",), ("b/c.txt",)], "p string")
     assert [r[0] for r in paths.select(filters.blocked_path(F.col("p"), [], ["b/*"], ["id7"])).collect()] == [True, False, True, True]
+
+
+def test_payloads_are_made_some_at_a_time(spark, monkeypatch):
+    """A task holds a slice of what comes to it, packed and unpacked; contents, empty and missing ones too, are the same."""
+    raw = [b"x" * 3_000_000] * 4 + [None, b""] + [bytes([i % 251]) * 10 for i in range(1_200)]
+    batch = pa.record_batch([pa.array([str(i) for i in range(len(raw))]), pa.array(raw, pa.binary())], names=["path", "raw"])
+    made = list(uploads._compressed("auto")([batch.slice(0, 0), batch]))
+    assert [x for b in made for x in b.column("raw_bytes").to_pylist()] == [len(x or b"") for x in raw]
+    assert max(b.num_rows for b in made) <= uploads.ROWS and max(sum(b.column("raw_bytes").to_pylist()) for b in made) <= uploads.BYTES
+    monkeypatch.setattr(uploads, "BYTES", 1_000)
+    stored = spark.createDataFrame([("a", gzip.compress(b"y" * 5000), "gzip"), ("b", None, "raw"), ("c", b"z" * 3000, "raw"), ("d", gzip.compress(b"w"), None)], "path string, content binary, codec string").coalesce(1)
+    assert {r.path: r.content and bytes(r.content) for r in uploads.unpacked(stored).collect()} == {"a": b"y" * 5000, "b": None, "c": b"z" * 3000, "d": b"w"}
