@@ -15,6 +15,9 @@ edit is allowed, and the one segment is the whole line.
 
 from __future__ import annotations
 
+from functools import lru_cache, reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,8 +30,10 @@ from snaplake.llm.common import block_links, connected_components, durable, fore
 EDITS, EVERY = 2, 24
 #: Candidate line ids that are broadcast at most (16 MB); beyond it they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
-#: Code points hashed at a time in a task.
-_SLICE = 2_000_000
+#: Bytes of text that a task hashes, or compares the groups of, at a time, and those whose arrays stay in a core's cache.
+_SLICE, _HASHED = 2_000_000, 250_000
+#: Bytes that a line counts for at least where groups are compared, as short ones make more pairs a byte.
+_LEAST = 400
 #: A packed key: its low 31 bits and whether it is of the line's own segment; the line; its letter counts. The
 #: bucket tells 2^31 keys apart further, and buckets grow with the corpus.
 _ENTRY = np.dtype([("key", "<u4"), ("h1", "<i8"), ("counts", "<u8")])
@@ -50,21 +55,52 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+#: The powers that most slices need, held once per worker.
+_usual_powers = lru_cache(1)(powers)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
+def _looked_up(work):
+    """work, a function of code points one by one, with the basic plane's values from a table."""
+    table = work(np.arange(65536, dtype=np.uint32))
+
+    def of(points: np.ndarray) -> np.ndarray:
+        return table.take(points) if not len(points) or points.max() < 65536 else work(points)
+
+    return of
+
+
+point_hashes = _looked_up(lambda points: mix(points.astype(np.uint64) + np.uint64(1)))
+
+
 def code_points(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All lines' code points, and the length of each line."""
-    text = "".join(lines.to_pylist())
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), pa.scalar("", lines.type))[0].as_py()
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def letter_counts(points: np.ndarray) -> np.ndarray:
-    """For each code point a one in one of sixteen 4-bit lanes; sums of them may carry, see near_counts."""
-    return np.uint64(1) << ((points.astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(13) & np.uint64(15)) << np.uint64(2))
+#: For each code point a one in one of sixteen 4-bit lanes; sums of them may carry, see near_counts.
+letter_counts = _looked_up(lambda points: np.uint64(1) << ((points.astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(13) & np.uint64(15)) << np.uint64(2)))
+
+
+def line_counts(points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Letter counts of each line; none is empty."""
+    return np.add.reduceat(letter_counts(points), np.cumsum(lengths) - lengths)
+
+
+def runs_of(lines: pa.Array, size: int):
+    """(low, high) of runs of lines of at most `size` bytes, but for longer lines, which are runs by themselves."""
+    total = np.cumsum(pc.binary_length(lines).to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = 0
+    while low < len(total):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + size, "right")))
+        yield low, high
+        low = high
 
 
 _LANES = np.arange(65536, dtype=np.int64)
@@ -98,28 +134,26 @@ def probe_plan(edits: int) -> list[tuple[int, int, int]]:
 def segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of segment i of lines of these lengths: as even as can be, the longer ones last."""
     n = edits + 1
-    each, longer = length // n, length % n
+    each = length // n
+    longer = length - each * n
     return i * each + np.maximum(0, i - (n - longer)), each + (i >= n - longer)
 
 
 def segment_keys(points: np.ndarray, lengths: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, key, own) for all keys of these lines; own: the key is of the line's own segment."""
     starts = np.cumsum(lengths) - lengths
-    power, inverse = powers(len(points) + 1)
+    power, inverse = _usual_powers(_HASHED + 1) if len(points) <= _HASHED else powers(len(points) + 1)
     summed = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * power[:-1], out=summed[1:])
-    rows, keys, own = [], [], []
-    for i, less, shift in probe_plan(edits):
-        other = lengths - less
-        at, n = segment(other, i, edits)
-        at = at + shift
-        row = np.flatnonzero((at >= 0) & (at + n <= lengths) & (n > 0))
-        low = starts[row] + at[row]
-        value = (summed[low + n[row]] - summed[low]) * inverse[low]
-        keys.append(mix(value + other[row].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(i)))
-        rows.append(row)
-        own.append(np.full(len(row), less == 0 and shift == 0))
-    return np.concatenate(rows), np.concatenate(keys), np.concatenate(own)
+    np.cumsum(point_hashes(points) * power[: len(points)], out=summed[1:])
+    i, less, shift = (x[:, None] for x in np.array(probe_plan(edits)).T)  # a row a probe, a column a line
+    other = lengths - less
+    at, n = segment(other, i, edits)
+    at = at + shift
+    fits = (at >= 0) & (at + n <= lengths) & (n > 0)
+    low, high = (starts + at)[fits], (starts + at + n)[fits]
+    salt = (other.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + i.astype(np.uint64))[fits]
+    keys = mix((summed[high] - summed[low]) * inverse[low] + salt)
+    return np.broadcast_to(np.arange(len(lengths)), fits.shape)[fits], keys, np.broadcast_to((less == 0) & (shift == 0), fits.shape)[fits]
 
 
 def within_edits(left: list[str], right: list[str], edits: int) -> np.ndarray:
@@ -171,7 +205,9 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k1, k2, pos, line, h1, h2) of every line with more than blanks. k1, k2: the row that it is in."""
     keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text")).where("text is not null")
     lines = keyed.select("k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.withColumn("line", F.trim("line", F.lit(BLANKS))).where("line <> ''")
+    # few lines have blanks at their ends, and looking costs less than trimming
+    ends = reduce(or_, [F.startswith("line", F.lit(c)) | F.endswith("line", F.lit(c)) for c in BLANKS])
+    lines = lines.withColumn("line", F.when(ends, F.trim("line", F.lit(BLANKS))).otherwise(F.col("line"))).where("line <> ''")
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
 
 
@@ -180,6 +216,77 @@ def row_key(id_col: str, text_col: str):
     return F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("k1"), F.xxhash64(F.col(id_col).isNull(), F.col(text_col)).alias("k2")
 
 
+def _linked(left, right, a, b, apart):
+    """Stars of the links among pairs of lines; left, right: (ids, texts)."""
+    good = np.zeros(len(a), bool)
+    for e in np.unique(apart):
+        of = np.flatnonzero(apart == e)
+        for k in range(0, len(of), 20_000):
+            part = of[k : k + 20_000]
+            good[part] = within_edits([left[1][i] for i in a[part]], [right[1][i] for i in b[part]], int(e))
+    return forest(left[0][a[good]], right[0][b[good]])
+
+
+def _read(rows):
+    """(ids, texts), lengths and letter counts."""
+    points, lengths = code_points(rows.column("line"))
+    return (rows.column("h1").to_numpy(zero_copy_only=False), rows.column("line").to_pylist()), lengths, line_counts(points, lengths)
+
+
+def compare_blocks(left, right, same):
+    """Stars of the links between two blocks of lines."""
+    apart = int(left.column("apart")[0].as_py())
+    (first, length, bag), (second, lengths, bags) = _read(left), _read(right)
+    found_a, found_b = [], []
+    for i in range(len(length)):
+        rest = np.arange(i + 1 if same else 0, len(lengths))
+        rest = rest[(np.abs(lengths[rest] - length[i]) <= apart) & near_counts(np.full(len(rest), bag[i]), bags[rest], apart)] if len(rest) else rest
+        found_a.append(np.full(len(rest), i))
+        found_b.append(rest)
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    return _linked(first, second, a, b, np.full(len(a), apart))
+
+
+def group_links(batches):
+    """Links within groups that come one after the other, many groups at a time."""
+
+    def closed(held):
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        key, apart = rows.column("key").to_numpy(), rows.column("apart").to_numpy().astype(np.int64)
+        lines, lengths, bags = _read(rows)
+        found_a, found_b, at, step = [], [], np.arange(len(key)), 1
+        while True:
+            at = at[at + step < len(key)]
+            at = at[key[at] == key[at + step]]
+            if not len(at):
+                break
+            hit = at[(np.abs(lengths[at] - lengths[at + step]) <= apart[at]) & near_counts(bags[at], bags[at + step], apart[at])]
+            found_a.append(hit)
+            found_b.append(hit + step)
+            step += 1
+        if found_a:
+            a, b = np.concatenate(found_a), np.concatenate(found_b)
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in _linked(lines, lines, a, b, apart[a])], names=["a", "b"])
+
+    held, size = [], 0  # whole groups, and the one that may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column("key").to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        total = np.r_[0, np.cumsum(np.maximum(pc.binary_length(batch.column("line")).to_numpy(zero_copy_only=False), _LEAST), dtype=np.int64)]
+        low = 0
+        for cut in cuts[:-1]:
+            ends = cut > 0 or held and held[-1].column("key")[-1].as_py() != key[0]
+            if ends and size + total[cut] - total[low] >= _SLICE:
+                yield from closed([*held, batch.slice(low, cut - low)])
+                held, size, low = [], 0, cut
+        held.append(batch.slice(low))
+        size += int(total[-1] - total[low])
+    if held:
+        yield from closed(held)
+
+
 def line_links(lines: DataFrame, edits: int = EDITS, every: int = EVERY, block: int = BLOCK) -> DataFrame:
     """Links (a, b: h1 of the lines) that join all different lines within the edits that their lengths allow; of a group of links, a forest is enough."""
     fuzzy = lines.where(F.char_length("line") >= max(every, 2)).select("h1", "line")
@@ -190,30 +297,28 @@ def line_links(lines: DataFrame, edits: int = EDITS, every: int = EVERY, block:
         for batch in batches:
             fresh, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
             text = batch.column(1).take(pa.array(first))
-            size = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False))
-            cuts = np.unique(np.r_[0, np.searchsorted(size, np.arange(_SLICE, int(size[-1]) + _SLICE, _SLICE), "right"), len(size)]) if len(size) else [0]
-            for low, high in zip(cuts[:-1], cuts[1:]):
+            for low, high in runs_of(text, _SLICE):
                 part = text.slice(low, high - low)
                 length = pc.utf8_length(part).to_numpy(zero_copy_only=False)
                 for e in range(1, edits + 1):
                     mine = np.flatnonzero((length >= e * every) & ((length < (e + 1) * every + e) | (e == edits)) & (length > e))
                     if not len(mine):
                         continue
-                    points, lengths = code_points(part.take(pa.array(mine)))
-                    row, key, own = segment_keys(points, lengths, e)
-                    total = np.zeros(len(points) + 1, np.uint64)
-                    np.cumsum(letter_counts(points), out=total[1:])
-                    ends = np.cumsum(lengths)
-                    counts = total[ends] - total[ends - lengths]
+                    chosen, found = part.take(pa.array(mine)), []
+                    for first, last in runs_of(chosen, _HASHED):
+                        points, lengths = code_points(chosen.slice(first, last - first))
+                        row, key, own = segment_keys(points, lengths, e)
+                        found.append((row + first, key, own, line_counts(points, lengths)))
+                    row, key, own, counts = (np.concatenate(x) for x in zip(*found))
                     bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64) * edits + e - 1
-                    order = np.argsort(bucket, kind="stable")
+                    order = np.argsort(bucket.astype(np.uint16) if buckets * edits <= 65536 else bucket, kind="stable")
                     packed = np.empty(len(order), _ENTRY)
-                    packed["key"] = (key[order] << np.uint64(1) | own[order].astype(np.uint64)).astype(np.uint32)
-                    packed["h1"], packed["counts"] = fresh[low:high][mine][row[order]], counts[row[order]]
-                    found, start = np.unique(bucket[order], return_index=True)
-                    stops = np.r_[start[1:], len(order)]
-                    blobs = [packed[a:b].tobytes() for a, b in zip(start, stops)]
-                    yield pa.record_batch([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+                    packed["key"] = (key << np.uint64(1) | own.astype(np.uint64)).astype(np.uint32)
+                    packed["h1"], packed["counts"] = fresh[low:high][mine][row], counts[row]
+                    packed, bucket = packed[order], bucket[order]
+                    start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                    blobs = [packed[a:b].tobytes() for a, b in zip(start, np.r_[start[1:], len(order)])]
+                    yield pa.record_batch([pa.array(bucket[start], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     def shared(batches):
         """(key, id) of the lines that share a key and could be alike."""
@@ -227,7 +332,13 @@ def line_links(lines: DataFrame, edits: int = EDITS, every: int = EVERY, block:
         rows = np.concatenate(held)
         held.clear()
         key, own = np.concatenate(place) << 31 | (rows["key"] >> 1).astype(np.int64), (rows["key"] & 1).astype(np.int64)
-        order = np.lexsort((rows["h1"], key))
+        # most keys are of one line: only the others are put in order of ids too
+        order = np.argsort(key)
+        alike = key[order[1:]] == key[order[:-1]]
+        order = order[np.r_[alike, False] | np.r_[False, alike]] if len(order) > 1 else order[:0]
+        if not len(order):
+            return
+        order = order[np.lexsort((rows["h1"][order], key[order]))]
         key, own, ids, counts = key[order], own[order], rows["h1"][order], rows["counts"][order]
         del rows
         new = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]
@@ -269,58 +380,14 @@ def line_links(lines: DataFrame, edits: int = EDITS, every: int = EVERY, block:
     texts = fuzzy.join(wanted, "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line"))
     members = members.withColumn("apart", (F.shiftright("key", 31) % edits + 1).cast("int"))
 
-    def compare(left, right, same):
-        """Stars of the links between two blocks of lines."""
-        apart = int(left.column("apart")[0].as_py())
-        ids, text, points, bags = [], [], [], []
-        for side in (left, right):
-            ids.append(side.column("h1").to_numpy(zero_copy_only=False))
-            text.append(side.column("line").to_pylist())
-            points.append(code_points(side.column("line")))
-            total = np.zeros(len(points[-1][0]) + 1, np.uint64)
-            np.cumsum(letter_counts(points[-1][0]), out=total[1:])
-            ends = np.cumsum(points[-1][1])
-            bags.append(total[ends] - total[ends - points[-1][1]])
-        found_a, found_b = [], []
-        for i in range(len(ids[0])):
-            rest = np.arange(i + 1 if same else 0, len(ids[1]))
-            rest = rest[(np.abs(points[1][1][rest] - points[0][1][i]) <= apart) & near_counts(np.full(len(rest), bags[0][i]), bags[1][rest], apart)] if len(rest) else rest
-            found_a.append(np.full(len(rest), i))
-            found_b.append(rest)
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        good = np.zeros(len(a), bool)
-        for k in range(0, len(a), 20_000):
-            part = slice(k, k + 20_000)
-            good[part] = within_edits([text[0][i] for i in a[part]], [text[1][i] for i in b[part]], apart)
-        return forest(ids[0][a[good]], ids[1][b[good]])
-
-    def within_keys(batches):
-        """Links within groups that come one after the other."""
-        held: list[pa.RecordBatch] = []
-
-        def closed():
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            return pa.record_batch([pa.array(c, pa.int64()) for c in compare(rows, rows, True)], names=["a", "b"])
-
-        for batch in batches:
-            key = batch.column("key").to_numpy()
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            for low, high in zip(cuts, cuts[1:]):
-                if held and held[-1].column("key")[0].as_py() != key[low]:
-                    yield closed()
-                    held = []
-                held.append(batch.slice(low, high - low))
-        if held:
-            yield closed()
-
     # groups over a block are told by their keys before any task reads one
     large = durable(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block))
     groups = members.join(texts, "h1").select("key", "apart", "h1", "line")
     if large.isEmpty():
-        return _in_groups(groups, within_keys)
+        return _in_groups(groups, group_links)
     keys = large.select("key")
     keys = F.broadcast(keys) if large.count() <= BROADCAST_IDS else keys
-    small = _in_groups(groups.join(keys, "key", "left_anti"), within_keys)
+    small = _in_groups(groups.join(keys, "key", "left_anti"), group_links)
     # a large group is cut into cells of near-equal lengths; a line that is near the next smaller cell is in it too
     length = F.char_length("line")
     cell = F.floor(length / LENGTHS)
@@ -328,7 +395,7 @@ def line_links(lines: DataFrame, edits: int = EDITS, every: int = EVERY, block:
     cells = durable(cells.select(F.xxhash64("key", "cell").alias("key"), "apart", "h1", "line"))
     parts = cells.groupBy("key").agg(F.ceil(F.count("*") / block).alias("parts"))
     placed = cells.join(parts, "key").select("key", (F.pmod(F.xxhash64("h1"), F.col("parts")) * block).alias("nth"), F.lit(0).cast("long").alias("by"), "apart", "h1", "line")
-    return small.unionByName(block_links(placed, compare, block))
+    return small.unionByName(block_links(placed, compare_blocks, block))
 
 
 def _in_groups(groups: DataFrame, work) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -95,6 +96,45 @@ def test_line_dedup_equals_brute_force(spark, docs_of):
     assert {r.n_lines for r in got if r.doc_id == 90} == {0}
 
 
+def test_many_small_groups_are_compared_together(monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for k in range(300):
+        stem = words(rng, rng.randint(6, 12))
+        rows += [(k, 1 + k % 2, mutate(rng, stem, rng.randint(0, 2))) for _ in range(rng.randint(2, 5))]
+    ids = list(range(len(rows)))
+    table = pa.table({"key": pa.array([r[0] for r in rows]), "apart": pa.array([r[1] for r in rows], pa.int32()), "h1": pa.array(ids), "line": [r[2] for r in rows]})
+    links = [(a, b) for a in ids for b in ids[a + 1 : a + 5] if b < len(rows) and rows[a][0] == rows[b][0] and edit_distance(rows[a][2], rows[b][2]) <= rows[a][1]]
+    expected, calls, verify = components(len(ids), links), [], ld.within_edits
+    monkeypatch.setattr(ld, "within_edits", lambda *x: calls.append(x) or verify(*x))
+    for size, step, most in ((ld._SLICE, 7, 2), (20_000, 7, 100), (20_000, 1000, 100), (1, 7, 600)):
+        monkeypatch.setattr(ld, "_SLICE", size)
+        calls.clear()
+        got = [pair for x in ld.group_links(table.slice(k, step).combine_chunks().to_batches()[0] for k in range(0, len(ids), step)) for pair in zip(*x.to_pydict().values())]
+        assert components(len(ids), got) == expected and 0 < len(calls) <= most
+
+
+def test_keys_are_those_of_whole_lines(monkeypatch):
+    rng = random.Random(10)
+    lines = pa.array([words(rng, rng.randint(1, 12)) + rng.choice(["", "\U0001f600", "中"]) for _ in range(200)])
+    points, lengths = ld.code_points(lines)
+    assert "".join(map(chr, points)) == "".join(lines.to_pylist()) and lengths.tolist() == [len(x) for x in lines.to_pylist()]
+    assert [r for low, high in ld.runs_of(lines, 100) for r in range(low, high)] == list(range(200))
+    row, key, own = ld.segment_keys(points, lengths, 2)
+    monkeypatch.setattr(ld, "_HASHED", 1)
+    for r in range(0, 200, 20):
+        _, alone, mine = ld.segment_keys(*ld.code_points(lines.slice(r, 1)), 2)
+        assert key[row == r].tolist() == alone.tolist() and own[row == r].tolist() == mine.tolist()
+        assert ld.line_counts(points, lengths)[r] == ld.letter_counts(ld.code_points(lines.slice(r, 1))[0]).sum()
+
+
+def test_every_blank_is_cut_from_the_ends_of_lines(spark, docs_of):
+    rng = random.Random(11)
+    texts = ["\n".join("".join(rng.choice(ld.BLANKS) for _ in range(rng.randint(0, 3))) + x + "".join(rng.choice(ld.BLANKS) for _ in range(rng.randint(0, 3))) for x in ("", "a", "a b", "é\u2003", "中\u3000文")) for _ in range(40)]
+    got = {(r.k1, r.pos): r.line for r in ld.lines_of(docs_of(list(enumerate(texts))), "doc_id", "text").collect()}
+    assert got == {(i, p): x.strip(ld.BLANKS) for i, t in enumerate(texts) for p, x in enumerate(t.split("\n")) if x.strip(ld.BLANKS)}
+
+
 def test_large_groups_of_lines_are_dealt_out_in_blocks(spark, docs_of):
     rng = random.Random(8)
     stem = words(rng, 12)
