@@ -114,6 +114,19 @@ def test_many_small_groups_are_compared_together(monkeypatch):
         assert components(len(ids), got) == expected and 0 < len(calls) <= most
 
 
+def test_calls_that_verify_do_not_grow_with_groups(spark, docs_of, monkeypatch):
+    rng = random.Random(12)
+    stems = [words(rng, 10) for _ in range(60)]
+    lines = ld.lines_of(docs_of([(k, s + "\n" + s[:-1] + "#") for k, s in enumerate(stems)]), "doc_id", "text")
+    seen, calls, verify = [], [], ld.within_edits
+    monkeypatch.setattr(ld, "_in_groups", lambda groups, work: seen.append((groups, work)) or groups.selectExpr("h1 a", "h1 b"))
+    ld.line_links(lines)
+    groups, work = seen[0]
+    monkeypatch.setattr(ld, "within_edits", lambda *x: calls.append(x) or verify(*x))
+    links = {pair for x in work(groups.orderBy("key", "h1").toArrow().to_batches()) for pair in zip(*x.to_pydict().values())}
+    assert len(links) == 60 and groups.select("key").distinct().count() >= 60 and 0 < len(calls) <= 4
+
+
 def test_keys_are_those_of_whole_lines(monkeypatch):
     rng = random.Random(10)
     lines = pa.array([words(rng, rng.randint(1, 12)) + rng.choice(["", "\U0001f600", "中"]) for _ in range(200)])
