@@ -65,8 +65,12 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _stars(batches):
-    """Per partition: links to stars, in bounded memory (folded whenever a few million wait)."""
+def stars(batches):
+    """Per partition: links to stars, in bounded memory (folded whenever a few million wait).
+
+    What finds links in Python folds them there: two mapInArrow in a row take two Python workers a task, and an
+    executor keeps all that it ever had, as it uses them in turn.
+    """
     held_a, held_b, n = [], [], 0
     for batch in batches:
         held_a.append(batch.column("a").to_numpy(zero_copy_only=False))
@@ -96,28 +100,28 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("least").alias("b"))).distinct()
 
 
-def connected_components(links: DataFrame, finish: int = FINISH_LINKS) -> DataFrame:
+def connected_components(links: DataFrame, finish: int = FINISH_LINKS, folded: bool = False) -> DataFrame:
     """(id, component) for every node of links (a, b: long) that isn't its component's smallest node.
 
-    Links are first folded to stars within each partition. While more than `finish` links remain, rounds
+    Links are first folded to stars within each partition, unless they come folded. While more than `finish` links remain, rounds
     of large-star and small-star (Kiveris et al., 2014) shrink them over the cluster; what fits one task
     is finished there. No links, nulls or loops: no rows for them.
     """
     links = links.select("a", "b").where("a <> b")
-    stars = durable(links.mapInArrow(_stars, "a long, b long"))
-    left, seen = stars.count(), None
+    held = durable(links if folded else links.mapInArrow(stars, "a long, b long"))
+    left, seen = held.count(), None
     while left > finish:
-        stars = durable(_small_star(_large_star(stars)))
-        left, total = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        held = durable(_small_star(_large_star(held)))
+        left, total = held.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (left, total) == seen:
-            return stars.select(F.col("a").alias("id"), F.col("b").alias("component"))
+            return held.select(F.col("a").alias("id"), F.col("b").alias("component"))
         seen = (left, total)
-    done = stars.repartition(1).mapInArrow(_stars, "a long, b long")
+    done = held.repartition(1).mapInArrow(stars, "a long, b long")
     return durable(done.select(F.col("a").alias("id"), F.col("b").alias("component")))
 
 
-def block_links(large: DataFrame, compare, block: int, reach: int | None = None) -> DataFrame:
-    """(a, b) that compare finds among the rows of each large group, a pair of blocks at a time.
+def block_links(large: DataFrame, compare, block: int, reach: int | None = None, fold: bool = False) -> DataFrame:
+    """(a, b) that compare finds among the rows of each large group, a pair of blocks at a time; fold: as stars, by partition.
 
     large: key, nth (long: number of the row in its group, from 0), by (long) and whatever compare reads. `block`
     numbers in a row are one block; every pair of blocks whose ranges of `by` are at most `reach` apart (None:
@@ -162,7 +166,7 @@ def block_links(large: DataFrame, compare, block: int, reach: int | None = None)
         if held:
             yield from closed()
 
-    return dealt.repartition(tasks(large), *order).sortWithinPartitions(*order, "own").mapInArrow(run, "a long, b long")
+    return dealt.repartition(tasks(large), *order).sortWithinPartitions(*order, "own").mapInArrow((lambda batches: stars(run(batches))) if fold else run, "a long, b long")
 
 
 def bucket_pairs(entries: DataFrame, pairs, forest_only: bool, block: int = 2048) -> DataFrame:
@@ -170,8 +174,8 @@ def bucket_pairs(entries: DataFrame, pairs, forest_only: bool, block: int = 2048
 
     pairs takes two arrays of as many rows, a column for each sig, and gives a mask. Entries of one id count
     once in a key. Groups of up to `block` ids are paired where their key is read; larger ones are only numbered
-    there, and block_links compares them, so that no task gets a group's square. forest_only: stars in place of
-    all pairs.
+    there, and block_links compares them, so that no task gets a group's square. forest_only: stars by partition in
+    place of all pairs.
     """
     sigs = [c for c in entries.columns if c not in ("key", "id")]
 
@@ -281,4 +285,5 @@ def bucket_pairs(entries: DataFrame, pairs, forest_only: bool, block: int = 2048
     ordered = entries.select("key", "id", *sigs).repartition("key").sortWithinPartitions("key", "id")
     found = durable(ordered.mapInArrow(first, ", ".join(f"{c} long" for c in names)))
     direct, large = found.where("a is not null").select("a", "b"), found.where("nth is not null").select("key", "nth", F.lit(0).cast("long").alias("by"), "id", *sigs)
-    return direct if large.isEmpty() else direct.unionByName(block_links(large, compare, block))
+    direct = direct.mapInArrow(stars, "a long, b long") if forest_only else direct
+    return direct if large.isEmpty() else direct.unionByName(block_links(large, compare, block, fold=forest_only))

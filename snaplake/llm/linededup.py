@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaplake.llm.common import block_links, connected_components, durable, forest, free_names, tasks
+from snaplake.llm.common import block_links, connected_components, durable, forest, free_names, stars, tasks
 
 #: Edits up to which lines are alike, and the code points of the shorter line that allow for one edit each.
 EDITS, EVERY = 2, 24
@@ -288,7 +288,7 @@ def group_links(batches):
 
 
 def line_links(lines: DataFrame, edits: int = EDITS, every: int = EVERY, block: int = BLOCK) -> DataFrame:
-    """Links (a, b: h1 of the lines) that join all different lines within the edits that their lengths allow; of a group of links, a forest is enough."""
+    """Links (a, b: h1 of the lines), stars by partition, that join all different lines within the edits that their lengths allow."""
     fuzzy = lines.where(F.char_length("line") >= max(every, 2)).select("h1", "line")
     buckets = 4 * tasks(lines)
 
@@ -395,11 +395,11 @@ def line_links(lines: DataFrame, edits: int = EDITS, every: int = EVERY, block:
     cells = durable(cells.select(F.xxhash64("key", "cell").alias("key"), "apart", "h1", "line"))
     parts = cells.groupBy("key").agg(F.ceil(F.count("*") / block).alias("parts"))
     placed = cells.join(parts, "key").select("key", (F.pmod(F.xxhash64("h1"), F.col("parts")) * block).alias("nth"), F.lit(0).cast("long").alias("by"), "apart", "h1", "line")
-    return small.unionByName(block_links(placed, compare_blocks, block))
+    return small.unionByName(block_links(placed, compare_blocks, block, fold=True))
 
 
 def _in_groups(groups: DataFrame, work) -> DataFrame:
-    return groups.repartition(tasks(groups), "key").sortWithinPartitions("key", "h1").mapInArrow(work, "a long, b long")
+    return groups.repartition(tasks(groups), "key").sortWithinPartitions("key", "h1").mapInArrow(lambda batches: stars(work(batches)), "a long, b long")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, every: int = EVERY) -> DataFrame:
@@ -411,7 +411,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = lines_of(docs, id_col, text_col)
     here = F.struct("k1", "k2", "pos")
     firsts = durable(lines.groupBy("h1", "h2").agg(F.min(here).alias("f"), F.count("*").alias("n")).select("h1", "h2", "f.k1", "f.k2", "f.pos", "n"))
-    classes = connected_components(line_links(lines, edits, every))
+    classes = connected_components(line_links(lines, edits, every), folded=True)
     members = classes.unionByName(classes.select(F.col("component").alias("id"), "component").distinct())
     firsts = firsts.select("h1", "h2", here.alias("first"), "n")
     near = firsts.join(members, F.col("h1") == F.col("id"))

@@ -163,7 +163,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.record_batch([pa.array(key), pa.array(batch.column("first").to_numpy(zero_copy_only=False)[row]), pa.array(fp[row])], names=["key", "id", "sig"])
 
     entries = alike.where("first is not null").select("fp", "first").mapInArrow(keyed, "key long, id long, sig long")
-    classes = connected_components(bucket_pairs(entries, _within(MAX_BITS), forest_only=True))
+    classes = connected_components(bucket_pairs(entries, _within(MAX_BITS), forest_only=True), folded=True)
     moved = alike.join(classes, F.col("first") == F.col("id"), "left").select("fp", F.coalesce("component", "first").alias("component_id"))
     moved = durable(moved)
     return prints.join(moved, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -261,7 +261,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.record_batch([pa.array(key), pa.array(node[row]), pa.array(fp[row]), pa.array(sig[row])], names=["key", "id", "fp", "sig"])
 
     entries = nodes.select("node", "fp", "sig").mapInArrow(probes, "key long, id long, fp long, sig long")
-    maybe = connected_components(bucket_pairs(entries, _alike, forest_only=True))
+    maybe = connected_components(bucket_pairs(entries, _alike, forest_only=True), folded=True)
     members = maybe.unionByName(maybe.select(F.col("component").alias("id"), "component").distinct())
     asked = members.join(nodes, F.col("id") == F.col("node")).select(F.col("component").alias("key"), "id", "head.k1", "head.k2", "fp", "sig")
     named = asked.select("k1", "k2")
@@ -271,7 +271,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sized = asked.groupBy("key").agg(F.ceil(F.count("*") / block).alias("parts"))
     placed = asked.join(sized, "key").withColumn("nth", F.pmod(F.xxhash64("id"), F.col("parts")) * block).drop("parts")
     texts = placed.join(one_each, ["k1", "k2"]).select("key", "nth", F.lit(0).cast("long").alias("by"), "id", "fp", "sig", "text")
-    classes = connected_components(block_links(durable(texts), jaccard_links(words, least), block))
+    classes = connected_components(block_links(durable(texts), jaccard_links(words, least), block, fold=True), folded=True)
     moved = nodes.join(classes, F.col("node") == F.col("id"), "left").select("h1", "h2", "head", F.coalesce("component", "node").alias("component"))
     heads = moved.groupBy("component").agg(F.min("head").alias("stays"))
     kept = moved.join(heads, "component").select("h1", "h2", "stays")

@@ -437,3 +437,39 @@ def test_short_items_are_found_inside_long_texts(spark, docs_of):
     got = {(r.doc_id, r.item_id) for r in dec.contained_items(docs, bench).collect()}
     assert got == {(1, 7), (1, 8), (1, 9), (2, 7), (2, 8), (3, 8), (4, 8)}
     assert {r.doc_id for r in dec.decontaminate(docs, bench).collect()} == {5, 6}
+
+
+def python_steps(df):
+    """The Python steps that a task of df's plan runs at once, at most."""
+    most = []
+
+    def walk(plan):
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(plan.executedPlan())
+        below = [walk(plan.children().apply(k)) for k in range(plan.children().size())]
+        most.append((max if name == "Union" else sum)(below or [0]) + name.startswith("MapInArrow"))
+        return 0 if "Exchange" in name else most[-1]
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return max(most)
+
+
+def test_tasks_that_find_links_take_one_python_worker(spark, docs_of, monkeypatch):
+    from snaplake.llm import common
+
+    seen, write = [], common.durable
+    for module in (common, ld, sh):
+        monkeypatch.setattr(module, "durable", lambda df: seen.append(python_steps(df)) or write(df))
+    rng = random.Random(13)
+    stems = [words(rng, 12) for _ in range(12)]
+    docs = docs_of([(k, mutate(rng, stems[k % 12], 1)) for k in range(48)])
+    lines = ld.lines_of(docs, "doc_id", "text")
+    for block in (2, 256):
+        assert common.connected_components(ld.line_links(lines, block=block), folded=True).count() > 12
+    assert sh.simhash_dedup(docs, words=2, least=0.5, block=2).count() < 48
+    assert sh.simhash_groups(docs).count() == 48
+    entries = spark.createDataFrame([(k % 2, k, k % 3) for k in range(40)], "key long, id long, sig long")
+    found = common.bucket_pairs(entries, lambda left, right: left[:, 0] == right[:, 0], True, block=7)
+    assert common.connected_components(found, folded=True).count() == 34
+    assert max(seen) == 1 and len(seen) > 10
